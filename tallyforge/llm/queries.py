@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import binary, chat, fingerprints, mixing, packing, quality, toxicity, warc
+from tallyforge.llm import binary, chat, fingerprints, mixing, packing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_quality": quality.op2_quality,
     "op3_binary": binary.op3_binary,
+    "op4_pii": pii.op4_pii,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_warc": warc.op6_warc,
     "op7_chat": chat.op7_chat,
