@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import binary, chat, fingerprints, mixing, packing, pii, quality, toxicity, warc
+from tallyforge.llm import binary, chat, fingerprints, jaccard, mixing, packing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": warc.op6_warc,
     "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_packing": packing.op10_packing,
 }
 
@@ -25,4 +26,5 @@ SQL: dict[str, str] = {
     "op6_warc": warc.SQL,
     "op7_chat": chat.SQL,
     "op8_mixing": mixing.SQL,
+    "op9_jaccard": jaccard.SQL,
 }
