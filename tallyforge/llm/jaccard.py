@@ -349,6 +349,23 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents with the smallest doc_id of each component, all columns as they are.
+
+    Of several rows of one doc_id one stays. Rows without words, or without a doc_id, all stay (the former once a doc_id).
+    """
+    found = written(join_components(docs, **options).where("doc_id is not null"), "jaccard-components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    return kept
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
 

@@ -33,6 +33,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 6_000
 #: Features the classifier may have, and voters learned from the sample.
 FEATURES, VOTERS = 2_000, 300
 SHORTEST, LONGEST = 4, 9
+#: The least log-likelihood ratio of a feature, of thousands that are looked at.
+EVIDENCE = 16.0
 LEXICON = ("idiot", "moron", "stupid", "trash", "scum", "loser", "clown", "pathetic", "disgusting", "worthless")
 
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -68,11 +70,11 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     n1, n0 = count.get(1, 0), count.get(0, 0)
     part = (F.xxhash64("doc_id", F.lit(11)) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
     few = rows.where(part < F.when(F.col("_toxic") == 1, min(1.0, toxic / max(1, n1))).otherwise(min(1.0, clean / max(1, n0))))
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "_toxic")
+    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "_toxic").dropDuplicates(["text"])
     return picked, n1 / max(1, n0 + n1)
 
 
-def associations(picked: DataFrame, least: int = 3) -> list[tuple[str, int, int]]:
+def associations(picked: DataFrame, least: int = 3, evidence: float = EVIDENCE) -> list[tuple[str, int, int]]:
     """Features in at least ``least`` toxic texts of the sample with their numbers of toxic and clean texts, best first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +88,13 @@ def associations(picked: DataFrame, least: int = 3) -> list[tuple[str, int, int]
     counts = arrow_map(picked, run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = {r._toxic: r["count"] for r in picked.groupBy("_toxic").count().collect()}
     n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-    gain = F.col("toxic") / n1 * F.log((F.col("toxic") + 0.5) / n1 / ((F.col("clean") + 0.5) / n0))
-    best = counts.where((F.col("toxic") >= least) & (F.col("toxic") / n1 > 2 * F.col("clean") / n0)).withColumn("_gain", gain).orderBy(F.desc("_gain"), "feature").limit(FEATURES)
+    # Dunning's log-likelihood ratio: the evidence that the two classes' rates differ at all
+    both, total = F.col("toxic") + F.col("clean"), float(n1 + n0)
+    part = lambda count, n, all_, all_n: F.when(count > 0, count * F.log(count * all_n / (n * all_))).otherwise(0.0)
+    absent = total - both
+    ratio = 2 * (part(F.col("toxic"), n1, both, total) + part(F.col("clean"), n0, both, total) + part(n1 - F.col("toxic"), n1, absent, total) + part(n0 - F.col("clean"), n0, absent, total))
+    best = counts.where((F.col("toxic") >= least) & (F.col("toxic") / n1 > 2 * F.col("clean") / n0)).withColumn("_ratio", ratio).where(F.col("_ratio") >= evidence)
+    best = best.orderBy(F.desc("_ratio"), "feature").limit(FEATURES)
     return [(r.feature, r.toxic, r.clean) for r in best.collect()]
 
 
@@ -152,7 +159,7 @@ def linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, d
 
 
 def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logits for which the weighted F1 at 0.5 is best; the middle of the best stretch of shifts."""
+    """Slope and shift of the logits: the shift for which the weighted F1 at 0.5 is best, the slope of the best likelihood."""
     order = np.argsort(-z, kind="stable")
     hit, miss = np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
     f1 = 2 * hit / (hit + miss + hit[-1])
@@ -160,7 +167,10 @@ def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     cut = np.flatnonzero(np.append(z[order][1:] != z[order][:-1], True))
     best = cut[np.argmax(f1[cut])]
     after = z[order][min(best + 1, len(z) - 1)]
-    return 1.0, -float((z[order][best] + after) / 2)
+    shift = -float((z[order][best] + after) / 2)
+    slopes = np.geomspace(0.5, 30, 40)
+    losses = [float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * np.clip(s * (z + shift), -30, 30))) for s in slopes]
+    return float(slopes[int(np.argmin(losses))]), shift
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
@@ -206,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     w, b = linear(x, posterior)
     if 0 < share < 1:
         slope, shift = calibrated(x @ w + b, y, np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
-        w, b = w * slope, b * slope + shift
+        w, b = w * slope, (b + shift) * slope
     return {"weights": {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-3}, "bias": float(b), "accuracy": dict(zip(voters, model.accuracy.tolist(), strict=False)), "posterior_mean": float(posterior.mean())}
 
 
@@ -254,5 +264,18 @@ def score(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> Data
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:
+    """The documents with a score below 0.5, all columns as they are; nothing is shuffled."""
+    model = model or fit(docs, labels)
+    small = {"weights": model["weights"], "bias": model["bias"]}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer(small)
+        for batch in batches:
+            yield batch.filter(pa.array([of(t) < 0.5 for t in texts_of(batch)], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
