@@ -56,6 +56,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_rows", "source_size", target.cast("double").alias("target"))
 
 
+def _key(epoch: int, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(epoch)), F.lit(str(seed))))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: int = 42, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Documents (doc_id, source, text) -> (doc_id, source, size, source_size, target, taken_epochs, taken), a row per input row.
 
@@ -64,35 +68,59 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     a null doc_id is keyed like the text "null". Repeated rows are separate rows; equal rows are
     interchangeable, so reruns return the same multiset. An empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     # the text is read once: everything after this works on (doc_id, source, size)
-    sized = written(sized, "mix-sizes")
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"), F.sum("size").alias("source_size"))
     per_source = written(targets(per_source, weights, share, most), "mix-targets")
     known = sized.join(per_source, sized["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
     taken = []
     for epoch in range(most):
-        key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(epoch)), F.lit(str(seed))))
-        known = known.withColumn(f"_key{epoch}", key)
         ranges = F.ceil(F.col("source_rows") / F.lit(rows_per_range))
-        part = F.floor(F.conv(F.substring(f"_key{epoch}", 1, 8), 16, 10).cast("double") / 2**32 * ranges)
-        known = known.withColumn(f"_range{epoch}", part.cast("long"))
-        sums = known.groupBy("source", f"_range{epoch}").agg(F.sum("size").alias("_sum"))
-        ahead = Window.partitionBy("source").orderBy(f"_range{epoch}").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select(F.col("source").alias("_source"), F.col(f"_range{epoch}").alias("_range"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias(f"_ahead{epoch}"))
-        known = known.join(sums, known["source"].eqNullSafe(sums["_source"]) & (known[f"_range{epoch}"] == sums["_range"])).drop("_source", "_range")
-        within = Window.partitionBy("source", f"_range{epoch}").orderBy(f"_key{epoch}", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        known = known.withColumn("_key", _key(epoch, seed))
+        known = known.withColumn("_part", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / 2**32 * ranges).cast("long"))
+        sums = known.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
+        ahead = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(F.col("source").alias("_source"), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+        known = known.join(sums, known["source"].eqNullSafe(sums["_source"]) & (known["_part"] == sums["_at"]))
+        within = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
         # budgets are whole words: what the target leaves for this epoch, at most the source's size
         budget = F.least(F.greatest(F.floor("target") - F.col("source_size") * epoch, F.lit(0)), F.col("source_size"))
-        start = F.col(f"_ahead{epoch}") + F.coalesce(F.sum("size").over(within), F.lit(0))
-        known = known.withColumn(f"_taken{epoch}", F.least(F.greatest(budget - start, F.lit(0)), F.col("size")).cast("long"))
-        taken.append(F.col(f"_taken{epoch}"))
-    total = taken[0]
-    for t in taken[1:]:
-        total = total + t
+        start = F.col("_ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
+        known = known.withColumn(f"_taken{epoch}", F.least(F.greatest(budget - start, F.lit(0)), F.col("size")).cast("long")).drop("_key", "_part", "_source", "_at", "_ahead")
+        taken.append(f"_taken{epoch}")
+    total = sum((F.col(t) for t in taken[1:]), F.col(taken[0]))
     return known.select("doc_id", "source", "size", "source_size", "target", F.array(*taken).alias("taken_epochs"), total.alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: int = 42, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """The mix as documents: a row for each epoch a document is taken in, all columns as they are.
+
+    The document a budget ends in keeps as many of its first words as the budget has left. Texts are not
+    shuffled: each source's cut is the largest key taken, and a document compares its own key with it. Documents
+    without words are taken where the whole epoch is, or their key is below the cut.
+    """
+    plan = mix(docs, weights, share, most, seed, rows_per_range)
+    cuts = plan.select("source", "doc_id", "size", "source_size", "target", F.posexplode("taken_epochs").alias("_epoch", "_words"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_epoch").cast("string"), F.lit(str(seed))))
+    last = F.max(F.when(F.col("_words") > 0, F.struct(key.alias("key"), F.col("_words").alias("words"), F.col("size").alias("size"))))
+    whole = F.max(F.col("target")) >= F.max(F.col("source_size")) * (F.col("_epoch") + 1)
+    cuts = cuts.groupBy("source", "_epoch").agg(last.alias("_last"), whole.alias("_whole"))
+    cuts = cuts.groupBy(F.col("source").alias("_mix_source")).agg(F.map_from_entries(F.collect_list(F.struct("_epoch", F.struct("_last", "_whole")))).alias("_mix_cuts"))
+    held = docs.join(written(cuts, "mix-cuts"), F.col("source").eqNullSafe(F.col("_mix_source")))
+    rows = []
+    for epoch in range(most):
+        cut, own = F.col("_mix_cuts")[epoch], _key(epoch, seed)
+        here = F.when(cut["_whole"] | (own < cut["_last"]["key"]), F.lit(-1)).when(own == cut["_last"]["key"], F.when(cut["_last"]["words"] < cut["_last"]["size"], cut["_last"]["words"]).otherwise(-1))
+        rows.append(here.cast("long"))
+    held = held.withColumn("_mix_words", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_mix_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_mix_words").cast("int")), " "))
+    held = held.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        held = held.withColumn("n_chars", F.when(F.col("_mix_words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return held.select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
