@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,7 +16,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -103,27 +103,105 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The distinct shingles, sorted. Fewer words than a shingle make one shingle; none make none."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    short = n < width
-    taken = n if short else width
-    h = np.full(n - taken + 1, taken if short else 0, np.uint64)
-    for i in range(taken):
-        h = (h + hashes[i : n - taken + 1 + i]) * _MULTIPLIER
-    return np.unique(mix64(h))
+#: A value for each byte: none for blanks, and A-Z like a-z.
+_RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM[65:91] = _RANDOM[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_RANDOM[_BLANK] = 0
+#: Bytes of text hashed at once.
+SLAB = 1 << 20
+_powers = np.cumprod(np.full(256, _MULTIPLIER))
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of a text's bytes: sums over the bytes' values times powers of a multiplier, mixed."""
+    global _powers
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(data) and not blank[0]:
+        edge = np.concatenate([[0], edge])
+    if len(edge) % 2:
+        edge = np.append(edge, len(data))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    longest = int((ends - starts).max())
+    if longest > len(_powers):
+        _powers = np.cumprod(np.full(longest, _MULTIPLIER))
+    first = int(starts[0])
+    at = np.arange(first, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    sums = np.zeros(len(data) - first + 1, np.uint64)
+    np.cumsum(_RANDOM[data[first:]] * _powers[np.minimum(at, len(_powers) - 1)], out=sums[1:])
+    return starts, mix64(sums[ends - first] - sums[starts - first] + (ends - starts).astype(np.uint64))
+
+
+def _long_word_hashes(text: bytes) -> np.ndarray:
+    """Of one long text, a slab at a time, cut at blanks."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + SLAB
+        if end < len(text):
+            # to the next blank; a word longer than a slab is taken whole
+            found = _NEXT_BLANK.search(text, end)
+            end = found.start() if found else len(text)
+        out.append(_word_hashes(np.frombuffer(text[at:end], np.uint8))[1])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+_NEXT_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _combined(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each window of words."""
+    n = len(hashes) - width + 1
+    h = np.zeros(max(0, n), np.uint64)
+    if n > 0:
+        for i in range(width):
+            h = (h + hashes[i : i + n]) * _MULTIPLIER
+    return mix64(h)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def _one_set(hashes: np.ndarray, width: int) -> np.ndarray:
+    if 0 < len(hashes) < width:
+        return mix64(_combined(hashes, len(hashes)) + np.uint64(len(hashes)))
+    return _distinct(_combined(hashes, width))
+
+
+def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The distinct word shingles of each text, as sorted 64-bit hashes; A-Z count as a-z.
+
+    Fewer words than a shingle make one shingle of them all; no words make none. Texts are hashed
+    together in slabs, so the cost a text is small, and long texts in several.
+    """
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        ends = np.cumsum([len(t) + 1 for t in held])
+        starts, hashes = _word_hashes(np.frombuffer(b" ".join(held), np.uint8))
+        bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
+        windows = _combined(hashes, width)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield _distinct(windows[a : b - width + 1]) if b - a >= width else _one_set(hashes[a:b], width)
+
+    for text in texts:
+        if len(text) > SLAB:
+            if held:
+                yield from flush()
+                held, size = [], 0
+            yield _one_set(_long_word_hashes(text), width)
+            continue
+        held.append(text)
+        size += len(text) + 1
+        if size > SLAB:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()

@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WordHashes, arrow_map, shingles, table, texts_of
+from tallyforge.llm.common import arrow_map, shingle_sets, slices, table, texts_of
 
 K = 128
 WIDTH = 5
 _SPAN = 2.0**64
 
 
-def sketch(text: bytes, hashes: WordHashes, k: int = K, width: int = WIDTH) -> np.ndarray:
-    """Of one text; A-Z count as a-z. Texts without words have an empty sketch."""
-    return shingles(hashes.of(text.lower().split()), width)[:k]
+def sketches(texts: list[bytes], k: int = K, width: int = WIDTH) -> list[np.ndarray]:
+    """Of each text; A-Z count as a-z. Texts without words have an empty sketch."""
+    return [s[:k] for s in shingle_sets(texts, width)]
 
 
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
@@ -68,9 +68,8 @@ def fingerprint(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     """Documents (doc_id, text) -> doc_id, fingerprint; a row per row, nulls as empty texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [encode(sketch(t, hashes, k, width)) for t in texts_of(batch)]
+            found = [encode(s) for s in sketches(texts_of(batch), k, width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, fingerprint string")
@@ -84,10 +83,9 @@ def merged(docs: DataFrame, group: str, k: int = K, width: int = WIDTH) -> DataF
     """
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), {}
+        held = {}
         for batch in batches:
-            for g, t in zip(batch.column("_group").to_pylist(), texts_of(batch), strict=True):
-                s = sketch(t, hashes, k, width)
+            for g, s in zip(batch.column("_group").to_pylist(), sketches(texts_of(batch), k, width), strict=True):
                 held[g] = merge(held[g], s, k) if g in held else s
             if len(held) > 10_000:
                 yield rows(held)
@@ -173,12 +171,11 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = WIDTH, partition
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
         def rows() -> Iterator[tuple[bool, object, str, np.ndarray]]:
-            for batch in batches:
-                for own, i, t in zip(batch.column("_own").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    yield own, i, t or "", sketch((t or "").encode(), hashes, k, width)
+            for whole in batches:
+                for batch in slices(whole):
+                    texts = [t or "" for t in batch.column("text").to_pylist()]
+                    yield from zip(batch.column("_own").to_pylist(), batch.column("doc_id").to_pylist(), texts, sketches([t.encode() for t in texts], k, width), strict=True)
 
         def pairs() -> Iterator[tuple]:
             held = None
@@ -190,18 +187,19 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = WIDTH, partition
                     return
                 held = (i, t, s)
 
+        def done(held: list[tuple]) -> pa.RecordBatch:
+            edited = sketches([data for *_, data, _ in held], k, width)
+            return batch_of([(i, n, hashlib.sha256(data).hexdigest(), encode(s), encode(e), resemblance(s, e, k), resemblance(s, next_s, k)) for (i, n, s, data, next_s), e in zip(held, edited, strict=True)])
+
         out: list[tuple] = []
         for i, t, s, next_t, next_s in pairs():
             half = len(t) // 2
-            edited = t[: len(t) - half] + next_t[:half]
-            data = edited.encode()
-            e = sketch(data, hashes, k, width)
-            out.append((i, len(t), hashlib.sha256(data).hexdigest(), encode(s), encode(e), resemblance(s, e, k), resemblance(s, next_s, k)))
-            if len(out) >= 2000:
-                yield batch_of(out)
+            out.append((i, len(t), s, (t[: len(t) - half] + next_t[:half]).encode(), next_s))
+            if len(out) >= 256:
+                yield done(out)
                 out = []
         if out:
-            yield batch_of(out)
+            yield done(out)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

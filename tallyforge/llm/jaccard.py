@@ -8,7 +8,7 @@ which is the same as |A and B| >= a, a = ceil(percent * (|A| + |B|) / (100 + per
 2. Each distinct set (equal sets collapse to the smallest id first) keeps its first n - ceil(t * n) + 1
    shingles in that order. Two linked sets share one of them, so documents meet in the cells of these
    shingles. Common passages come last in the order and open no cells unless a text has little else.
-3. In a cell each set is a point: its shingles hashed into ``GROUPS`` groups and counted. The summed minima of
+3. In a cell each set is a point: its shingles hashed into groups and counted (see groups_for()). The summed minima of
    two points' coordinates bound their overlap from above. An R-tree over the points, packed in the order of
    size, prunes nodes by the same bound with their upper corners, and what is left are candidate links.
    A cell passes on a spanning forest of them: as many rows as it has members at most.
@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WordHashes, arrow_map, shingles, slices, table, texts_of, written
+from tallyforge.llm.common import arrow_map, shingle_sets, slices, table, texts_of, written
 from tallyforge.llm.components import components
 
 WIDTH, PERCENT = 4, 85
-#: Groups of the order of shingles (one array of this length) and of the count vectors.
-BUCKETS, GROUPS = 1 << 18, 64
+#: Groups of the order of shingles (one array of this length).
+BUCKETS = 1 << 18
+#: Groups of the count vectors: as many as keep this many shingles in one, and no fewer than that.
+PER_GROUP, LEAST_GROUPS = 8, 64
 #: Members of a block, and shingles a block of sets may hold on average.
 BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
 LEAF = 16
@@ -52,19 +54,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def sets_of(batch: pa.RecordBatch, hashes: WordHashes, width: int) -> Iterator[np.ndarray]:
-    for text in texts_of(batch):
-        yield shingles(hashes.of(text.lower().split()), width)
-
-
 def bucket_counts(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
     """How often shingles of each group occur, over all texts; a task sends each group at most once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, count = WordHashes(), np.zeros(buckets, np.int64)
+        count = np.zeros(buckets, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                every = np.concatenate([np.zeros(0, np.uint64), *sets_of(part, hashes, width)])
+            for part in slices(batch, 2048):
+                every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts_of(part), width)])
                 count += np.bincount((every & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["bucket", "n"])
@@ -76,31 +73,46 @@ def bucket_counts(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
     return out
 
 
-def _vector(s: np.ndarray, groups: int) -> np.ndarray:
+def groups_for(n: int) -> int:
+    """Groups of a set's count vector: a power of two with at most PER_GROUP shingles a group on average.
+
+    The bound tells unrelated sets apart as long as counts stay small: two sets of n shingles in g groups differ
+    by about 1.1 * sqrt(n * g) summed over the groups, and linked ones by at most 0.16 * n (at 85 per cent).
+    """
+    return 1 << max(LEAST_GROUPS.bit_length() - 1, int(-(-n // PER_GROUP) - 1).bit_length())
+
+
+def _vector(s: np.ndarray) -> np.ndarray:
     # the upper bits, so that the groups are independent of the buckets
-    return np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype("<i4")
+    groups = groups_for(len(s))
+    return np.bincount((s >> np.uint64(32)).astype(np.int64) & (groups - 1), minlength=groups).astype("<i4")
+
+
+def _folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The count vector over fewer groups: those equal in their lower bits are added up."""
+    return vector.reshape(-1, groups).sum(0)
 
 
 SKETCH = "doc_id long, n_shingles long, set_hash string, prefix array<long>, vector binary"
 
 
-def sketches(docs: DataFrame, counts: np.ndarray, width: int, percent: int, groups: int) -> DataFrame:
+def sketches(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     buckets = len(counts)
     # ranks fit 4 bytes however large the counts are
     rank = np.unique(counts, return_inverse=True)[1].astype(np.int32)
     held = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order = WordHashes(), held.value
+        order = held.value
         for batch in batches:
             n, keys, prefixes, vectors = [], [], [], []
-            for s in sets_of(batch, hashes, width):
+            for s in shingle_sets(texts_of(batch), width):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 k = prefix_length(len(s), percent) if len(s) else 0
                 first = s[np.lexsort((s, order[(s & np.uint64(buckets - 1)).astype(np.int64)]))[:k]]
                 prefixes.append(first.view(np.int64))
-                vectors.append(_vector(s, groups).tobytes())
+                vectors.append(_vector(s).tobytes())
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -174,32 +186,49 @@ class Forest:
         return r
 
 
-def candidate_forest(sizes: np.ndarray, vectors: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _near_pairs(sizes: np.ndarray, vectors: list[np.ndarray], percent: int, side: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each point with the earlier ones (or those of the other side) that the bound can't tell from a link.
+
+    Points are indexed by the number of groups of their vectors. Sizes that can link differ by less than a factor of
+    two, so a tree over g groups takes those of g and, folded, those of 2g.
+    """
+    own = np.array([len(v) for v in vectors])
+    for groups in np.unique(own).tolist():
+        some = np.flatnonzero((own == groups) | (own == 2 * groups))
+        low = own[some] == groups
+        if len(some) < 2:
+            continue
+        folded = np.stack([_folded(vectors[i], groups) for i in some])
+        tree = Tree(sizes[some], folded)
+        for at, i in enumerate(some.tolist()):
+            near = tree.near(folded[at], int(sizes[i]), percent)
+            if not low[at]:
+                near = near[low[near]]  # two of 2g groups meet in their own tree
+            near = some[near]
+            # among points of different groups either may come first, and the pair is met from both
+            near = near[near < i] if side is None else near[side[near] < side[i]]
+            if len(near):
+                yield i, near
+
+
+def candidate_forest(sizes: np.ndarray, vectors: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that survive the bound; with sides, of those between the sides 0 and 1."""
-    forest, tree = Forest(len(sizes)), Tree(sizes, vectors)
-    for i in range(len(sizes)):
-        near = tree.near(vectors[i], int(sizes[i]), percent)
-        near = near[near < i] if side is None else near[side[near] < side[i]]
-        if len(near):
-            # one link for each tree among them will do
-            for j in near[np.unique(forest.roots(near), return_index=True)[1]]:
-                forest.join(i, int(j))
+    forest = Forest(len(sizes))
+    for i, near in _near_pairs(sizes, vectors, percent, side):
+        # one link for each tree among them will do
+        for j in near[np.unique(forest.roots(near), return_index=True)[1]]:
+            forest.join(i, int(j))
     return forest.links
 
 
-def verified_forest(sets: list[np.ndarray], percent: int, groups: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def verified_forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the true links, likewise. Pairs within a tree already need no check."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    vectors = np.stack([_vector(s, groups) for s in sets])
-    forest, tree = Forest(len(sets)), Tree(sizes, vectors)
+    forest = Forest(len(sets))
     vocabulary, place = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(len(vocabulary), bool)
-    for i in range(len(sets)):
-        near = tree.near(vectors[i], int(sizes[i]), percent)
-        near = near[near < i] if side is None else near[side[near] < side[i]]
-        if not len(near):
-            continue
+    for i, near in _near_pairs(sizes, [_vector(s) for s in sets], percent, side):
         near = near[forest.roots(near) != forest.root(i)]
         if not len(near):
             continue
@@ -269,7 +298,7 @@ def grouped(rows: DataFrame, keys: list[str], function: Callable[[dict[str, list
     return arrow_map(dealt, run, "a long, b long")
 
 
-def candidate_links(distinct: DataFrame, percent: int, groups: int, block: int, partitions: int) -> DataFrame:
+def candidate_links(distinct: DataFrame, percent: int, block: int, partitions: int) -> DataFrame:
     """Distinct sets (doc_id, n_shingles, prefix, vector) -> a spanning forest (a, b) of the candidates of each cell."""
     cells = distinct.select("doc_id", F.explode("prefix").alias("_cell"))
     # counted with map-side combining; only cells that two sets share go on
@@ -281,16 +310,18 @@ def candidate_links(distinct: DataFrame, percent: int, groups: int, block: int,
     def links(held: dict[str, list]) -> list[tuple[int, int]]:
         ids = held["doc_id"]
         sizes = np.array(held["n_shingles"], np.int64)
-        vectors = np.frombuffer(b"".join(held["vector"]), "<i4").reshape(len(ids), groups)
+        vectors = [np.frombuffer(v, "<i4") for v in held["vector"]]
         if len(ids) == 2:  # most cells
-            return [(ids[0], ids[1])] if np.minimum(*vectors).sum() >= overlap_needed(int(sizes[0]), int(sizes[1]), percent) else []
+            g = min(map(len, vectors))
+            near = np.minimum(_folded(vectors[0], g), _folded(vectors[1], g)).sum() >= overlap_needed(int(sizes[0]), int(sizes[1]), percent)
+            return [(ids[0], ids[1])] if near else []
         side = np.array(held["_side"]) if held["_a"][0] != held["_b"][0] else None
         return [(ids[i], ids[j]) for i, j in candidate_forest(sizes, vectors, percent, side)]
 
     return grouped(paired, ["_cell", "_a", "_b"], links, partitions).distinct()
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, groups: int, block: int, block_shingles: int, partitions: int) -> DataFrame:
+def verified_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, block: int, block_shingles: int, partitions: int) -> DataFrame:
     """Clusters (doc_id, cluster, n_shingles) -> a spanning forest (a, b) of the true links of each."""
     of_cluster = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_m"))
     blocks = F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_m") / block_shingles))
@@ -301,9 +332,8 @@ def verified_links(docs: DataFrame, clusters: DataFrame, width: int, percent: in
     picked = picked.join(known, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in sets_of(batch, hashes, width)], pa.binary())
+            sets = pa.array([s.tobytes() for s in shingle_sets(texts_of(batch), width)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cluster"), batch.column("_k"), sets], names=["doc_id", "cluster", "_k", "set"])
 
     sets = arrow_map(picked, run, "doc_id long, cluster long, _k long, set binary")
@@ -312,12 +342,12 @@ def verified_links(docs: DataFrame, clusters: DataFrame, width: int, percent: in
     def links(held: dict[str, list]) -> list[tuple[int, int]]:
         ids = held["doc_id"]
         side = np.array(held["_side"]) if held["_a"][0] != held["_b"][0] else None
-        return [(ids[i], ids[j]) for i, j in verified_forest([np.frombuffer(s, np.uint64) for s in held["set"]], percent, groups, side)]
+        return [(ids[i], ids[j]) for i, j in verified_forest([np.frombuffer(s, np.uint64) for s in held["set"]], percent, side)]
 
     return grouped(paired, ["cluster", "_a", "_b"], links, partitions)
 
 
-def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, groups: int = GROUPS, buckets: int = BUCKETS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, partitions: int | None = None) -> DataFrame:
+def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int = BUCKETS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, partitions: int | None = None) -> DataFrame:
     """Documents (doc_id, text) -> doc_id, n_shingles, component_id, a row per row.
 
     A-Z count as a-z. Null, empty and blank texts have no shingles and link with nothing. Rows of one doc_id
@@ -328,15 +358,15 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         raise ValueError("the number of buckets must be a power of two")
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
-    sketched = written(sketches(docs, bucket_counts(docs, width, buckets), width, percent, groups), "jaccard-sketches")
+    sketched = written(sketches(docs, bucket_counts(docs, width, buckets), width, percent), "jaccard-sketches")
     nodes = sketched.where("doc_id is not null and n_shingles > 0")
     # equal sets: the smallest id stands for all; grouped with map-side combining, so copies never meet as rows
     distinct = nodes.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_copies"), *(F.first(c).alias(c) for c in ("n_shingles", "prefix", "vector")))
     distinct = written(distinct, "jaccard-sets")
-    clusters = components(candidate_links(distinct, percent, groups, block, partitions)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    clusters = components(candidate_links(distinct, percent, block, partitions)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     sizes = distinct.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     clusters = written(clusters.join(sizes, "doc_id"), "jaccard-clusters")
-    true_links = verified_links(docs, clusters, width, percent, groups, block, block_shingles, partitions)
+    true_links = verified_links(docs, clusters, width, percent, block, block_shingles, partitions)
     # copies follow the id that stands for their set; only ids with several sets are links themselves
     stands = distinct.where("_copies > 1").select("set_hash", F.col("doc_id").alias("_rep"))
     member = nodes.select("doc_id", "set_hash").join(stands, "set_hash", "left").select("doc_id", F.coalesce("_rep", "doc_id").alias("_rep"))
