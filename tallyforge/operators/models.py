@@ -26,11 +26,13 @@ def word_ngrams(text: Column) -> Column:
 def char_ngrams(text: Column, shortest: int = 3, longest: int = 5) -> Column:
     """Character n-grams within words, each word between blanks."""
     padded = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = []
-    for n in range(shortest, longest + 1):
-        one = lambda w, n=n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+
+    def of_length(n: int) -> Column:
+        windows = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
         # a word shorter than n gives itself, and once only
-        grams.append(F.flatten(F.transform(F.filter(padded, lambda w, n=n: (F.length(w) >= n) | F.lit(n == shortest)), one)))
+        return F.flatten(F.transform(F.filter(padded, lambda w: (F.length(w) >= n) | F.lit(n == shortest)), windows))
+
+    grams = [of_length(n) for n in range(shortest, longest + 1)]
     return F.concat(*grams)
 
 
@@ -193,13 +195,15 @@ def memory_choice(rows: DataFrame, probes: DataFrame) -> DataFrame:
 
 def arbitrated(choices: DataFrame, local_threshold: float, global_threshold: float) -> DataFrame:
     """Of local (counterpart, probability) and global ones: local above its threshold, global above its, local, global."""
+    def made(side: str, confidence: str) -> Column:
+        return F.struct(F.col(side)["counterpart"].alias("counterpart"), F.col(side)["probability"].alias("probability"), F.lit(side).alias("source"), F.lit(confidence).alias("confidence"))
+
     local, far = F.col("local"), F.col("global")
-    low, high = F.lit("Baixa"), F.lit("Alta")
     pick = (
-        F.when(local["probability"] >= local_threshold, F.struct(local["counterpart"].alias("counterpart"), local["probability"].alias("probability"), F.lit("local").alias("source"), high.alias("confidence")))
-        .when(far["probability"] >= global_threshold, F.struct(far["counterpart"], far["probability"], F.lit("global"), high))
-        .when(local["counterpart"].isNotNull(), F.struct(local["counterpart"], local["probability"], F.lit("local"), low))
-        .when(far["counterpart"].isNotNull(), F.struct(far["counterpart"], far["probability"], F.lit("global"), low))
+        F.when(local["probability"] >= local_threshold, made("local", "Alta"))
+        .when(far["probability"] >= global_threshold, made("global", "Alta"))
+        .when(local["counterpart"].isNotNull(), made("local", "Baixa"))
+        .when(far["counterpart"].isNotNull(), made("global", "Baixa"))
     )
     return choices.withColumn("choice", pick)
 

@@ -16,9 +16,20 @@ XLS_SIGNATURE = "D0CF11E0A1B11AE1"
 FORMATS = ("pdf", "xml", "xlsx", "xls", "csv")
 
 
-def discovered(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, length, content of all files below a folder, by Spark's own reader (any store it reads)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "content")
+def discovered(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, content of all files below a folder, by Spark's own reader (any store it reads).
+
+    That reader passes over empty files; their names come from a listing, as rows without content.
+    """
+    full = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    empty = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            empty.append((status.getPath().toString(), 0, b""))
+    return full.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else full
 
 
 def described(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
@@ -53,9 +64,13 @@ def text_of(content: Column) -> Column:
 def delimiter_of(text: Column) -> Column:
     """The first of semicolon, tab, comma that splits the first lines alike: one count among those that have any, the first two lines among them."""
     lines = F.slice(F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: F.trim(x) != ""), 1, 8)
+
+    def counted(d: str) -> Column:
+        return F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))
+
     out = None
     for d in (";", "\t", ","):
-        counts = F.transform(lines, lambda x, d=d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))
+        counts = counted(d)
         some = F.array_distinct(F.filter(counts, lambda c: c > 0))
         ok = (F.size(lines) >= 2) & (F.size(some) == 1) & F.forall(F.slice(counts, 1, 2), lambda c: c > 0)
         out = F.when(ok, d) if out is None else out.when(ok, d)

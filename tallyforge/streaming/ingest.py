@@ -9,13 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.sources.files import described, detected
 
+SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, stage: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Reads files as they arrive, describes them and appends those whose content the target does not hold yet.
 
     The anti-join on the content's hash makes a replayed batch append nothing twice.
     """
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
+    stream = spark.readStream.schema(SCHEMA).format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
 
     def append(batch: DataFrame, _: int) -> None:
         files = detected(described(batch)).dropDuplicates(["sha256"])
