@@ -148,7 +148,7 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     before = [x for i, p in enumerate(order) for x in (F.lit(p), F.lit(order[i - 1]))]
     is_head = F.col("doc_id").isin([h for h in heads.values() if h is not None])
     if None in heads.values():  # there are only null ids
-        is_head = F.coalesce(is_head, F.lit(True))
+        is_head = F.col("doc_id").isNull()
     own = F.struct(F.col("_part").alias("_to"), F.lit(True).alias("_own"))
     if order:
         copy = F.struct(F.create_map(*before)[F.col("_part")].alias("_to"), F.lit(False).alias("_own"))
