@@ -6,6 +6,7 @@ without an argument yields on UTF-8 text. A null text counts as an empty one thr
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import re
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Bounds the per-worker word cache; it is emptied when full, so results never depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,6 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+_BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,11 +52,31 @@ def ship(spark: SparkSession) -> None:
         out.write(held.getvalue())
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+    # where the size of Arrow batches was left as it is, they shrink: a task then holds a few MB of texts at once, not 64
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def _let_go() -> None:
+    """Gives a worker's freed memory back to the system; workers live on and serve other tasks, stages and jobs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with the package on the executors and memory given back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _let_go()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -39,7 +39,7 @@ BUCKETS = 1 << 18
 #: Groups of the count vectors: as many as keep this many shingles in one, and no fewer than that.
 PER_GROUP, LEAST_GROUPS = 8, 64
 #: Members of a block, and shingles a block of sets may hold on average.
-BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
+BLOCK, BLOCK_SHINGLES = 500, 500_000
 LEAF = 16
 #: Rows up to which a set of ids is broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -85,7 +85,16 @@ def groups_for(n: int) -> int:
 def _vector(s: np.ndarray) -> np.ndarray:
     # the upper bits, so that the groups are independent of the buckets
     groups = groups_for(len(s))
-    return np.bincount((s >> np.uint64(32)).astype(np.int64) & (groups - 1), minlength=groups).astype("<i4")
+    return np.bincount((s >> np.uint64(32)).astype(np.int64) & (groups - 1), minlength=groups)
+
+
+def _packed(vector: np.ndarray) -> bytes:
+    """A byte a group, or four where a group has more than 255."""
+    return vector.astype("u1" if vector.max() < 256 else "<u4").tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "u1" if len(data) == groups_for(n) else "<u4").astype(np.int32)
 
 
 def _folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -104,7 +113,7 @@ def sketches(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1024)):
             n, keys, prefixes, vectors = [], [], [], []
             for s in shingle_sets(texts_of(batch), width):
                 n.append(len(s))
@@ -112,7 +121,7 @@ def sketches(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
                 k = prefix_length(len(s), percent) if len(s) else 0
                 first = s[np.lexsort((s, order[(s & np.uint64(buckets - 1)).astype(np.int64)]))[:k]]
                 prefixes.append(first.view(np.int64))
-                vectors.append(_vector(s).tobytes())
+                vectors.append(_packed(_vector(s)) if len(s) else b"")
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -310,7 +319,7 @@ def candidate_links(distinct: DataFrame, percent: int, block: int, partitions: i
     def links(held: dict[str, list]) -> list[tuple[int, int]]:
         ids = held["doc_id"]
         sizes = np.array(held["n_shingles"], np.int64)
-        vectors = [np.frombuffer(v, "<i4") for v in held["vector"]]
+        vectors = [_unpacked(v, n) for v, n in zip(held["vector"], held["n_shingles"], strict=True)]
         if len(ids) == 2:  # most cells
             g = min(map(len, vectors))
             near = np.minimum(_folded(vectors[0], g), _folded(vectors[1], g)).sum() >= overlap_needed(int(sizes[0]), int(sizes[1]), percent)
@@ -332,7 +341,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, width: int, percent: in
     picked = picked.join(known, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 512)):
             sets = pa.array([s.tobytes() for s in shingle_sets(texts_of(batch), width)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cluster"), batch.column("_k"), sets], names=["doc_id", "cluster", "_k", "set"])
 
