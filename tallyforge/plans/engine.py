@@ -97,21 +97,23 @@ def by_memory(open_: DataFrame, examples: DataFrame, period: str) -> DataFrame:
     return both.select("ord", _choice(F.col("counterpart"), F.col("hist"), F.lit("Alta"), F.concat(F.lit("exact_memory:1.00"), tail), F.lit(1.0), F.lit("exact_memory"), F.when(F.col("hist").isNotNull(), F.lit(1.0)), F.when(F.col("hist").isNotNull(), F.lit("exact_memory"))).alias("choice"))
 
 
-def generate(base: Base, period: str, fallback: Stage | None = None, catalog_any_month: bool = False, with_sequence: bool = True) -> DataFrame:
+def generate(base: Base, period: str, fallback: Stage | None = None, catalog_any_month: bool = False, with_sequence: bool = True, prefix: str = "historico_textual", activity_of: DataFrame | None = None) -> DataFrame:
     """Entries of a period. ``fallback`` maps open movements to (ord, choice); ``catalog_any_month`` lets history of any month classify.
 
+    ``prefix`` names the history in reasons, ``activity_of`` is what roles are ranked by where that is more than the history.
+
     Each stage sees only what the ones before left open; a movement that names several taxes is resolved by none.
     """
     financial = acc.financial_accounts(base.accounts)
     history = acc.usable_history(base.history, base.accounts, None if catalog_any_month else period)
-    active = acc.activity(history)
+    active = acc.activity(history if activity_of is None else activity_of)
     wanted = {reason: groups for _, _, groups, reason in b.TERM_RULES} | {f"tributo:{t}": g for t, g in b.TAX_ROLES.items()} | {f"default:{k}": g for k, g in b.DEFAULT_ROLES.items()}
     roles = acc.roles(base.accounts, active, wanted)
     moved = with_text(of_period(base.movements, period))
     paired, rest = transfers(moved)
     rest = by_rule(rest.withColumn("compound", b.is_compound(F.col("text"))), roles)
     rest = rest.withColumn("choice", F.when(~F.col("compound"), F.col("choice")))
-    stages: list[Stage] = [lambda open_: by_history(open_, history, financial, with_sequence)]
+    stages: list[Stage] = [lambda open_: by_history(open_, history, financial, with_sequence, prefix)]
     if base.examples is not None:
         stages.append(lambda open_: by_memory(open_, base.examples, period))
     if fallback is not None:

@@ -208,3 +208,76 @@ def test_vision_payload(spark):
     payload = '{"bank":"Itaú","transactions":[{"date":"2024-01-02","description":"a","amount":"1.234,56"},{"date":"bad","amount":"1"},{"date":"2024-01-02","amount":"0"}]}'
     rows = normalize.from_vision(spark.createDataFrame([("d", payload)], "doc string, payload string")).collect()
     assert [(r.date, r.amount, r.transaction_type) for r in rows] == [(DAY(2024, 1, 2), D("1234.56"), "credit")]
+
+
+def words(spark, lines, doc="d"):
+    """Lines (page, top, [(x0, text), ...]) as words of width 10."""
+    rows = [(doc, page, i * 100 + k, text, float(x), float(x) + 10, float(top), float(top) + 8) for i, (page, top, parts) in enumerate(lines) for k, (x, text) in enumerate(parts)]
+    return spark.createDataFrame(rows, "doc string, page int, ord int, text string, x0 double, x1 double, top double, bottom double")
+
+
+def test_banded_statement_attaches_fragments(spark):
+    from tallyforge.operators import printed
+
+    w = words(spark, [
+        (1, 100, [(10, "01/02/2024"), (90, "SALDO"), (120, "ANTERIOR"), (520, "100,00")]),
+        (1, 110, [(230, "ACME")]),
+        (1, 115, [(10, "02/02/2024"), (90, "PIX"), (110, "ENVIADO"), (150, "12345"), (460, "-5,00")]),
+        (1, 119, [(230, "PECAS"), (360, "12.345.678/0001-90")]),
+        (1, 130, [(10, "02/02/2024"), (90, "SALDO"), (120, "TOTAL"), (150, "DO"), (170, "DIA"), (520, "95,00")]),
+        (1, 140, [(230, "LOJA")]),
+        (2, 50, [(10, "03/02/2024"), (90, "TED"), (460, "7,00")]),
+    ])
+    rows = {r.ord: r for r in printed.banded_statement(w).collect()}
+    tx = sorted((r for r in rows.values() if r.kind == "transaction"), key=lambda r: r.ord)
+    assert [(r.date.day, r.description, r.document, r.counterparty, r.counterparty_tax_id, r.amount) for r in tx] == [
+        (2, "PIX ENVIADO", "12345", "ACME PECAS", "12.345.678/0001-90", D("-5.00")), (3, "TED", None, "LOJA", None, D("7.00")),
+    ]
+    assert sorted((r.kind, r.balance) for r in rows.values() if r.kind != "transaction") == [("daily", D("95.00")), ("opening", D("100.00"))]
+
+
+def test_text_statement(spark):
+    from tallyforge.operators import printed
+
+    text = {1: ["Extrato Mensal", "01/02/2024 SALDO ANTERIOR 1.000,00", "02/02/2024 PIX", "RECEBIDO 98765 50,00 1.050,00", "REMET. ACME", "TARIFA 1,00- x", "BOLETO -20,00 1.030,00"], 2: ["BOLETO -20,00 1.030,00", "Total 1,00 2,00", "03/02/2024 DEP 5,00 1.035,00"]}
+    lines = spark.createDataFrame([("d", p, n, t) for p, ts in text.items() for n, t in enumerate(ts, 1)], "doc string, page int, line int, text string")
+    got = printed.text_statement(lines).orderBy("ord").collect()
+    assert [(r.date.day, r.description, r.document, r.counterparty, r.amount, r.balance) for r in got] == [
+        (2, "PIX RECEBIDO", "98765", "ACME", D("50.00"), D("1050.00")), (2, "TARIFA 1,00- x BOLETO", None, None, D("-20.00"), D("1030.00")), (3, "DEP", None, None, D("5.00"), D("1035.00")),
+    ]
+    assert printed.text_opening(lines).first().initial_balance == D("1000.00")
+
+
+def test_printed_ledger(spark):
+    from tallyforge.operators import printed
+
+    w = words(spark, [
+        (1, 60, [(5, "Conta"), (40, "Azul")]),
+        (1, 100, [(5, "01/02/2024"), (150, "77"), (230, "ACME"), (660, "10,00"), (770, "110,00")]),
+        (1, 105, [(230, "LTDA"), (470, "111.444.777-35")]),
+        (1, 110, [(5, "02/02/2024"), (720, "5,00")]),
+        (1, 500, [(300, "1"), (320, "/"), (340, "2")]),
+        (2, 60, [(5, "Conta"), (40, "Verde")]),
+        (2, 100, [(5, "03/02/2024"), (720, "1,00"), (770, "9,00")]),
+        (2, 20, [(5, "Data"), (50, "inicial"), (660, "01/02/2024")]),
+    ])
+    got = printed.printed_ledger(w).orderBy("ord").collect()
+    assert [(r.segment, r.account, r.document, r.counterparty, r.counterparty_tax_id, r.notes, r.inflow, r.outflow, r.balance) for r in got] == [
+        (1, "Conta Azul", "77", "ACME LTDA", "111.444.777-35", None, D("10.00"), D("0.00"), D("110.00")), (2, "Conta Verde", None, None, None, None, D("0.00"), D("1.00"), D("9.00")),
+    ]
+    assert printed.ledger_periods(w).first().period_start == DAY(2024, 2, 1)
+
+
+def test_printed_invoice(spark):
+    from tallyforge.operators import printed
+
+    key = "1234567" + "1" + "0" * 42
+    w = words(spark, [
+        (1, 10, [(5, "Chave"), (40, "de"), (60, "acesso"), (100, "da"), (120, "NFS-e")]), (1, 20, [(5, key)]),
+        (1, 30, [(5, "Número"), (40, "da"), (60, "NFS-e")]), (1, 36, [(500, "QR")]), (1, 44, [(5, "42"), (150, "01/02/2024"), (300, "03/02/2024"), (330, "10:20")]),
+    ])
+    r = printed.printed_invoices(w).first()
+    assert (r.key, r.number, r.competence_date, r.environment, r.dps_number) == (key, "42", DAY(2024, 2, 1), "1", None)
+    assert r.issue_datetime == datetime.datetime(2024, 2, 3, 10, 20)
+    lines = spark.createDataFrame([("d", 1, 1, "A Inicio"), ("d", 1, 2, "meio"), ("d", 1, 3, "mais"), ("d", 1, 4, "Fim")], "doc string, page int, line int, text string")
+    assert printed.section_text(lines, "INICIO", "FIM").first().value == "meio mais"
