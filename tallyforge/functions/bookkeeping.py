@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import collapsed, plain
+from tallyforge.functions.text import collapsed, let, plain
 
 # The taxes of which a movement may name several.
 TAX_FAMILIES = (
@@ -44,30 +44,30 @@ def has_any(text: Column, terms: tuple[str, ...]) -> Column:
 
 def is_compound(text: Column, families: tuple[str, ...] = TAX_FAMILIES) -> Column:
     """Whether a text names more than one tax."""
-    p = plain(text)
-    return reduce(lambda a, b: a + b, [p.rlike(f).cast("int") for f in families]) > 1
+    return let(plain(text), lambda p: reduce(lambda a, b: a + b, [p.rlike(f).cast("int") for f in families]) > 1)
 
 
 def is_transfer(text: Column) -> Column:
-    p = plain(text)
-    return F.contains(p, F.lit("transfer")) | (F.contains(p, F.lit("cdb")) & has_any(p, ("aplic", "resgat")))
+    return let(plain(text), lambda p: F.contains(p, F.lit("transfer")) | (F.contains(p, F.lit("cdb")) & has_any(p, ("aplic", "resgat"))))
 
 
 def has_role(description: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
     """Each group has a term that the plain description contains."""
-    p = plain(description)
-    return reduce(lambda a, b: a & b, [has_any(p, g) for g in groups])
+    return let(plain(description), lambda p: reduce(lambda a, b: a & b, [has_any(p, g) for g in groups]))
 
 
 def rule_of(text: Column, direction: Column) -> Column:
     """The reason of the first rule that fits, or null; of taxes exactly one must be named."""
-    p = plain(text)
-    out = None
-    for way, terms, _, reason in TERM_RULES:
-        fits = has_any(p, terms) if way is None else (direction == way) & has_any(p, terms)
-        out = F.when(fits, reason) if out is None else out.when(fits, reason)
-    named = F.filter(F.array(*[F.when(p.rlike(rf"\b{t}\b"), F.lit(f"tributo:{t}")) for t in TAX_ROLES]), lambda x: x.isNotNull())
-    return out.when(F.size(named) == 1, F.get(named, F.lit(0)))
+
+    def first(p: Column) -> Column:
+        out = None
+        for way, terms, _, reason in TERM_RULES:
+            fits = has_any(p, terms) if way is None else (direction == way) & has_any(p, terms)
+            out = F.when(fits, reason) if out is None else out.when(fits, reason)
+        named = F.filter(F.array(*[F.when(p.rlike(rf"\b{t}\b"), F.lit(f"tributo:{t}")) for t in TAX_ROLES]), lambda x: x.isNotNull())
+        return out.when(F.size(named) == 1, F.get(named, F.lit(0)))
+
+    return let(plain(text), first)
 
 
 def role_of(reason: str) -> tuple[tuple[str, ...], ...]:
@@ -96,9 +96,8 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \-/]+|[ \-/]+$", "")
 
 
-def operation(text: Column, inflow: Column) -> Column:
-    """What kind of movement a text tells of; the order of the conditions decides."""
-    p = plain(text)
+def operation(p: Column, inflow: Column) -> Column:
+    """What kind of movement a plain text tells of; the order of the conditions decides."""
     has = lambda t: F.contains(p, F.lit(t))
     return (
         F.when(has("transfer"), "TRANSFERENCIA ENTRE CONTAS")
@@ -113,24 +112,39 @@ def operation(text: Column, inflow: Column) -> Column:
     )
 
 
+# The words in notes that only repeat an operation.
+REPEATED = {
+    "PAGAMENTO PIX": r"(?i)\bPIX\s+(?:ENVIADO|RECEBIDO|RECEBIDA)?\b",
+    "RECEBIMENTO PIX": r"(?i)\bPIX\s+(?:ENVIADO|RECEBIDO|RECEBIDA)?\b",
+    "PAGAMENTO TED": r"(?i)\bTED\s+(?:ENVIADA|ENVIADO|RECEBIDA|RECEBIDO)?\b",
+    "RECEBIMENTO TED": r"(?i)\bTED\s+(?:ENVIADA|ENVIADO|RECEBIDA|RECEBIDO)?\b",
+    "BOLETO PAGO": r"(?i)\bBOLETO\s+PAGO\b",
+    "TARIFA BANCARIA": r"(?i)TARIFA(?:\s*BANCARIA)?",
+    "IOF": r"(?i)IOF",
+    "RENDIMENTO BANCARIO": r"(?i)RENDIMENTO",
+}
+
+
 def history_complement(counterparty: Column, notes: Column, document: Column, amount: Column) -> Column:
     """Operation, then party and notes without the words that name the operation, then the document unless it is there."""
     joined = F.trim(F.concat_ws(" ", *[F.trim(F.coalesce(x, F.lit(""))) for x in (counterparty, notes, document)]))
-    op = operation(joined, amount > 0)
-    party = _bare(F.regexp_replace(upper_text(counterparty), r"^(?:\d{3,}\s*[-/]\s*)+", ""))
-    party = F.regexp_replace(party, r"S/A$", " S/A")
-    note = upper_text(notes)
-    cut = (
-        F.when(op.isin("PAGAMENTO PIX", "RECEBIMENTO PIX"), F.regexp_replace(note, r"(?i)\bPIX\s+(?:ENVIADO|RECEBIDO|RECEBIDA)?\b", ""))
-        .when(op.isin("PAGAMENTO TED", "RECEBIMENTO TED"), F.regexp_replace(note, r"(?i)\bTED\s+(?:ENVIADA|ENVIADO|RECEBIDA|RECEBIDO)?\b", ""))
-        .when(op == "BOLETO PAGO", F.regexp_replace(note, r"(?i)\bBOLETO\s+PAGO\b", ""))
-        .when(op == "TARIFA BANCARIA", F.regexp_replace(note, r"(?i)TARIFA(?:\s*BANCARIA)?", ""))
-        .when(op == "IOF", F.regexp_replace(note, r"(?i)IOF", ""))
-        .when(op == "RENDIMENTO BANCARIO", F.regexp_replace(note, r"(?i)RENDIMENTO", ""))
-    )
-    left = F.when(plain(note).isin(*BARE_NOTES), F.lit("")).otherwise(F.when(cut.isNotNull(), _bare(cut)).otherwise(note))
-    same = (party != "") & (left != "") & (plain(party) == plain(left))
-    detail = F.when(same, party).otherwise(F.concat_ws(" - ", F.nullif(party, F.lit("")), F.nullif(left, F.lit(""))))
-    doc = upper_text(document)
-    tail = F.when((doc != "") & ~F.contains(detail, doc), F.concat(F.lit("DOC "), doc))
-    return F.concat_ws(" - ", op, F.nullif(detail, F.lit("")), tail)
+    party = F.regexp_replace(_bare(F.regexp_replace(upper_text(counterparty), r"^(?:\d{3,}\s*[-/]\s*)+", "")), r"S/A$", " S/A")
+    # each step names its values, as each is used several times by the next
+    parts = F.struct(operation(plain(joined), amount > 0).alias("op"), party.alias("party"), upper_text(notes).alias("note"), upper_text(document).alias("doc"))
+
+    def without_operation(s: Column) -> Column:
+        words = F.create_map(*[F.lit(x) for pair in REPEATED.items() for x in pair])[s["op"]]
+        left = F.when(words.isNotNull(), _bare(F.regexp_replace(s["note"], words, F.lit("")))).otherwise(s["note"])
+        left = F.when(plain(s["note"]).isin(*BARE_NOTES), F.lit("")).otherwise(left)
+        return F.struct(s["op"].alias("op"), s["party"].alias("party"), left.alias("left"), s["doc"].alias("doc"))
+
+    def with_detail(s: Column) -> Column:
+        same = (s["party"] != "") & (s["left"] != "") & (plain(s["party"]) == plain(s["left"]))
+        both = F.concat_ws(" - ", F.nullif(s["party"], F.lit("")), F.nullif(s["left"], F.lit("")))
+        return F.struct(s["op"].alias("op"), F.when(same, s["party"]).otherwise(both).alias("detail"), s["doc"].alias("doc"))
+
+    def whole(s: Column) -> Column:
+        tail = F.when((s["doc"] != "") & ~F.contains(s["detail"], s["doc"]), F.concat(F.lit("DOC "), s["doc"]))
+        return F.concat_ws(" - ", s["op"], F.nullif(s["detail"], F.lit("")), tail)
+
+    return let(let(let(parts, without_operation), with_detail), whole)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import clean, fold
+from tallyforge.functions.text import clean, fold, let
 
 # The printed forms.
 FORMATTED = r"\b(\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}|\d{3}\.\d{3}\.\d{3}-\d{2})\b"
@@ -48,14 +48,18 @@ def _tax_id_in(t: Column) -> Column:
 
 def extract_tax_id(*parts: Column) -> Column:
     """The tax id printed in the first part that has one, else in all parts together."""
-    cleaned = [clean(p, repair=False) for p in parts]
-    joined = clean(F.concat_ws(" ", *cleaned), repair=False)
-    return F.coalesce(*[_tax_id_in(p) for p in cleaned], _tax_id_in(joined))
+    every = F.array(*[clean(p, repair=False) for p in parts])
+    # the joined text is only looked at where no part has an id of its own
+    found = lambda ps: F.coalesce(F.get(F.filter(F.transform(ps, lambda p: let(p, _tax_id_in)), lambda x: x.isNotNull()), F.lit(0)), let(clean(F.array_join(ps, " "), repair=False), _tax_id_in))
+    return let(every, found)
 
 
 def split_document(text: Column) -> Column:
     """struct(description, document): a labelled number, or 4 to 12 digits behind a movement's head, peeled off the end."""
-    t = clean(text, repair=False)
+    return let(clean(text, repair=False), _split)
+
+
+def _split(t: Column) -> Column:
     labelled = _first(t, DOCUMENT_LABEL)
     trailing = _first(t, r"(?<![A-Z0-9])(\d{4,12})$")
     head = clean(F.regexp_replace(t, r"(?<![A-Z0-9])\d{4,12}$", ""), repair=False)
@@ -74,9 +78,15 @@ def strip_tax_id(text: Column, tax_id: Column) -> Column:
 
 def party_of(line: Column) -> Column:
     """The company on the line behind a movement: after a sender's or receiver's label, or with a company's suffix."""
-    t = clean(line, repair=False)
+    return let(clean(line, repair=False), lambda t: let(_candidate(t), lambda c: _party(t, c)))
+
+
+def _candidate(t: Column) -> Column:
+    return F.coalesce(clean(F.regexp_replace(F.regexp_replace(t, PARTY_PREFIX, ""), r"^[ .\-]+|[ .\-]+$", ""), repair=False), t)
+
+
+def _party(t: Column, candidate: Column) -> Column:
     labelled = t.rlike(PARTY_PREFIX)
-    candidate = F.coalesce(clean(F.regexp_replace(F.regexp_replace(t, PARTY_PREFIX, ""), r"^[ .\-]+|[ .\-]+$", ""), repair=False), t)
     only_id = _tax_id_in(candidate).isNotNull() & ~labelled & F.replace(candidate, F.lit(" "), F.lit("")).rlike(r"^[\d.\-/]+$")
     company = F.lit(False)
     for token in COMPANY_TOKENS:

@@ -8,7 +8,7 @@ decomposition for scripts the table does not reach.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,6 +42,11 @@ def _accents() -> tuple[str, str]:
 ACCENTED, BASE = _accents()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and named, so that a plan does not repeat its expression for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def without_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, BASE)
 
