@@ -7,16 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import clean
+from tallyforge.functions.text import clean, let
 
 MONEY = "decimal(18,2)"
 EXACT = "decimal(38,10)"
 LOOKBACK_DAYS = 7
 
 
-def parse_date(text: Column) -> Column:
-    """ISO date, ISO date and time, or day/month/year; anything else is null."""
-    t = clean(text)
+def _date_of(t: Column) -> Column:
     iso, stamp = r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"
     return F.coalesce(
         F.when(t.rlike(iso), F.try_to_date(t, "yyyy-M-d")),
@@ -25,24 +23,32 @@ def parse_date(text: Column) -> Column:
     )
 
 
+def parse_date(text: Column) -> Column:
+    """ISO date, ISO date and time, or day/month/year; anything else is null."""
+    return let(clean(text), _date_of)
+
+
 def parse_row_date(text: Column, start: Column, end: Column) -> Column:
     """A full date, or day/month in the first year that puts it between a week before the period and its end.
 
     Years are tried in the order: of the end, of the start, before the start's.
     """
-    t = clean(text)
-    day, month = F.regexp_extract(t, r"^(\d{2})/(\d{2})$", 1), F.regexp_extract(t, r"^(\d{2})/(\d{2})$", 2)
     years = F.array(F.year(end), F.year(start), F.year(start) - 1)
-    dates = F.transform(years, lambda y: F.try_to_date(F.concat(day, F.lit("/"), month, F.lit("/"), y.cast("string")), "dd/MM/yyyy"))
-    inside = F.filter(dates, lambda d: (d >= F.date_sub(start, LOOKBACK_DAYS)) & (d <= end))
-    return F.coalesce(parse_date(text), F.when(day != "", F.get(inside, F.lit(0))))
+
+    def of(t: Column) -> Column:
+        dates = F.transform(years, lambda y: F.try_to_date(F.concat(t, F.lit("/"), y.cast("string")), "dd/MM/yyyy"))
+        inside = F.filter(dates, lambda d: (d >= F.date_sub(start, LOOKBACK_DAYS)) & (d <= end))
+        return F.coalesce(_date_of(t), F.when(t.rlike(r"^\d{2}/\d{2}$"), F.get(inside, F.lit(0))))
+
+    return let(clean(text), of)
 
 
 def parse_money(text: Column) -> Column:
     """The first amount of a text, in cents rounded half up. Dots group thousands where a decimal comma follows."""
     found = F.regexp_extract(F.replace(clean(text), F.lit("R$"), F.lit("")), r"[-+]?\d[\d.]*,\d{1,2}|[-+]?\d+(?:\.\d{1,2})?", 0)
-    comma = F.replace(F.replace(found, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.round(F.when(F.contains(found, F.lit(",")), comma).otherwise(found).try_cast(EXACT), 2).cast(MONEY)
+    # dots are points only where no comma is
+    point = lambda f: F.when(F.contains(f, F.lit(",")), F.translate(f, ",.", ".")).otherwise(f)
+    return F.round(let(found, point).try_cast(EXACT), 2).cast(MONEY)
 
 
 def parse_printed(text: Column) -> Column:
@@ -53,13 +59,13 @@ def parse_printed(text: Column) -> Column:
 
 def parse_mixed(text: Column) -> Column:
     """Amounts with either separator: the last of the two is the decimal point; cents rounded half to even."""
-    t = F.regexp_replace(text.cast("string"), r"R\$|\s", "")
-    both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
-    comma_last = F.length(t) - F.length(F.substring_index(t, ",", -1)) > F.length(t) - F.length(F.substring_index(t, ".", -1))
-    br = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    us = F.replace(t, F.lit(","), F.lit(""))
-    value = F.when(both & comma_last, br).when(both, us).when(F.contains(t, F.lit(",")), br).otherwise(t)
-    return F.bround(value.try_cast(EXACT), 2).cast(MONEY)
+    def point(t: Column) -> Column:
+        comma, dot = F.contains(t, F.lit(",")), F.contains(t, F.lit("."))
+        comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
+        br = F.translate(t, ",.", ".")
+        return F.when(comma & dot & comma_last, br).when(comma & dot, F.translate(t, ",", "")).when(comma, br).otherwise(t)
+
+    return F.bround(let(F.regexp_replace(text.cast("string"), r"R\$|\s", ""), point).try_cast(EXACT), 2).cast(MONEY)
 
 
 def exact_decimal(text: Column) -> Column:

@@ -85,19 +85,20 @@ def words(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
 
 def clean(text: Column, repair: bool = True) -> Column:
     """Hard spaces and soft hyphens replaced, UTF-8 read as Latin-1 repaired (unless told not to), blanks collapsed, empty to null."""
-    t = F.translate(text.cast("string"), " ­", " -")
-    if repair:
-        bytes_ = F.encode(t, "iso-8859-1")
-        broken = t.rlike("[ÃÂ]") & ~t.rlike(r"[^\x00-\xFF]")
-        # the bytes' validity guards the decoding, which would raise
-        t = F.when(broken & F.is_valid_utf8(bytes_.cast("string")), F.try_validate_utf8(bytes_.cast("string"))).otherwise(t)
-    return F.nullif(collapsed(t), F.lit(""))
+    t = F.translate(text.cast("string"), "\u00a0\u00ad", " -")
+    return let(collapsed(let(t, _repaired) if repair else t), lambda c: F.when(c != "", c))
+
+
+def _repaired(t: Column) -> Column:
+    bytes_ = F.encode(t, "iso-8859-1")
+    broken = t.rlike("[ÃÂ]") & ~t.rlike(r"[^\x00-\xFF]")
+    # the bytes' validity guards the decoding, which would raise
+    return F.when(broken & F.is_valid_utf8(bytes_.cast("string")), F.try_validate_utf8(bytes_.cast("string"))).otherwise(t)
 
 
 def dash_to_null(text: Column) -> Column:
     """The variant for printed forms, where a lone dash stands for nothing."""
-    t = clean(text, repair=False)
-    return F.when(t != "-", t)
+    return let(clean(text, repair=False), lambda t: F.when(t != "-", t))
 
 
 def normalized(text: Column) -> Column:
