@@ -14,6 +14,7 @@ from tallyforge.functions.text import local_features, movement_text
 from tallyforge.operators import accounts as acc
 from tallyforge.operators import matching
 from tallyforge.operators.models import memory_choice
+from tallyforge.plans.lineage import cut
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -103,16 +104,18 @@ def generate(base: Base, period: str, fallback: Stage | None = None, catalog_any
     ``prefix`` names the history in reasons, ``activity_of`` is what roles are ranked by where that is more than the history.
 
     Each stage sees only what the ones before left open; a movement that names several taxes is resolved by none.
+    The month's movements are read by every stage twice, so they are cut from their lineage in between: a stage's work
+    is then done once, and a lost executor costs no earlier stage.
     """
     financial = acc.financial_accounts(base.accounts)
     history = acc.usable_history(base.history, base.accounts, None if catalog_any_month else period)
     active = acc.activity(history if activity_of is None else activity_of)
     wanted = {reason: groups for _, _, groups, reason in b.TERM_RULES} | {f"tributo:{t}": g for t, g in b.TAX_ROLES.items()} | {f"default:{k}": g for k, g in b.DEFAULT_ROLES.items()}
     roles = acc.roles(base.accounts, active, wanted)
-    moved = with_text(of_period(base.movements, period))
+    moved = cut(with_text(of_period(base.movements, period)))
     paired, rest = transfers(moved)
     rest = by_rule(rest.withColumn("compound", b.is_compound(F.col("text"))), roles)
-    rest = rest.withColumn("choice", F.when(~F.col("compound"), F.col("choice")))
+    rest = cut(rest.withColumn("choice", F.when(~F.col("compound"), F.col("choice"))))
     stages: list[Stage] = [lambda open_: by_history(open_, history, financial, with_sequence, prefix)]
     if base.examples is not None:
         stages.append(lambda open_: by_memory(open_, base.examples, period))
@@ -121,7 +124,7 @@ def generate(base: Base, period: str, fallback: Stage | None = None, catalog_any
     for stage in stages:
         open_ = rest.where("choice is null and not compound").drop("choice")
         found = stage(open_).select(F.col("ord").alias("_ord"), F.col("choice").alias("_found"))
-        rest = rest.join(found, rest["ord"] == found["_ord"], "left").withColumn("choice", F.coalesce("choice", "_found")).drop("_ord", "_found")
+        rest = cut(rest.join(found, rest["ord"] == found["_ord"], "left").withColumn("choice", F.coalesce("choice", "_found")).drop("_ord", "_found"))
     default = roles.where(F.startswith("role", F.lit("default:"))).select(F.substring_index("role", ":", -1).alias("direction"), F.col("counterpart").alias("_default"))
     rest = rest.join(F.broadcast(default), "direction", "left")
     rest = rest.withColumn("choice", F.when(F.col("choice").isNull() & ~F.col("compound"), _choice(F.col("_default"), None, F.lit("Baixa"), F.lit("padrao_por_direcao"), F.lit(0.0), F.lit("direction_default"))).otherwise(F.col("choice")))

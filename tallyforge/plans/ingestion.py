@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import layout, normalize, reconcile
+from tallyforge.plans.lineage import cut
 from tallyforge.sources import files as f
 from tallyforge.sources import invoices
 from tallyforge.sources.registry import Readers, default_readers
@@ -53,7 +54,8 @@ def ingest(spark: SparkSession, path: str, readers: Readers | None = None) -> In
     """Reads, detects, recognises, normalises and checks every file below a path. A content that occurs twice is read once."""
     all_ = f.detected(f.described(f.discovered(spark, path)))
     held = all_.dropDuplicates(["sha256"])
-    cells = (readers or default_readers()).cells(held)
+    # decoding is the costly step and a dozen relations read its result: it runs once
+    cells = cut((readers or default_readers()).cells(held))
     bad = cells.where("issue is not null").select("doc", F.col("issue").alias("code")).distinct()
     cells = cells.where("sheet_ord is not null")
     charts, histories = _headers(cells, CHART_TITLES, CHART_NEEDS), _headers(cells, HISTORY_TITLES, HISTORY_NEEDS)

@@ -1,0 +1,16 @@
+"""Cutting a plan's lineage between stages that read their input more than once."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the cluster's shared checkpoint folder; a local folder only where none is named."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-"))
+    return df.checkpoint(eager=True)
