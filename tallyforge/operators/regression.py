@@ -87,3 +87,30 @@ def cross_validated(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 def dotted(payload: Column, path: str) -> Column:
     """The value of a JSON text at a dotted path, as text."""
     return F.get_json_object(payload, "$." + path)
+
+
+def expectation_checks(fixtures: DataFrame, results: DataFrame, fields: list[str]) -> DataFrame:
+    """A row per fixture and expected field: expected, found, matches. A fixture without a result has found nothing.
+
+    Fields are those both sides have under the same name; an expectation of null is one (the type of an unclassified file).
+    """
+    expected = unpivoted(fixtures, "id", fields).select("id", "field", F.col("value").alias("expected"))
+    found = unpivoted(results, "id", fields).select("id", "field", F.col("value").alias("found"), F.lit(True).alias("_there"))
+    both = expected.join(found, ["id", "field"], "left")
+    return both.select("id", "field", "expected", "found", (F.coalesce("_there", F.lit(False)) & F.col("expected").eqNullSafe(F.col("found"))).alias("matches"))
+
+
+def verdicts(checks: DataFrame) -> DataFrame:
+    """id, passed, failed_fields."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("matches"), F.col("field"))))
+    return checks.groupBy("id").agg(F.bool_and("matches").alias("passed"), failed.alias("failed_fields"))
+
+
+def report(documents: DataFrame, fields: DataFrame) -> str:
+    """Markdown of the coverage by type and by field (fields: coverage()'s rows), a row a line; one line a document that failed."""
+    head = documents.agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("ok")).first()
+    lines = ["# Regression", "", f"- documents: {head.n}", f"- passed: {head.ok}", "", "| type | field | expected | found | matched | missing | mismatched |", "|---|---|---:|---:|---:|---:|---:|"]
+    rows = fields.orderBy("document_type", F.col("field").asc_nulls_first()).collect()
+    lines += [f"| {r.document_type} | {r.field or ''} | {r.expected} | {r.found} | {r.matched} | {r.missing} | {r.mismatched} |" for r in rows]
+    bad = documents.where("not passed").select("id").orderBy("id").collect()
+    return "\n".join([*lines, "", *(f"- failed: {r.id}" for r in bad)]) + "\n"

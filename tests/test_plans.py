@@ -110,3 +110,33 @@ def test_training_data_evaluation_and_fallback(spark, clients, tmp_path):
     b.ledger_entries = b.ledger_entries.withColumn("notes", F.lit("recebimento cliente"))
     r = cycle.run(b, "2026-08", fallback=training.fallback(loaded, 0.5, accounts)).first()
     assert (r.credit_account, r.status) == ("REC9", "LANCAR") and r.reason.startswith("global_tfidf:")
+
+
+def test_expectations_and_report(spark):
+    from tallyforge.operators import regression
+
+    fixtures = spark.createDataFrame([("a", "csv", None), ("b", "pdf", "x"), ("c", "csv", "y")], "id string, source_format string, document_type string")
+    results = spark.createDataFrame([("a", "csv", None), ("b", "xml", "x")], "id string, source_format string, document_type string")
+    checks = regression.expectation_checks(fixtures, results, ["source_format", "document_type"])
+    found = {r.id: (r.passed, r.failed_fields) for r in regression.verdicts(checks).collect()}
+    assert found == {"a": (True, []), "b": (False, ["source_format"]), "c": (False, ["document_type", "source_format"])}
+    documents = fixtures.join(regression.verdicts(checks), "id").withColumn("found_type", F.col("document_type")).na.fill("none", ["document_type"])
+    text = regression.report(documents, regression.coverage(documents, checks.withColumn("present", F.col("found").isNotNull())))
+    assert "- passed: 1" in text and "- failed: c" in text and "| none |  | 1 |" in text
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import json
+
+    from tallyforge import __main__ as command
+
+    monkeypatch.setattr(command, "_session", lambda: spark)
+    for name, last in (("a", "111,00"), ("b", "112,00")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "l.csv").write_text(f"Data;Entrada;Saída;Saldo\n01/01/2024;10,00;;110,00\n02/01/2024;1,00;;{last}\n")
+    assert command.main(["ingest", str(tmp_path / "a"), "--output", str(tmp_path / "out")]) == 0
+    assert json.loads(capsys.readouterr().out)["processed"] == 1 and spark.read.parquet(str(tmp_path / "out/ledger_entries")).count() == 2
+    assert command.main(["compare", str(tmp_path / "a"), str(tmp_path / "a")]) == 0
+    assert command.main(["compare", str(tmp_path / "a"), str(tmp_path / "b")]) == 1
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert [(d["position"], d["field"]) for d in out["differences"]] == [(2, "balance")]
