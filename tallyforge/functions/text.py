@@ -67,14 +67,23 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.upper(without_accents(text)), "[^A-Z0-9]", "")
 
 
-@F.pandas_udf(StringType())
-def plain_exact(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(lambda t: " ".join(unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower().split()))
+def _plain_exact():
+    """Defined in here, the function travels to the workers by value; they need not have this package."""
 
+    def plain_of(text: pd.Series) -> pd.Series:
+        return text.fillna("").map(lambda t: " ".join(unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower().split()))
 
-@F.pandas_udf(StringType())
-def fold_exact(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t).upper() if c.isascii() and c.isalnum()))
+    return F.pandas_udf(plain_of, StringType())
+
+
+def _fold_exact():
+    def fold_of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t).upper() if c.isascii() and c.isalnum()))
+
+    return F.pandas_udf(fold_of, StringType())
+
+
+plain_exact, fold_exact = _plain_exact(), _fold_exact()
 
 
 def words(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
@@ -140,12 +149,17 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when((F.size(left) > 0) & (F.size(right) > 0), F.size(F.array_intersect(left, right)) / both).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, which no built-in expression computes; run it on candidates only."""
-    from difflib import SequenceMatcher
+def _sequence_ratio():
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)])
+
+    return F.pandas_udf(ratio, DoubleType())
+
 
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)])
+#: Ratcliff-Obershelp similarity, which no built-in expression computes; for candidates only.
+sequence_ratio = _sequence_ratio()
 
 
 def similarity(left: Column, right: Column) -> Column:

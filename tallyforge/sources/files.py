@@ -41,18 +41,24 @@ def described(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     )
 
 
-@F.pandas_udf(BooleanType())
-def is_spreadsheet_package(content: pd.Series) -> pd.Series:
-    """Whether a zip's list of content types names a spreadsheet."""
-
-    def one(data: bytes) -> bool:
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                return b"spreadsheetml" in z.read("[Content_Types].xml")
-        except (zipfile.BadZipFile, KeyError):
-            return False
-
-    return content.map(one)
+def _is_spreadsheet_package():
+    """Defined in here, the function travels to the workers by value."""
+
+    def listed(content: pd.Series) -> pd.Series:
+        def one(data: bytes) -> bool:
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    return b"spreadsheetml" in z.read("[Content_Types].xml")
+            except (zipfile.BadZipFile, KeyError):
+                return False
+
+        return content.map(one)
+
+    return F.pandas_udf(listed, BooleanType())
+
+
+#: Whether a zip's list of content types names a spreadsheet.
+is_spreadsheet_package = _is_spreadsheet_package()
 
 
 def text_of(content: Column) -> Column:
