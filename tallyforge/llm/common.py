@@ -7,12 +7,9 @@ without an argument yields on UTF-8 text. A null text counts as an empty one thr
 from __future__ import annotations
 
 import ctypes
-import io
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tallyforge.shipping import ship
+
 #: Bounds the per-worker word cache; it is emptied when full, so results never depend on it.
 CACHE_WORDS = 150_000
 
@@ -30,33 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
 _BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package as a py-file, once an application; they may not have it on their path."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tallyforge-"), "tallyforge.zip")
-    with open(path, "wb") as out:
-        out.write(held.getvalue())
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-    # where the size of Arrow batches was left as it is, they shrink: a task then holds a few MB of texts at once, not 64
-    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH, BATCH_BYTES)
-
-
 def _let_go() -> None:
     """Gives a worker's freed memory back to the system; workers live on and serve other tasks, stages and jobs."""
     pa.default_memory_pool().release_unused()
@@ -68,7 +43,11 @@ def _let_go() -> None:
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with the package on the executors and memory given back after each task."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    # where the size of Arrow batches was left as it is, they shrink: a task then holds a few MB of texts at once, not 64
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -98,22 +77,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes a Parquet table in the shared folder and reads it back."""
+    """Cuts lineage: writes a Parquet table in the shared folder and reads it back. The application's end removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    target, system = _hadoop(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that written() made, once nothing reads them any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/" + root.split("://")[-1].strip("/") + "/" in path.replace(":///", "/").replace("file:/", "/"):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    """Removes a table that written() made, once nothing reads it any more."""
+    target, system = _hadoop(df.sparkSession, df.kept_at)
+    system.delete(target, True)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
