@@ -66,19 +66,22 @@ def best_history(movements: DataFrame, history: DataFrame, financial: DataFrame,
     line = F.array_join(F.array_sort("h_words"), " ")
     sides = sides.groupBy("direction", "account", line.alias("h_line")).agg(F.min_by(F.struct("counterpart", "standard_history", "h_words"), "h_ord").alias("h"), F.min("h_ord").alias("h_ord"))
     money = financial.select(F.col("reduced_code").alias("account")).distinct()
-    asked = movements.where("financial_account is not null").select("ord", "direction", F.col("financial_account").alias("account"), words(F.col("text")).alias("m_words")).where(F.size("m_words") > 0)
+    every = movements.where("financial_account is not null").select("ord", "direction", F.col("financial_account").alias("account"), words(F.col("text")).alias("m_words")).where(F.size("m_words") > 0).withColumn("m_line", F.array_join(F.array_sort("m_words"), " "))
+    # movements of one account with equal words have the same best row: each kind is matched once
+    kind = ["direction", "account", "m_line"]
+    asked = every.groupBy(*kind).agg(F.first("m_words").alias("m_words"))
     # the pool is chosen before scoring: rows without words count for it as well
     own = history.select(F.inline(F.array(F.struct(F.lit("inflow").alias("direction"), F.col("debit_account").alias("account")), F.struct(F.lit("outflow").alias("direction"), F.col("credit_account").alias("account"))))).distinct()
     exact = asked.join(own, ["direction", "account"], "left_semi")
     rest = asked.join(own, ["direction", "account"], "left_anti")
     tokens = sides.select("direction", "account", "h_ord", "h_line", "h", F.explode("h.h_words").alias("word"))
-    asked_exact = exact.select("ord", "direction", "account", F.size("m_words").alias("m_size"), F.array_join(F.array_sort("m_words"), " ").alias("m_line"), F.explode("m_words").alias("word"))
-    asked_rest = rest.select("ord", "direction", F.size("m_words").alias("m_size"), F.array_join(F.array_sort("m_words"), " ").alias("m_line"), F.explode("m_words").alias("word"))
-    pairs = asked_exact.join(tokens, ["direction", "account", "word"]).select("ord", "m_size", "m_line", "h_ord", "h_line", "h").unionByName(
-        asked_rest.join(tokens.join(money, "account", "left_semi"), ["direction", "word"]).select("ord", "m_size", "m_line", "h_ord", "h_line", "h")
+    asked_exact, asked_rest = (x.select(*kind, F.size("m_words").alias("m_size"), F.explode("m_words").alias("word")) for x in (exact, rest))
+    columns = [*kind, "m_size", "h_ord", "h_line", "h"]
+    pairs = asked_exact.join(tokens, ["direction", "account", "word"]).select(*columns).unionByName(
+        asked_rest.join(tokens.join(money, "account", "left_semi").drop("account"), ["direction", "word"]).select(*columns)
     )
     # a group is one pair of texts; its rows are the shared words
-    pairs = pairs.groupBy("ord", "h_ord", "h_line").agg(F.count(F.lit(1)).alias("shared"), F.first("m_size").alias("m_size"), F.first("m_line").alias("m_line"), F.first("h").alias("h"))
+    pairs = pairs.groupBy(*kind, "h_ord", "h_line").agg(F.count(F.lit(1)).alias("shared"), F.first("m_size").alias("m_size"), F.first("h").alias("h"))
     contained = F.col("shared") / F.least("m_size", F.size("h.h_words"))
     pairs = pairs.withColumn("contained", contained)
     if with_sequence:
@@ -87,8 +90,8 @@ def best_history(movements: DataFrame, history: DataFrame, financial: DataFrame,
     else:
         score = F.col("contained")
     pairs = pairs.withColumn("score", score).where(F.col("score") >= least)
-    best = pairs.groupBy("ord").agg(F.max_by(F.struct("h.counterpart", "h.standard_history", "score"), F.struct("score", -F.col("h_ord"))).alias("b"))
-    return best.select("ord", "b.counterpart", "b.standard_history", "b.score")
+    best = pairs.groupBy(*kind).agg(F.max_by(F.struct("h.counterpart", "h.standard_history", "score"), F.struct("score", -F.col("h_ord"))).alias("b"))
+    return every.join(best, kind).select("ord", "b.counterpart", "b.standard_history", "b.score")
 
 
 def overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, on: tuple[str, ...] = ("date", "amount")) -> DataFrame:

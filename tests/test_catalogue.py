@@ -43,3 +43,26 @@ def test_similarity_equals_a_loop(spark):
                 best = (r[other], s)
         expected = (best[0], round(best[1], 9)) if best and best[1] >= 0.5 else None
         assert found.get(a.ord) == expected
+
+
+@pytest.mark.parametrize("name", ["best_history_whole", "similarity_match"])
+def test_best_history_takes_whole_tables(spark, con, name):
+    from difflib import SequenceMatcher
+
+    words = lambda t: {w for w in t.lower().split() if len(w) > 2}
+    asked = con.execute("SELECT o_orderkey, p_name || ' ' || p_type FROM orders JOIN part ON o_orderkey % 500 = p_partkey ORDER BY 1").fetchall()
+    history = con.execute(f"WITH {catalogue.v.HISTORY} SELECT debit_account, credit_account, complement FROM history ORDER BY ord").fetchall()
+    history = [(a, b, words(c)) for a, b, c in history]
+    found = {r.ord: (r.counterpart, round(r.score, 9)) for r in catalogue.QUERIES[name](spark, FOLDER).collect()}
+    assert any(i % 7 for i in found) and set(found) <= {i for i, _ in asked}
+    for i, text in asked[::9]:
+        side = i % 2
+        pool = [r for r in history if r[side] == str(i % 60)] or [r for r in history if r[side] in ("1", "2", "3")]
+        best, x = None, words(text)
+        for r in pool:
+            s = len(x & r[2]) / min(len(x), len(r[2]))
+            if name == "similarity_match":
+                s = 0.75 * s + 0.25 * SequenceMatcher(None, " ".join(sorted(x)), " ".join(sorted(r[2]))).ratio() if s >= 1 / 3 else 0.0
+            if best is None or s > best[1] + 1e-12:
+                best = (r[1 - side], s)
+        assert found.get(i) == ((best[0], round(best[1], 9)) if best and best[1] >= 0.5 else None)
