@@ -326,6 +326,15 @@ def test_components_by_brute_force(spark, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got}) and kept.columns == COLUMNS.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_pipeline_stage_links_at_five_words_and_four_fifths(spark):
+    base = [["%s%d" % (k, i) for i in range(190)] for k in "abc"]
+    edited = ["e%d" % i if i in (30, 70, 110, 150) else w for i, w in enumerate(base[0])]
+    cut, rest = base[1][:155], base[2][:140]
+    rows = [(i, " ".join(t), "s") for i, t in enumerate([base[0], edited, base[1], cut, base[2], rest])] + [(100 + i, t, s) for i, t, s in near_copies()]
+    kept = sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs(spark, rows), FOLDER).collect())
+    assert kept[:4] == [0, 2, 4, 5] and kept == sorted({c for _, _, c in components_by_brute_force(rows, 5, 80)})
+
+
 def test_components_of_odd_rows(spark, odd):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(odd).collect())
     assert got == components_by_brute_force(ODD)
