@@ -1,9 +1,10 @@
 """Personal data: exact base patterns, and spans added by a character-level BiLSTM with CRF transitions.
 
 The tagger is trained in numpy from labelled spans (made-up ones unless others are given). It reads the
-regions of a text around digits, at-signs and bracketed ones, in overlapping windows; the windows' scores are
-merged and one best tag path is found for each whole region. As every kind needs such a character, text
-outside of these regions can hold no span. An exact check of each added span follows; base spans stay.
+regions of a text around digits, at-signs and bracketed ones (in either case), in overlapping windows; the
+windows' scores are merged and one best tag path is found for each whole region. As every kind needs such a
+trigger, and a region ends only where a run of an address's characters does, text outside of these regions can
+hold no span. An exact check of each added span follows, and an address grows to its whole run; base spans stay.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ CONTEXT = 24
 #: Labelled texts the tagger is trained on by default, and the steps.
 EXAMPLES, STEPS = 4_000, 260
 
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.IGNORECASE)
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
+_HOST = re.compile(r"[A-Za-z0-9.-]*")
+_AT = re.compile(r"@|[\[(] ?at ?[\])]", re.IGNORECASE)
 # possessive runs of digits behind a non-digit match what the plain pattern matches, in linear time
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -112,12 +116,29 @@ def checked(text: str, span: Span) -> Span | None:
     return kind, start, end
 
 
+def grown(text: str, span: Span) -> Span:
+    """An address that the tagger marked in part, with the rest of its runs on either side; other spans as they are."""
+    kind, start, end = span
+    if kind or not _AT.search(text, start, end):
+        return span
+    while start and _LOCAL.match(text[start - 1]):
+        start -= 1
+    return kind, start, _HOST.match(text, end).end()
+
+
 def regions(text: str, context: int = CONTEXT) -> list[tuple[int, int]]:
-    """Stretches around triggers, merged where they overlap."""
+    """Stretches around triggers, merged where they overlap. An end inside a run of an address's characters moves to the run's end."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - context), min(len(text), m.end() + context)
-        if out and a <= out[-1][1]:
+        last = out[-1][1] if out else 0
+        if b <= last:
+            continue
+        while a > last and _LOCAL.match(text[a]) and _LOCAL.match(text[a - 1]):
+            a -= 1
+        if _LOCAL.match(text[b - 1]):
+            b = _RUN.match(text, b).end()
+        if out and a <= last:
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -130,18 +151,19 @@ def found_spans(model: dict[str, np.ndarray], texts: list[str], base: list[list[
     if not where:
         return base
     scores = tagger.region_scores(model, [tagger.codes(texts[i][a:b]) for i, a, b in where])
-    added: list[list[Span]] = [[] for _ in texts]
+    added: list[list[list[Span]]] = [[] for _ in texts]
     for (i, a, _), tags in zip(where, tagger.viterbi(model, scores), strict=True):
         for kind, start, end in tagger.spans_of(tags):
-            s = checked(texts[i], (kind, a + start, a + end))
-            if s:
-                added[i].append(s)
+            span = kind, a + start, a + end
+            # as marked where the whole of it does not pass, or touches a base span
+            added[i].append([s for s in (checked(texts[i], grown(texts[i], span)), checked(texts[i], span)) if s])
     out = []
     for b, more in zip(base, added, strict=True):
         taken = sorted((s, e) for _, s, e in b)
         starts = np.array([s for s, _ in taken] or [0])
         ends = np.maximum.accumulate(np.array([e for _, e in taken] or [0]))
-        keep = [s for s in more if not len(taken) or not (i := np.searchsorted(starts, s[2])) or ends[i - 1] <= s[1]]
+        free = lambda s: not len(taken) or not (i := np.searchsorted(starts, s[2])) or ends[i - 1] <= s[1]  # noqa: E731, B023
+        keep = [s for forms in more if (s := next(filter(free, forms), None))]
         out.append(ordered([*b, *dict.fromkeys(keep)]))
     return out
 

@@ -271,6 +271,25 @@ def test_windows_are_reconciled_over_long_regions(model):
     assert pii.found_spans(model, ["", "no digits"], [[], []]) == [[], []]
 
 
+@pytest.mark.parametrize(
+    "address",
+    [
+        "JOHN.SMITH [AT] EXAMPLE.COM", "john.smith(At)example.com", "bartholomew.maximilian.featherstonehaugh [at] example.com", "jo [at] department-of-mathematics.university-of-somewhere.example.org",
+        "BARTHOLOMEW.MAXIMILIAN.FEATHERSTONEHAUGH(AT)DEPARTMENT-OF-MATHEMATICS.EXAMPLE.ORG",
+    ],
+)
+def test_addresses_in_capitals_and_long_ones_are_found_whole(model, address):
+    text = f"please write to {address} today"
+    assert pii._TRIGGER.search(text)
+    assert pii.found_spans(model, [text], [[]])[0] == [(0, 16, 16 + len(address))]
+
+
+def test_regions_end_where_runs_end():
+    for text in ("x" * 100 + "@" + "y" * 100, "a b " * 50 + "1" + " c d" * 50, "1" + "z" * 200 + "2 " + "w" * 300):
+        for a, b in pii.regions(text):
+            assert (not a or " " in text[a - 1 : a + 1]) and (b == len(text) or " " in text[b - 1 : b + 1])
+
+
 def test_added_spans_leave_base_spans_alone(model):
     text = "mail a.b@c.de or 4111111111111111 or 1234567890123456"
     base = pii.base_spans(text)
