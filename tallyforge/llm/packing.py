@@ -32,7 +32,7 @@ LENGTH = 2048
 #: Penalties in ids of padding: for a document truncated at a sentence's end, and elsewhere.
 SENTENCE_PENALTY = 4.0
 INSIDE_PENALTY = 24.0
-#: Sentence ends closer than this are not told apart; longer stretches get cuts inside, this far apart.
+#: Stretches without a sentence end get cuts inside, this far apart.
 SPACING = 32
 STRETCH = 2_000_000
 
@@ -43,14 +43,11 @@ def candidates(lengths: np.ndarray, ends: np.ndarray, spacing: int, sentence_pen
     """Cut positions in a stream of documents (0 first) and their penalties. ``ends``: positions after sentence ends."""
     docs = np.cumsum(lengths)
     total = int(docs[-1])
-    kind = np.full(total // spacing + 1, np.iinfo(np.int64).max)
-    # the first sentence end of each block of ``spacing`` ids
-    if len(ends):
-        np.minimum.at(kind, np.minimum(ends, total - 1) // spacing, ends)
+    # every sentence end, and the starts of the blocks of ``spacing`` ids that hold none
     inside = np.arange(0, total, spacing)
-    empty = kind[: len(inside)] == np.iinfo(np.int64).max
-    chosen = np.concatenate([docs, kind[kind < total], inside[empty], [0]])
-    penalty = np.concatenate([np.zeros(len(docs)), np.full(int((kind < total).sum()), sentence_penalty), np.full(int(empty.sum()), inside_penalty), [0.0]])
+    empty = np.bincount(np.minimum(ends, total - 1) // spacing, minlength=len(inside)) == 0
+    chosen = np.concatenate([docs, ends, inside[empty], [0]])
+    penalty = np.concatenate([np.zeros(len(docs)), np.full(len(ends), sentence_penalty), np.full(int(empty.sum()), inside_penalty), [0.0]])
     order = np.lexsort((penalty, chosen))
     chosen, penalty = chosen[order], penalty[order]
     first = np.concatenate([[True], chosen[1:] != chosen[:-1]])

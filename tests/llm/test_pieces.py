@@ -144,6 +144,12 @@ def test_ids_equal_the_tokenizers_library():
     assert zlib.crc32(e.ids("").astype("<u4").tobytes()) == zlib.crc32(b"\x01\x00\x00\x00")
 
 
+def test_every_sentence_end_may_be_a_cut():
+    lengths, ends = np.array([124]), np.array([40, 45, 60, 110])
+    c, pen = packing.candidates(lengths, ends, 32, 4.0, 24.0)
+    assert set(ends.tolist()) <= set(c.tolist()) and packing.cuts(c, pen, 64).tolist() == [0, 60, 124]
+
+
 def test_tree_and_forests_equal_brute_force():
     r = random.Random(6)
     texts = []
