@@ -66,3 +66,40 @@ def test_best_history_takes_whole_tables(spark, con, name):
             if best is None or s > best[1] + 1e-12:
                 best = (r[1 - side], s)
         assert found.get(i) == ((best[0], round(best[1], 9)) if best and best[1] >= 0.5 else None)
+
+
+def test_flagship_uses_the_whole_history(spark, monkeypatch):
+    from collections import Counter
+    from decimal import ROUND_HALF_EVEN, Decimal
+    from difflib import SequenceMatcher
+
+    from tallyforge.functions.text import words
+    from tallyforge.operators import accounts as acc
+    from tallyforge.plans import engine
+
+    v, period, F = catalogue.v, catalogue.PERIOD, catalogue.F
+    # texts like the movements': those of the test tables are too unlike
+    texts = F.array(*[F.lit(t) for t in ("customer urgent", "customer high priority", "medium", "something else", "not specified low")])
+    plain = v.history
+    monkeypatch.setattr(v, "history", lambda spark, d: plain(spark, d).withColumn("complement", F.element_at(texts, (F.xxhash64("ord") % 5 + 5).cast("int") % 5 + 1)))
+    chart = v.chart(spark, FOLDER)
+    moved = v.mirrored(spark, FOLDER).withColumn("document", F.lit(None).cast("string"))
+    _, rest = engine.transfers(engine.with_text(engine.of_period(moved.withColumns({"id": F.col("ord").cast("string"), "financial_name": F.lit("x"), "source_row": F.lit(1)}), period)))
+    rest = rest.select("direction", "financial_account", words(F.col("text")).alias("w")).collect()
+    usable = acc.usable_history(v.history(spark, FOLDER), chart, period).select("ord", "debit_account", "credit_account", words(F.col("complement")).alias("w")).collect()
+    money = {r.reduced_code for r in acc.financial_accounts(chart).collect()}
+    expected = Counter()
+    for m in rest:
+        side = "debit_account" if m.direction == "inflow" else "credit_account"
+        x, best = set(m.w), 0.0
+        for r in [r for r in usable if r[side] == m.financial_account] or [r for r in usable if r[side] in money]:
+            y = set(r.w)
+            if x & y and 0.75 * (c := len(x & y) / min(len(x), len(y))) + 0.25 >= 0.5:
+                best = max(best, 0.75 * c + 0.25 * SequenceMatcher(None, " ".join(sorted(x)), " ".join(sorted(y))).ratio())
+        reason = "historico_textual:%s" % Decimal(repr(best)).quantize(Decimal("0.01"), ROUND_HALF_EVEN) if best >= 0.5 else "padrao_por_direcao"
+        expected[("LANCAR" if best >= 0.5 else "REVISAR CONTA", reason)] += 1
+    found = Counter()
+    for r in catalogue.QUERIES[catalogue.FLAGSHIP](spark, FOLDER).collect():
+        found[r.status, r.reason.split("|")[0]] += r.entries
+    assert {k: n for k, n in found.items() if k[1] != "transferencia_espelhada"} == expected
+    assert any(k[1].startswith("historico_textual") for k in found)
