@@ -41,6 +41,8 @@ PER_GROUP, LEAST_GROUPS = 8, 64
 #: Members of a block, and shingles a block of sets may hold on average.
 BLOCK, BLOCK_SHINGLES = 500, 500_000
 LEAF = 16
+#: Links a task holds before it passes them on; one pair of blocks may go beyond.
+MOST_LINKS = 100_000
 #: Rows up to which a set of ids is broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -230,15 +232,17 @@ def candidate_forest(sizes: np.ndarray, vectors: list[np.ndarray], percent: int,
     return forest.links
 
 
-def verified_forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the true links, likewise. Pairs within a tree already need no check."""
+def verified_forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """A spanning forest of the true links, likewise; or every one of them. For a forest, pairs within a tree already need no check."""
     sizes = np.array([len(s) for s in sets], np.int64)
     forest = Forest(len(sets))
+    out: list[tuple[int, int]] = []
     vocabulary, place = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(len(vocabulary), bool)
     for i, near in _near_pairs(sizes, [_vector(s) for s in sets], percent, side):
-        near = near[forest.roots(near) != forest.root(i)]
+        if not every:
+            near = near[forest.roots(near) != forest.root(i)]
         if not len(near):
             continue
         own = place[starts[i] : starts[i] + sizes[i]]
@@ -248,9 +252,13 @@ def verified_forest(sets: list[np.ndarray], percent: int, side: np.ndarray | Non
         at = np.repeat(starts[near] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         overlap = np.add.reduceat(mark[place[at]].astype(np.int64), np.cumsum(lengths) - lengths)
         mark[own] = False
-        for j in near[overlap >= overlap_needed(lengths, int(sizes[i]), percent)]:
-            forest.join(i, int(j))
-    return forest.links
+        found = near[overlap >= overlap_needed(lengths, int(sizes[i]), percent)].tolist()
+        if every:
+            out.extend((i, j) for j in found)
+            continue
+        for j in found:
+            forest.join(i, j)
+    return out if every else forest.links
 
 
 def in_block_pairs(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
@@ -295,6 +303,9 @@ def grouped(rows: DataFrame, keys: list[str], function: Callable[[dict[str, list
                 if key[a] != last:
                     flush()
                     last = key[a]
+                    if len(out) >= MOST_LINKS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                        out.clear()
                 for n in names:
                     held[n].extend(columns[n][a:b])
             if out:
@@ -330,43 +341,42 @@ def candidate_links(distinct: DataFrame, percent: int, block: int, partitions: i
     return grouped(paired, ["_cell", "_a", "_b"], links, partitions).distinct()
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, block: int, block_shingles: int, partitions: int) -> DataFrame:
-    """Clusters (doc_id, cluster, n_shingles) -> a spanning forest (a, b) of the true links of each."""
+def verified_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, block: int, block_shingles: int, partitions: int, distinct: DataFrame | None = None) -> DataFrame:
+    """Clusters (doc_id, cluster, n_shingles) -> a spanning forest (a, b) of the true links of each; given distinct sets, every link between them."""
     of_cluster = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_m"))
     blocks = F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_m") / block_shingles))
     known = clusters.join(of_cluster, "cluster").select("doc_id", "cluster", blocks.alias("_k"))
     picked = docs.select("doc_id", "text")
+    every = distinct is not None
     if clusters.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     picked = picked.join(known, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 512)):
-            sets = pa.array([s.tobytes() for s in shingle_sets(texts_of(batch), width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cluster"), batch.column("_k"), sets], names=["doc_id", "cluster", "_k", "set"])
-
-    sets = arrow_map(picked, run, "doc_id long, cluster long, _k long, set binary")
+            sets = [s.tobytes() for s in shingle_sets(texts_of(batch), width)]
+            keys = pa.array([xxhash.xxh3_128_hexdigest(s) if s else None for s in sets] if every else [None] * len(sets), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cluster"), batch.column("_k"), keys, pa.array(sets, pa.binary())], names=["doc_id", "cluster", "_k", "set_hash", "set"])
+
+    sets = arrow_map(picked, run, "doc_id long, cluster long, _k long, set_hash string, set binary")
+    if every:
+        # of an id's several texts only those it stands for
+        sets = sets.join(distinct.select("doc_id", "set_hash"), ["doc_id", "set_hash"], "left_semi").select("doc_id", "cluster", "_k", "set_hash", "set")
+    sets = sets.drop("set_hash")
     paired = in_block_pairs(sets, "cluster", F.col("_k")).drop("_k")
 
     def links(held: dict[str, list]) -> list[tuple[int, int]]:
         ids = held["doc_id"]
         side = np.array(held["_side"]) if held["_a"][0] != held["_b"][0] else None
-        return [(ids[i], ids[j]) for i, j in verified_forest([np.frombuffer(s, np.uint64) for s in held["set"]], percent, side)]
+        return [(ids[i], ids[j]) for i, j in verified_forest([np.frombuffer(s, np.uint64) for s in held["set"]], percent, side, every)]
 
     return grouped(paired, ["cluster", "_a", "_b"], links, partitions)
 
 
-def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int = BUCKETS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, partitions: int | None = None) -> DataFrame:
-    """Documents (doc_id, text) -> doc_id, n_shingles, component_id, a row per row.
-
-    A-Z count as a-z. Null, empty and blank texts have no shingles and link with nothing. Rows of one doc_id
-    are one node: they are joined with whatever any of them links to. Rows of a null doc_id
-    link with nothing and have no component. An empty table gives no rows; other columns are not read.
-    """
+def _clustered(docs: DataFrame, width: int, percent: int, buckets: int, block: int, partitions: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sketches, those with an id and words, the distinct sets of these, and the clusters of candidates."""
     if buckets & (buckets - 1):
         raise ValueError("the number of buckets must be a power of two")
-    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
     sketched = written(sketches(docs, bucket_counts(docs, width, buckets), width, percent), "jaccard-sketches")
     nodes = sketched.where("doc_id is not null and n_shingles > 0")
     # equal sets: the smallest id stands for all; grouped with map-side combining, so copies never meet as rows
@@ -374,7 +384,31 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     distinct = written(distinct, "jaccard-sets")
     clusters = components(candidate_links(distinct, percent, block, partitions)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     sizes = distinct.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    clusters = written(clusters.join(sizes, "doc_id"), "jaccard-clusters")
+    return sketched, nodes, distinct, written(clusters.join(sizes, "doc_id"), "jaccard-clusters")
+
+
+def join_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int = BUCKETS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, partitions: int | None = None) -> DataFrame:
+    """Documents (doc_id, text) -> every link (a, b), a < b, between distinct sets, once; the smallest id stands for a set.
+
+    A component of m sets has up to m * (m - 1) / 2 of them. Two sets that one id stands for are one node and have no row.
+    """
+    docs = docs.select("doc_id", "text")
+    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _, _, distinct, clusters = _clustered(docs, width, percent, buckets, block, partitions)
+    found = verified_links(docs, clusters, width, percent, block, block_shingles, partitions, distinct)
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int = BUCKETS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, partitions: int | None = None) -> DataFrame:
+    """Documents (doc_id, text) -> doc_id, n_shingles, component_id, a row per row.
+
+    A-Z count as a-z. Null, empty and blank texts have no shingles and link with nothing. Rows of one doc_id
+    are one node: they are joined with whatever any of them links to. Rows of a null doc_id
+    link with nothing and have no component. An empty table gives no rows; other columns are not read.
+    """
+    docs = docs.select("doc_id", "text")
+    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched, nodes, distinct, clusters = _clustered(docs, width, percent, buckets, block, partitions)
     true_links = verified_links(docs, clusters, width, percent, block, block_shingles, partitions)
     # copies follow the id that stands for their set; only ids with several sets are links themselves
     stands = distinct.where("_copies > 1").select("set_hash", F.col("doc_id").alias("_rep"))

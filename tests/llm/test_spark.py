@@ -326,6 +326,20 @@ def test_components_by_brute_force(spark, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got}) and kept.columns == COLUMNS.replace(" long", "").replace(" string", "").split(", ")
 
 
+@pytest.mark.parametrize("block", [4, 500])
+def test_all_links_by_brute_force(spark, block):
+    rows = near_copies() + [(2000 + i, t, s) for i, t, s in near_copies()[:9]] + [(9000, "one two three four five six", "s"), (9000, "six five four three two one", "s")]
+    least = {}
+    for i, t, _ in rows:
+        if t:
+            key = frozenset(shingle_set(t, 4))
+            least[key] = min(i, least.get(key, i))
+    sets = sorted(((i, s) for s, i in least.items()), key=lambda p: p[0])
+    expected = sorted((i, j) for n, (j, y) in enumerate(sets) for i, x in sets[:n] if i != j and 100 * len(x & y) >= 85 * len(x | y))
+    assert sorted((r.a, r.b) for r in jaccard.join_links(docs(spark, rows), block=block).collect()) == expected
+    assert len(expected) > len({i for pair in expected for i in pair})
+
+
 def test_pipeline_stage_links_at_five_words_and_four_fifths(spark):
     base = [["%s%d" % (k, i) for i in range(190)] for k in "abc"]
     edited = ["e%d" % i if i in (30, 70, 110, 150) else w for i, w in enumerate(base[0])]
