@@ -472,7 +472,7 @@ SELECT o_orderkey, s || a || b AS cnpj, TRUE AS valid, FALSE AS wrong, s[1:2] ||
 def company_ids(spark, d):
     s = F.lpad((F.col("o_orderkey") * 7919 + 123456789).cast("string"), 12, "1")
     p = F.lpad((F.col("o_orderkey") * 104729 + 17).cast("string"), 9, "3")
-    o = v.table(spark, d, "orders").select("o_orderkey", s.alias("s"), p.alias("p")).where("length(s) = 12 and length(p) = 9 and o_orderkey < 100000000")
+    o = v.table(spark, d, "orders").select("o_orderkey", s.alias("s"), p.alias("p")).where("length(s) = 12 and length(p) = 9")
     tried = o.withColumn("cnpj", F.concat("s", money.company_digits(F.col("s"))))
     wrong = F.concat(F.substring("cnpj", 1, 13), ((F.substring("cnpj", 14, 1).cast("int") + 1) % 10).cast("string"))
     return tried.select("o_orderkey", "cnpj", money.valid_cnpj(F.col("cnpj")).alias("valid"), money.valid_cnpj(wrong).alias("wrong"), identity.format_tax_id(F.col("cnpj")).alias("formatted"))

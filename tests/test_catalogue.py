@@ -103,3 +103,10 @@ def test_flagship_uses_the_whole_history(spark, monkeypatch):
         found[r.status, r.reason.split("|")[0]] += r.entries
     assert {k: n for k, n in found.items() if k[1] != "transferencia_espelhada"} == expected
     assert any(k[1].startswith("historico_textual") for k in found)
+
+
+def test_company_ids_of_large_keys(spark, tmp_path):
+    spark.createDataFrame([(5,), (99_999_999,), (100_000_000,), (120_000_000,), (9_000_000_000,)], "o_orderkey long").toPandas().to_parquet(tmp_path / "orders.parquet")
+    got = catalogue.QUERIES["company_ids"](spark, str(tmp_path))
+    assert got.count() == 5
+    assert_same(got, catalogue.SQL["company_ids"], connect(str(tmp_path)))
