@@ -110,3 +110,12 @@ def test_company_ids_of_large_keys(spark, tmp_path):
     got = catalogue.QUERIES["company_ids"](spark, str(tmp_path))
     assert got.count() == 5
     assert_same(got, catalogue.SQL["company_ids"], connect(str(tmp_path)))
+
+
+def test_classifier_metrics_are_of_the_operators_own_width(spark, monkeypatch):
+    import inspect
+
+    widths, plain = [], catalogue.models.classifier
+    monkeypatch.setattr(catalogue.models, "classifier", lambda features: widths.append(features) or plain(features))
+    assert catalogue.QUERIES["classifier_metrics"](spark, FOLDER).count() > 0
+    assert widths == [inspect.signature(catalogue.models.fit).parameters["features"].default]
