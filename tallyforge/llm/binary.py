@@ -26,7 +26,7 @@ STRETCH = 1_000_000
 PAD_ID = 0
 
 MATRICES = "matrix_id long, n_rows int, length int, ids binary, position_ids binary, cu_seqlens array<array<int>>, doc_ids array<array<long>>, starts array<array<long>>"
-ROWS = "sequence_id long, n_tokens long, n_segments long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long"
+ROWS = "sequence_id long, n_tokens long, n_segments long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long, ids binary, position_ids binary"
 
 
 class CapacityTree:
@@ -141,7 +141,10 @@ def packed_matrices(docs: DataFrame, path: str | None = None, length: int = LENG
 
 
 def packed_rows(docs: DataFrame, path: str | None = None, length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
-    """The same packing, a row per sequence with checksums (of the padded ids and of the positions) for the ids (ROWS)."""
+    """The same packing, a row per sequence (ROWS): the rows of the matrices, little-endian uint32, and their checksums.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in packed_matrices().
+    """
     path = path or vocabulary_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +159,8 @@ def packed_rows(docs: DataFrame, path: str | None = None, length: int = LENGTH,
                 pa.array(m["cu_seqlens"], pa.list_(pa.int32())),
                 pa.array([zlib.crc32(r) for r in m["ids"]], pa.int64()),
                 pa.array([zlib.crc32(r) for r in m["position_ids"]], pa.int64()),
+                pa.array([r.tobytes() for r in m["ids"]], pa.binary()),
+                pa.array([r.tobytes() for r in m["position_ids"]], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in ROWS.split(", ")])
 

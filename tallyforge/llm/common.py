@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyforge.shipping import ship
@@ -68,10 +70,25 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+def portions(batch: pa.RecordBatch, most: int = 1 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about ``most`` bytes at most; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Only a session without executors of its own may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -101,6 +118,28 @@ def dropped(df: DataFrame) -> None:
     system.delete(target, True)
 
 
+#: Keys that may count as hot at most, and the rows of a key up to which it never does.
+HOT_KEYS, LEAST_HOT = 50_000, 100
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join with a table of one row a key, which says in ``count`` how many of left's ``total`` rows have it.
+
+    Keys with more than total / HOT_KEYS rows are hot. There are fewer than HOT_KEYS of them, so they are broadcast;
+    of the others, which are shuffled, no key brings a task more rows than that.
+    """
+    limit = max(LEAST_HOT, total // HOT_KEYS)
+    hot, cold = F.broadcast(right.where(F.col(count) > limit)), right.where(F.col(count) <= limit)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64 bits (the splitmix64 constants)."""
     h = h ^ (h >> np.uint64(30))

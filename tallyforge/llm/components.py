@@ -1,7 +1,8 @@
 """Connected components of a graph given by links, by alternating large-star and small-star steps.
 
 Every round is two shuffles over the links and shrinks the components' diameters; the links of one round
-are written to the shared folder, so a lost executor costs at most that round.
+are written to the shared folder, so a lost executor costs at most that round. Nodes with very many
+neighbours meet their smallest one in a broadcast, so no task gathers their links.
 """
 
 from __future__ import annotations
@@ -9,42 +10,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import dropped, written
+from tallyforge.llm.common import dropped, split_join, written
 
-MOST_ROUNDS = 60
 
-
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     """Links (u, v), u > v. Joins the larger (or the smaller) neighbours of each node, and the node, to its smallest neighbour.
 
     The smallest neighbour comes from a grouped minimum with map-side combining and goes back to the links
-    by a join, so a node with very many neighbours is never gathered into one row.
+    by a join that takes hubs apart, so a node with very many neighbours is never gathered into one row or task.
     """
     ways = links.select("u", "v").union(links.select(F.col("v"), F.col("u"))) if large else links.select("u", "v")
-    least = ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("_u", "m").alias("m"))
-    joined = ways.join(least, ways["u"] == least["_u"])
+    least = ways.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    joined = split_join(ways, least, "u", "_n", total)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("_u").alias("u"), F.col("m").alias("v")))
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of long ids, in any direction, repeated or not -> (node, component), the smallest id reachable.
 
-    Nodes without a link to another are not returned. Null ends are not links.
+    Nodes without a link to another are not returned. Null ends are not links. An empty table gives no rows.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = written(links, "links")
-    before = None
-    for _ in range(most_rounds):
-        found = written(_star(_star(links, True), False), "links")
-        # a sum over both ends tells a fixed point: the steps only ever lower ends
-        now = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(links)
+    # a sum over both ends tells a fixed point: the steps only ever lower ends
+    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(links)
+    while before[0]:
+        middle = written(_star(links, True, 2 * before[0]), "links")
+        found = written(_star(middle, False, 2 * before[0]), "links")
+        now = state(found)
+        for done in (links, middle):
+            dropped(done)
         links = found
         if now == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            break
         before = now
-    raise RuntimeError("components did not settle")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,14 +12,19 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tallyforge.llm.common import arrow_map, shingle_sets, slices, table, texts_of
+from tallyforge.llm.common import arrow_map, portions, shingle_sets, table, texts_of
 
 K = 128
 WIDTH = 5
+#: Bytes of texts that are held at once; a longer text is held alone.
+PORTION = 1 << 20
 _SPAN = 2.0**64
 
 
@@ -76,11 +81,18 @@ def fingerprint(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 
 
 def merged(docs: DataFrame, group: str, k: int = K, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text, group) -> group, fingerprint and n_shingles of all its texts.
+    """(doc_id, text, group) -> group (of its own type), fingerprint and n_shingles of all its texts.
 
     Each task merges what it reads of a group before the shuffle, so a group however large sends one
-    sketch a task; a second merge, salted by task, and a third bring them together.
+    sketch a task; a second merge, salted by task, and a third bring them together. A null group is a group, null texts
+    are empty, repeated rows change nothing, an empty table gives no rows.
     """
+    kind = docs.schema[group].dataType
+    schema = StructType([StructField("_group", kind), StructField("fingerprint", StringType())])
+    arrow = to_arrow_type(kind)
+
+    def rows(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), arrow), pa.array([encode(s) for s in held.values()], pa.string())], names=["_group", "fingerprint"])
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
@@ -93,9 +105,6 @@ def merged(docs: DataFrame, group: str, k: int = K, width: int = WIDTH) -> DataF
         if held:
             yield rows(held)
 
-    def rows(held: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([encode(s) for s in held.values()], pa.string())], names=["_group", "fingerprint"])
-
     def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, s = None, None
         for batch in batches:
@@ -111,8 +120,7 @@ def merged(docs: DataFrame, group: str, k: int = K, width: int = WIDTH) -> DataF
         if s is not None:
             yield rows({last[0]: s})
 
-    schema = "_group string, fingerprint string"
-    parts = arrow_map(docs.select(F.col(group).cast("string").alias("_group"), "text"), partial, schema)
+    parts = arrow_map(docs.select(F.col(group).alias("_group"), "text"), partial, schema)
     parts = parts.withColumn("_salt", F.spark_partition_id() % 64).repartition("_group", "_salt").sortWithinPartitions("_group")
     parts = arrow_map(parts.select("_group", "fingerprint"), combine, schema)
     whole = arrow_map(parts.repartition("_group").sortWithinPartitions("_group"), combine, schema)
@@ -122,7 +130,7 @@ def merged(docs: DataFrame, group: str, k: int = K, width: int = WIDTH) -> DataF
             n = [distinct(decode(f), k) for f in batch.column("fingerprint").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.float64())], names=["_group", "fingerprint", "n_shingles"])
 
-    return arrow_map(whole, sized, f"{schema}, n_shingles double").withColumnRenamed("_group", group)
+    return arrow_map(whole, sized, StructType([*schema.fields, StructField("n_shingles", DoubleType())])).withColumnRenamed("_group", group)
 
 
 def with_next(docs: DataFrame, partitions: int) -> DataFrame:
@@ -131,31 +139,36 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     The order is by doc_id with nulls last, then by text; after the last row comes the first. Partitions
     are ranges of doc_id between quantiles of the column, which is read alone for that. The first id of
     each range goes to the range before as well, with ``_own`` false, so only one shuffle moves texts.
+    The edges and first ids, two numbers a partition, travel with a function of the ids and not as a part of the plan.
     """
     edges = docs.agg(F.percentile_approx("doc_id", [i / partitions for i in range(1, partitions)], 10_000)).first()[0] if partitions > 1 else None
-    edges = sorted(set(edges or []))
+    edges = np.array(sorted(set(edges or [])), np.int64)
+    n = len(edges)
 
-    def part_of(low: int, high: int) -> Column:
-        """The number of edges up to an id, by halves."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("doc_id") >= edges[middle], part_of(middle + 1, high)).otherwise(part_of(low, middle))
+    def parts_of(ids: pd.Series) -> np.ndarray:
+        known = ids.notna().to_numpy()
+        return np.where(known, np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64), "right"), n).astype(np.int32)
 
-    dealt = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(part_of(0, len(edges))).alias("_part"))
-    heads = {r._part: r.head for r in dealt.groupBy("_part").agg(F.min("doc_id").alias("head")).collect()}
+    part = F.pandas_udf(lambda ids: pd.Series(parts_of(ids)), "int")
+    heads = {r._part: r.head for r in docs.select("doc_id", part("doc_id").alias("_part")).groupBy("_part").agg(F.min("doc_id").alias("head")).collect()}
     order = sorted(heads)
-    before = [x for i, p in enumerate(order) for x in (F.lit(p), F.lit(order[i - 1]))]
-    is_head = F.col("doc_id").isin([h for h in heads.values() if h is not None])
-    if None in heads.values():  # there are only null ids
-        is_head = F.col("doc_id").isNull()
-    own = F.struct(F.col("_part").alias("_to"), F.lit(True).alias("_own"))
-    if order:
-        copy = F.struct(F.create_map(*before)[F.col("_part")].alias("_to"), F.lit(False).alias("_own"))
-        dealt = dealt.select("doc_id", "text", F.inline(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))))
-    else:
-        dealt = dealt.select("doc_id", "text", F.col("_part").alias("_to"), F.lit(True).alias("_own"))
-    return dealt.repartitionById(len(edges) + 1, "_to").sortWithinPartitions(~F.col("_own"), F.col("doc_id").isNull(), "doc_id", "text")
+    before = np.full(n + 1, -1, np.int32)  # the range before each, and before the first the last
+    for i, p in enumerate(order):
+        before[p] = order[i - 1]
+    first = np.array([heads.get(p) if heads.get(p) is not None else 0 for p in range(n + 1)], np.int64)
+    only_null = None in heads.values()  # a range of null ids alone
+
+    def copies_of(ids: pd.Series) -> pd.DataFrame:
+        at = parts_of(ids)
+        known = ids.notna().to_numpy()
+        is_head = (known & (ids.fillna(0).to_numpy(np.int64) == first[at])) | (~known & only_null & (at == n))
+        return pd.DataFrame({"to": at, "again": np.where(is_head, before[at], -1).astype(np.int32)})
+
+    spot = F.pandas_udf(copies_of, "to int, again int")
+    dealt = docs.select("doc_id", "text", spot("doc_id").alias("_spot"))
+    own, again = F.struct(F.col("_spot.to").alias("_to"), F.lit(True).alias("_own")), F.struct(F.col("_spot.again").alias("_to"), F.lit(False).alias("_own"))
+    dealt = dealt.select("doc_id", "text", F.inline(F.when(F.col("_spot.again") >= 0, F.array(own, again)).otherwise(F.array(own))))
+    return dealt.repartitionById(n + 1, "_to").sortWithinPartitions(~F.col("_own"), F.col("doc_id").isNull(), "doc_id", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -165,15 +178,15 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = WIDTH, partition
     """Fingerprints of every text and of its edited text (its second half replaced by the start of the next document).
 
     Null texts are empty. A single document is followed by itself. Rows of equal doc_id are ordered by text,
-    rows with a null doc_id come last. Texts are held one at a time, so very long ones need no more
-    memory than a few copies of themselves. An empty table gives no rows; other columns are not read.
+    rows with a null doc_id come last. Texts are held in portions of about a megabyte, a longer one alone.
+    Rows of one doc_id, and all rows of none, stay in one partition, as their texts decide their order. An empty table gives no rows; other columns are not read.
     """
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[bool, object, str, np.ndarray]]:
             for whole in batches:
-                for batch in slices(whole):
+                for batch in portions(whole, PORTION):
                     texts = [t or "" for t in batch.column("text").to_pylist()]
                     yield from zip(batch.column("_own").to_pylist(), batch.column("doc_id").to_pylist(), texts, sketches([t.encode() for t in texts], k, width), strict=True)
 
@@ -192,12 +205,14 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = WIDTH, partition
             return batch_of([(i, n, hashlib.sha256(data).hexdigest(), encode(s), encode(e), resemblance(s, e, k), resemblance(s, next_s, k)) for (i, n, s, data, next_s), e in zip(held, edited, strict=True)])
 
         out: list[tuple] = []
+        size = 0
         for i, t, s, next_t, next_s in pairs():
             half = len(t) // 2
             out.append((i, len(t), s, (t[: len(t) - half] + next_t[:half]).encode(), next_s))
-            if len(out) >= 256:
+            size += len(out[-1][3])
+            if size >= PORTION or len(out) >= 4096:
                 yield done(out)
-                out = []
+                out, size = [], 0
         if out:
             yield done(out)
 

@@ -3,15 +3,19 @@
 A response record is a row (record_id, target_uri, warc_date, http_headers, payload). For each, two records
 refer to it: a metadata record with the fields taken from the response, and a conversion record with the
 page as plain text. Identifiers are name-based on the digests, so building twice gives equal records.
-All is column expressions, so there is no shuffle and nothing to hold.
+There is no shuffle and nothing to hold; the text is taken from a page by an Arrow function of linear time.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import fresh, table
+from tallyforge.shipping import ship
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 CONVERTED = "text/plain; charset=utf-8"
@@ -29,17 +33,72 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
-def plain_text(html: Column) -> Column:
-    """Markup, scripts, styles and comments go, the five basic entities are resolved, blank runs become one space."""
-    t = F.regexp_replace(html, "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, "<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"[ \t\n\x0b\f\r]+", " "))
+_OPEN = re.compile("<script|<style|<!--", re.IGNORECASE | re.ASCII)
+_CLOSE = {"<script": re.compile("</script>", re.IGNORECASE | re.ASCII), "<style": re.compile("</style>", re.IGNORECASE | re.ASCII), "<!--": re.compile("-->")}
+_TAG, _BLANKS = re.compile("<[^>]*>"), re.compile(r"[ \t\n\x0b\f\r]+")
+_TITLE = re.compile("<title[^>]*>", re.IGNORECASE | re.ASCII)
+_TITLE_END = re.compile("</title>", re.IGNORECASE | re.ASCII)
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+
 
+def text_of(html: str) -> str:
+    """Markup, scripts, styles and comments go, the five basic entities are resolved, blank runs become one space.
 
-def title(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1), r"[ \t\n\x0b\f\r]+", " "))
+    Every search that fails once is not tried again, so time is linear in the page, whatever is left open in it.
+    """
+    out, at, failed = [], 0, set()
+    for m in _OPEN.finditer(html):
+        kind = m[0].lower()
+        if m.start() < at or kind in failed:
+            continue
+        inner = m.end() if kind == "<!--" else html.find(">", m.end()) + 1
+        end = _CLOSE[kind].search(html, inner) if inner else None
+        if end is None:
+            # nothing closes this one, so nothing closes a later one of the kind
+            failed.add(kind)
+            continue
+        out += [html[at : m.start()], " "]
+        at = end.end()
+    html = "".join([*out, html[at:]])
+    last = html.rfind(">") + 1
+    html = _TAG.sub(" ", html[:last]) + html[last:]
+    for entity, char in ENTITIES:
+        html = html.replace(entity, char)
+    return _BLANKS.sub(" ", html).strip(" ")
+
+
+def title_of(html: str) -> str:
+    start = _TITLE.search(html, 0, html.rfind(">") + 1)
+    end = _TITLE_END.search(html, start.end()) if start else None
+    return _BLANKS.sub(" ", html[start.end() : end.start()]).strip(" ") if end else ""
+
+
+_LINK, _HREF = re.compile(r"<a[ \t\n\x0b\f\r]", re.IGNORECASE | re.ASCII), re.compile("href=", re.IGNORECASE | re.ASCII)
+
+
+def links_of(html: str) -> int:
+    """How often a tag of an anchor has "href=" behind a blank: what <a\\s[^>]*href= finds, in linear time."""
+    n = at = 0
+    for m in _LINK.finditer(html):
+        if m.start() < at:
+            continue
+        end = html.find(">", m.end())
+        end = len(html) if end < 0 else end
+        last = None
+        for last in _HREF.finditer(html, m.end(), end):
+            pass
+        # what stands between the last one and the tag's end holds no other
+        n, at = n + (last is not None), end
+    return n
+
+
+def _parts():
+    """Defined in here, the function travels to the workers by value; what it calls comes with the package."""
+
+    def both(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"text": html.map(text_of), "title": html.map(title_of), "links": html.map(links_of)})
+
+    return F.pandas_udf(both, "text string, title string, links long")
 
 
 def responses(pages: DataFrame, date: str = WARC_DATE) -> DataFrame:
@@ -54,23 +113,29 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
     They carry the response's target_uri, warc_date and http_headers, its payload digest, and a digest and
     length of their own block. Null payloads, headers or dates count as empty; a null record_id stays null in
-    refers_to. Repeated responses give repeated records with equal ids. An empty table gives no rows.
+    refers_to. Repeated responses give repeated records with equal ids. An empty table gives no rows. Other
+    columns are passed on, but for those whose names the records have themselves.
     """
+    ship(responses.sparkSession)
+    reserved = {"record_id", "payload", "warc_type", "content_type", "block", "refers_to", "content_length", "block_digest", "payload_digest"}
+    names = [c for c in responses.columns if c.lower() not in reserved]
+    parts, hashed, text_ = (fresh(names, n) for n in ("_parts", "_payload_digest", "_text"))
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    source = responses.select("*", digest(payload).alias("_payload_digest"), plain_text(payload).alias("_text"), title(payload).alias("_title"))
+    source = responses.select(*names, "record_id", payload.alias("payload")).withColumn(parts, _parts()("payload"))
+    payload = F.col("payload")
+    source = source.withColumns({hashed: digest(payload), text_: F.col(f"{parts}.text")})
     fields = F.concat(
-        F.lit("via: "), F.coalesce("target_uri", F.lit("")), F.lit("\r\ntitle: "), F.col("_title"), F.lit("\r\npayload-length: "), F.octet_length(payload).cast("string"),
-        F.lit("\r\nlinks: "), F.regexp_count(payload, F.lit(r"(?i)<a\s[^>]*href=")).cast("string"), F.lit("\r\nconverted-digest: "), digest(F.col("_text")), F.lit("\r\n"),
+        F.lit("via: "), F.coalesce("target_uri", F.lit("")), F.lit("\r\ntitle: "), F.col(f"{parts}.title"), F.lit("\r\npayload-length: "), F.octet_length(payload).cast("string"),
+        F.lit("\r\nlinks: "), F.col(f"{parts}.links").cast("string"), F.lit("\r\nconverted-digest: "), digest(F.col(text_)), F.lit("\r\n"),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit(FIELDS).alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit(CONVERTED).alias("content_type"), F.col("_text").alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit(CONVERTED).alias("content_type"), F.col(text_).alias("block")),
     )
-    names = [c for c in responses.columns if c not in {"record_id", "payload", "warc_type", "content_type", "block"}]
-    out = source.select(*names, "record_id", "_payload_digest", F.inline(kinds))
+    out = source.select(*names, "record_id", hashed, F.inline(kinds))
     return out.select(
         *names, "warc_type", urn(F.col("warc_type"), F.col("record_id"), F.col("block")).alias("record_id"), F.col("record_id").alias("refers_to"),
-        "content_type", "block", F.octet_length("block").cast("long").alias("content_length"), digest(F.col("block")).alias("block_digest"), F.col("_payload_digest").alias("payload_digest"),
+        "content_type", "block", F.octet_length("block").cast("long").alias("content_length"), digest(F.col("block")).alias("block_digest"), F.col(hashed).alias("payload_digest"),
     )
 
 

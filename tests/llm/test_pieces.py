@@ -163,12 +163,12 @@ def test_tree_and_forests_equal_brute_force():
     s = list(shingle_sets(texts, 4))
     for percent in (60, 85, 100):
         link = {(i, j) for i in range(len(s)) for j in range(i) if 100 * len(np.intersect1d(s[i], s[j])) >= percent * len(np.union1d(s[i], s[j]))}
-        near = {(max(i, int(j)), min(i, int(j))) for i, js in jaccard._near_pairs(np.array([len(x) for x in s]), [jaccard._vector(x) for x in s], percent, None) for j in js}
+        near = {(max(i, int(j)), min(i, int(j))) for i, js in jaccard._near_pairs(np.array([len(x) for x in s]), [jaccard._vector(x) for x in s], percent) for j in js}
         assert link <= near
         assert components(len(s), jaccard.verified_forest(s, percent)) == components(len(s), link)
         side = np.array([i % 2 for i in range(len(s))])
         across = {(i, j) for i, j in link if side[i] != side[j]}
-        assert components(len(s), jaccard.verified_forest(s, percent, side)) == components(len(s), across)
+        assert components(len(s), jaccard.verified_forest(s, percent, apart=lambda i, near: near[side[near] != side[i]])) == components(len(s), across)
         for i, j in link:  # the prefixes of linked sets meet
             k = lambda x: set(np.sort(x)[: jaccard.prefix_length(len(x), percent)].tolist())
             assert k(s[i]) & k(s[j])
