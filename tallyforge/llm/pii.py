@@ -1,10 +1,10 @@
 """Personal data: exact base patterns, and spans added by a character-level BiLSTM with CRF transitions.
 
-The tagger is trained in numpy from labelled spans (made-up ones unless others are given). It reads the
-regions of a text around digits, at-signs and bracketed ones (in either case), in overlapping windows; the
-windows' scores are merged and one best tag path is found for each whole region. As every kind needs such a
-trigger, and a region ends only where a run of an address's characters does, text outside of these regions can
-hold no span. An exact check of each added span follows, and an address grows to its whole run; base spans stay.
+The tagger is trained in numpy from labelled spans (made-up ones unless others are given). It reads every whole text in
+overlapping windows; the windows' scores are merged and one best tag path is found for the whole text. What it marks beyond
+the base spans are addresses spelt with "[at]", card and phone numbers that the base rules leave out, secrets
+(keys and tokens) and account numbers (IBAN). An added span loses foreign characters at its ends, an address or a secret grows
+to its whole run, and a check of the form follows, so that plain numbers stay; base spans always stay.
 """
 
 from __future__ import annotations
@@ -19,20 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import tagger
-from tallyforge.llm.common import arrow_map, slices, table
+from tallyforge.llm.common import arrow_map, portions, table
 
 KINDS = tagger.KINDS
-#: Characters around a trigger that the tagger reads with it.
-CONTEXT = 24
 #: Labelled texts the tagger is trained on by default, and the steps.
-EXAMPLES, STEPS = 4_000, 260
+EXAMPLES, STEPS = 12_000, 1_000
+#: Bytes of texts that are tagged at once; a longer text is tagged alone.
+PORTION = 1 << 18
 
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.IGNORECASE)
+#: Every base kind has a digit or an at-sign.
+_BASE = re.compile(r"[0-9@]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
 _HOST = re.compile(r"[A-Za-z0-9.-]*")
 _AT = re.compile(r"@|[\[(] ?at ?[\])]", re.IGNORECASE)
+_TOKEN = re.compile(r"[A-Za-z0-9_+/=-]")
 # possessive runs of digits behind a non-digit match what the plain pattern matches, in linear time
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -87,13 +88,15 @@ def joined(spans: list[Span]) -> str:
 
 
 #: Characters a span of a kind may begin and end with; others at its ends are cut off before the check.
-_ENDS = (re.compile(r"[A-Za-z0-9]"), re.compile(r"[0-9]"), re.compile(r"[0-9]"), re.compile(r"[0-9]"))
-_STARTS = (_ENDS[0], _ENDS[1], _ENDS[2], re.compile(r"[0-9+(]"))
+_ENDS = (re.compile(r"[A-Za-z0-9]"), re.compile(r"[0-9]"), re.compile(r"[0-9]"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z0-9=]"), re.compile(r"[A-Za-z0-9]"))
+_STARTS = (_ENDS[0], _ENDS[1], _ENDS[2], re.compile(r"[0-9+(]"), re.compile(r"[A-Za-z0-9]"), re.compile(r"[A-Za-z]"))
 _WHOLE = (
-    re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.IGNORECASE),
+    re.compile(r"[A-Za-z0-9._%+-]+(?:(?:@| ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.IGNORECASE),
     re.compile(r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"),
     re.compile(r"(?:[0-9][ -]?){13,18}[0-9]"),
     re.compile(r"\+?[0-9(][ ().0-9-]+[0-9]"),
+    re.compile(r"[A-Za-z0-9_+/=-]{20,}"),
+    re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", re.IGNORECASE),
 )
 
 
@@ -105,7 +108,7 @@ def checked(text: str, span: Span) -> Span | None:
     while end > start and not _ENDS[kind].match(text[end - 1]):
         end -= 1
     value = text[start:end]
-    if not value or len(value) > 320 or not _WHOLE[kind].fullmatch(value):
+    if not value or not _WHOLE[kind].fullmatch(value):
         return None
     if kind and ((start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())):
         return None
@@ -113,50 +116,34 @@ def checked(text: str, span: Span) -> Span | None:
         digits = sum(map(str.isdigit, value))
         if not 10 <= digits <= 15 or value[0] != "+" and (digits == len(value) or digits > 11):
             return None
+    if kind == 4 and (sum(map(str.isdigit, value)) < 4 or sum(map(str.isalpha, value)) < 4):
+        return None
+    if kind == 5:
+        plain = value.replace(" ", "")
+        if tagger.iban_rest(plain[4:] + plain[:4]) != 1:
+            return None
     return kind, start, end
 
 
 def grown(text: str, span: Span) -> Span:
-    """An address that the tagger marked in part, with the rest of its runs on either side; other spans as they are."""
+    """An address or a secret that the tagger marked in part, with the rest of its run on either side; other spans as they are."""
     kind, start, end = span
+    if kind == 4:
+        while start and _TOKEN.match(text[start - 1]):
+            start -= 1
+        while end < len(text) and _TOKEN.match(text[end]):
+            end += 1
     if kind or not _AT.search(text, start, end):
-        return span
+        return kind, start, end
     while start and _LOCAL.match(text[start - 1]):
         start -= 1
     return kind, start, _HOST.match(text, end).end()
 
 
-def regions(text: str, context: int = CONTEXT) -> list[tuple[int, int]]:
-    """Stretches around triggers, merged where they overlap. An end inside a run of an address's characters moves to the run's end."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - context), min(len(text), m.end() + context)
-        last = out[-1][1] if out else 0
-        if b <= last:
-            continue
-        while a > last and _LOCAL.match(text[a]) and _LOCAL.match(text[a - 1]):
-            a -= 1
-        if _LOCAL.match(text[b - 1]):
-            b = _RUN.match(text, b).end()
-        if out and a <= last:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
-
-
 def found_spans(model: dict[str, np.ndarray], texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """For each text the base spans and the tagger's that pass the check and touch no base span."""
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
-    if not where:
-        return base
-    scores = tagger.region_scores(model, [tagger.codes(texts[i][a:b]) for i, a, b in where])
-    added: list[list[list[Span]]] = [[] for _ in texts]
-    for (i, a, _), tags in zip(where, tagger.viterbi(model, scores), strict=True):
-        for kind, start, end in tagger.spans_of(tags):
-            span = kind, a + start, a + end
-            # as marked where the whole of it does not pass, or touches a base span
-            added[i].append([s for s in (checked(texts[i], grown(texts[i], span)), checked(texts[i], span)) if s])
+    # as marked where the whole of it does not pass, or touches a base span
+    added = [[[s for s in (checked(t, grown(t, span)), checked(t, span)) if s] for span in spans] for t, spans in zip(texts, tagger.marked(model, texts), strict=True)]
     out = []
     for b, more in zip(base, added, strict=True):
         taken = sorted((s, e) for _, s, e in b)
@@ -194,13 +181,12 @@ def personal_data(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()
         for whole in batches:
-            for batch in slices(whole, 1024):
+            for batch in portions(whole, PORTION):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                rows = [(0, 0, 0, 0, nothing, "")] * len(texts)
-                some = [i for i, t in enumerate(texts) if _TRIGGER.search(t)]
-                base = [base_spans(texts[i]) for i in some]
-                for i, b, spans in zip(some, base, found_spans(model, [texts[i] for i in some], base), strict=True):
-                    rows[i] = (*(sum(k == kind for k, _, _ in b) for kind in range(4)), hashlib.sha256(joined(b).encode()).hexdigest(), joined(spans))
+                base = [base_spans(t) if _BASE.search(t) else [] for t in texts]
+                rows = []
+                for b, spans in zip(base, found_spans(model, texts, base), strict=True):
+                    rows.append((*(sum(k == kind for k, _, _ in b) for kind in range(4)), hashlib.sha256(joined(b).encode()).hexdigest() if b else nothing, joined(spans)))
                 types = [pa.int64()] * 4 + [pa.string()] * 2
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[f.split()[0] for f in SCHEMA.split(", ")])
@@ -211,7 +197,8 @@ def personal_data(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -
 def masked(docs: DataFrame, model: dict[str, np.ndarray] | None = None, form: str = "[{}]") -> DataFrame:
     """Documents with each span replaced by its kind's name; the other columns and the order of columns stay.
 
-    A null text stays null. ``n_chars``, where it is a column, follows the new text.
+    A null text stays null, an empty one empty; repeated rows get equal texts, a null doc_id is like any other, long texts are
+    read whole, an empty table gives no rows. ``n_chars``, where it is a column, follows the new text.
     """
     model = model or default_model()
     columns = docs.columns
@@ -219,12 +206,11 @@ def masked(docs: DataFrame, model: dict[str, np.ndarray] | None = None, form: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1024):
+            for batch in portions(whole, PORTION):
                 texts = batch.column("text").to_pylist()
-                some = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
-                base = [base_spans(texts[i]) for i in some]
-                for i, spans in zip(some, found_spans(model, [texts[i] for i in some], base), strict=True):
-                    texts[i] = replaced(texts[i], spans, form)
+                base = [base_spans(t) if t and _BASE.search(t) else [] for t in texts]
+                spans = found_spans(model, [t or "" for t in texts], base)
+                texts = [replaced(t, s, form) if s else t for t, s in zip(texts, spans, strict=True)]
                 at = batch.schema.get_field_index("text")
                 yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
 

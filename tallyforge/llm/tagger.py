@@ -6,12 +6,17 @@ import random
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban")
 #: Outside, then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 #: Characters 32-126 one by one, then line ends and tabs, letters beyond ASCII, all others.
 SYMBOLS = 95 + 3
-WINDOW, STRIDE = 64, 32
+#: Characters of a training text.
+WINDOW = 64
+#: Characters the tagger reads at once in a text, and from one such window to the next.
+READ, STRIDE = 256, 224
+#: Transitions stay within this, so that characters that are plainly outside can be told by their own scores (may_be_inside()).
+MOST_TRANSITION = 1.5
 
 
 def codes(text: str) -> np.ndarray:
@@ -28,14 +33,21 @@ def examples(n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int, int]
     """Labelled texts: made-up words around made-up personal data, and around numbers that are none. Spans are (kind, start, end)."""
     r = random.Random(seed)
     syllables = ["an", "ber", "che", "do", "en", "fi", "ga", "ho", "ing", "ja", "ko", "le", "mi", "ne", "or", "pa", "qui", "re", "st", "tion", "un", "ver", "wa", "xo", "yl", "zu", "é", "ö", "ñ", "ß"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    letters = "eeeeettttaaaaooooiiiinnnnsssshhhrrrrddlllcccuuummwfgypbvkxqjzéèêàçùñöäüßíóú"
+
+    def word() -> str:
+        """Of syllables or of letters, at times with a capital or all in capitals."""
+        w = "".join(r.choice(syllables) for _ in range(r.randint(1, 5))) if r.random() < 0.4 else "".join(r.choice(letters) for _ in range(r.choice([1, 2, 2, 3, 3, 4, 5, 6, 7, 8, 9, 11, 14])))
+        u = r.random()
+        return w.capitalize() if u < 0.15 else w.upper() if u < 0.18 else w
+
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     plain = lambda: "".join(c for c in word() if c.isascii()) or "ab"
 
     def email() -> str:
         name = plain() + r.choice(["", ".", "_", "-", "+"]).join(["", plain() if r.random() < 0.5 else digits(2)])
         host = plain() + r.choice(["", digits(1)]) + "." + r.choice(["com", "org", "net", "example.com", "de", "fr", "co.uk"])
-        return r.choice([name + "@" + host] * 5 + [name + " [at] " + host, name + " (at) " + host])
+        return r.choice([name + "@" + host] * 5 + [name + " [at] " + host, name + " (at) " + host, name + "[at]" + host])
 
     def ip() -> str:
         return ".".join(str(r.randint(0, 255)) for _ in range(4))
@@ -51,29 +63,43 @@ def examples(n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int, int]
         a, b, c = digits(3), digits(3), digits(4)
         return r.choice(["+{} ({}) {}-{}", "+{} ({}) {}-{}", "+{} {} {} {}", "+{}-{}-{}-{}", "+{}{}{}{}"]).format(r.randint(1, 99), a, b, c) if r.random() < 0.7 else r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(a, b, c)
 
+    def secret() -> str:
+        k = r.choice([20, 24, 32, 32, 40, 40, 40, 64])
+        hexed, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        return r.choice(["", "", "", "sk-", "AKIA", "ghp_"]) + "".join(r.choice(hexed if k >= 32 and k != 64 or r.random() < 0.5 else mixed) for _ in range(k))
+
+    def iban() -> str:
+        land = r.choice(["DE", "FR", "ES", "GB", "NL", "IT", "AT", "PT"])
+        body = digits(r.randint(11, 24)) if r.random() < 0.7 else "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) + digits(r.randint(10, 16))
+        whole = land + f"{98 - iban_rest(body + land + '00'):02}" + body
+        return whole if r.random() < 0.4 else " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
+
     def other() -> str:
         """Numbers and signs that are no personal data."""
         return r.choice(
             [
                 lambda: digits(r.randint(1, 9)), lambda: f"{r.randint(0, 99)}.{r.randint(0, 9)}", lambda: f"{r.randint(1900, 2050)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}",
                 lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: f"{r.randint(1, 999)},{digits(3)}.{digits(2)}",
-                lambda: '"' + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 32, 40]))) + '"', lambda: "@" + plain(), lambda: "(" + digits(4) + ")", lambda: "$" + digits(r.randint(1, 6)),
+                lambda: '"' + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([4, 6, 8]))) + '"', lambda: "@" + plain(), lambda: "(" + digits(4) + ")", lambda: "$" + digits(r.randint(1, 6)),
                 lambda: digits(r.randint(24, 40)), lambda: f"{r.randint(0, 999)}/{r.randint(0, 999)}", lambda: plain() + digits(3), lambda: "+" + digits(2) + "%",
             ]
         )()
 
-    makers = [email, ip, card, phone]
+    makers = [email, ip, card, phone, secret, iban]
+    shares = [2, 2, 4, 4, 2, 1]
     out = []
     for _ in range(n):
         text, spans = "", []
-        upper, tail = r.random() < 0.1, r.choice(["", "", "", "", "!!", "###", "%%%", "$$$", "***", "&&&", " |"])
+        plain_text, upper, tail = r.random() < 0.35, r.random() < 0.1, r.choice(["", "", "", "", "!!", "###", "%%%", "$$$", "***", "&&&", " |"])
         while len(text) < WINDOW:
             u = r.random()
-            kind = r.randrange(4) if u < 0.22 else None
-            piece = makers[kind]() if kind is not None else other() if u < 0.4 else word() + r.choice(["", "", ",", "."])
+            kind = r.choices(range(len(makers)), shares)[0] if u < 0.25 and not plain_text else None
+            piece = makers[kind]() if kind is not None else other() if u < (0.03 if plain_text else 0.42) else word() + r.choice(["", "", "", "", ",", ".", "-" + word(), "'" + word(), ";", "?"])
             piece = piece.upper() if upper else piece
             if kind is not None and r.random() < 0.1:
                 text += r.choice(["(", "<", '"', ":"])
+            if kind == 4 and r.random() < 0.5:
+                text += r.choice(['token = "', 'key: ', 'secret="', "api_key = '"])
             if kind is not None:
                 spans.append((kind, len(text), len(text) + len(piece)))
             text += piece + (r.choice([".", ",", ")", ";"]) if r.random() < 0.15 else "") + tail + r.choice([" ", " ", " ", "\n"])
@@ -85,6 +111,11 @@ def examples(n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int, int]
     return out
 
 
+def iban_rest(text: str) -> int:
+    """The remainder by 97 of digits and letters, letters counting from 10."""
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
 def tags_of(length: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     tags = np.zeros(length, np.int64)
     for kind, start, end in spans:
@@ -197,8 +228,8 @@ def _crf(p: dict[str, np.ndarray], scores: np.ndarray, tags: np.ndarray) -> tupl
     return float((z - gold).mean()), {"transition": d_trans / rows, "first": d_first / rows}, grad / rows
 
 
-def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], hidden: int = 20, embedding: int = 12, steps: int = 260, rows: int = 160, rate: float = 0.012, seed: int = 3) -> dict[str, np.ndarray]:
-    """Fits the tagger to labelled texts of WINDOW characters, by Adam on the CRF's likelihood."""
+def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], hidden: int = 16, embedding: int = 12, steps: int = 1000, rows: int = 160, rate: float = 0.015, seed: int = 3, joint: int = 150) -> dict[str, np.ndarray]:
+    """Fits the tagger to labelled texts of WINDOW characters by Adam: on the characters' own likelihoods at first, which is cheap, in the last ``joint`` steps on the CRF's."""
     x = np.full((len(labelled), WINDOW), SYMBOLS - 3)
     y = np.zeros((len(labelled), WINDOW), np.int64)
     for i, (text, spans) in enumerate(labelled):
@@ -210,7 +241,15 @@ def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], hidden: int =
     for step in range(1, steps + 1):
         pick = g.integers(0, len(x), rows)
         scores, (emb, h, held_a, held_b) = emissions(p, x[pick], True)
-        _, grads, d = _crf(p, scores, y[pick].T)
+        tags = y[pick].T
+        if step > steps - joint:
+            _, grads, d = _crf(p, scores, tags)
+        else:
+            d = np.exp(scores - scores.max(2, keepdims=True))
+            d /= d.sum(2, keepdims=True)
+            np.put_along_axis(d, tags[:, :, None], np.take_along_axis(d, tags[:, :, None], 2) - 1, 2)
+            d /= rows
+            grads = {k: np.zeros_like(p[k]) for k in ("transition", "first")}
         d = d.astype(np.float32)
         flat = d.reshape(-1, TAGS)
         grads["out"], grads["out_bias"] = h.reshape(len(flat), -1).T @ flat, flat.sum(0)
@@ -228,28 +267,147 @@ def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], hidden: int =
             m[k] = 0.9 * m[k] + 0.1 * a
             v[k] = 0.99 * v[k] + 0.01 * a * a
             p[k] = (p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        for k in ("transition", "first"):
+            p[k] = np.clip(p[k], -MOST_TRANSITION, MOST_TRANSITION)
     return p
 
 
-def region_scores(p: dict[str, np.ndarray], regions: list[np.ndarray], rows: int = 512) -> list[np.ndarray]:
-    """Scores of each character of each region: those of the overlapping windows, weighted by the distance from a window's edge."""
-    place, windows = [], []
-    for r, region in enumerate(regions):
-        for start in range(0, max(1, len(region) - STRIDE), STRIDE):
-            w = np.full(WINDOW, SYMBOLS - 3)
-            part = region[start : start + WINDOW]
-            w[: len(part)] = part
-            windows.append(w)
-            place.append((r, start, len(part)))
-    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-    sums = [np.zeros((len(x), TAGS), np.float32) for x in regions]
-    shares = [np.zeros((len(x), 1), np.float32) for x in regions]
-    for a in range(0, len(windows), rows):
-        scores, _ = emissions(p, np.stack(windows[a : a + rows]))
-        for j, (r, start, n) in enumerate(place[a : a + rows]):
-            sums[r][start : start + n] += scores[:n, j] * weight[:n]
-            shares[r][start : start + n] += weight[:n]
-    return [s / w for s, w in zip(sums, shares, strict=True)]
+def _reader(p: dict[str, np.ndarray], way: str) -> tuple[np.ndarray, np.ndarray]:
+    """What each symbol adds to the gates, and the recurrent weights; the gates' halves, so that one tanh serves for all."""
+    hidden, width = p[way].shape[1] // 4, p["embedding"].shape[1]
+    half = np.where(np.arange(4 * hidden) < 3 * hidden, 0.5, 1.0).astype(np.float32)
+    return (p["embedding"] @ p[way][:width] + p[way + "_bias"]) * half, p[way][width:] * half
+
+
+def _states(table: np.ndarray, recurrent: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """(steps, rows) symbols -> (steps, rows, hidden); the same as _lstm() without what training needs."""
+    steps, rows = symbols.shape
+    hidden = recurrent.shape[0]
+    out = np.empty((steps, rows, hidden), np.float32)
+    h, c, z = np.zeros((rows, hidden), np.float32), np.zeros((rows, hidden), np.float32), np.empty((rows, 4 * hidden), np.float32)
+    for t in range(steps):
+        np.matmul(h, recurrent, out=z)
+        z += table[symbols[t]]
+        np.tanh(z, out=z)
+        gates = z[:, : 3 * hidden]
+        gates += 1
+        gates *= 0.5
+        c = z[:, hidden : 2 * hidden] * c
+        c += z[:, :hidden] * z[:, 3 * hidden :]
+        h = z[:, 2 * hidden : 3 * hidden] * np.tanh(c)
+        out[t] = h
+    return out
+
+
+def surely_outside(p: dict[str, np.ndarray]) -> float:
+    """By how much "outside" must lead all other tags of a character for the best path to pass through it, whatever stands around."""
+    trans, first = p["transition"], p["first"]
+    after = (trans[1:] - trans[0]).max(1)  # what any other tag gains over "outside" towards the next one
+    before = max(float(trans[a, tag] - trans[a, 0] + after[tag - 1]) for a in range(TAGS) for tag in range(1, TAGS))
+    return max(before, float((first[1:] - first[0] + after).max()), 0.0) + 1e-3
+
+
+def may_be_inside(p: dict[str, np.ndarray], leads: np.ndarray) -> np.ndarray:
+    """Which characters the best path may pass by another tag than "outside", by how far that leads at each.
+
+    A stretch of other tags gains at most what these lead by at its characters, the best transition between two of them for each step, and
+    the best ways in and out. A character is in question only if the best stretch around it, from sums to both sides, gains.
+    """
+    trans, first = p["transition"], p["first"]
+    step = float((trans[1:, 1:] - trans[0, 0]).max())
+    ends = max(float((trans[0, 1:] - trans[0, 0]).max()), float((first[1:] - first[0]).max())) + max(float((trans[1:, 0] - trans[0, 0]).max()), 0.0) - step
+    gain = step - leads.astype(np.float64)
+
+    def best(g: np.ndarray) -> np.ndarray:
+        """The best sum of a stretch that ends at each place."""
+        sums = np.cumsum(g)
+        return sums - np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]]))
+
+    return best(gain) + best(gain[::-1])[::-1] - gain + ends > -1e-3
+
+
+def marked(p: dict[str, np.ndarray], texts: list[str], rows: int = 512) -> list[list[tuple[int, int, int]]]:
+    """(kind, start, end) of each whole text: overlapping windows are read, their scores merged by the distance from a window's
+    edge, and one best path over the text is found. Where "outside" surely leads, the path is known, so that only the stretches
+    between go through the search; scores are held for these alone."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    flat = np.concatenate([codes(t) for t in texts if t]).astype(np.int16) if sizes.sum() else np.zeros(0, np.int16)
+    starts, ends = [], []
+    for at, n in zip(offsets.tolist(), sizes.tolist(), strict=True):
+        if n:
+            own = np.arange(at, at + max(1, n - (READ - STRIDE)), STRIDE)
+            starts.append(own)
+            ends.append(np.minimum(own + READ, at + n))
+    if not starts:
+        return [[] for _ in texts]
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    ahead, back = _reader(p, "forward"), _reader(p, "backward")
+    hidden = ahead[1].shape[0]
+    weight = np.minimum(np.arange(1, READ + 1), np.arange(READ, 0, -1)).astype(np.float32)
+    sure = surely_outside(p)
+    kept_at, kept, leads = [], [], []
+    # what the windows so far left at places that the next ones reach as well
+    rest_at, rest_sum, rest_share = 0, np.zeros((0, TAGS), np.float32), np.zeros(0, np.float32)
+    for a in range(0, len(starts), rows):
+        some, upto = starts[a : a + rows], ends[a : a + rows]
+        places = some[:, None] + np.arange(READ)
+        inside = places < upto[:, None]
+        whole = bool(inside.all())
+        symbols = (flat[places] if whole else np.where(inside, flat[np.minimum(places, len(flat) - 1)], SYMBOLS - 3)).T
+        scores = _states(*ahead, symbols) @ p["out"][:hidden]
+        scores += _states(*back, symbols[::-1])[::-1] @ p["out"][hidden:] + p["out_bias"]
+        scores *= weight[:, None, None]
+        scores = scores.transpose(1, 0, 2)
+        low, high = int(some[0]), int(upto[-1])
+        sums, shares = np.zeros((high - low, TAGS), np.float32), np.zeros(high - low, np.float32)
+        n = len(rest_share)
+        sums[rest_at - low : rest_at - low + n] = rest_sum
+        shares[rest_at - low : rest_at - low + n] = rest_share
+        share = np.broadcast_to(weight, places.shape)
+        for odd in (0, 1):  # windows next but one do not overlap, so that their places are distinct
+            at, x, w = places[odd::2] - low, scores[odd::2], share[odd::2]
+            if not whole:
+                mask = inside[odd::2]
+                at, x, w = at[mask], x[mask], w[mask]
+            sums[at] += x
+            shares[at] += w
+        # the next window, if it is of the same text, begins within the last one
+        done = min(high, int(starts[a + rows])) if a + rows < len(starts) else high
+        rest_at, rest_sum, rest_share = done, sums[done - low :], shares[done - low :]
+        final = sums[: done - low] / shares[: done - low, None]
+        other = final[:, 1].copy()
+        for k in range(2, TAGS):
+            np.maximum(other, final[:, k], out=other)
+        lead = final[:, 0] - other
+        open_ = np.flatnonzero(lead <= sure)
+        kept_at.append(open_ + low)
+        kept.append(final[open_])
+        leads.append(lead)
+    # every place has its lead: texts without characters have none, and windows reach all others in order
+    inner = may_be_inside(p, np.concatenate(leads))
+    kept = [x[inner[at]] for x, at in zip(kept, kept_at, strict=True)]
+    kept_at = [at[inner[at]] for at in kept_at]
+    at, scores = np.concatenate(kept_at), np.concatenate(kept)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    if not len(at):
+        return out
+    of = np.searchsorted(offsets, at, "right") - 1
+    while (empty := sizes[of] == 0).any():
+        of = np.where(empty, of - 1, of)
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(of) != 0)) + 1
+    runs = list(zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True))
+    trans, first = p["transition"], p["first"]
+    for a, b in runs:
+        text = of[a]
+        if at[a] > offsets[text]:
+            scores[a] += trans[0] - first
+        if at[b - 1] + 1 < offsets[text] + sizes[text]:
+            scores[b - 1] += trans[:, 0]
+    for (a, _), tags in zip(runs, viterbi(p, [scores[a:b] for a, b in runs]), strict=True):
+        base = int(at[a] - offsets[of[a]])
+        out[of[a]].extend((kind, base + x, base + y) for kind, x, y in spans_of(tags))
+    return out
 
 
 def viterbi(p: dict[str, np.ndarray], scores: list[np.ndarray], rows: int = 256) -> list[np.ndarray]:

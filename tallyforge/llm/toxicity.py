@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-1. Voters: words and word beginnings of a given lexicon, and those that a bounded sample of labelled rows
-   associates with toxic texts. Besides them stand patterns (shouting, exclamations, no hit at all).
-2. A generative label model estimates by expectation-maximisation how often each voter votes and how
-   accurate it is, and, from the covariances that remain given the latent label, which voters repeat each
+1. Voters. A lexicon written down from general usage, a voter a word. Words and word beginnings that a bounded sample of labelled
+   rows associates with toxic texts: in a language the lexicon does not reach nothing else tells them. Patterns (shouting, runs of
+   exclamation marks, masked words, a hit near an address, several hits, no hit at all).
+2. A generative label model estimates by expectation-maximisation, from the votes and the classes' shares alone, how often
+   each voter votes and how accurate it is, and, from the covariances that remain given the latent label, which voters repeat each
    other; correlated voters share their weight. It yields a posterior label for each sampled text.
-3. A linear classifier over word and word-beginning features is trained on the posterior labels.
+3. A linear classifier over those word and word-beginning features that tell the posterior labels apart is trained on these labels.
 4. The classifier's slope and bias are calibrated on the sampled labels, weighted to the classes' shares
    among all labels that may be learned from.
 5. Every whole text is scored by the classifier.
@@ -28,33 +29,76 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import CACHE_WORDS, arrow_map, table, texts_of, written
 
 FOLDS = 5
-#: The bounded sample that the voters and the classifier are fitted on: rows of each class.
+#: The bounded sample that the voters' model and the classifier are fitted on: rows of each class.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 6_000
-#: Features the classifier may have, and voters learned from the sample.
-FEATURES, VOTERS = 2_000, 300
-SHORTEST, LONGEST = 4, 9
-#: The least log-likelihood ratio of a feature, of thousands that are looked at.
+#: The least log-likelihood ratio of a learned voter, of tens of thousands of features that are looked at.
 EVIDENCE = 16.0
-LEXICON = ("idiot", "moron", "stupid", "trash", "scum", "loser", "clown", "pathetic", "disgusting", "worthless")
+#: Texts of the sample a feature must be in for a weight.
+LEAST_TEXTS = 3
+#: What a weight loses to zero at each step, per unit of it.
+PENALTY = 2e-4
+# Common insults, slurs on a person's mind, worth or looks, threats and swear words of English, French, German and Spanish, as
+# any dictionary marks them; listed from general usage, in the order of the alphabet.
+LEXICON = {
+    "en": """ass asshole bastard bitch bloody bozo bullshit clown coward cretin crap creep cunt damn deadbeat despicable dickhead dimwit dirtbag disgrace disgusting douche dumb dumbass
+        dunce dupe failure fake fathead filth filthy fool freak fuck fucking garbage goon greedy gross halfwit hate hideous hypocrite idiot idiotic ignorant imbecile incompetent jackass jerk
+        kill liar loser lousy lowlife lunatic maggot moron moronic nasty nitwit oaf obnoxious pathetic pig prick psycho punk rat repulsive retard rotten scum scumbag shameful shit
+        shut sicko sleaze slimy slob slut smug sucker sucks stupid swine terrible thug trash trashy twit ugly useless vermin vile weakling weirdo whiner whore wimp worthless wretched""",
+    "fr": "abruti andouille bouffon connard connasse crétin débile dégoûtant idiote imbécile merde minable nul ordure pourri putain raclure salaud salope taré",
+    "de": "arschloch blödmann depp dreckig dummkopf ekelhaft erbärmlich hurensohn idioten miststück nichtsnutz scheiße schlampe schwachkopf schwein trottel versager vollidiot wertlos widerlich",
+    "es": "asqueroso basura bobo cabrón cerdo estúpido gilipollas idiotas imbécil inútil maldito mierda patético payaso perdedor puta tonto",
+}
+WORDS = tuple(sorted({w for words in LEXICON.values() for w in words.split()}))
 
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_MASKED = re.compile(r"^[A-Za-z]{1,3}[*#@$%]{2,}[A-Za-z]{0,3}$")
+_ADDRESS = frozenset({"you", "your", "you're", "youre", "ur", "tu", "toi", "vous", "du", "dich", "dir", "tú", "ti", "eres"})
+#: Words on either side of an insult in which an address counts as near.
+NEAR = 3
+
+
+def bare(word: bytes) -> str:
+    """A word as it stands in a text, lower-case and without signs and digits at its ends."""
+    return _EDGE.sub("", word.decode("utf-8", "replace").lower())
+
+
+def beginnings(n: int) -> Iterator[int]:
+    """Lengths of the beginnings of a word of n letters that are features: from 4 one by one, beyond 10 ever fewer."""
+    k = 4
+    while k < n:
+        yield k
+        k += max(1, (k - 4) // 6)
 
 
 def features_of(word: bytes) -> list[str]:
     """Of a word as it stands in a text: the bare word after "=", its beginnings after "^"."""
-    bare = _EDGE.sub("", word.decode("utf-8", "replace").lower())
-    if len(bare) < 3:
-        return []
-    return ["=" + bare, *("^" + bare[:n] for n in range(SHORTEST, min(LONGEST, len(bare) - 1) + 1))]
+    w = bare(word)
+    return ["=" + w, *("^" + w[:n] for n in beginnings(len(w)))] if w else []
+
+
+PATTERNS = 7
 
 
-def patterns_of(text: bytes, words: list[bytes]) -> list[int]:
-    """Votes of the patterns that need no lexicon: shouting, exclamations, symbols."""
-    n = max(1, len(words))
-    return [int(2 * sum(map(bytes.isupper, words)) > n), int(10 * text.count(b"!") > n), int(5 * (text.count(b"*") + text.count(b"#")) > n)]
+def seats_of(learned: Iterable[str]) -> dict[str, int]:
+    """The voter's place of each feature: the lexicon's words and their plurals first, then learned features."""
+    seats = {"=" + w + end: i for i, w in enumerate(WORDS) for end in ("s", "")}
+    for f in learned:
+        seats.setdefault(f, max(seats.values()) + 1)
+    return seats
 
 
-PATTERNS = 3
+def votes_of(text: bytes, seats: dict[str, int]) -> tuple[list[int], list[int]]:
+    """The places of the words' voters in a text, and the patterns' votes: 1 toxic, -1 clean, 0 none."""
+    raw = text.split()
+    n = max(1, len(raw))
+    of = {w: places for w in set(raw) if (places := {seats[f] for f in features_of(w) if f in seats})}
+    at = [i for i, w in enumerate(raw) if w in of] if of else []
+    address = any(bare(w) in _ADDRESS for i in at for w in raw[max(0, i - NEAR) : i + NEAR + 1])
+    patterns = [
+        int(2 * sum(map(bytes.isupper, raw)) > n), int(b"!!" in text), int(any(_MASKED.match(w.decode("utf-8", "replace")) for w in set(raw) if b"*" in w or b"#" in w)),
+        int(address), int(len(of) > 1), int(100 * len(at) > n), -int(not at),
+    ]
+    return sorted(set().union(*of.values())), patterns
 
 
 def training_rows(labels: DataFrame) -> DataFrame:
@@ -64,18 +108,21 @@ def training_rows(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[DataFrame, float]:
-    """A bounded sample (text, _toxic) by hash of the id, and the share of toxic rows among all that may be learned from."""
+    """A bounded sample (text, _toxic), the labelled rows of each class with the smallest hashes of their ids, and the share of toxic rows among all that may be learned from.
+
+    A text that is there with several labels is toxic if one says so.
+    """
     rows = training_rows(labels)
     count = {r._toxic: r["count"] for r in rows.groupBy("_toxic").count().collect()}
     n1, n0 = count.get(1, 0), count.get(0, 0)
-    part = (F.xxhash64("doc_id", F.lit(11)) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
-    few = rows.where(part < F.when(F.col("_toxic") == 1, min(1.0, toxic / max(1, n1))).otherwise(min(1.0, clean / max(1, n0))))
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "_toxic").dropDuplicates(["text"])
+    first = lambda y, n: rows.where(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(n)
+    few = first(1, toxic).unionByName(first(0, clean))  # at most toxic + clean rows, so it is broadcast
+    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("text").agg(F.max("_toxic").alias("_toxic"))
     return picked, n1 / max(1, n0 + n1)
 
 
-def associations(picked: DataFrame, least: int = 3, evidence: float = EVIDENCE) -> list[tuple[str, int, int]]:
-    """Features in at least ``least`` toxic texts of the sample with their numbers of toxic and clean texts, best first."""
+def vocabulary(picked: DataFrame, least: int = LEAST_TEXTS, evidence: float = EVIDENCE) -> tuple[list[str], list[str]]:
+    """The features in at least so many texts of the sample, and those of them that go with toxic labels; the sample bounds their number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter(), Counter()
@@ -85,7 +132,7 @@ def associations(picked: DataFrame, least: int = 3, evidence: float = EVIDENCE)
         names = list(found[0] | found[1])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "toxic", "clean"])
 
-    counts = arrow_map(picked, run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = arrow_map(picked, run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= least)
     n = {r._toxic: r["count"] for r in picked.groupBy("_toxic").count().collect()}
     n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
     # Dunning's log-likelihood ratio: the evidence that the two classes' rates differ at all
@@ -93,43 +140,49 @@ def associations(picked: DataFrame, least: int = 3, evidence: float = EVIDENCE)
     part = lambda count, n, all_, all_n: F.when(count > 0, count * F.log(count * all_n / (n * all_))).otherwise(0.0)
     absent = total - both
     ratio = 2 * (part(F.col("toxic"), n1, both, total) + part(F.col("clean"), n0, both, total) + part(n1 - F.col("toxic"), n1, absent, total) + part(n0 - F.col("clean"), n0, absent, total))
-    best = counts.where((F.col("toxic") >= least) & (F.col("toxic") / n1 > 2 * F.col("clean") / n0)).withColumn("_ratio", ratio).where(F.col("_ratio") >= evidence)
-    best = best.orderBy(F.desc("_ratio"), "feature").limit(FEATURES)
-    return [(r.feature, r.toxic, r.clean) for r in best.collect()]
+    tells = (F.col("toxic") / n1 > 4 * F.col("clean") / n0) & (ratio >= evidence)
+    found = counts.select("feature", tells.alias("tells")).toArrow()
+    rows = sorted(zip(found.column("feature").to_pylist(), found.column("tells").to_pylist(), strict=True))
+    return [f for f, _ in rows], [f for f, t in rows if t]
 
 
 class LabelModel:
-    """Votes are 1 (toxic), -1 (clean) and 0 (abstains). Rows are texts, columns voters."""
+    """Votes are 1 (toxic), -1 (clean) and 0 (abstains). Rows are texts, columns voters; the share of toxic texts is given."""
 
-    def __init__(self, prior: float, rounds: int = 30):
-        self.prior, self.rounds = min(max(prior, 0.01), 0.99), rounds
+    def __init__(self, prior: float, rounds: int = 60, tolerance: float = 1e-5):
+        self.prior, self.rounds, self.tolerance = min(max(prior, 0.01), 0.99), rounds, tolerance
 
     def fit(self, votes: np.ndarray) -> LabelModel:
-        n, m = votes.shape
         posterior = np.clip((votes == 1).sum(1) > 0, 0.1, 0.9).astype(float)
-        self.weight = np.ones(m)
-        for r in range(self.rounds):
-            # P(vote | label) for the three votes, smoothed towards voters that are right more often than not
-            rates = np.empty((2, 3, m))
-            for y, p in ((1, posterior), (0, 1 - posterior)):
-                for k, vote in enumerate((1, -1, 0)):
-                    agree = 2.0 if (vote == 1) == (y == 1) and vote else 0.5
-                    rates[y, k] = (p @ (votes == vote) + agree * 0.5) / (p.sum() + 2.0)
-            self.rates = rates / rates.sum(1, keepdims=True)
-            if r == 2 or r == self.rounds // 2:
-                self.weight = self.shared(votes, posterior)
-            posterior = self.posterior(votes)
-        right = posterior @ (votes == 1) + (1 - posterior) @ (votes == -1)
+        masks = {k: (votes == k).astype(np.float32) for k in (1, -1, 0)}
+        self.weight = np.ones(votes.shape[1])
+        # as if voters were independent at first: what the label makes them share shows as correlation until it is known
+        for correlated in (False, True):
+            if correlated:
+                # of the likelier label: a share of the other would look like a correlation
+                self.weight = self.shared(votes, (posterior > 0.5).astype(float))
+            for _ in range(self.rounds):
+                # P(vote | label) for the three votes, smoothed towards voters that are right more often than not
+                rates = np.empty((2, 3, votes.shape[1]))
+                for y, p in ((1, posterior), (0, 1 - posterior)):
+                    for k, vote in enumerate((1, -1, 0)):
+                        agree = 2.0 if (vote == 1) == (y == 1) and vote else 0.5
+                        rates[y, k] = (p @ masks[vote] + agree * 0.5) / (p.sum() + 2.0)
+                self.rates = rates / rates.sum(1, keepdims=True)
+                before, posterior = posterior, self.posterior(votes)
+                if np.abs(posterior - before).max() < self.tolerance:
+                    break
+        right = posterior @ masks[1] + (1 - posterior) @ masks[-1]
         self.accuracy = (right + 1) / ((votes != 0).sum(0) + 2)
         return self
 
     def shared(self, votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
         """A voter's weight: one over its sum of squared correlations with all voters, itself included, given the label."""
-        v = votes.astype(float)
+        v = votes.astype(np.float32)
         covariance = np.zeros((v.shape[1],) * 2)
         for p in (posterior, 1 - posterior):
             mean = p @ v / max(p.sum(), 1e-9)
-            centred = (v - mean) * np.sqrt(p)[:, None]
+            centred = (v - mean.astype(np.float32)) * np.sqrt(p).astype(np.float32)[:, None]
             covariance += centred.T @ centred
         scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
         self.correlation = covariance / scale[:, None] / scale
@@ -143,19 +196,33 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by gradient steps with momentum scaled per feature."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    second_w, second_b = np.full(x.shape[1], 1e-8), 1e-8
+def linear(rows: np.ndarray, columns: np.ndarray, n_features: int, y: np.ndarray, rounds: int = 120, rate: float = 0.5, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels: the texts' features are given as places (row, column) of ones. Gradient steps scaled
+    per feature, each followed by a shrinking of the weights, which leaves most at exactly 0."""
+    w, b = np.zeros(n_features), 0.0
+    second_w, second_b = np.full(n_features, 1e-8), 1e-8
+    n = len(y)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g = (p - y) / len(y)
-        gw, gb = x.T @ g + decay * w, g.sum()
+        z = np.bincount(rows, w[columns], n) + b
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        gw, gb = np.bincount(columns, g[rows], n_features), g.sum()
         second_w += gw**2
         second_b += gb**2
-        w -= rate * gw / np.sqrt(second_w)
+        step = rate / np.sqrt(second_w)
+        w = w - step * gw
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         b -= rate * gb / np.sqrt(second_b)
-    return w, b
+    return w, float(b)
+
+
+def telling(rows: np.ndarray, columns: np.ndarray, n_features: int, posterior: np.ndarray, evidence: float = EVIDENCE) -> np.ndarray:
+    """Features whose log-likelihood ratio with the posterior labels is at least the evidence asked for, either way."""
+    n1, n0 = max(posterior.sum(), 1e-9), max((1 - posterior).sum(), 1e-9)
+    toxic, clean = np.bincount(columns, posterior[rows], n_features), np.bincount(columns, (1 - posterior)[rows], n_features)
+    total, both = n1 + n0, toxic + clean
+    part = lambda count, n, all_: np.where(count > 1e-9, count * np.log(np.maximum(count, 1e-9) * total / np.maximum(n * all_, 1e-9)), 0.0)
+    ratio = 2 * (part(toxic, n1, both) + part(clean, n0, both) + part(n1 - toxic, n1, total - both) + part(n0 - clean, n0, total - both))
+    return np.flatnonzero(ratio >= evidence)
 
 
 def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -174,68 +241,77 @@ def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The classifier: weights of at most FEATURES features and a bias. Without toxic or clean rows it has a bias alone."""
+    """The classifier: weights of features and a bias; besides them the voters' accuracies and the label model's own verdicts. Without labelled rows it has a bias alone."""
     picked, prior = sample(docs, labels)
     picked = written(picked, "toxicity-sample")
-    found = associations(picked)
-    names = [f for f, _, _ in found]
-    place = {f: i for i, f in enumerate(names)}
-    # voters: the given lexicon, then the learned features that are seldom in clean texts
-    learned = [f for f, toxic, clean in found if toxic >= 4 * clean][:VOTERS]
-    voters = list(dict.fromkeys(["=" + w for w in LEXICON] + learned))
-    seat = {f: i for i, f in enumerate(voters)}
+    names, learned = vocabulary(picked)
+    place = picked.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    seats = seats_of(learned)
+    voters = max(seats.values()) + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = place.value
         for batch in batches:
             xs, votes, patterns = [], [], []
             for text in texts_of(batch):
-                words = text.split()
-                count = Counter(f for w in set(words) for f in features_of(w))
-                xs.append([place[f] for f in count for _ in range(count[f]) if f in place])
-                votes.append([seat[f] for f in count if f in seat])
-                patterns.append(patterns_of(text, words))
+                xs.append(sorted({known[f] for w in set(text.split()) for f in features_of(w) if f in known}))
+                v, p = votes_of(text, seats)
+                votes.append(v)
+                patterns.append(p)
             kinds = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(xs, kinds), pa.array(votes, kinds), pa.array(patterns, kinds), batch.column("_toxic")], names=["x", "votes", "patterns", "toxic"])
 
-    rows = arrow_map(picked, run, "x array<int>, votes array<int>, patterns array<int>, toxic int").collect() if names else []
-    if not rows:
+    found = arrow_map(picked, run, "x array<int>, votes array<int>, patterns array<int>, toxic int").toArrow().combine_chunks()
+    if not found.num_rows:
         return {"weights": {}, "bias": float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))}
-    x = np.zeros((len(rows), len(names)), np.float32)
-    votes = np.zeros((len(rows), len(voters) + PATTERNS + 2), np.int8)
-    for i, r in enumerate(rows):
-        np.add.at(x[i], r.x, 1)
-        votes[i, r.votes] = 1
-        votes[i, len(voters) : len(voters) + PATTERNS] = r.patterns
-        # two more patterns: no hit says clean, several hits say toxic
-        votes[i, -2] = -1 if not r.votes else 0
-        votes[i, -1] = 1 if len(r.votes) > 1 else 0
-    y = np.array([r.toxic for r in rows], float)
+    n = found.num_rows
+    x = found.column("x").combine_chunks()
+    lengths = np.diff(x.offsets.to_numpy())
+    rows, columns = np.repeat(np.arange(n), lengths), x.flatten().to_numpy()
+    votes = np.zeros((n, voters + PATTERNS), np.int8)
+    for i, (v, p) in enumerate(zip(found.column("votes").to_pylist(), found.column("patterns").to_pylist(), strict=True)):
+        votes[i, v] = 1
+        votes[i, voters:] = p
+    y = found.column("toxic").to_numpy().astype(float)
     share = float(y.mean())
     model = LabelModel(share).fit(votes)
     posterior = model.posterior(votes)
-    w, b = linear(x, posterior)
+    # equal order of rows in any order of files: sums of floats must not depend on it
+    order = np.lexsort((lengths, posterior))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    kept = telling(rows, columns, len(names), posterior)
+    seat = np.full(len(names), -1)
+    seat[kept] = np.arange(len(kept))
+    rows, columns = rows[seat[columns] >= 0], seat[columns][seat[columns] >= 0]
+    names = [names[i] for i in kept]
+    w, b = linear(rank[rows], columns, len(names), posterior[order])
+    z = np.bincount(rows, w[columns], n) + b
     if 0 < share < 1:
-        slope, shift = calibrated(x @ w + b, y, np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
+        slope, shift = calibrated(z, y, np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
         w, b = w * slope, (b + shift) * slope
-    return {"weights": {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-3}, "bias": float(b), "accuracy": dict(zip(voters, model.accuracy.tolist(), strict=False)), "posterior_mean": float(posterior.mean())}
+    accuracy = {f: float(model.accuracy[i]) for f, i in seats.items()}
+    return {"weights": {f: float(v) for f, v in zip(names, w, strict=True) if v}, "bias": float(b), "accuracy": accuracy, "seats": seats, "label_model": model}
 
 
 def scorer(model: dict):
-    """text -> score; weights of words are kept while there is room."""
+    """text -> score: the bias and the weights of the distinct features; the weighted features of words are kept while there is room."""
     weights, bias = model["weights"], model["bias"]
+    none: tuple[str, ...] = ()
 
     class Held(dict):
-        def __missing__(self, word: bytes) -> float:
+        def __missing__(self, word: bytes) -> tuple[str, ...]:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            value = self[word] = sum(weights.get(f, 0.0) for f in features_of(word))
+            value = self[word] = tuple(f for f in features_of(word) if f in weights) or none
             return value
 
     held = Held()
 
     def score(text: bytes) -> float:
+        found = {f for fs in map(held.__getitem__, set(text.split())) if fs for f in fs}
         # sorted, so that equal texts get equal sums in any order of a set
-        z = bias + float(np.sum(np.sort(np.fromiter(map(held.__getitem__, set(text.split())), np.float64))))
+        z = bias + sum(sorted(weights[f] for f in found))
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
     return score
@@ -253,10 +329,10 @@ def score(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> Data
     classes every score is the same. Other columns are not read.
     """
     model = model or fit(docs, labels)
-    small = {"weights": model["weights"], "bias": model["bias"]}
+    small = docs.sparkSession.sparkContext.broadcast({"weights": model["weights"], "bias": model["bias"]})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = scorer(small)
+        of = scorer(small.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([of(t) for t in texts_of(batch)], pa.float64())], names=["doc_id", "score"])
 
@@ -265,12 +341,16 @@ def score(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> Data
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:
-    """The documents with a score below 0.5, all columns as they are; nothing is shuffled."""
+    """The documents with a score below 0.5, all columns as they are; nothing is shuffled.
+
+    Null and empty texts have the score of a text without features, repeated rows go or stay together, rows of a null
+    doc_id are scored like others, whole texts are read, an empty table gives no rows.
+    """
     model = model or fit(docs, labels)
-    small = {"weights": model["weights"], "bias": model["bias"]}
+    small = docs.sparkSession.sparkContext.broadcast({"weights": model["weights"], "bias": model["bias"]})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = scorer(small)
+        of = scorer(small.value)
         for batch in batches:
             yield batch.filter(pa.array([of(t) < 0.5 for t in texts_of(batch)], pa.bool_()))
 

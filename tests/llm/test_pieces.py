@@ -1,5 +1,6 @@
 """The parts that need no session."""
 
+import math
 import random
 import zlib
 
@@ -144,6 +145,20 @@ def test_ids_equal_the_tokenizers_library():
     assert zlib.crc32(e.ids("").astype("<u4").tobytes()) == zlib.crc32(b"\x01\x00\x00\x00")
 
 
+def test_ids_equal_the_library_over_all_characters_and_runs():
+    import sys
+    import unicodedata
+
+    e = encoder(vocabulary_path())
+    given = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    r = random.Random(8)
+    texts = ["".join(given[a : a + 400]) for a in range(0, len(given), 400)] + [f"a {c}1 {c}{c} b" for c in r.sample(given, 3000)]
+    for _ in range(400):
+        texts.append("".join(r.choice([" ", "  ", "a", "'s", "1", "\n", "é", "-", "x" * r.randint(1, 3000), r.choice(given)]) for _ in range(r.randint(1, 30))))
+    for text, x in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert e.fast.encode(text, allowed_special="all") == x.ids, text[:40]
+
+
 def test_every_sentence_end_may_be_a_cut():
     lengths, ends = np.array([124]), np.array([40, 45, 60, 110])
     c, pen = packing.candidates(lengths, ends, 32, 4.0, 24.0)
@@ -245,16 +260,58 @@ def model():
 
 
 def test_tagger_finds_held_out_spans(model):
-    held = tagger.examples(300, seed=77)
-    tags = tagger.viterbi(model, tagger.region_scores(model, [tagger.codes(t) for t, _ in held]))
+    held = tagger.examples(400, seed=77)
+    found = pii.found_spans(model, [t for t, _ in held], [[] for _ in held])
     hit = wanted = given = 0
-    for (text, spans), t in zip(held, tags, strict=True):
+    for (text, spans), f in zip(held, found, strict=True):
         inner = lambda xs: {x for x in xs if x[1] > 0 and x[2] < len(text)}  # noqa: E731, B023
-        found = set(tagger.spans_of(t))
-        hit, wanted, given = hit + len(inner(spans) & found), wanted + len(inner(spans)), given + len(inner(found))
+        # what the check lets through of the labelled spans is wanted: numbers of other lengths are not
+        right = {s for x in inner(spans) if (s := pii.checked(text, x))}
+        f = inner(f)
+        hit, wanted, given = hit + len(right & f), wanted + len(right), given + len(f)
     assert hit / wanted > 0.85 and hit / given > 0.8
 
 
+def whole_search(p, text):
+    """Merged scores of every character and one search over the whole text, nothing left out."""
+    codes = tagger.codes(text)
+    sums, shares = np.zeros((len(codes), tagger.TAGS)), np.zeros((len(codes), 1))
+    weight = np.minimum(np.arange(1, tagger.READ + 1), np.arange(tagger.READ, 0, -1))[:, None]
+    for start in range(0, max(1, len(codes) - (tagger.READ - tagger.STRIDE)), tagger.STRIDE):
+        part = codes[start : start + tagger.READ]
+        window = np.append(part, np.full(tagger.READ - len(part), tagger.SYMBOLS - 3))
+        sums[start : start + len(part)] += (tagger.emissions(p, window[None])[0][:, 0] * weight)[: len(part)]
+        shares[start : start + len(part)] += weight[: len(part)]
+    scores = sums / shares
+    best, back = p["first"] + scores[0], []
+    for row in scores[1:]:
+        through = best[:, None] + p["transition"]
+        back.append(through.argmax(0))
+        best = through.max(0) + row
+    tags = [int(best.argmax())]
+    for b in back[::-1]:
+        tags.append(int(b[tags[-1]]))
+    return tagger.spans_of(np.array(tags[::-1]))
+
+
+def test_marks_equal_a_search_over_the_whole_text(model):
+    texts = [t for t, _ in tagger.examples(40, seed=5)]
+    texts += ["", "a", " ".join(texts), "".join(texts[:9]) * 3, "1" * 700, "no data at all " * 60]
+    assert tagger.marked(model, texts) == [whole_search(model, t) if t else [] for t in texts]
+    assert [tagger.marked(model, [t])[0] for t in texts] == tagger.marked(model, texts, rows=3)
+
+
+@pytest.mark.parametrize("text,kind", [("api key: sk-Ab3dE5gH7jK9mN1pQ3sT5vW7", 4), ("pay DE89 3704 0044 0532 0130 00 today", 5), ('token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" is', 4)])
+def test_secrets_and_account_numbers_are_found(model, text, kind):
+    assert [k for k, _, _ in pii.found_spans(model, [text], [[]])[0]] == [kind]
+
+
+def test_long_spans_pass_the_check():
+    text = "x" * 400 + "@" + "y" * 400 + ".org"
+    assert pii.checked(text, (0, 0, len(text))) == (0, 0, len(text))
+    assert pii.checked("DE89 3704 0044 0532 0130 01", (5, 0, 27)) is None
+
+
 def test_gradients_are_those_of_the_loss():
     p = {k: v.astype(np.float64) for k, v in tagger.initial(3, 2, 1).items()}
     x, y = np.array([[1, 5, 9, 2]]), np.array([[0, 1, 2, 0]])
@@ -286,16 +343,9 @@ def test_windows_are_reconciled_over_long_regions(model):
 )
 def test_addresses_in_capitals_and_long_ones_are_found_whole(model, address):
     text = f"please write to {address} today"
-    assert pii._TRIGGER.search(text)
     assert pii.found_spans(model, [text], [[]])[0] == [(0, 16, 16 + len(address))]
 
 
-def test_regions_end_where_runs_end():
-    for text in ("x" * 100 + "@" + "y" * 100, "a b " * 50 + "1" + " c d" * 50, "1" + "z" * 200 + "2 " + "w" * 300):
-        for a, b in pii.regions(text):
-            assert (not a or " " in text[a - 1 : a + 1]) and (b == len(text) or " " in text[b - 1 : b + 1])
-
-
 def test_added_spans_leave_base_spans_alone(model):
     text = "mail a.b@c.de or 4111111111111111 or 1234567890123456"
     base = pii.base_spans(text)
@@ -308,9 +358,49 @@ def test_masks_replace_overlaps_once():
     assert pii.replaced("ab12cd", [(0, 1, 4), (1, 2, 3)], "[{}]") == "a[email]cd"
 
 
-def test_toxic_features_and_label_model():
+def test_toxic_features_and_votes():
     assert toxicity.features_of("(Idiots!!)".encode()) == ["=idiots", "^idio", "^idiot"]
-    assert toxicity.features_of(b"12") == toxicity.features_of(b"---") == []
+    assert toxicity.features_of(b"12") == toxicity.features_of(b"---") == [] and toxicity.features_of(b"x") == ["=x"]
+    assert len(toxicity.features_of(b"z" * 100_000)) < 100
+    seats = toxicity.seats_of(["^vran", "=idiot"])
+    assert seats["^vran"] == len(toxicity.WORDS) and seats["=idiot"] == seats["=idiots"]
+    found, patterns = toxicity.votes_of(b"You Idiots! vrankly", seats)
+    assert found == sorted({seats["=idiot"], seats["^vran"]}) and patterns == [0, 0, 0, 1, 1, 1, 0]
+    assert toxicity.votes_of(b"", seats) == ([], [0, 0, 0, 0, 0, 0, -1])
+
+
+def em_by_loops(votes, prior, rounds):
+    """The label model's estimates, one number at a time."""
+    n, m = votes.shape
+    p = [0.9 if any(v == 1 for v in row) else 0.1 for row in votes]
+    weight = [1.0] * m
+    for done in range(2 * rounds):
+        if done == rounds:
+            h = [float(x > 0.5) for x in p]
+            mean = {(y, j): sum((x if y else 1 - x) * votes[i, j] for i, x in enumerate(h)) / sum(x if y else 1 - x for x in h) for y in (1, 0) for j in range(m)}
+            cov = [[sum((x if y else 1 - x) * (votes[i, a] - mean[y, a]) * (votes[i, b] - mean[y, b]) for y in (1, 0) for i, x in enumerate(h)) for b in range(m)] for a in range(m)]
+            weight = [1 / max(1.0, sum(cov[a][b] ** 2 / max(cov[a][a], 1e-9) / max(cov[b][b], 1e-9) for b in range(m))) for a in range(m)]
+        rate = {}
+        for y in (1, 0):
+            q = [x if y else 1 - x for x in p]
+            for j in range(m):
+                raw = {k: sum(q[i] for i in range(n) if votes[i, j] == k) + 0.5 * (2.0 if k and (k == 1) == (y == 1) else 0.5) for k in (1, -1, 0)}
+                for k in raw:
+                    rate[y, k, j] = raw[k] / sum(raw.values())
+        z = [math.log(prior / (1 - prior)) + sum(weight[j] * math.log(rate[1, votes[i, j], j] / rate[0, votes[i, j], j]) for j in range(m) if votes[i, j]) for i in range(n)]
+        p = [1 / (1 + math.exp(-x)) for x in z]
+    return p, weight
+
+
+def test_label_model_equals_loops():
+    r = np.random.default_rng(3)
+    votes = r.choice(np.array([1, 0, 0, -1], np.int8), (14, 4))
+    m = toxicity.LabelModel(0.3, rounds=4, tolerance=0).fit(votes)
+    p, weight = em_by_loops(votes, 0.3, 4)
+    assert m.weight.tolist() == pytest.approx(weight, rel=1e-3) and m.posterior(votes).tolist() == pytest.approx(p, rel=1e-3, abs=1e-4)
+
+
+def test_label_model_tells_accurate_voters_and_copies():
     r = np.random.default_rng(0)
     y = r.random(2000) < 0.3
     votes = np.zeros((2000, 5), np.int8)

@@ -222,6 +222,42 @@ def test_chat_keeps_maximal_conversations(spark):
     assert got[5].rendered == "<|im_start|>user\nb<|im_end|>\n" and got[9].rendered.startswith("<|im_start|>\n<|im_end|>\n")
 
 
+def test_warc_reserved_names_and_open_tags(spark):
+    rows = [("r1", "u", "d", "h", "a<b", "x", "y", 3, "t")]
+    given = spark.createDataFrame(rows, "record_id string, target_uri string, warc_date string, http_headers string, payload string, payload_digest string, _text string, content_length long, _title string")
+    out = warc.derivatives(given)
+    assert len(set(out.columns)) == len(out.columns) and {r.payload_digest for r in out.collect()} == {"sha256:" + hashlib.sha256(b"a<b").hexdigest()}
+    assert {r._text for r in out.collect()} == {"y"} and {r._title for r in out.collect()} == {"t"}
+
+
+def test_page_texts_equal_the_patterns_and_are_linear():
+    import time
+
+    r = random.Random(5)
+    parts = ["<script", "<SCRIPT>", "</script>", "<style>", "</style>", "<!--", "-->", "<p>", "<", ">", "x ", " \n", "&amp;", "&lt;", "<title>", "</title>", "<a ", "<a\n", "href=", "<a href='q'>"]
+    for _ in range(4000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        s = re.sub(r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ", t)
+        s = re.sub("<[^>]*>", " ", s)
+        for entity, char in warc.ENTITIES:
+            s = s.replace(entity, char)
+        m = re.search(r"(?is)<title[^>]*>(.*?)</title>", t)
+        assert warc.text_of(t) == re.sub(r"[ \t\n\x0b\f\r]+", " ", s).strip(" "), t
+        assert warc.title_of(t) == (re.sub(r"[ \t\n\x0b\f\r]+", " ", m[1]).strip(" ") if m else ""), t
+        assert warc.links_of(t) == len(re.findall(r"(?i)<a\s[^>]*href=", t)), t
+    began = time.time()
+    for t in ("<" * 300_000, "<script>" * 60_000, "<a " * 100_000, "<title>" * 60_000, "<!--" * 90_000, "<a href=" * 50_000):
+        warc.text_of(t), warc.title_of(t), warc.links_of(t)
+    assert time.time() - began < 10
+
+
+def test_long_conversations_are_hashed_in_linear_time():
+    import time
+
+    began = time.time()
+    assert len(chat.rolling(["user"] * 200_000, ["x"] * 200_000)) == 200_000 and time.time() - began < 10
+
+
 # ---- 8
 
 
@@ -273,6 +309,29 @@ def test_mixing_odd_rows(odd):
     assert out.columns == odd.columns and out.count() > 0
 
 
+def test_mixing_of_repeated_rows_takes_what_the_plan_has(spark):
+    rows = [(5, "a b c", "s")] * 60 + [(None, "x %d y z" % i, "s") for i in range(40)] + [(None, "p q", "t")] * 30 + [(i, "w " * i, "u") for i in range(9)]
+    d = docs(spark, rows).withColumns({"_mix_cuts": F.lit(1), "_mix_words": F.lit(2), "_mix_source": F.lit("q")})
+    for share in (0.3, 0.9, 1.5):
+        got = mixing.mix(d, share=share, rows_per_range=7).collect()
+        assert len(got) == len(rows)
+        plan, out = {}, {}
+        for x in got:
+            plan[x.source] = plan.get(x.source, 0) + x.taken
+        mixed = mixing.mixed(d, share=share, rows_per_range=7)
+        for x in mixed.collect():
+            out[x.source] = out.get(x.source, 0) + len(x.text.split())
+        assert mixed.columns == d.columns and {s: n for s, n in plan.items() if n} == {s: n for s, n in out.items() if n}
+
+
+@pytest.mark.parametrize("fan", [2, 1000])
+def test_sums_before_ranges_by_brute_force(spark, fan, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", fan)
+    sums = [(s, p, p * 7 % 5 + 1) for s in ("a", None) for p in range(30) if p % 3]
+    got = {(r.source, r._part): r._ahead for r in mixing._ahead(spark.createDataFrame(sums, "source string, _part long, _sum long")).collect()}
+    assert got == {(s, p): sum(n for t, q, n in sums if t == s and q < p) for s, p, _ in sums}
+
+
 def test_mixing_without_words(spark):
     assert {(r.target, r.taken) for r in mixing.mix(docs(spark, [(1, "", "a"), (2, None, "b")])).collect()} == {(0.0, 0)}
 
@@ -355,6 +414,16 @@ def test_components_of_odd_rows(spark, odd):
     assert sorted(r.doc_id or -1 for r in jaccard.one_of_each(odd).collect()) == [-1, 1, 2, 3, 5, 7, 8, 9]
 
 
+def test_one_large_group_of_near_copies(spark):
+    r = random.Random(1)
+    base = ["w%d" % i for i in range(150)]
+    rows = [(i, " ".join("n%d" % r.randint(0, 10**8) if r.random() < 0.01 else w for w in base), "s") for i in range(400)]
+    links = spark.createDataFrame([(i, i % 3) for i in range(3, 900)], "a long, b long")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join_components(docs(spark, rows), block=40).collect())
+    assert got == components_by_brute_force(rows)
+    assert components.components(links).select("component").distinct().count() == 3
+
+
 def test_one_id_with_two_texts(spark):
     a, b, c = ("x%d " * 30 % tuple(range(30)), "y%d " * 30 % tuple(range(30)), "z%d " * 30 % tuple(range(30)))
     rows = [(5, a, "s"), (5, b, "s"), (1, a, "s"), (7, b, "s"), (9, c, "s")]
@@ -386,7 +455,7 @@ def test_pipeline_stages_against_their_input(spark):
     kept = [r for r in rows if not scores[r[0]]]
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in kept)
     single = stages["ngram_jaccard_join"](spark, clean, FOLDER)
-    ids = {c for _, _, c in components_by_brute_force(kept)}
+    ids = {c for _, _, c in components_by_brute_force(kept, 5, 80)}
     assert sorted(r.doc_id for r in single.collect()) == sorted(ids)
     masked = stages["personal_data"](spark, single, FOLDER)
     texts = {r.doc_id: r.text for r in masked.collect()}
