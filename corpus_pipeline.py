@@ -1,6 +1,8 @@
 """A training-data pipeline: every stage works on all documents its predecessor kept.
 
-All stages but the last return the columns of ``documents``; the last returns the packed pieces.
+All stages but the last return the columns of ``documents``; the last returns the packed pieces. Odd rows: an empty table gives
+an empty table in every stage, whole texts are worked on however long they are, and columns beside doc_id, text, source and n_chars are passed
+on whatever their names are (but for the last stage, which returns pieces).
 """
 
 from __future__ import annotations
@@ -16,27 +18,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
+    """Documents scored as toxic go. Null and empty texts have the score of a text without words, repeated rows go or stay together, rows of a null doc_id are scored like others."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of shingle sets join, the one with the smallest id stays. Five words and 0.8; op9's own are 4 and 0.85."""
+    """Of the documents that links of shingle sets join, the one with the smallest id stays. Five words and 0.8; op9's own are 4 and 0.85.
+
+    Of several rows of one doc_id one stays; rows without a doc_id, and without words (once a doc_id), stay.
+    """
     return jaccard.one_of_each(docs, width=5, percent=80)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data is replaced by the name of its kind. A null text stays null, an empty one empty; repeated rows get equal texts, a null doc_id is like any other."""
     return pii.masked(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are cut, or repeated, to their target shares."""
+    """Sources are cut, or repeated, to their target shares. Null texts have no words, null sources are one source, the last; of equal rows at a cut as many are taken as fit."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 ids."""
+    """Pieces of the documents in sequences of at most 2048 ids. Null and empty texts are the end id alone, repeated rows and equal ids are packed each on their own, a null doc_id stays null."""
     return packing.pack(docs)
 
 
