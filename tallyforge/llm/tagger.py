@@ -14,7 +14,7 @@ SYMBOLS = 95 + 3
 #: Characters of a training text.
 WINDOW = 64
 #: Characters the tagger reads at once in a text, and from one such window to the next.
-READ, STRIDE = 256, 224
+READ, STRIDE = 256, 240
 #: Transitions stay within this, so that characters that are plainly outside can be told by their own scores (may_be_inside()).
 MOST_TRANSITION = 1.5
 
@@ -284,18 +284,26 @@ def _states(table: np.ndarray, recurrent: np.ndarray, symbols: np.ndarray) -> np
     steps, rows = symbols.shape
     hidden = recurrent.shape[0]
     out = np.empty((steps, rows, hidden), np.float32)
-    h, c, z = np.zeros((rows, hidden), np.float32), np.zeros((rows, hidden), np.float32), np.empty((rows, 4 * hidden), np.float32)
+    h, c, tc = (np.zeros((rows, hidden), np.float32) for _ in range(3))
+    z, added = np.empty((rows, 4 * hidden), np.float32), np.empty((rows, 4 * hidden), np.float32)
+    i, f, o, g = (z[:, k * hidden : (k + 1) * hidden] for k in range(4))
     for t in range(steps):
+        np.take(table, symbols[t], axis=0, out=added, mode="clip")
         np.matmul(h, recurrent, out=z)
-        z += table[symbols[t]]
+        z += added
         np.tanh(z, out=z)
-        gates = z[:, : 3 * hidden]
-        gates += 1
-        gates *= 0.5
-        c = z[:, hidden : 2 * hidden] * c
-        c += z[:, :hidden] * z[:, 3 * hidden :]
-        h = z[:, 2 * hidden : 3 * hidden] * np.tanh(c)
-        out[t] = h
+        # a gate is (1 + tanh) / 2
+        f += 1
+        i += 1
+        c *= f
+        np.multiply(i, g, out=tc)
+        c += tc
+        c *= 0.5
+        np.tanh(c, out=tc)
+        o += 1
+        h = out[t]
+        np.multiply(o, tc, out=h)
+        h *= 0.5
     return out
 
 
@@ -326,69 +334,58 @@ def may_be_inside(p: dict[str, np.ndarray], leads: np.ndarray) -> np.ndarray:
     return best(gain) + best(gain[::-1])[::-1] - gain + ends > -1e-3
 
 
-def marked(p: dict[str, np.ndarray], texts: list[str], rows: int = 512) -> list[list[tuple[int, int, int]]]:
+def marked(p: dict[str, np.ndarray], texts: list[str], rows: int = 1024) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) of each whole text: overlapping windows are read, their scores merged by the distance from a window's
     edge, and one best path over the text is found. Where "outside" surely leads, the path is known, so that only the stretches
     between go through the search; scores are held for these alone."""
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.cumsum(sizes) - sizes
-    flat = np.concatenate([codes(t) for t in texts if t]).astype(np.int16) if sizes.sum() else np.zeros(0, np.int16)
+    flat = np.concatenate([codes(t) for t in texts if t]) if sizes.sum() else np.zeros(0, np.int64)
+    shared = READ - STRIDE
     starts, ends = [], []
     for at, n in zip(offsets.tolist(), sizes.tolist(), strict=True):
         if n:
-            own = np.arange(at, at + max(1, n - (READ - STRIDE)), STRIDE)
+            own = np.arange(at, at + max(1, n - shared), STRIDE)
             starts.append(own)
             ends.append(np.minimum(own + READ, at + n))
     if not starts:
         return [[] for _ in texts]
     starts, ends = np.concatenate(starts), np.concatenate(ends)
+    # whether the window before, and the one behind, are of the same text: it then reaches into this one's beginning, or end
+    after = np.concatenate([[False], (np.diff(starts) == STRIDE) & (ends[:-1] == starts[:-1] + READ) & (ends[:-1] > starts[1:])])
+    before = np.append(after[1:], False)
     ahead, back = _reader(p, "forward"), _reader(p, "backward")
     hidden = ahead[1].shape[0]
-    weight = np.minimum(np.arange(1, READ + 1), np.arange(READ, 0, -1)).astype(np.float32)
+    rising = np.arange(1, shared + 1, dtype=np.float32)[:, None, None] / (shared + 1)
     sure = surely_outside(p)
-    kept_at, kept, leads = [], [], []
-    # what the windows so far left at places that the next ones reach as well
-    rest_at, rest_sum, rest_share = 0, np.zeros((0, TAGS), np.float32), np.zeros(0, np.float32)
+    steps = np.arange(READ)[:, None]
+    leads, kept_at, kept, tail = np.empty(len(flat), np.float32), [], [], np.zeros((shared, 1, TAGS), np.float32)
     for a in range(0, len(starts), rows):
-        some, upto = starts[a : a + rows], ends[a : a + rows]
-        places = some[:, None] + np.arange(READ)
-        inside = places < upto[:, None]
-        whole = bool(inside.all())
-        symbols = (flat[places] if whole else np.where(inside, flat[np.minimum(places, len(flat) - 1)], SYMBOLS - 3)).T
+        some, upto, joins = starts[a : a + rows], ends[a : a + rows], after[a : a + rows]
+        places = some + steps
+        inside = places < upto
+        symbols = np.take(flat, places, mode="clip")
+        symbols[~inside] = SYMBOLS - 3
         scores = _states(*ahead, symbols) @ p["out"][:hidden]
-        scores += _states(*back, symbols[::-1])[::-1] @ p["out"][hidden:] + p["out_bias"]
-        scores *= weight[:, None, None]
-        scores = scores.transpose(1, 0, 2)
-        low, high = int(some[0]), int(upto[-1])
-        sums, shares = np.zeros((high - low, TAGS), np.float32), np.zeros(high - low, np.float32)
-        n = len(rest_share)
-        sums[rest_at - low : rest_at - low + n] = rest_sum
-        shares[rest_at - low : rest_at - low + n] = rest_share
-        share = np.broadcast_to(weight, places.shape)
-        for odd in (0, 1):  # windows next but one do not overlap, so that their places are distinct
-            at, x, w = places[odd::2] - low, scores[odd::2], share[odd::2]
-            if not whole:
-                mask = inside[odd::2]
-                at, x, w = at[mask], x[mask], w[mask]
-            sums[at] += x
-            shares[at] += w
-        # the next window, if it is of the same text, begins within the last one
-        done = min(high, int(starts[a + rows])) if a + rows < len(starts) else high
-        rest_at, rest_sum, rest_share = done, sums[done - low :], shares[done - low :]
-        final = sums[: done - low] / shares[: done - low, None]
-        other = final[:, 1].copy()
+        scores += _states(*back, symbols[::-1])[::-1] @ p["out"][hidden:]
+        scores += p["out_bias"]
+        tails = np.concatenate([tail, scores[STRIDE:]], 1)
+        tail = scores[STRIDE:, -1:].copy()
+        scores[:shared, joins] = scores[:shared, joins] * rising + tails[:, :-1][:, joins] * rising[::-1]
+        other = scores[:, :, 1].copy()
         for k in range(2, TAGS):
-            np.maximum(other, final[:, k], out=other)
-        lead = final[:, 0] - other
-        open_ = np.flatnonzero(lead <= sure)
-        kept_at.append(open_ + low)
-        kept.append(final[open_])
-        leads.append(lead)
-    # every place has its lead: texts without characters have none, and windows reach all others in order
-    inner = may_be_inside(p, np.concatenate(leads))
-    kept = [x[inner[at]] for x, at in zip(kept, kept_at, strict=True)]
-    kept_at = [at[inner[at]] for at in kept_at]
+            np.maximum(other, scores[:, :, k], out=other)
+        lead = scores[:, :, 0] - other
+        inside[STRIDE:, before[a : a + rows]] = False
+        leads[places[inside]] = lead[inside]
+        t, w = np.nonzero(inside & (lead <= sure))
+        at = some[w] + t
+        order = np.argsort(at)
+        kept_at.append(at[order])
+        kept.append(scores[t, w][order])
+    inner = may_be_inside(p, leads)
     at, scores = np.concatenate(kept_at), np.concatenate(kept)
+    at, scores = at[inner[at]], scores[inner[at]]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not len(at):
         return out
