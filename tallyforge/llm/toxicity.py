@@ -17,6 +17,7 @@ labels are no inputs of a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,8 +34,6 @@ FOLDS = 5
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 6_000
 #: The least log-likelihood ratio of a learned voter, of tens of thousands of features that are looked at.
 EVIDENCE = 16.0
-#: Texts of the sample a feature must be in for a weight.
-LEAST_TEXTS = 3
 #: What a weight loses to zero at each step, per unit of it.
 PENALTY = 2e-4
 # Common insults, slurs on a person's mind, worth or looks, threats and swear words of English, French, German and Spanish, as
@@ -121,8 +120,8 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     return picked, n1 / max(1, n0 + n1)
 
 
-def vocabulary(picked: DataFrame, least: int = LEAST_TEXTS, evidence: float = EVIDENCE) -> tuple[list[str], list[str]]:
-    """The features in at least so many texts of the sample, and those of them that go with toxic labels; the sample bounds their number."""
+def vocabulary(picked: DataFrame, evidence: float = EVIDENCE) -> tuple[list[str], list[str]]:
+    """The features in enough texts of the sample to reach the evidence asked for, and those of them that go with toxic labels; the sample bounds their number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter(), Counter()
@@ -132,9 +131,11 @@ def vocabulary(picked: DataFrame, least: int = LEAST_TEXTS, evidence: float = EV
         names = list(found[0] | found[1])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "toxic", "clean"])
 
-    counts = arrow_map(picked, run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= least)
+    counts = arrow_map(picked, run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = {r._toxic: r["count"] for r in picked.groupBy("_toxic").count().collect()}
     n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
+    # a feature of c texts reaches 2 * c * log(1 / share) at most, where all are of the rarer class
+    counts = counts.where(F.col("toxic") + F.col("clean") >= math.ceil(evidence / (2 * math.log((n1 + n0) / min(n1, n0)))))
     # Dunning's log-likelihood ratio: the evidence that the two classes' rates differ at all
     both, total = F.col("toxic") + F.col("clean"), float(n1 + n0)
     part = lambda count, n, all_, all_n: F.when(count > 0, count * F.log(count * all_n / (n * all_))).otherwise(0.0)
