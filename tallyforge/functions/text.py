@@ -42,6 +42,22 @@ def _accents() -> tuple[str, str]:
 ACCENTED, BASE = _accents()
 
 
+def _compatible(plane_end: int = 0x20000) -> tuple[str, str, str, str]:
+    """Characters whose compatibility decomposition has one ASCII character, and these; those with several, and theirs."""
+    one, many = [], []
+    for c in range(0x80, plane_end):
+        if 0xD800 <= c < 0xE000:
+            continue
+        ascii_ = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if x.isascii())
+        if ascii_:
+            (one if len(ascii_) == 1 else many).append((chr(c), ascii_))
+    return "".join(c for c, _ in one), "".join(a for _, a in one), "\x00".join(c for c, _ in many), "\x00".join(a for _, a in many)
+
+
+_ONE, _ONE_ASCII, _MANY, _MANY_ASCII = _compatible()
+_MANY_CLASS = "[" + _MANY.replace("\x00", "") + "]"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once and named, so that a plan does not repeat its expression for each use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -56,10 +72,22 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _spelt(t: Column) -> Column:
+    """With ligatures, fractions and other characters of several letters spelt out; only texts that have one are taken apart."""
+    spelling = F.map_from_arrays(F.split(F.lit(_MANY), "\x00"), F.split(F.lit(_MANY_ASCII), "\x00"))
+    parts = F.regexp_extract_all(t, F.lit(f"{_MANY_CLASS}|[^{_MANY_CLASS[1:]}+"), F.lit(0))
+    spelt = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(spelling, p), p)), "")
+    return F.when(t.rlike(_MANY_CLASS), spelt).otherwise(t)
+
+
 def plain(text: Column) -> Column:
-    """Lower-case ASCII without accents, other characters dropped, blanks collapsed; null gives an empty text."""
-    ascii_ = F.regexp_replace(without_accents(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F]", "")
-    return collapsed(F.lower(ascii_))
+    """Lower-case ASCII of the compatibility decomposition (accents go, ligatures, ordinals and wide letters become plain ones), other characters dropped, blanks collapsed; null gives an empty text."""
+
+    def of(t: Column) -> Column:
+        ascii_ = F.regexp_replace(F.translate(_spelt(t), _ONE, _ONE_ASCII), r"[^\x00-\x7F]", "")
+        return F.when(t.rlike(r"[^\x00-\x7F]"), ascii_).otherwise(t)
+
+    return F.trim(F.regexp_replace(F.lower(let(F.coalesce(text, F.lit("")), of)), r"[\s\x1c-\x1f]+", " "))
 
 
 def fold(text: Column) -> Column:

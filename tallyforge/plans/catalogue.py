@@ -17,7 +17,7 @@ from tallyforge.plans import views as v
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "monthly_audit_whole"
+FLAGSHIP = "monthly_audit"
 
 PERIOD = "1998-06"
 #: Parents of the synthetic chart whose accounts count as financial: a few nations by name.
@@ -190,12 +190,14 @@ def statement_overlap(spark, d):
 
 _BEST = """asked AS (
   SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 2 = 0 THEN 'inflow' ELSE 'outflow' END AS direction, CAST(o_orderkey % 60 AS VARCHAR) AS account, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{3,}')) AS ws
-  FROM orders JOIN part ON o_orderkey % 500 = p_partkey WHERE o_orderkey % 7 = 0
-), rows AS (
-  SELECT * FROM history WHERE ord % 11 = 0
+  FROM orders JOIN part ON o_orderkey % 500 = p_partkey
+), texts AS (
+  SELECT complement, list_distinct(regexp_extract_all(lower(complement), '[a-z]{3,}')) AS hw FROM (SELECT DISTINCT complement FROM history)
+), sided AS (
+  SELECT ord AS h_ord, 'inflow' AS direction, debit_account AS account, credit_account AS counterpart, standard_history, complement FROM history
+  UNION ALL SELECT ord, 'outflow', credit_account, debit_account, standard_history, complement FROM history
 ), sides AS (
-  SELECT ord AS h_ord, 'inflow' AS direction, debit_account AS account, credit_account AS counterpart, standard_history, list_distinct(regexp_extract_all(lower(complement), '[a-z]{3,}')) AS hw FROM rows
-  UNION ALL SELECT ord, 'outflow', credit_account, debit_account, standard_history, list_distinct(regexp_extract_all(lower(complement), '[a-z]{3,}')) FROM rows
+  SELECT h_ord, direction, account, counterpart, standard_history, hw FROM (SELECT * FROM sided QUALIFY row_number() OVER (PARTITION BY direction, account, complement ORDER BY h_ord) = 1) JOIN texts USING (complement)
 ), pool AS (
   SELECT a.ord, a.ws, s.* EXCLUDE (account, direction) FROM asked a JOIN sides s ON a.direction = s.direction AND a.account = s.account
   UNION ALL SELECT a.ord, a.ws, s.* EXCLUDE (account, direction) FROM asked a JOIN sides s ON a.direction = s.direction AND s.account IN ('1', '2', '3')
@@ -207,14 +209,7 @@ _BEST = """asked AS (
 
 @query(_with(v.HISTORY, _BEST) + "SELECT ord, counterpart, standard_history, score FROM scored WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY ord ORDER BY score DESC, h_ord) = 1")
 def best_history_match(spark, d):
-    """The rows its SQL takes: every 7th movement and every 11th history row. best_history_whole takes them all."""
-    asked, history, financial = _best_inputs(spark, d)
-    return matching.best_history(asked.where("ord % 7 = 0"), history.where("ord % 11 = 0"), financial, with_sequence=False)
-
-
-@query()
-def best_history_whole(spark, d):
-    """All movements against the whole history; too many pairs for SQL."""
+    """All movements against the whole history, by the words alone."""
     return matching.best_history(*_best_inputs(spark, d), with_sequence=False)
 
 
@@ -234,24 +229,31 @@ def similarity_match(spark, d):
     return matching.best_history(asked, history, financial)
 
 
-@query(
-    _with(v.MOVEMENTS, v.MIRRORED, v.CHART)
-    + """, m AS (SELECT * FROM mirrored WHERE strftime(date, '%Y-%m') = '1998-06' AND amount <> 0), t AS (SELECT * FROM m WHERE contains(lower(strip_accents(notes)), 'transfer')),
+_MONTH = """, m AS (SELECT * FROM mirrored WHERE strftime(date, '%Y-%m') = '1998-06' AND amount <> 0), t AS (SELECT * FROM m WHERE contains(lower(strip_accents(notes)), 'transfer')),
 pairs AS (SELECT a.ord AS x, b.ord AS y FROM t a JOIN t b ON a.date = b.date AND a.amount = -b.amount AND a.financial_account <> b.financial_account AND a.ord < b.ord
   QUALIFY row_number() OVER (PARTITION BY a.ord ORDER BY b.ord) = 1 AND row_number() OVER (PARTITION BY b.ord ORDER BY a.ord) = 1),
+left_over AS (SELECT ord, CASE WHEN amount > 0 THEN 'inflow' ELSE 'outflow' END AS direction, financial_account AS account, abs(amount) AS amount, list_distinct(regexp_extract_all(lower(counterparty || ' ' || notes), '[a-z]{3,}')) AS ws
+  FROM m WHERE ord NOT IN (SELECT x FROM pairs) AND ord NOT IN (SELECT y FROM pairs)),
+sides AS (SELECT ord AS h_ord, 'inflow' AS direction, debit_account AS account, credit_account AS counterpart, list_distinct(regexp_extract_all(lower(complement), '[a-z]{3,}')) AS hw FROM usable
+  UNION ALL SELECT ord, 'outflow', credit_account, debit_account, list_distinct(regexp_extract_all(lower(complement), '[a-z]{3,}')) FROM usable),
+scored AS (SELECT l.ord, s.counterpart, s.h_ord, len(list_intersect(ws, hw)) / CAST(least(len(ws), len(hw)) AS DOUBLE) AS score FROM left_over l JOIN sides s USING (direction, account)),
+best AS (SELECT ord, counterpart, score FROM scored WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY ord ORDER BY score DESC, h_ord) = 1),
+known AS (SELECT debit_account AS d, credit_account AS c, count(*) AS support FROM usable GROUP BY 1, 2 HAVING count(DISTINCT standard_history) = 1 AND count(*) >= 2),
+chosen AS (SELECT l.*, b.counterpart, b.score, CASE WHEN direction = 'inflow' THEN l.account ELSE b.counterpart END AS d, CASE WHEN direction = 'inflow' THEN b.counterpart ELSE l.account END AS c FROM left_over l LEFT JOIN best b USING (ord)),
 status AS (SELECT 'LANCAR' AS status, 'transferencia_espelhada' AS reason, abs(m.amount) AS amount FROM pairs JOIN m ON m.ord = x
-  UNION ALL SELECT 'REVISAR CONTA', 'padrao_por_direcao', abs(amount) FROM m WHERE ord NOT IN (SELECT x FROM pairs) AND ord NOT IN (SELECT y FROM pairs))
-SELECT status, reason, count(*) AS entries, sum(amount) AS amount FROM status GROUP BY 1, 2""",
-    amounts=("amount",),
-)
-def monthly_audit(spark, d):
-    """The cascade over a month of movements without any history, as its SQL has it: transfers, rules, defaults; counts by status and reason."""
-    return _counted(_entries(spark, d, v.history(spark, d).where("1 = 0")))
+  UNION ALL SELECT CASE WHEN score IS NULL THEN 'REVISAR CONTA' ELSE 'LANCAR' END, CASE WHEN score IS NULL THEN 'padrao_por_direcao' ELSE 'historico_textual:' || CAST(round_even(score, 2) AS DECIMAL(4,2)) END || CASE WHEN support IS NULL THEN '' ELSE '|hist_contas:' || support || 'x' END, amount
+  FROM chosen LEFT JOIN known USING (d, c))"""
+
+
+@query(_with(v.MOVEMENTS, v.MIRRORED, v.CHART, v.HISTORY, _ACC) + _MONTH + "SELECT status, reason, count(*) AS entries, sum(amount) AS amount FROM status GROUP BY 1, 2", amounts=("amount",))
+def monthly_audit_words(spark, d):
+    """The whole cascade over a month of movements and the whole history, resemblance by the words alone, which SQL expresses."""
+    return _counted(_entries(spark, d, v.history(spark, d), with_sequence=False))
 
 
 @query(amounts=("amount",))
-def monthly_audit_whole(spark, d):
-    """The whole cascade over a month of movements: transfers, rules, history, defaults; similarity is beyond SQL."""
+def monthly_audit(spark, d):
+    """The whole cascade over a month of movements: transfers, rules, history, defaults; the sequence ratio in it is beyond SQL."""
     return _counted(_entries(spark, d, v.history(spark, d)))
 
 
@@ -259,13 +261,13 @@ def _counted(entries):
     return entries.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("entries"), F.sum("amount").alias("amount"))
 
 
-def _entries(spark, d, history):
+def _entries(spark, d, history, with_sequence=True):
     moved = v.mirrored(spark, d).select(
         "ord", F.col("ord").cast("string").alias("id"), "date", "amount", "counterparty", "notes", F.lit(None).cast("string").alias("document"), "financial_account",
         F.concat(F.lit("account "), "financial_account").alias("financial_name"), F.col("ord").cast("int").alias("source_row"),
     )
     base = engine.Base(v.chart(spark, d), history, moved)
-    return engine.generate(base, PERIOD)
+    return engine.generate(base, PERIOD, with_sequence=with_sequence)
 
 
 @query()

@@ -19,11 +19,15 @@ FORMATS = ("pdf", "xml", "xlsx", "xls", "csv")
 def discovered(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content of all files below a folder, by Spark's own reader (any store it reads).
 
-    That reader passes over empty files; their names come from a listing, as rows without content.
+    That reader passes over empty files; their names come from a listing, as rows without content. A path that is not there is one row
+    without length or content, whose issue described() tells.
     """
-    full = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return spark.createDataFrame([(path, None, None)], "path string, length long, content binary")
+    full = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    listing = system.listFiles(root, True)
     empty = []
     while listing.hasNext():
         status = listing.next()
@@ -35,7 +39,7 @@ def discovered(spark: SparkSession, path: str) -> DataFrame:
 def described(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """Adds name, extension, sha256, short_hash and the issue of files that are empty or too large."""
     name = F.substring_index("path", "/", -1)
-    issue = F.when(F.col("length") == 0, "file_empty").when(F.col("length") > most, "file_too_large")
+    issue = F.when(F.col("length").isNull(), "file_not_found").when(F.col("length") == 0, "file_empty").when(F.col("length") > most, "file_too_large")
     return files.select(
         "*", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("extension"), F.sha2("content", 256).alias("sha256"), F.substring(F.sha2("content", 256), 1, 12).alias("short_hash"), issue.alias("issue")
     )
@@ -61,10 +65,15 @@ def _is_spreadsheet_package():
 is_spreadsheet_package = _is_spreadsheet_package()
 
 
+# What the bytes 0x80-0x9F stand for in Windows' Western code page; five of them stand for nothing.
+WINDOWS_BYTES = "".join(chr(b) for b in range(0x80, 0xA0))
+WINDOWS_CHARS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
 def text_of(content: Column) -> Column:
-    """UTF-8 with or without a mark, else Latin-1 with the Windows characters above it left as they are."""
+    """UTF-8 with or without a mark, else Windows' Western code page."""
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "iso-8859-1")), "^﻿", "")
+    return F.regexp_replace(F.coalesce(utf8, F.translate(F.decode(content, "iso-8859-1"), WINDOWS_BYTES, WINDOWS_CHARS)), "^\ufeff", "")
 
 
 def delimiter_of(text: Column) -> Column:

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from tallyforge.plans import catalogue
+from tallyforge.plans import catalogue, catalogue_more  # noqa: F401
 from tests.helpers import assert_same, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,7 +45,7 @@ def test_similarity_equals_a_loop(spark):
         assert found.get(a.ord) == expected
 
 
-@pytest.mark.parametrize("name", ["best_history_whole", "similarity_match"])
+@pytest.mark.parametrize("name", ["best_history_match", "similarity_match"])
 def test_best_history_takes_whole_tables(spark, con, name):
     from difflib import SequenceMatcher
 

@@ -190,3 +190,15 @@ def test_fiscal_rules(spark):
     df = spark.createDataFrame(rows, schema)
     found = [r[0] for r in df.select(money.fiscal_issue(*[F.col(c) for c in "gbrin"])).collect()]
     assert found == [None, "negative_fiscal_value", "inconsistent_totals", "inconsistent_iss_total"]
+
+
+def test_plain_equals_the_exact_function(spark):
+    import sys
+    import unicodedata
+
+    given = [chr(c) for c in range(1, sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co") and c < 0x20000]
+    rows = [(i, "a " + "".join(given[i : i + 50]) + " Z\x1c\x1dq") for i in range(0, len(given), 50)] + [(-1, None), (-2, ""), (-3, "Nº 5 1ª parcela a\u00a0b ﬁm ＡＢ")]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", "t", text.plain(F.col("t")).alias("p"))
+    for r in df.collect():
+        assert r.p == " ".join(unicodedata.normalize("NFKD", r.t or "").encode("ascii", "ignore").decode().lower().split()), r.i
+    assert {r.i: r.p for r in df.where("i = -3").collect()} == {-3: "no 5 1a parcela a b fim ab"}

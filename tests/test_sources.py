@@ -109,3 +109,16 @@ def test_ingestion_is_incremental(spark, folder, tmp_path_factory):
     (folder / "new.pdf").write_bytes(b"%PDF-1.7 new")
     ingest(spark, str(folder), target, checkpoint).awaitTermination()
     assert (first, spark.read.parquet(target).count()) == (len(FILES) - 1, len(FILES))  # the stream passes over the empty file
+
+
+def test_windows_bytes_quoted_breaks_and_missing_paths(spark, tmp_path):
+    data = "Data;Texto\n01/01/2024;\"a\nb\"\n02/01/2024;x – €\n".encode("cp1252")
+    (tmp_path / "a.csv").write_bytes(data)
+    got = files.described(files.discovered(spark, str(tmp_path)))
+    cells = {r.coordinate: r.value for r in registry.default_readers().get("csv")(got).collect()}
+    assert cells == {"A1": "Data", "B1": "Texto", "A2": "01/01/2024", "B2": "ab", "A3": "02/01/2024", "B3": "x – €"}
+    gone = files.detected(files.described(files.discovered(spark, str(tmp_path / "none")))).collect()
+    assert [r.issue for r in gone] == ["file_not_found"]
+    (tmp_path / "b.csv").write_bytes(b"no table")
+    issues = {r.issue for r in registry.default_readers().get("csv")(files.described(files.discovered(spark, str(tmp_path / "b.csv")))).collect()}
+    assert issues == {"invalid_csv"}
