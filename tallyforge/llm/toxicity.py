@@ -17,7 +17,6 @@ labels are no inputs of a score.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import CACHE_WORDS, arrow_map, table, texts_of, written
+from tallyforge.llm.common import CACHE_WORDS, arrow_map, let_go, table, texts_of, written
 
 FOLDS = 5
 #: The bounded sample that the voters' model and the classifier are fitted on: rows of each class.
@@ -120,31 +119,46 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     return picked, n1 / max(1, n0 + n1)
 
 
-def vocabulary(picked: DataFrame, evidence: float = EVIDENCE) -> tuple[list[str], list[str]]:
-    """The features in enough texts of the sample to reach the evidence asked for, and those of them that go with toxic labels; the sample bounds their number."""
+def _ratio(toxic: Column, both: Column, n1: float, n0: float) -> Column:
+    """Dunning's log-likelihood ratio of a feature that is in so many texts, so many of them toxic: the evidence that the two classes' rates differ at all."""
+    total = n1 + n0
+    part = lambda count, n, all_: F.when(count > 0, count * F.log(count * total / (n * all_))).otherwise(0.0)
+    clean, absent = both - toxic, total - both
+    return 2 * (part(toxic, F.lit(n1), both) + part(clean, F.lit(n0), both) + part(n1 - toxic, F.lit(n1), absent) + part(n0 - clean, F.lit(n0), absent))
+
+
+#: Parts of a text that a posterior label is counted in, so that sums are of whole numbers and do not depend on their order.
+PARTS = 1 << 20
+
+
+def counted(picked: DataFrame, posterior: dict[int, float]) -> DataFrame:
+    """feature, toxic, both: for each feature the texts it is in, and how much of them is toxic by the posterior labels (by row)."""
+    held = picked.sparkSession.sparkContext.broadcast(posterior)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter(), Counter()
+        of = held.value
+        toxic, both = Counter(), Counter()
         for batch in batches:
-            for text, toxic in zip(texts_of(batch), batch.column("_toxic").to_pylist(), strict=True):
-                found[toxic].update({f for w in set(text.split()) for f in features_of(w)})
-        names = list(found[0] | found[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "toxic", "clean"])
-
-    counts = arrow_map(picked, run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n = {r._toxic: r["count"] for r in picked.groupBy("_toxic").count().collect()}
-    n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-    # a feature of c texts reaches 2 * c * log(1 / share) at most, where all are of the rarer class
-    counts = counts.where(F.col("toxic") + F.col("clean") >= math.ceil(evidence / (2 * math.log((n1 + n0) / min(n1, n0)))))
-    # Dunning's log-likelihood ratio: the evidence that the two classes' rates differ at all
-    both, total = F.col("toxic") + F.col("clean"), float(n1 + n0)
-    part = lambda count, n, all_, all_n: F.when(count > 0, count * F.log(count * all_n / (n * all_))).otherwise(0.0)
-    absent = total - both
-    ratio = 2 * (part(F.col("toxic"), n1, both, total) + part(F.col("clean"), n0, both, total) + part(n1 - F.col("toxic"), n1, absent, total) + part(n0 - F.col("clean"), n0, absent, total))
-    tells = (F.col("toxic") / n1 > 4 * F.col("clean") / n0) & (ratio >= evidence)
-    found = counts.select("feature", tells.alias("tells")).toArrow()
-    rows = sorted(zip(found.column("feature").to_pylist(), found.column("tells").to_pylist(), strict=True))
-    return [f for f, _ in rows], [f for f, t in rows if t]
+            for text, row in zip(texts_of(batch), batch.column("_row").to_pylist(), strict=True):
+                found = {f for w in set(text.split()) for f in features_of(w)}
+                share = round(of[row] * PARTS)
+                both.update(found)
+                if share:
+                    toxic.update(dict.fromkeys(found, share))
+        yield pa.RecordBatch.from_arrays([pa.array(list(both), pa.string()), pa.array([toxic[f] for f in both], pa.int64()), pa.array(list(both.values()), pa.int64())], names=["feature", "toxic", "both"])
+
+    sums = arrow_map(picked, run, "feature string, toxic long, both long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("both").alias("both"))
+    return sums.select("feature", (F.col("toxic") / PARTS).alias("toxic"), F.col("both").cast("double").alias("both"))
+
+
+def telling(picked: DataFrame, posterior: dict[int, float], toxic_only: bool, evidence: float = EVIDENCE) -> list[str]:
+    """The features with the evidence asked for, either way or of toxic texts alone (their rate four times that in clean ones). Only these come to the driver."""
+    n1 = max(sum(posterior.values()), 1e-9)
+    n0 = max(len(posterior) - n1, 1e-9)
+    ok = _ratio(F.col("toxic"), F.col("both"), n1, n0) >= evidence
+    if toxic_only:
+        ok &= F.col("toxic") / n1 > 4 * (F.col("both") - F.col("toxic")) / n0
+    return sorted(r.feature for r in counted(picked, posterior).where(ok).select("feature").collect())
 
 
 class LabelModel:
@@ -154,48 +168,55 @@ class LabelModel:
         self.prior, self.rounds, self.tolerance = min(max(prior, 0.01), 0.99), rounds, tolerance
 
     def fit(self, votes: np.ndarray) -> LabelModel:
-        posterior = np.clip((votes == 1).sum(1) > 0, 0.1, 0.9).astype(float)
-        masks = {k: (votes == k).astype(np.float32) for k in (1, -1, 0)}
-        self.weight = np.ones(votes.shape[1])
+        n, m = votes.shape
+        cast = {k: np.nonzero(votes == k) for k in (1, -1)}  # almost all abstain, so the votes' places are held and no masks
+        posterior = np.where(np.bincount(cast[1][0], minlength=n) > 0, 0.9, 0.1)
+        self.weight = np.ones(m)
         # as if voters were independent at first: what the label makes them share shows as correlation until it is known
         for correlated in (False, True):
             if correlated:
                 # of the likelier label: a share of the other would look like a correlation
-                self.weight = self.shared(votes, (posterior > 0.5).astype(float))
+                self.weight = self.shared(votes, posterior > 0.5)
             for _ in range(self.rounds):
                 # P(vote | label) for the three votes, smoothed towards voters that are right more often than not
-                rates = np.empty((2, 3, votes.shape[1]))
+                rates = np.empty((2, 3, m))
                 for y, p in ((1, posterior), (0, 1 - posterior)):
-                    for k, vote in enumerate((1, -1, 0)):
-                        agree = 2.0 if (vote == 1) == (y == 1) and vote else 0.5
-                        rates[y, k] = (p @ masks[vote] + agree * 0.5) / (p.sum() + 2.0)
+                    for k, vote in enumerate((1, -1)):
+                        agree = 2.0 if (vote == 1) == (y == 1) else 0.5
+                        rates[y, k] = np.bincount(cast[vote][1], p[cast[vote][0]], m) + agree * 0.5
+                    rates[y, 2] = p.sum() + 0.5 * 2.5 - rates[y, 0] - rates[y, 1] + 0.25
                 self.rates = rates / rates.sum(1, keepdims=True)
-                before, posterior = posterior, self.posterior(votes)
+                before, posterior = posterior, self._posterior(cast, n)
                 if np.abs(posterior - before).max() < self.tolerance:
                     break
-        right = posterior @ masks[1] + (1 - posterior) @ masks[-1]
-        self.accuracy = (right + 1) / ((votes != 0).sum(0) + 2)
+        right = np.bincount(cast[1][1], posterior[cast[1][0]], m) + np.bincount(cast[-1][1], (1 - posterior)[cast[-1][0]], m)
+        self.accuracy = (right + 1) / (np.bincount(cast[1][1], minlength=m) + np.bincount(cast[-1][1], minlength=m) + 2)
         return self
 
-    def shared(self, votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    def shared(self, votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         """A voter's weight: one over its sum of squared correlations with all voters, itself included, given the label."""
-        v = votes.astype(np.float32)
-        covariance = np.zeros((v.shape[1],) * 2)
-        for p in (posterior, 1 - posterior):
-            mean = p @ v / max(p.sum(), 1e-9)
-            centred = (v - mean.astype(np.float32)) * np.sqrt(p).astype(np.float32)[:, None]
-            covariance += centred.T @ centred
-        scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-        self.correlation = covariance / scale[:, None] / scale
-        return 1 / np.maximum(1.0, (self.correlation**2).sum(1))
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        evidence = np.log(self.prior / (1 - self.prior))
+        m = votes.shape[1]
+        self.correlation = np.zeros((m, m), np.float32)
+        for own in (toxic, ~toxic):
+            mean = votes[own].mean(0, dtype=np.float64) if own.any() else np.zeros(m)
+            some = np.flatnonzero(own)
+            for a in range(0, len(some), 1000):
+                centred = (votes[some[a : a + 1000]] - mean).astype(np.float32)
+                self.correlation += centred.T @ centred
+        scale = np.sqrt(np.maximum(np.diag(self.correlation), 1e-9))
+        self.correlation /= scale[:, None]
+        self.correlation /= scale
+        return 1 / np.maximum(1.0, np.einsum("ij,ij->i", self.correlation, self.correlation, dtype=np.float64))
+
+    def _posterior(self, cast: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         ratio = np.log(self.rates[1]) - np.log(self.rates[0])
         # who abstains says nothing: with many narrow voters almost all abstain from any text
-        score = evidence + sum((votes == vote) @ (ratio[k] * self.weight) for k, vote in enumerate((1, -1)))
+        score = np.log(self.prior / (1 - self.prior)) + sum(np.bincount(cast[vote][0], (ratio[k] * self.weight)[cast[vote][1]], n) for k, vote in enumerate((1, -1)))
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return self._posterior({k: np.nonzero(votes == k) for k in (1, -1)}, len(votes))
+
 
 def linear(rows: np.ndarray, columns: np.ndarray, n_features: int, y: np.ndarray, rounds: int = 120, rate: float = 0.5, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels: the texts' features are given as places (row, column) of ones. Gradient steps scaled
@@ -216,16 +237,6 @@ def linear(rows: np.ndarray, columns: np.ndarray, n_features: int, y: np.ndarray
     return w, float(b)
 
 
-def telling(rows: np.ndarray, columns: np.ndarray, n_features: int, posterior: np.ndarray, evidence: float = EVIDENCE) -> np.ndarray:
-    """Features whose log-likelihood ratio with the posterior labels is at least the evidence asked for, either way."""
-    n1, n0 = max(posterior.sum(), 1e-9), max((1 - posterior).sum(), 1e-9)
-    toxic, clean = np.bincount(columns, posterior[rows], n_features), np.bincount(columns, (1 - posterior)[rows], n_features)
-    total, both = n1 + n0, toxic + clean
-    part = lambda count, n, all_: np.where(count > 1e-9, count * np.log(np.maximum(count, 1e-9) * total / np.maximum(n * all_, 1e-9)), 0.0)
-    ratio = 2 * (part(toxic, n1, both) + part(clean, n0, both) + part(n1 - toxic, n1, total - both) + part(n0 - clean, n0, total - both))
-    return np.flatnonzero(ratio >= evidence)
-
-
 def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logits: the shift for which the weighted F1 at 0.5 is best, the slope of the best likelihood."""
     order = np.argsort(-z, kind="stable")
@@ -242,56 +253,52 @@ def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The classifier: weights of features and a bias; besides them the voters' accuracies and the label model's own verdicts. Without labelled rows it has a bias alone."""
+    """The classifier: weights of features and a bias; besides them the voters' accuracies and the label model. Without labelled rows it has a bias alone.
+
+    The features of texts are counted on the executors; the driver holds the votes of the sample and the features that tell.
+    """
     picked, prior = sample(docs, labels)
-    picked = written(picked, "toxicity-sample")
-    names, learned = vocabulary(picked)
-    place = picked.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
-    seats = seats_of(learned)
+    picked = written(picked.withColumn("_row", F.xxhash64("text")), "toxicity-sample")
+    gold = {r._row: float(r._toxic) for r in picked.select("_row", "_toxic").collect()}
+    if not gold:
+        return {"weights": {}, "bias": float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))}
+    seats = seats_of(telling(picked, gold, True))
     voters = max(seats.values()) + 1
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = place.value
+    def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, votes, patterns = [], [], []
-            for text in texts_of(batch):
-                xs.append(sorted({known[f] for w in set(text.split()) for f in features_of(w) if f in known}))
-                v, p = votes_of(text, seats)
-                votes.append(v)
-                patterns.append(p)
+            cast = [votes_of(text, seats) for text in texts_of(batch)]
             kinds = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, kinds), pa.array(votes, kinds), pa.array(patterns, kinds), batch.column("_toxic")], names=["x", "votes", "patterns", "toxic"])
-
-    found = arrow_map(picked, run, "x array<int>, votes array<int>, patterns array<int>, toxic int").toArrow().combine_chunks()
-    if not found.num_rows:
-        return {"weights": {}, "bias": float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))}
-    n = found.num_rows
-    x = found.column("x").combine_chunks()
-    lengths = np.diff(x.offsets.to_numpy())
-    rows, columns = np.repeat(np.arange(n), lengths), x.flatten().to_numpy()
-    votes = np.zeros((n, voters + PATTERNS), np.int8)
-    for i, (v, p) in enumerate(zip(found.column("votes").to_pylist(), found.column("patterns").to_pylist(), strict=True)):
-        votes[i, v] = 1
-        votes[i, voters:] = p
-    y = found.column("toxic").to_numpy().astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([v for v, _ in cast], kinds), pa.array([p for _, p in cast], kinds)], names=["row", "votes", "patterns"])
+
+    cast = sorted(arrow_map(picked, vote, "row long, votes array<int>, patterns array<int>").collect())
+    order = [r.row for r in cast]
+    votes = np.zeros((len(cast), voters + PATTERNS), np.int8)
+    for i, r in enumerate(cast):
+        votes[i, r.votes] = 1
+        votes[i, voters:] = r.patterns
+    y = np.array([gold[i] for i in order])
     share = float(y.mean())
     model = LabelModel(share).fit(votes)
     posterior = model.posterior(votes)
-    # equal order of rows in any order of files: sums of floats must not depend on it
-    order = np.lexsort((lengths, posterior))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    kept = telling(rows, columns, len(names), posterior)
-    seat = np.full(len(names), -1)
-    seat[kept] = np.arange(len(kept))
-    rows, columns = rows[seat[columns] >= 0], seat[columns][seat[columns] >= 0]
-    names = [names[i] for i in kept]
-    w, b = linear(rank[rows], columns, len(names), posterior[order])
-    z = np.bincount(rows, w[columns], n) + b
+    names = telling(picked, dict(zip(order, posterior.tolist(), strict=True)), False)
+    place = {f: i for i, f in enumerate(names)}
+
+    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs = [sorted({place[f] for w in set(text.split()) for f in features_of(w) if f in place}) for text in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(xs, pa.list_(pa.int32()))], names=["row", "x"])
+
+    found = sorted(arrow_map(picked, features, "row long, x array<int>").collect())
+    rows = np.repeat(np.arange(len(found)), [len(r.x) for r in found])
+    columns = np.array([j for r in found for j in r.x], np.int64)
+    w, b = linear(rows, columns, len(names), posterior)
+    z = np.bincount(rows, w[columns], len(found)) + b
     if 0 < share < 1:
         slope, shift = calibrated(z, y, np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
         w, b = w * slope, (b + shift) * slope
     accuracy = {f: float(model.accuracy[i]) for f, i in seats.items()}
+    let_go()
     return {"weights": {f: float(v) for f, v in zip(names, w, strict=True) if v}, "bias": float(b), "accuracy": accuracy, "seats": seats, "label_model": model}
 
 
