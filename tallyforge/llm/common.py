@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
-def _let_go() -> None:
+def let_go() -> None:
     """Gives a worker's freed memory back to the system; workers live on and serve other tasks, stages and jobs."""
     pa.default_memory_pool().release_unused()
     try:
@@ -55,7 +55,7 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
         try:
             yield from function(batches)
         finally:
-            _let_go()
+            let_go()
 
     return df.mapInArrow(run, schema)
 
@@ -122,14 +122,19 @@ def dropped(df: DataFrame) -> None:
 HOT_KEYS, LEAST_HOT = 50_000, 100
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, label: str | None = None) -> DataFrame:
     """Inner join with a table of one row a key, which says in ``count`` how many of left's ``total`` rows have it.
 
     Keys with more than total / HOT_KEYS rows are hot. There are fewer than HOT_KEYS of them, so they are broadcast;
-    of the others, which are shuffled, no key brings a task more rows than that.
+    of the others, which are shuffled, no key brings a task more rows than that. A table that has to be computed is written first under a
+    label, as it is looked at for hot keys before it is joined.
     """
+    right = written(right, label) if label else right
     limit = max(LEAST_HOT, total // HOT_KEYS)
-    hot, cold = F.broadcast(right.where(F.col(count) > limit)), right.where(F.col(count) <= limit)
+    hot = right.where(F.col(count) > limit)
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot, cold = F.broadcast(hot), right.where(F.col(count) <= limit)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 

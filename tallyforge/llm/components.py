@@ -21,12 +21,21 @@ def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     """
     ways = links.select("u", "v").union(links.select(F.col("v"), F.col("u"))) if large else links.select("u", "v")
     least = ways.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    least = written(least, "least")
     joined = split_join(ways, least, "u", "_n", total)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = written(out.where("u <> v").distinct(), "links")
+    dropped(least)
+    return out
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether the links are stars around the components' ends: each node has one link, and to a node that has none itself."""
+    n, nodes = links.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return n == nodes and links.select("u").join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,17 +45,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = written(links, "links")
-    # a sum over both ends tells a fixed point: the steps only ever lower ends
-    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(links)
-    while before[0]:
-        middle = written(_star(links, True, 2 * before[0]), "links")
-        found = written(_star(middle, False, 2 * before[0]), "links")
-        now = state(found)
+    while not _settled(links):
+        total = 2 * links.count()
+        middle = _star(links, True, total)
+        found = _star(middle, False, total)
         for done in (links, middle):
             dropped(done)
         links = found
-        if now == before:
-            break
-        before = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

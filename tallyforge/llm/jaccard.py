@@ -401,7 +401,7 @@ def shared_cells(distinct: DataFrame) -> DataFrame:
     cells = distinct.select("doc_id", F.explode("prefix").alias("cell"))
     total = distinct.agg(F.sum(F.size("prefix"))).first()[0] or 0
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return split_join(cells, counts, "cell", "_n", total)
+    return split_join(cells, counts, "cell", "_n", total, "jaccard-counts")
 
 
 def contracted(docs: DataFrame, distinct: DataFrame, cells: DataFrame, width: int, percent: int, block: int, partitions: int) -> tuple[DataFrame, DataFrame]:
@@ -463,7 +463,7 @@ def completed(docs: DataFrame, distinct: DataFrame, cells: DataFrame, home: Data
     main = each.groupBy("cell").agg(F.max_by("class", "_m").alias("_most"), F.max("_m").alias("_m"))
     known = open_.join(main, "cell", "left")
     total = open_.agg(F.sum("_n")).first()[0]
-    members = split_join(rows, known, "cell", "_n", total)
+    members = split_join(rows, known, "cell", "_n", total, "jaccard-known")
     points = members.join(distinct.select("doc_id", "n_shingles", "vector"), "doc_id").withColumn("_main", F.coalesce(F.col("class") == F.col("_most"), F.lit(False)))
     dealt = in_blocks(points, "cell", F.ceil(F.col("_n") / block), F.ceil((F.col("_n") - F.coalesce("_m", F.lit(0))) / block)).drop("_n", "_m", "_most")
 
@@ -488,10 +488,10 @@ def completed(docs: DataFrame, distinct: DataFrame, cells: DataFrame, home: Data
     some = written(pairs.select(F.inline(ends)).distinct(), "jaccard-some")
     per_class = some.groupBy("class").agg(F.count(F.lit(1)).alias("_m")).join(clusters, "class")
     sizes = distinct.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    some = split_join(some, per_class, "class", "_m", some.count()).join(label.select("doc_id", "at"), "doc_id").join(sizes, "doc_id")
+    some = split_join(some, per_class, "class", "_m", some.count(), "jaccard-per-class").join(label.select("doc_id", "at"), "doc_id").join(sizes, "doc_id")
     some = written(some, "jaccard-some")
     of_cluster = some.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"), F.max(F.struct("_m", "class")).alias("_most"))
-    some = split_join(some.drop("_m"), of_cluster, "cluster", "_n", some.count())
+    some = split_join(some.drop("_m"), of_cluster, "cluster", "_n", some.count(), "jaccard-of-cluster")
     part = lambda n: F.greatest(F.ceil(n / block), F.ceil(F.col("_s") * n / F.col("_n") / block_shingles))
     some = some.select("doc_id", "class", "cluster", "at", (F.col("class") == F.col("_most.class")).alias("_main"), part(F.col("_n")).alias("_k"), part(F.col("_n") - F.col("_most._m")).alias("_o"))
     dealt = in_blocks(sets_of(docs, some, width), "cluster", F.col("_k"), F.col("_o")).drop("_k", "_o")
@@ -529,7 +529,7 @@ def join_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buck
     of = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     some = written(of.join(distinct.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"), "jaccard-some")
     of_cluster = some.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
-    some = split_join(some.drop("n_shingles"), of_cluster, "cluster", "_n", some.count())
+    some = split_join(some.drop("n_shingles"), of_cluster, "cluster", "_n", some.count(), "jaccard-of-cluster")
     some = some.select("doc_id", "cluster", F.lit(False).alias("_main"), F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_s") / block_shingles)).alias("_k"))
     dealt = in_blocks(sets_of(docs, some, width), "cluster", F.col("_k"), F.col("_k")).drop("_k")
 
@@ -560,7 +560,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     several = split_join(nodes.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").distinct(), stands, "set_hash", "_copies", total).select(F.col("doc_id").alias("a"), F.col("_rep").alias("b"))
     found = written(components(links.union(several)), "jaccard-found")
     per_node = member.groupBy("_rep").agg(F.count(F.lit(1)).alias("_n")).join(found, F.col("_rep") == F.col("node"), "left").select("_rep", F.coalesce("component", "_rep").alias("component"), "_n")
-    member = split_join(member, per_node, "_rep", "_n", total).select(F.col("doc_id").alias("_member"), "component")
+    member = split_join(member, per_node, "_rep", "_n", total, "jaccard-per-node").select(F.col("doc_id").alias("_member"), "component")
     out = sketched.select("doc_id", "n_shingles").join(member, F.col("doc_id") == F.col("_member"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
