@@ -2,7 +2,7 @@
 
 The tagger is trained in numpy from labelled spans (made-up ones unless others are given). It reads every whole text in
 overlapping windows; the windows' scores are merged and one best tag path is found for the whole text. What it marks beyond
-the base spans are addresses spelt with "[at]", card and phone numbers that the base rules leave out, secrets
+the base spans are addresses spelt with "[at]", grouped card numbers and phone numbers that the base rules leave out, secrets
 (keys and tokens) and account numbers (IBAN). An added span loses foreign characters at its ends, an address or a secret grows
 to its whole run, and a check of the form follows, so that plain numbers stay; base spans always stay.
 """
@@ -112,6 +112,8 @@ def checked(text: str, span: Span) -> Span | None:
         return None
     if kind and ((start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())):
         return None
+    if kind == 2 and value.isdigit() and not luhn(value):
+        return None
     if kind == 3:
         digits = sum(map(str.isdigit, value))
         if not 10 <= digits <= 15 or value[0] != "+" and (digits == len(value) or digits > 11):
@@ -158,11 +160,18 @@ def found_spans(model: dict[str, np.ndarray], texts: list[str], base: list[list[
 _models: dict[tuple[int, int], dict[str, np.ndarray]] = {}
 
 
-def default_model(examples: int = EXAMPLES, steps: int = STEPS) -> dict[str, np.ndarray]:
-    """Trained once a process; the training is deterministic."""
+def default_model(spark: SparkSession, examples: int = EXAMPLES, steps: int = STEPS) -> dict[str, np.ndarray]:
+    """Trained in a task, once a driver process; the training is deterministic, and the model is a few thousand numbers."""
     key = (examples, steps)
     if key not in _models:
-        _models[key] = tagger.train(tagger.examples(examples), steps=steps)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if sum(b.num_rows for b in batches):
+                model = tagger.train(tagger.examples(examples), steps=steps)
+                yield pa.RecordBatch.from_arrays([pa.array(list(model)), pa.array([list(a.shape) for a in model.values()], pa.list_(pa.int32())), pa.array([a.astype(np.float32).tobytes() for a in model.values()])], names=["name", "shape", "numbers"])
+
+        rows = arrow_map(spark.range(0, 1, 1, 1), run, "name string, shape array<int>, numbers binary").collect()
+        _models[key] = {r["name"]: np.frombuffer(r["numbers"], np.float32).reshape(r["shape"]).copy() for r in rows}
     return _models[key]
 
 
@@ -176,7 +185,7 @@ def personal_data(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -
     results, a null doc_id stays null, whole texts are read, an empty table gives no rows, other columns are
     not read. The model is a few thousand numbers and goes along with the tasks.
     """
-    model = model or default_model()
+    model = model or default_model(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()
@@ -200,7 +209,7 @@ def masked(docs: DataFrame, model: dict[str, np.ndarray] | None = None, form: st
     A null text stays null, an empty one empty; repeated rows get equal texts, a null doc_id is like any other, long texts are
     read whole, an empty table gives no rows. ``n_chars``, where it is a column, follows the new text.
     """
-    model = model or default_model()
+    model = model or default_model(docs.sparkSession)
     columns = docs.columns
     schema = docs.schema
 

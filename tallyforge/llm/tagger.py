@@ -53,10 +53,9 @@ def examples(n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int, int]
         return ".".join(str(r.randint(0, 255)) for _ in range(4))
 
     def card() -> str:
+        """In groups: of plain runs of digits the check digit alone tells a card, which the base pattern reads and a tagger can't."""
         k = r.choice([14, 15, 16, 16, 16, 16, 16, 17, 19])
         d = digits(k)
-        if r.random() < 0.6:
-            return d
         return r.choice([" ", "-"]).join(d[i : i + 4] for i in range(0, k, 4))
 
     def phone() -> str:
@@ -81,7 +80,7 @@ def examples(n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int, int]
                 lambda: digits(r.randint(1, 9)), lambda: f"{r.randint(0, 99)}.{r.randint(0, 9)}", lambda: f"{r.randint(1900, 2050)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}",
                 lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: f"{r.randint(1, 999)},{digits(3)}.{digits(2)}",
                 lambda: '"' + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([4, 6, 8]))) + '"', lambda: "@" + plain(), lambda: "(" + digits(4) + ")", lambda: "$" + digits(r.randint(1, 6)),
-                lambda: digits(r.randint(24, 40)), lambda: f"{r.randint(0, 999)}/{r.randint(0, 999)}", lambda: plain() + digits(3), lambda: "+" + digits(2) + "%",
+                lambda: digits(r.randint(24, 40)), lambda: digits(r.randint(11, 23)), lambda: f"{r.randint(0, 999)}/{r.randint(0, 999)}", lambda: plain() + digits(3), lambda: "+" + digits(2) + "%",
             ]
         )()
 

@@ -6,7 +6,8 @@
 2. A generative label model estimates by expectation-maximisation, from the votes and the classes' shares alone, how often
    each voter votes and how accurate it is, and, from the covariances that remain given the latent label, which voters repeat each
    other; correlated voters share their weight. It yields a posterior label for each sampled text.
-3. A linear classifier over those word and word-beginning features that tell the posterior labels apart is trained on these labels.
+3. A linear classifier is trained on these labels, over the voters' words, "any word of the lexicon" and those word and
+   word-beginning features that tell the posterior labels apart.
 4. The classifier's slope and bias are calibrated on the sampled labels, weighted to the classes' shares
    among all labels that may be learned from.
 5. Every whole text is scored by the classifier.
@@ -68,10 +69,15 @@ def beginnings(n: int) -> Iterator[int]:
         k += max(1, (k - 4) // 6)
 
 
+#: The feature of every word of the lexicon and its plural: what the sample shows of some of them holds for the others.
+LISTED = "#"
+_LISTED = frozenset(w + end for w in WORDS for end in ("", "s"))
+
+
 def features_of(word: bytes) -> list[str]:
-    """Of a word as it stands in a text: the bare word after "=", its beginnings after "^"."""
+    """Of a word as it stands in a text: the bare word after "=", its beginnings after "^", and whether the lexicon has it."""
     w = bare(word)
-    return ["=" + w, *("^" + w[:n] for n in beginnings(len(w)))] if w else []
+    return ["=" + w, *("^" + w[:n] for n in beginnings(len(w))), *([LISTED] if w in _LISTED else ())] if w else []
 
 
 PATTERNS = 7
@@ -115,7 +121,9 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     n1, n0 = count.get(1, 0), count.get(0, 0)
     first = lambda y, n: rows.where(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(n)
     few = first(1, toxic).unionByName(first(0, clean))  # at most toxic + clean rows, so it is broadcast
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("text").agg(F.max("_toxic").alias("_toxic"))
+    rows_of = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    one = rows_of.groupBy("doc_id").agg(F.min_by(F.struct("text", "_toxic"), F.struct(F.xxhash64("text"), "text")).alias("_one"))  # of several texts of one id one, chosen by hash
+    picked = one.groupBy("_one.text").agg(F.max("_one._toxic").alias("_toxic"))
     return picked, n1 / max(1, n0 + n1)
 
 
@@ -238,15 +246,21 @@ def linear(rows: np.ndarray, columns: np.ndarray, n_features: int, y: np.ndarray
 
 
 def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logits: the shift for which the weighted F1 at 0.5 is best, the slope of the best likelihood."""
+    """Slope and shift of the logits: the shift for which the weighted F1 at 0.5 is best, the slope of the best likelihood.
+
+    Where all logits are equal, the shift to the classes' shares.
+    """
     order = np.argsort(-z, kind="stable")
     hit, miss = np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
-    f1 = 2 * hit / (hit + miss + hit[-1])
     # a cut is a place between different logits
-    cut = np.flatnonzero(np.append(z[order][1:] != z[order][:-1], True))
+    cut = np.flatnonzero(z[order][1:] != z[order][:-1])
+    if not len(cut):
+        # nothing tells the texts apart: all get the classes' shares
+        odds = (weight @ y + 1e-3) / (weight @ (1 - y) + 1e-3)
+        return 1.0, float(np.log(odds) - z[0])
+    f1 = 2 * hit / (hit + miss + hit[-1])
     best = cut[np.argmax(f1[cut])]
-    after = z[order][min(best + 1, len(z) - 1)]
-    shift = -float((z[order][best] + after) / 2)
+    shift = -float((z[order][best] + z[order][best + 1]) / 2)
     slopes = np.geomspace(0.5, 30, 40)
     losses = [float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * np.clip(s * (z + shift), -30, 30))) for s in slopes]
     return float(slopes[int(np.argmin(losses))]), shift
@@ -281,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     share = float(y.mean())
     model = LabelModel(share).fit(votes)
     posterior = model.posterior(votes)
-    names = telling(picked, dict(zip(order, posterior.tolist(), strict=True)), False)
+    # voters have their say whatever their evidence against the posteriors is, so a small sample does not leave the classifier without features
+    names = sorted({LISTED, *seats, *telling(picked, dict(zip(order, posterior.tolist(), strict=True)), False)})
     place = {f: i for i, f in enumerate(names)}
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

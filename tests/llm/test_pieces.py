@@ -255,8 +255,21 @@ def test_base_spans_are_linear():
 
 
 @pytest.fixture(scope="module")
-def model():
-    return pii.default_model()
+def model(spark):
+    return pii.default_model(spark)
+
+
+def test_training_is_the_same_in_a_task(spark):
+    here, there = tagger.train(tagger.examples(60), steps=3), pii.default_model(spark, 60, 3)
+    assert here.keys() == there.keys() and all(np.array_equal(here[k], there[k]) for k in here)
+
+
+def test_plain_numbers_are_no_cards(model):
+    texts = ["order 12345678901234 shipped", "id 1234567890123456 and 99887766554433221", "sum 111222333444555666 only"]
+    assert not any(pii.luhn(w) for t in texts for w in t.split() if len(w) > 13 and w.isdigit())
+    assert pii.found_spans(model, texts, [pii.base_spans(t) for t in texts]) == [[], [], []]
+    assert pii.checked("4111111111111111", (2, 0, 16)) == (2, 0, 16) and pii.checked("4111111111111112", (2, 0, 16)) is None
+    assert [k for k, _, _ in pii.found_spans(model, ["card 4929 1273 8841 0092 paid"], [[]])[0]] == [2]
 
 
 def test_tagger_finds_held_out_spans(model):
@@ -359,7 +372,7 @@ def test_masks_replace_overlaps_once():
 
 
 def test_toxic_features_and_votes():
-    assert toxicity.features_of("(Idiots!!)".encode()) == ["=idiots", "^idio", "^idiot"]
+    assert toxicity.features_of("(Idiots!!)".encode()) == ["=idiots", "^idio", "^idiot", toxicity.LISTED]
     assert toxicity.features_of(b"12") == toxicity.features_of(b"---") == [] and toxicity.features_of(b"x") == ["=x"]
     assert len(toxicity.features_of(b"z" * 100_000)) < 100
     seats = toxicity.seats_of(["^vran", "=idiot"])
@@ -410,3 +423,11 @@ def test_label_model_tells_accurate_voters_and_copies():
     m = toxicity.LabelModel(0.3).fit(votes)
     assert m.accuracy[0] > m.accuracy[2] and m.correlation[0, 4] > 0.95 and m.weight[0] < 0.7
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.9
+
+
+def test_calibration_of_equal_logits_keeps_the_shares():
+    z, y = np.full(20, 0.3), np.array([1.0] * 4 + [0.0] * 16)
+    slope, shift = toxicity.calibrated(z, y, np.ones(20))
+    assert abs(1 / (1 + np.exp(-slope * (z[0] + shift))) - 0.2) < 0.01
+    slope, shift = toxicity.calibrated(np.append(z[:19], 2.0), y[::-1], np.ones(20))
+    assert slope * (0.3 + shift) < 0 < slope * (2.0 + shift)

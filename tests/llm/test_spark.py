@@ -195,6 +195,36 @@ def test_toxicity_learns_from_its_folds_alone(spark, labels):
     assert toxicity.without_toxic(d, labels).count() == sum(x.predicted == 0 for x in got)
 
 
+@pytest.mark.parametrize("toxic", [0, 1, 10])
+def test_toxicity_of_small_samples(spark, toxic):
+    """However few toxic labels there are, clean texts stay clean and insults are told."""
+    r = random.Random(toxic)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    insult = lambda: " ".join(r.sample(["idiot", "moron", "pathetic", "worthless", "scum", "trash"], 3))
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:80]
+    bad = set(learnt[:toxic])
+    rows = [(i, " ".join(word() for _ in range(40)) + (" " + insult() if i in bad or i >= 190 else ""), "s") for i in range(200)]
+    got = toxicity.score(docs(spark, rows), spark.createDataFrame([(i, 1, int(i in bad)) for i in learnt], "doc_id long, quality int, toxic int")).collect()
+    assert not any(x.predicted for x in got if x.doc_id not in bad and x.doc_id < 190)
+    assert sum(x.predicted for x in got if x.doc_id >= 190) >= min(toxic, 10)  # with none of it in the sample nothing can be learned
+
+
+def test_toxicity_samples_one_text_of_an_id(spark):
+    rows = [(7, "text number %d" % i, "s") for i in range(50)] + [(8, "other", "s")]
+    picked, _ = toxicity.sample(docs(spark, rows), spark.createDataFrame([(7, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert picked.count() == 2
+
+
+@needs_tables
+@pytest.mark.parametrize("folder,least", [("sf0.001", 0.9), ("sf0.01", 0.75), ("sf0.1", 0.88)])
+def test_toxicity_held_out(spark, folder, least):
+    """F1 on the labels that were not learned from; the lexicon alone has 0.64 at sf0.1."""
+    folder = f"/root/testdata/{folder}"
+    got = toxicity.op5_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    hit = sum(x.predicted and x.toxic for x in got)
+    assert 2 * hit >= least * (sum(x.predicted for x in got) + sum(x.toxic for x in got))
+
+
 def test_toxicity_odd_rows(odd, labels):
     got = toxicity.score(odd, labels.withColumn("doc_id", F.lit(None).cast("long"))).collect()
     assert len(got) == len(ODD) and len({r.score for r in got}) == 1 and {r.held_out for r in got if r.doc_id is None} == {False}
@@ -454,11 +484,13 @@ def test_pipeline_stages_against_their_input(spark):
     scores = {r.doc_id: r.predicted for r in toxicity.score(d, spark.read.parquet(f"{FOLDER}/labels.parquet")).collect()}
     kept = [r for r in rows if not scores[r[0]]]
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in kept)
+    assert 0.9 * len(rows) < len(kept) < len(rows)
     single = stages["ngram_jaccard_join"](spark, clean, FOLDER)
     ids = {c for _, _, c in components_by_brute_force(kept, 5, 80)}
-    assert sorted(r.doc_id for r in single.collect()) == sorted(ids)
+    assert sorted(r.doc_id for r in single.collect()) == sorted(ids) and 0.5 * len(kept) < len(ids) < len(kept)
     masked = stages["personal_data"](spark, single, FOLDER)
     texts = {r.doc_id: r.text for r in masked.collect()}
+    assert texts.keys() == ids and any("[" in t for t in texts.values())
     for i, t, _ in kept:
         if i in ids:
             assert not pii.base_spans(texts[i]) and (texts[i] == t or "[" in texts[i])
@@ -471,7 +503,8 @@ def test_pipeline_stages_against_their_input(spark):
 
 @needs_tables
 def test_pipeline_runs(spark):
-    assert corpus_pipeline.run(spark, FOLDER).agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+    packed = corpus_pipeline.run(spark, FOLDER)
+    assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048 and packed.select("doc_id").distinct().count() > 100
 
 
 def docs_of(folder):
