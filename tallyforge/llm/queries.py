@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import binary, chat, fingerprints, jaccard, mixing, packing, pii, quality, toxicity, warc
+from tallyforge.llm import binary, centroids, chat, fingerprints, jaccard, mixing, packing, pareto, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_packing": packing.op10_packing,
+    "op11_pareto": pareto.op11_pareto,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +29,6 @@ SQL: dict[str, str] = {
     "op7_chat": chat.SQL,
     "op8_mixing": mixing.SQL,
     "op9_jaccard": jaccard.SQL,
+    "op11_pareto": pareto.SQL,
+    "op13_centroids": centroids.SQL,
 }
