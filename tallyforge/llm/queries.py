@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import binary, centroids, chat, fingerprints, jaccard, mixing, packing, pareto, pii, quality, toxicity, warc
+from tallyforge.llm import binary, centroids, chat, fingerprints, jaccard, mixing, packing, pareto, perplexity, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_packing": packing.op10_packing,
     "op11_pareto": pareto.op11_pareto,
+    "op12_perplexity": perplexity.op12_perplexity,
     "op13_centroids": centroids.op13_centroids,
 }
 
