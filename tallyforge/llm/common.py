@@ -87,7 +87,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir. Only a session without executors of its own may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -434,6 +434,7 @@ def contracted(docs: DataFrame, distinct: DataFrame, cells: DataFrame, width: in
         # of each class in a cell of several blocks some sets meet those of the other classes, a block of them in all
         seed += 1
         rows = large.join(classes, "doc_id", "left").select("doc_id", "cell", F.coalesce("component", "doc_id").alias("class")).withColumn("_key", F.xxhash64("cell", "class"))
+        rows = written(rows, "jaccard-rows")  # read by the counts and by the choice
         each = rows.groupBy("cell", "class", "_key").agg(F.count(F.lit(1)).alias("_m"))
         several = each.groupBy("cell").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
         known = written(each.join(several, "cell").groupBy("_key").agg(F.max("_m").alias("_m"), F.max("_c").alias("_c"), F.first("class").alias("_class")), "jaccard-large")
