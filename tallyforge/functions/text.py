@@ -77,7 +77,8 @@ def _spelt(t: Column) -> Column:
     spelling = F.map_from_arrays(F.split(F.lit(_MANY), "\x00"), F.split(F.lit(_MANY_ASCII), "\x00"))
     parts = F.regexp_extract_all(t, F.lit(f"{_MANY_CLASS}|[^{_MANY_CLASS[1:]}+"), F.lit(0))
     spelt = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(spelling, p), p)), "")
-    return F.when(t.rlike(_MANY_CLASS), spelt).otherwise(t)
+    # a translation looks letters up in a map, where a class of hundreds of members is tried one by one
+    return F.when(F.length(F.translate(t, _MANY.replace("\x00", ""), "")) < F.length(t), spelt).otherwise(t)
 
 
 def plain(text: Column) -> Column:
@@ -190,6 +191,36 @@ def _sequence_ratio():
 sequence_ratio = _sequence_ratio()
 
 
+def _bounded_ratio():
+    """Like the other Arrow functions self-contained, so that it travels by value."""
+
+    def ratio(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        import numpy as np
+
+        def letters(lines: list[bytes]) -> np.ndarray:
+            rows = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+            return np.bincount(rows * 256 + np.frombuffer(b"".join(lines), np.uint8), minlength=len(lines) * 256).reshape(-1, 256)
+
+        a, b = (list(map(str, x.fillna(""))) for x in (left, right))
+        out: list[float | None] = []
+        for start in range(0, len(a), 1024):
+            x, y = a[start : start + 1024], b[start : start + 1024]
+            # twice the common letters over all letters: no ratio is above it, where a letter is a byte
+            p, q = letters([s.encode() for s in x]), letters([s.encode() for s in y])
+            most = 2 * np.minimum(p, q).sum(1) / np.maximum(p.sum(1) + q.sum(1), 1)
+            able = (most >= least.iloc[start : start + 1024].to_numpy(float) - 1e-9).tolist()
+            out += [SequenceMatcher(None, s, t).ratio() if go or not s.isascii() or not t.isascii() or not s + t else None for s, t, go in zip(x, y, able, strict=True)]
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(ratio, DoubleType())
+
+
+#: The sequence ratio where it may reach the third column's value, null where the lines' common letters say that it can't.
+bounded_ratio = _bounded_ratio()
+
+
 def similarity(left: Column, right: Column) -> Column:
     """Of two word sets: three quarters containment, one quarter sequence ratio of the sorted words."""
     line = lambda ws: F.array_join(F.array_sort(ws), " ")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import sequence_ratio, words
+from tallyforge.functions.text import bounded_ratio, words
+from tallyforge.lineage import cut
 
 
 def mirrored_pairs(events: DataFrame) -> DataFrame:
@@ -46,52 +47,83 @@ def mirrored_pairs(events: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "left long, right long")
 
 
+#: Movements with one word that one task gets at most in the candidate search; a word of more is split.
+HOT_WORD = 20_000
+
+
+def needed(size: Column, least: float, with_sequence: bool) -> Column:
+    """How many words of the smaller set must be shared for a score of ``least``.
+
+    With the sequence ratio, which is below 1 unless the sets are equal: the least whole number above size * (4 least - 1) / 3.
+    """
+    if with_sequence:
+        return F.least(size, F.floor(size * (4 * least - 1) / 3).cast("int") + 1)
+    return F.greatest(F.lit(1), F.ceil(size * least).cast("int"))
+
+
+def containment_candidates(texts: DataFrame, rows: DataFrame, key: list[str], least: float = 0.5, with_sequence: bool = True, hot: int = HOT_WORD) -> DataFrame:
+    """Pairs (key, m_line, h_line, h_ord, h) of texts of a key whose word sets may reach the score; ``texts`` (key, line), ``rows`` (key, line, h_ord, h), lines being distinct words joined by spaces.
+
+    Of the smaller set so many words must be in the larger one that one of its rarest ``size - needed + 1`` is: only these are joined with all
+    words of the other side, so a word that is common there is only joined where a set is too small to do without. What is rare is counted on
+    the other side. Words of many movements are split, and the other side's rows with them are repeated for each part.
+    """
+    on = [*key, "word"]
+    words_of = F.split("line", " ")
+    columns = [*key, "line", "h_ord", "h", F.size(words_of).alias("size"), F.explode(words_of).alias("word")]
+    tokens = texts.select(*key, "line", F.lit(None).cast(rows.schema["h_ord"].dataType).alias("h_ord"), F.lit(None).cast(rows.schema["h"].dataType).alias("h")).select(*columns).unionByName(rows.select(*columns))
+    # only words of both sides can meet
+    counts = tokens.groupBy(*on).agg(F.count_if(F.col("h_ord").isNull()).alias("in_m"), F.count("h_ord").alias("in_h")).where("in_m > 0 and in_h > 0").withColumn("parts", F.ceil(F.col("in_m") / hot).cast("int"))
+    other = F.when(F.col("h_ord").isNull(), F.col("in_h")).otherwise(F.col("in_m"))
+    # the words of a set from the rarest on the other side; those that meet nothing come first
+    met = tokens.join(counts, on, "left").groupBy(*key, "line", "h_ord", "size").agg(F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct(F.coalesce(other, F.lit(0)).alias("n"), "word", "parts"))).alias("ranked"))
+    # read four times below
+    met = cut(met.where(F.get("ranked", F.col("size") - 1)["n"] > 0))
+    met = met.select(*key, "line", "h_ord", "h", "size", F.posexplode("ranked").alias("place", "t")).where("t.n > 0").select(*key, "line", "h_ord", "h", "size", "t.word", "t.parts", (F.col("place") <= F.col("size") - needed(F.col("size"), least, with_sequence)).alias("first"))
+    m = met.where("h_ord is null").select(*on, F.pmod(F.xxhash64("line"), F.col("parts")).cast("int").alias("part"), F.col("line").alias("m_line"), F.col("size").alias("m_size"), F.col("first").alias("m_first"))
+    h = met.where("h_ord is not null").select(*on, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("line").alias("h_line"), "h_ord", "h", F.col("size").alias("h_size"), F.col("first").alias("h_first"))
+    found = [*key, "m_line", "h_line", "h_ord", "h"]
+    small_m = m.where("m_first").join(h, [*on, "part"]).where("h_size >= m_size").select(*found)
+    small_h = h.where("h_first").join(m, [*on, "part"]).where("m_size > h_size").select(*found)
+    return small_m.unionByName(small_h).distinct()
+
+
 def best_history(movements: DataFrame, history: DataFrame, financial: DataFrame, with_sequence: bool = True, least: float = 0.5) -> DataFrame:
     """For each movement (ord, direction, financial_account, text) its best history row of the same side.
 
     The pool are the history rows with the movement's own account on its side, and only where there is none
     those with any financial account there. The score is three quarters word containment and one quarter
-    sequence ratio; at least 0.5 needs a shared word, so candidates come from an equi-join on words, and
-    the sequence ratio runs only on pairs whose containment can still reach it.
-    Returns ord, counterpart, standard_history, score; the first row of equal scores.
+    sequence ratio; candidates come from a prefix-filtered join on words, and the ratio runs only on pairs for which the lines' common letters
+    let it reach the threshold. Returns ord, counterpart, standard_history, score; the first row of equal scores.
     """
+    line = lambda text: F.array_join(F.array_sort(words(text)), " ").alias("line")
     sides = history.select(
-        F.col("ord").alias("h_ord"), "standard_history", words(F.col("complement")).alias("h_words"),
+        F.col("ord").alias("h_ord"), "standard_history", line(F.col("complement")),
         F.inline(F.array(
             F.struct(F.lit("inflow").alias("direction"), F.col("debit_account").alias("account"), F.col("credit_account").alias("counterpart")),
             F.struct(F.lit("outflow").alias("direction"), F.col("credit_account").alias("account"), F.col("debit_account").alias("counterpart")),
         )),
-    ).where(F.size("h_words") > 0)
-    # equal words of one account score alike: the first row stands for them
-    line = F.array_join(F.array_sort("h_words"), " ")
-    sides = sides.groupBy("direction", "account", line.alias("h_line")).agg(F.min_by(F.struct("counterpart", "standard_history", "h_words"), "h_ord").alias("h"), F.min("h_ord").alias("h_ord"))
-    money = financial.select(F.col("reduced_code").alias("account")).distinct()
-    every = movements.where("financial_account is not null").select("ord", "direction", F.col("financial_account").alias("account"), words(F.col("text")).alias("m_words")).where(F.size("m_words") > 0).withColumn("m_line", F.array_join(F.array_sort("m_words"), " "))
-    # movements of one account with equal words have the same best row: each kind is matched once
-    kind = ["direction", "account", "m_line"]
-    asked = every.groupBy(*kind).agg(F.first("m_words").alias("m_words"))
+    )
     # the pool is chosen before scoring: rows without words count for it as well
-    own = history.select(F.inline(F.array(F.struct(F.lit("inflow").alias("direction"), F.col("debit_account").alias("account")), F.struct(F.lit("outflow").alias("direction"), F.col("credit_account").alias("account"))))).distinct()
-    exact = asked.join(own, ["direction", "account"], "left_semi")
-    rest = asked.join(own, ["direction", "account"], "left_anti")
-    tokens = sides.select("direction", "account", "h_ord", "h_line", "h", F.explode("h.h_words").alias("word"))
-    asked_exact, asked_rest = (x.select(*kind, F.size("m_words").alias("m_size"), F.explode("m_words").alias("word")) for x in (exact, rest))
-    columns = [*kind, "m_size", "h_ord", "h_line", "h"]
-    pairs = asked_exact.join(tokens, ["direction", "account", "word"]).select(*columns).unionByName(
-        asked_rest.join(tokens.join(money, "account", "left_semi").drop("account"), ["direction", "word"]).select(*columns)
-    )
-    # a group is one pair of texts; its rows are the shared words
-    pairs = pairs.groupBy(*kind, "h_ord", "h_line").agg(F.count(F.lit(1)).alias("shared"), F.first("m_size").alias("m_size"), F.first("h").alias("h"))
-    contained = F.col("shared") / F.least("m_size", F.size("h.h_words"))
-    pairs = pairs.withColumn("contained", contained)
+    own = sides.select("direction", "account", F.lit(True).alias("_own")).distinct()
+    every = movements.where("financial_account is not null").select("ord", "direction", F.col("financial_account").alias("account"), line(F.col("text"))).where("line <> ''").join(own, ["direction", "account"], "left")
+    every = every.select("ord", "direction", F.when(F.col("_own"), F.concat(F.lit("="), "account")).otherwise("*").alias("pool"), F.col("line").alias("m_line"))
+    money = financial.select(F.col("reduced_code").alias("account"), F.lit(True).alias("_money")).distinct()
+    pools = F.filter(F.array(F.concat(F.lit("="), "account"), F.when(F.col("_money"), F.lit("*"))), lambda p: p.isNotNull())
+    # equal words of one pool score alike: the first row stands for them
+    rows = sides.where("line <> ''").join(money, "account", "left").withColumn("pool", F.explode(pools))
+    rows = rows.groupBy("direction", "pool", "line").agg(F.min_by(F.struct("counterpart", "standard_history"), "h_ord").alias("h"), F.min("h_ord").alias("h_ord"))
+    # and movements of one pool with equal words have the same best row: each text is matched once
+    key = ["direction", "pool"]
+    pairs = containment_candidates(every.select(*key, F.col("m_line").alias("line")).distinct(), rows, key, least, with_sequence)
+    a, b = F.split("m_line", " "), F.split("h_line", " ")
+    pairs = pairs.withColumn("contained", F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
     if with_sequence:
-        pairs = pairs.where(F.col("contained") * 0.75 + 0.25 >= least)
-        score = F.col("contained") * 0.75 + sequence_ratio("m_line", "h_line") * 0.25
+        pairs = pairs.where(F.col("contained") * 0.75 + 0.25 >= least).withColumn("score", F.col("contained") * 0.75 + bounded_ratio("m_line", "h_line", (F.lit(least) - F.col("contained") * 0.75) / 0.25) * 0.25)
     else:
-        score = F.col("contained")
-    pairs = pairs.withColumn("score", score).where(F.col("score") >= least)
-    best = pairs.groupBy(*kind).agg(F.max_by(F.struct("h.counterpart", "h.standard_history", "score"), F.struct("score", -F.col("h_ord"))).alias("b"))
-    return every.join(best, kind).select("ord", "b.counterpart", "b.standard_history", "b.score")
+        pairs = pairs.withColumn("score", F.col("contained"))
+    best = pairs.where(F.col("score") >= least).groupBy(*key, "m_line").agg(F.max_by(F.struct("h.counterpart", "h.standard_history", "score"), F.struct("score", -F.col("h_ord"))).alias("b"))
+    return every.join(best, [*key, "m_line"]).select("ord", "b.counterpart", "b.standard_history", "b.score")
 
 
 def overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, on: tuple[str, ...] = ("date", "amount")) -> DataFrame:

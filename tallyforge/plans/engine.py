@@ -14,7 +14,7 @@ from tallyforge.functions.text import local_features, movement_text
 from tallyforge.operators import accounts as acc
 from tallyforge.operators import matching
 from tallyforge.operators.models import memory_choice
-from tallyforge.plans.lineage import cut
+from tallyforge.lineage import cut
 
 Stage = Callable[[DataFrame], DataFrame]
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import layout, normalize, reconcile
-from tallyforge.plans.lineage import cut
+from tallyforge.lineage import cut
 from tallyforge.sources import files as f
 from tallyforge.sources import invoices
 from tallyforge.sources.registry import Readers, default_readers
