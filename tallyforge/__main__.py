@@ -23,6 +23,7 @@ def main(arguments: list[str] | None = None) -> int:
     ingest = commands.add_parser("ingest", help="read a folder, print the summary and the issues, write the records")
     ingest.add_argument("path")
     ingest.add_argument("--output", help="a folder for the records of each family")
+    ingest.add_argument("--issues", type=int, default=1000, help="issues to print; issues_total counts all")
     query = commands.add_parser("query", help="run a named query over a folder of tables")
     query.add_argument("name")
     query.add_argument("folder")
@@ -42,7 +43,7 @@ def main(arguments: list[str] | None = None) -> int:
             for family in ("statements", "transactions", "daily_balances", "ledger_entries", "accounts", "history", "invoices", "issues"):
                 getattr(got, family).write.mode("overwrite").parquet(f"{asked.output}/{family}")
         summary = ingestion.batch_summary(got).first().asDict()
-        print(json.dumps(summary | {"issues": _rows(got.issues, 1000)}, ensure_ascii=False, sort_keys=True))
+        print(json.dumps(summary | {"issues": _rows(got.issues, asked.issues), "issues_total": got.issues.count()}, ensure_ascii=False, sort_keys=True))
         return 0 if summary["success"] else 1
 
     if asked.command == "query":
@@ -56,15 +57,13 @@ def main(arguments: list[str] | None = None) -> int:
         print(json.dumps(_rows(out, asked.rows), ensure_ascii=False))
         return 0
 
-    from pyspark.sql import functions as F
-
     from tallyforge.operators import matching
     from tallyforge.plans import ingestion
 
     # each folder's ledgers count as one, in the order of their files
-    sides = [ingestion.ingest(spark, p).ledger_entries.withColumn("all", F.lit(1)) for p in (asked.left, asked.right)]
-    different = matching.compared(*sides, ["date", "document", "counterparty", "notes", "inflow", "outflow", "balance"], ["all"]).drop("all")
-    counts = matching.count_mismatch(*sides, ["all"]).drop("all")
+    sides = [ingestion.ingest(spark, p).ledger_entries for p in (asked.left, asked.right)]
+    different = matching.compared(*sides, ["date", "document", "counterparty", "notes", "inflow", "outflow", "balance"], [])
+    counts = matching.count_mismatch(*sides, [])
     result = {"differences": _rows(different, 1000), "counts": _rows(counts, 1)}
     print(json.dumps(result, ensure_ascii=False))
     return 1 if result["differences"] or result["counts"] else 0

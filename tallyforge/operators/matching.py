@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import bounded_ratio, words
 from tallyforge.lineage import cut
+from tallyforge.operators.ordering import numbered
 
 
 def mirrored_pairs(events: DataFrame) -> DataFrame:
@@ -133,22 +134,24 @@ def overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, on
     return a.join(b, list(on)).groupBy(left_key, right_key).agg(F.sum(F.least("_a", "_b")).alias("overlap"))
 
 
-def ledger_accounts(ledgers: DataFrame, overlaps: DataFrame) -> list[tuple[str, str]]:
-    """Which statement each ledger is: ledgers (ledger, entries), overlaps (ledger, statement, overlap); small tables.
+def ledger_accounts(ledgers: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """ledger, statement: which statement each ledger is; ledgers (ledger, entries), overlaps (ledger, statement, overlap).
 
-    The largest ledger chooses first; a statement is used once and must hold half of the ledger's entries.
-    The choice is sequential and over a handful of ledgers, so it is made on the driver.
+    The largest ledger chooses first, of equal ones the first by its id; each takes, of the statements that are left, the one with the largest overlap (of
+    equal ones the first), if that holds half of its entries. A round settles all pairs that are each other's first: the ledger's best
+    statement that is left, and of all ledgers that could take this statement the one that chooses first. Rounds go on until no pair is left; in each,
+    the first of the ledgers that are left is settled at least.
     """
-    sizes = sorted(((r.entries, r.ledger) for r in ledgers.collect()), key=lambda x: -x[0])
-    found = {(r.ledger, r.statement): r.overlap for r in overlaps.collect()}
-    left = sorted({s for _, s in found})
-    out = []
-    for entries, ledger in sizes:
-        ranked = sorted(left, key=lambda s: -found.get((ledger, s), 0))
-        if ranked and found.get((ledger, ranked[0]), 0) >= max(1, entries // 2):
-            out.append((ledger, ranked[0]))
-            left.remove(ranked[0])
-    return out
+    least = F.greatest(F.lit(1), F.floor(F.col("entries") / 2))
+    open_ = cut(overlaps.join(ledgers.where("entries is not null"), "ledger").where(F.col("overlap") >= least).select("ledger", "statement", "overlap", "entries"))
+    settled = open_.select("ledger", "statement").where(F.lit(False))
+    while not open_.isEmpty():
+        of_ledger = open_.groupBy("ledger").agg(F.min_by("statement", F.struct(-F.col("overlap"), F.col("statement"))).alias("statement"))
+        of_statement = open_.groupBy("statement").agg(F.min_by("ledger", F.struct(-F.col("entries"), F.col("ledger"))).alias("ledger"))
+        found = cut(of_ledger.join(of_statement, ["ledger", "statement"]))
+        settled = settled.unionByName(found)
+        open_ = cut(open_.join(found.select("ledger"), "ledger", "left_anti").join(found.select("statement"), "statement", "left_anti").select("ledger", "statement", "overlap", "entries"))
+    return settled
 
 
 def account_by_words(names: DataFrame, accounts: DataFrame, active: DataFrame) -> DataFrame:
@@ -160,10 +163,10 @@ def account_by_words(names: DataFrame, accounts: DataFrame, active: DataFrame) -
 
 
 def compared(left: DataFrame, right: DataFrame, fields: list[str], key: list[str]) -> DataFrame:
-    """Positional comparison: rows of equal ordinal, a row for each field that differs (nulls are values)."""
-    numbered = lambda df: df.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy("ord")))
-    a = numbered(left).select(*key, "position", F.struct(*fields).alias("_a"))
-    b = numbered(right).select(*key, "position", F.struct(*fields).alias("_b"))
+    """Positional comparison: rows of equal ordinal, a row for each field that differs (nulls are values). Without a key each side is one sequence."""
+    at = lambda df: df.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy("ord"))) if key else numbered(df, ["ord"], "position")
+    a = at(left).select(*key, "position", F.struct(*fields).alias("_a"))
+    b = at(right).select(*key, "position", F.struct(*fields).alias("_b"))
     both = a.join(b, [*key, "position"])
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_a.{f}").cast("string").alias("left_value"), F.col(f"_b.{f}").cast("string").alias("right_value")) for f in fields])
     return both.select(*key, "position", F.inline(pairs)).where(~F.col("left_value").eqNullSafe(F.col("right_value")))
@@ -172,7 +175,7 @@ def compared(left: DataFrame, right: DataFrame, fields: list[str], key: list[str
 def count_mismatch(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     a = left.groupBy(*key).agg(F.count(F.lit(1)).alias("left_count"))
     b = right.groupBy(*key).agg(F.count(F.lit(1)).alias("right_count"))
-    both = a.join(b, key, "full").select(*key, F.coalesce("left_count", F.lit(0)).alias("left_count"), F.coalesce("right_count", F.lit(0)).alias("right_count"))
+    both = (a.join(b, key, "full") if key else a.crossJoin(b)).select(*key, F.coalesce("left_count", F.lit(0)).alias("left_count"), F.coalesce("right_count", F.lit(0)).alias("right_count"))
     return both.where("left_count <> right_count")
 
 

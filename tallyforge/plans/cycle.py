@@ -11,6 +11,7 @@ from tallyforge.functions.money import period_of, signed
 from tallyforge.functions.text import plain
 from tallyforge.operators import accounts as acc
 from tallyforge.operators import matching
+from tallyforge.operators.ordering import numbered
 from tallyforge.plans import engine
 
 # Words of accounts that hold investments.
@@ -54,14 +55,12 @@ def ledger_accounts(books: Books, active: DataFrame, financial: DataFrame, of_st
     anywhere = matching.account_by_words(named.select("name").distinct(), chart, active).select("name", F.col("reduced_code").alias("_any"))
     by_words = named.join(inside, ["name", "kind"], "left").join(anywhere, "name", "left").select("ledger", F.coalesce("_in", "_any").alias("account"), "name").where("account is not null")
     out = [by_words]
-    spark = books.accounts.sparkSession
     rest = books.ledgers.join(by_words.select("ledger"), "ledger", "left_anti")
     if of_statement is not None:
         entries = books.ledger_entries.join(rest.select("ledger"), "ledger", "left_semi").withColumn("amount", signed(F.col("inflow"), F.col("outflow")).cast("decimal(18,2)"))
         sizes = entries.groupBy("ledger").agg(F.count(F.lit(1)).alias("entries"))
         pairs = matching.ledger_accounts(sizes, matching.overlap(entries, books.transactions, "ledger", "statement"))
-        kinds = f"ledger {books.ledgers.schema['ledger'].dataType.simpleString()}, statement {books.transactions.schema['statement'].dataType.simpleString()}"
-        paired = spark.createDataFrame(pairs, kinds).join(of_statement, "statement").select("ledger", "account", F.col("bank").alias("name"))
+        paired = pairs.join(of_statement, "statement").select("ledger", "account", F.col("bank").alias("name"))
         out.append(paired)
         rest = rest.join(paired.select("ledger"), "ledger", "left_anti")
     told = F.lit(False)
@@ -98,15 +97,8 @@ def movements(books: Books, active: DataFrame, financial: DataFrame) -> DataFram
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    # ledgers come before statements and books in their order; the ordinal is unique within the cycle
-    order = F.dense_rank().over(_by("_from", "_book")) * 10_000_000 + F.col("_ord")
-    return both.withColumn("ord", order.cast("long")).withColumn("id", F.concat_ws("-", "_book", F.col("_ord").cast("string"))).drop("_from", "_book", "_ord")
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)
+    # ledgers come before statements, books by their names, rows as a book has them: one running number over all
+    return numbered(both, ["_from", "_book", "_ord"]).withColumn("id", F.concat_ws("-", "_book", F.col("_ord").cast("string"))).drop("_from", "_book", "_ord")
 
 
 def run(books: Books, period: str, fallback: engine.Stage | None = None) -> DataFrame:
