@@ -239,6 +239,8 @@ def offers(lines: DataFrame, sales: DataFrame, items: DataFrame) -> DataFrame:
     line = lines.where("item_id is not null and vendor_id is not null").select(
         "item_id", "vendor_id", "sale_id", F.col("quantity").cast("long").alias("q"), hundredths(F.col("amount").cast("double")).alias("c"), hundredths(F.col("discount").cast("double")).alias("d"), F.to_date("shipped_at").alias("_shipped")
     )
+    # written first, so that both sides of the joins are plain shuffles, of which Spark splits a hot sale's or item's part
+    sold, item = written(sold, "pareto-sales"), written(item, "pareto-items")
     line = line.join(sold, "sale_id", "left").withColumn("_days", F.datediff("_shipped", "_sold"))
     priced = F.col("c").isNotNull() & F.col("d").isNotNull() & F.col("q").isNotNull()
     sums = line.groupBy("item_id", "vendor_id").agg(
