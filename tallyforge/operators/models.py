@@ -52,6 +52,20 @@ def tfidf(rows: DataFrame, key: str, terms: Column, least: int = 2, most: int |
     return weighted.join(norm, key).select(key, "term", (F.col("weight") / F.col("_norm")).alias("weight"))
 
 
+#: Terms a block of the clients' common model keeps at most (fixed values): words and pairs, character grams.
+MOST_WORDS, MOST_GRAMS = 12_000, 16_000
+
+
+def union_tfidf(rows: DataFrame, key: str, text: Column, most_words: int | None = MOST_WORDS, most_grams: int | None = MOST_GRAMS) -> DataFrame:
+    """key, block, term, weight: words and pairs in one block, character grams in another, each of unit length per key.
+
+    Each block's vocabulary is exact: the terms of two rows or more with the highest total frequency, ties by term; no term shares a place with another.
+    """
+    blocks = (("word", word_ngrams(text), most_words), ("char", char_ngrams(text), most_grams))
+    word, char = (tfidf(rows, key, terms, most=most).select(key, F.lit(name).alias("block"), "term", "weight") for name, terms, most in blocks)
+    return word.unionByName(char)
+
+
 def classifier(features: int = 1 << 15, regularisation: float = 1e-5) -> Pipeline:
     """Word 1-2-grams by TF-IDF into a multinomial logistic regression; character grams come in as ``grams``."""
     return Pipeline(

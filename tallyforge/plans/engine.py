@@ -13,7 +13,7 @@ from tallyforge.functions.money import period_of
 from tallyforge.functions.text import local_features, movement_text
 from tallyforge.operators import accounts as acc
 from tallyforge.operators import matching
-from tallyforge.operators.models import memory_choice
+from tallyforge.operators.models import arbitrated, memory_choice
 from tallyforge.lineage import cut
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -98,10 +98,35 @@ def by_memory(open_: DataFrame, examples: DataFrame, period: str) -> DataFrame:
     return both.select("ord", _choice(F.col("counterpart"), F.col("hist"), F.lit("Alta"), F.concat(F.lit("exact_memory:1.00"), tail), F.lit(1.0), F.lit("exact_memory"), F.when(F.col("hist").isNotNull(), F.lit(1.0)), F.when(F.col("hist").isNotNull(), F.lit("exact_memory"))).alias("choice"))
 
 
-def generate(base: Base, period: str, fallback: Stage | None = None, catalog_any_month: bool = False, with_sequence: bool = True, prefix: str = "historico_textual", activity_of: DataFrame | None = None) -> DataFrame:
+def by_models(open_: DataFrame, examples: DataFrame, period: str, client_threshold: float, far: Stage | None = None, far_threshold: float = 1.0) -> DataFrame:
+    """ord, choice by the client's own model and the clients' common one (``far``: open movements -> ord, counterpart, probability).
+
+    The own one where both its heads are sure enough, else the common one where it is, else the own, else the common; the last two are to be reviewed.
+    """
+    from tallyforge.operators import local
+
+    one = F.lit("").alias("client_id")
+    known = examples if "ord" in examples.columns else examples.withColumn("ord", F.lit(0).cast("long"))
+    own = local.predicted(known.withColumn("client_id", one), open_.select(one, "ord", "text", "direction", "financial_account", "amount"), period)
+    own = own.select("ord", F.struct("counterpart", F.col("combined").alias("probability"), "p", "source", "standard_history", "hp", "hsource").alias("local"))
+    if far is None:
+        both = own.withColumn("global", F.struct(F.lit(None).cast("string").alias("counterpart"), F.lit(None).cast("double").alias("probability")))
+    else:
+        both = own.join(far(open_).select("ord", F.struct("counterpart", "probability").alias("global")), "ord", "full")
+    two = lambda x: F.format_string("%.2f", F.bround(x, 2))
+    local_reason = F.concat(F.col("local.source"), F.lit(":"), two(F.col("local.p")), F.coalesce(F.concat(F.lit("|hist_texto:"), F.col("local.hsource"), F.lit(":"), two(F.col("local.hp"))), F.lit("")))
+    chosen = arbitrated(both, client_threshold, far_threshold).where("choice is not null")
+    p = F.col("choice.probability")
+    mine = _choice(F.col("local.counterpart"), F.col("local.standard_history"), F.col("choice.confidence"), local_reason, F.col("local.p"), F.col("local.source"), F.col("local.hp"), F.col("local.hsource"))
+    theirs = _choice(F.col("choice.counterpart"), None, F.col("choice.confidence"), F.concat(F.lit("global_tfidf:"), two(p)), p, F.lit("global_tfidf"))
+    return chosen.select("ord", F.when(F.col("choice.source") == "local", mine).otherwise(theirs).alias("choice"))
+
+
+def generate(base: Base, period: str, fallback: Stage | None = None, catalog_any_month: bool = False, with_sequence: bool = True, prefix: str = "historico_textual", activity_of: DataFrame | None = None, client_threshold: float | None = None, far: Stage | None = None, far_threshold: float = 1.0) -> DataFrame:
     """Entries of a period. ``fallback`` maps open movements to (ord, choice); ``catalog_any_month`` lets history of any month classify.
 
-    ``prefix`` names the history in reasons, ``activity_of`` is what roles are ranked by where that is more than the history.
+    With ``client_threshold`` the approved examples train the client's model, which the cascade asks after the history, beside the common one (``far``);
+    without it they are a memory only. ``prefix`` names the history in reasons, ``activity_of`` is what roles are ranked by where that is more than the history.
 
     Each stage sees only what the ones before left open; a movement that names several taxes is resolved by none.
     The month's movements are read by every stage twice, so they are cut from their lineage in between: a stage's work
@@ -117,7 +142,9 @@ def generate(base: Base, period: str, fallback: Stage | None = None, catalog_any
     rest = by_rule(rest.withColumn("compound", b.is_compound(F.col("text"))), roles)
     rest = cut(rest.withColumn("choice", F.when(~F.col("compound"), F.col("choice"))))
     stages: list[Stage] = [lambda open_: by_history(open_, history, financial, with_sequence, prefix)]
-    if base.examples is not None:
+    if base.examples is not None and client_threshold is not None:
+        stages.append(lambda open_: by_models(open_, base.examples, period, client_threshold, far, far_threshold))
+    elif base.examples is not None:
         stages.append(lambda open_: by_memory(open_, base.examples, period))
     if fallback is not None:
         stages.append(fallback)
