@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import parse_date, parse_money
-from tallyforge.functions.text import clean, fold, jaccard
+from tallyforge.functions.text import clean, fold
 
 # Folded titles of each field.
 ALIASES = {
@@ -48,6 +48,18 @@ RECIPES = (
     ("bradesco-bank-statement-v1", "bank_statement", "Bradesco", ("DATA", "LANCAMENTO", "CREDITO", "DEBITO", "SALDO"), ("extratomensal", "saldoanterior", "bradesco", "credito", "debito")),
     ("cash-ledger-report-v1", "cash_ledger", None, ("DATA", "ENTRADA", "SAIDA", "SALDO"), ("controledefechamentodecaixa", "saldoinicial", "entrada")),
 )
+# The adapters in the order in which they are asked: what they are, their family, what they read, and the labels or titles that tell them.
+ADAPTERS = (
+    ("cash-ledger-report-v1", "cash_ledger", "printed", ("controledefechamentodecaixa", "saldoinicial", "entrada")),
+    ("cash-ledger-spreadsheet-v1", "cash_ledger", "sheet", ("DATA", "ENTRADA", "SAIDA", "SALDO")),
+    ("itau-spreadsheet-bank-statement-v1", "bank_statement", "sheet", ("DATA", "LANCAMENTO", "RAZAOSOCIAL", "CPFCNPJ", "VALOR", "SALDO")),
+    ("itau-current-account-spreadsheet-v1", "bank_statement", "sheet", ("DATA", "LANCAMENTO", "VALORR", "SALDOR")),
+    ("bradesco-net-empresa-xls-v1", "bank_statement", "sheet", ("DATA", "LANCAMENTO", "DCTO", "CREDITO", "DEBITO", "SALDO")),
+    ("itau-digital-bank-statement-v1", "bank_statement", "printed", ("lancamentosdoperiodo", "saldoanterior", "cnpjcpf", "itau")),
+    ("bradesco-bank-statement-v1", "bank_statement", "printed", ("extratomensal", "saldoanterior", "bradesco", "credito", "debito")),
+    ("chart-of-accounts", "chart_of_accounts", "sheet", ("CODIGO", "DESCRICAO")),
+    ("accounting-history", "accounting_history", "sheet", ("DATA", "DEBITO", "CREDITO", "VALOR")),
+)
 # Headers of the sheets that hold a chart or a history.
 CHART_HEADERS = ("CODIGO", "DESCRICAO")
 REUSE_AT = 0.85
@@ -105,13 +117,45 @@ def first_header(rows: DataFrame) -> DataFrame:
 
 
 def best_recipe(headers: DataFrame, recipes: DataFrame, least: float = REUSE_AT) -> DataFrame:
-    """Headers (doc, titles) -> doc, recipe, similarity: the most similar set of titles if similar enough, ties in the recipes' order."""
-    both = headers.select("doc", F.array_distinct("titles").alias("titles")).crossJoin(F.broadcast(recipes.select("ord", "id", "headers")))  # a fixed handful of recipes
-    scored = both.withColumn("similarity", jaccard(F.col("titles"), F.col("headers")))
+    """Headers (doc, titles) -> doc, recipe, similarity: the most similar set of titles if similar enough, ties in the recipes' order.
+
+    Sets without a common title have no similarity, so pairs come from a join on titles. Where both sides have a ``family``, recipes of another one are no match.
+    """
+    on = ["title", *(["family"] if "family" in headers.columns else [])]
+    own = headers.select("doc", *on[1:], F.array_distinct("titles").alias("_t"))
+    asked = own.select("doc", *on[1:], F.size("_t").alias("_n"), F.explode("_t").alias("title"))
+    known = recipes.select("ord", "id", *on[1:], F.size(F.array_distinct("headers")).alias("_m"), F.explode(F.array_distinct("headers")).alias("title"))
+    shared = asked.join(known, on).groupBy("doc", "ord", "id", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
+    scored = shared.withColumn("similarity", F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both")))
     best = scored.groupBy("doc").agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("ord"))).alias("b"))
     return best.where(F.col("b.similarity") >= least).select("doc", F.col("b.id").alias("recipe"), "b.similarity")
 
 
+def adapter_of(source: Column, text: Column, titles: Column, adapters: Sequence[tuple] = ADAPTERS) -> Column:
+    """The first adapter that takes a document: a printed one all of whose labels stand in the text, a sheet's whose titles are all in the header row. Null where none does."""
+    folded, have = F.lower(fold(F.coalesce(text, F.lit("")))), F.coalesce(titles, F.array().cast("array<string>"))
+    hits = []
+    for name, family, kind, needs in adapters:
+        ok = F.lit(True)
+        for n in needs:
+            ok = ok & (F.contains(folded, F.lit(n)) if kind == "printed" else F.array_contains(have, n))
+        hits.append(F.when((source == kind) & ok, F.struct(F.lit(name).alias("adapter"), F.lit(family).alias("family"))))
+    return F.coalesce(*hits)
+
+
+def routed(documents: DataFrame, recipes: DataFrame, adapters: Sequence[tuple] = ADAPTERS, least: float = REUSE_AT) -> DataFrame:
+    """Documents (doc, source, text, titles) -> doc, adapter, family, recipe, similarity, code: each to exactly one adapter, or to a code.
+
+    An adapter only takes a saved recipe of its own family; a document that is recognised but has none waits for its columns to be confirmed
+    (``columns_not_confirmed``), one that no adapter takes is ``unsupported_layout``. One pass over the documents and one join on titles.
+    """
+    taken = documents.withColumn("_a", adapter_of(F.col("source"), F.col("text"), F.col("titles"), adapters))
+    taken = taken.select("doc", "titles", F.col("_a.adapter").alias("adapter"), F.col("_a.family").alias("family"))
+    found = best_recipe(taken.where("family is not null").select("doc", "titles", "family"), recipes, least)
+    code = F.when(F.col("adapter").isNull(), "unsupported_layout").when(F.col("recipe").isNull(), "columns_not_confirmed")
+    return taken.drop("titles").join(found, "doc", "left").withColumn("code", code)
+
+
 def catalog(seeds: DataFrame, stored: DataFrame) -> DataFrame:
     """Union of recipes keyed by id and headers; the stored one wins."""
     both = seeds.withColumn("_from", F.lit(0)).unionByName(stored.withColumn("_from", F.lit(1)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import local, matching, models
+from tallyforge.operators import layout, local, matching, models
 from tallyforge.operators.ordering import numbered
 from tallyforge.plans import views as v
 from tallyforge.plans.catalogue import _with, query
@@ -123,3 +123,34 @@ def ledger_statements(spark, d):
     ledgers, statements = of(v.movements(spark, d), 60, "ledger"), of(v.statement_tx(spark, d), 50, "statement")
     sizes = ledgers.groupBy("ledger").agg(F.ceil(F.count(F.lit(1)) / 4).alias("entries"))
     return matching.ledger_accounts(sizes, matching.overlap(ledgers, statements, "ledger", "statement", ("date",)))
+
+
+_TITLES = ("DATA", "LANCAMENTO", "VALOR", "SALDO", "RAZAOSOCIAL", "CPFCNPJ", "CREDITO", "DEBITO", "DCTO", "ENTRADA", "SAIDA", "CODIGO", "DESCRICAO", "VALORR", "SALDOR")
+_LABELS = ("Controle de Fechamento de Caixa", "Saldo inicial", "Entrada", "Lançamentos do período", "Saldo anterior", "CNPJ/CPF", "Itaú", "Extrato mensal", "Bradesco", "Crédito", "Débito")
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("'" + x + "'" for x in values) + "]"
+
+
+def _routing_sql() -> str:
+    hit = lambda name, kind, needs: f"WHEN source = '{kind}' AND " + " AND ".join(f"contains(folded, '{n}')" if kind == "printed" else f"list_contains(titles, '{n}')" for n in needs) + f" THEN '{name}'"
+    adapter = "CASE " + " ".join(hit(n, kind, needs) for n, _, kind, needs in layout.ADAPTERS) + " END"
+    family = "CASE adapter " + " ".join(f"WHEN '{n}' THEN '{f}'" for n, f, _, _ in layout.ADAPTERS) + " END"
+    recipes = ", ".join(f"({i}, '{r[0]}', '{r[1]}', {_listed(r[3])})" for i, r in enumerate(layout.RECIPES))
+    return f"""WITH docs AS (SELECT p_partkey AS doc, CASE WHEN p_partkey % 3 = 0 THEN 'printed' ELSE 'sheet' END AS source,
+  array_to_string([c FOR c IN {_listed(_LABELS)} IF (p_partkey * 7 + length(c) * 5 + ascii(c)) % 5 <> 0], ' ') AS text, [c FOR c IN {_listed(_TITLES)} IF (p_partkey * 31 + length(c) * 17 + ascii(c)) % 4 <> 0] AS titles FROM part),
+folded AS (SELECT *, lower(regexp_replace(upper(strip_accents(text)), '[^A-Z0-9]', '', 'g')) AS folded FROM docs), asked AS (SELECT doc, titles, {adapter} AS adapter FROM folded), known AS (SELECT *, {family} AS family FROM asked),
+recipes AS (SELECT * FROM (VALUES {recipes}) t(ord, id, family, headers)),
+scored AS (SELECT doc, ord, id, len(list_intersect(titles, headers)) / CAST(len(list_distinct(list_concat(titles, headers))) AS DOUBLE) AS similarity FROM known JOIN recipes USING (family)),
+best AS (SELECT doc, id AS recipe, similarity FROM scored WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY similarity DESC, ord) = 1)
+SELECT doc, adapter, family, recipe, similarity, CASE WHEN adapter IS NULL THEN 'unsupported_layout' WHEN recipe IS NULL THEN 'columns_not_confirmed' END AS code FROM known LEFT JOIN best USING (doc)"""
+
+
+@query(_routing_sql())
+def adapter_choice(spark, d):
+    """Documents with labels and titles missing here and there to the first adapter that takes them, and to a recipe of its family."""
+    k = F.col("p_partkey")
+    kept = lambda values, a, b, n: F.filter(F.array(*[F.when((k * a + len(c) * b + ord(c[0])) % n != 0, F.lit(c)) for c in values]), lambda c: c.isNotNull())
+    docs = v.table(spark, d, "part").select(k.alias("doc"), F.when(k % 3 == 0, "printed").otherwise("sheet").alias("source"), F.array_join(kept(_LABELS, 7, 5, 5), " ").alias("text"), kept(_TITLES, 31, 17, 4).alias("titles"))
+    return layout.routed(docs, layout.recipe_table(spark), least=0.4)
