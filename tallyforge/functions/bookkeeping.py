@@ -31,9 +31,12 @@ TERM_RULES = (
     ("outflow", ("tarifa", "iof", "encargos banc", "doc/ted"), (("desp",), ("banc",)), "despesa_bancaria"),
     (None, ("capitaliza",), (("capitaliza",),), "capitalizacao"),
 )
+# The account words of what no rule tells, by direction, and the parents of accounts that hold money.
 DEFAULT_ROLES = {"inflow": (("dupl", "cliente"), ("receber",)), "outflow": (("fornecedor",),)}
 FINANCIAL_PARENTS = {"bank": "bancos conta movimento", "application": "aplicacoes de curto prazo"}
 
+# What tells a transfer: the word, or a deposit that is made or drawn.
+TRANSFER, DEPOSIT, DEPOSIT_MOVES = "transfer", "cdb", ("aplic", "resgat")
 # Notes that only name the operation.
 BARE_NOTES = ("pix enviado", "pix recebido", "pix recebida", "ted enviada", "ted recebido", "ted recebida", "boleto pago", "pagamento", "recebimento")
 
@@ -48,7 +51,7 @@ def is_compound(text: Column, families: tuple[str, ...] = TAX_FAMILIES) -> Colum
 
 
 def is_transfer(text: Column) -> Column:
-    return let(plain(text), lambda p: F.contains(p, F.lit("transfer")) | (F.contains(p, F.lit("cdb")) & has_any(p, ("aplic", "resgat"))))
+    return let(plain(text), lambda p: F.contains(p, F.lit(TRANSFER)) | (F.contains(p, F.lit(DEPOSIT)) & has_any(p, DEPOSIT_MOVES)))
 
 
 def has_role(description: Column, groups: tuple[tuple[str, ...], ...]) -> Column:

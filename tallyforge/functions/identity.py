@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import clean, fold, let
 
 # The printed forms.
-FORMATTED = r"\b(\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}|\d{3}\.\d{3}\.\d{3}-\d{2})\b"
-LABELLED = r"(?i)\b(?:CNPJ|CPF)\s*:?\s*(\d{11,14})\b"
+MENTION = r"(?i)\b(?:\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}|\d{3}\.\d{3}\.\d{3}-\d{2}|(?:(?:CNPJ|CPF)\s*:?\s*)?\d{11,14})\b"
+FOLDED_LABEL = r"(?:CNPJ|CPF)(\d{11,14})"
 PHONE = r"\(?\d{2}\)?\s*9\d{4}-?\d{4}"
 PARTY_PREFIX = r"(?i)^\s*(REMET\.?|DEST\.?|DESTINO\.?|BENEF\.?)\s*"
 DOCUMENT_LABEL = r"(?i)(?:^|\s)(?:NF|N[ºO°]|DOC(?:UMENTO)?)\s*\.?\s*(\d{3,12})\s*$"
 MOVEMENT_HEAD = r"(?i)^(PIX|BOLETO|TED|DOC|PAGAMENTOS|TARIFA|IOF|SISPAG|DEBITO|CREDITO|RESGATE|APLIC)\b"
 GENERIC_PARTY = r"(?i)^(PIX(\s+(ENVIADO|TRANSF|RECEBIDO))?|TED|DOC|TARIFA|TRANSFERÊNCIA( AVULSA)?|SALDO ANTERIOR)$"
+TRAILING_NUMBER = r"(?<![A-Z0-9])(\d{4,12})$"
+YEAR = r"^(19|20)\d{2}$"
+CITY_STATE = r"^(.*?)\s*[/-]\s*([A-Z]{2})$"
+# What a company's name has in it.
 COMPANY_TOKENS = ("LTDA", "EIRELI", "S/A", "SA", "ME", "EPP")
 
 
@@ -31,19 +35,20 @@ def format_tax_id(text: Column) -> Column:
 
 
 def _tax_id_in(t: Column) -> Column:
+    """The best of all candidates in a text: each has the rank of its class, of one class the first counts.
+
+    Classes, best first: with its mask; behind a label; behind a label once the text is folded; a bare run of fourteen digits; another bare run
+    of eleven or more, or the digits of the whole text, unless something looks like a telephone number.
+    """
+    no_phone = ~t.rlike(PHONE)
+    rank = lambda m: F.when(m.rlike("[./-]"), 0).when(m.rlike("^[Cc]"), 1).when(F.length(m) == 14, 3).when(no_phone, 4)
+    candidate = lambda r, i, value: F.struct(r.cast("int").alias("rank"), i.cast("int").alias("at"), value.alias("value"))
+    printed = F.transform(F.regexp_extract_all(t, F.lit(MENTION), F.lit(0)), lambda m, i: candidate(rank(m), i, m))
     digits = F.regexp_replace(t, r"\D", "")
-    has_phone = t.rlike(PHONE)
-    tokens = F.filter(F.regexp_extract_all(t, F.lit(r"\b\d{11,14}\b"), F.lit(0)), lambda x: (F.length(x) == 14) | ~has_phone)
-    whole = F.regexp_replace(t, r"[\s.\-]", "").rlike(r"^\d{11}$") & ~has_phone
-    return F.coalesce(
-        _first(t, FORMATTED),
-        format_tax_id(_first(t, LABELLED)),
-        format_tax_id(_first(fold(t), r"(?:CNPJ|CPF)(\d{11,14})")),
-        format_tax_id(_first(t, r"\b(\d{14})\b")),
-        format_tax_id(F.get(tokens, F.lit(0))),
-        F.when(F.length(digits) == 14, format_tax_id(digits)),
-        F.when((F.length(digits) == 11) & whole, format_tax_id(digits)),
-    )
+    alone = (F.length(digits) == 14) | (F.regexp_replace(t, r"[\s.\-]", "").rlike(r"^\d{11}$") & no_phone)
+    others = F.array(candidate(F.lit(2), F.lit(0), _first(fold(t), FOLDED_LABEL)), candidate(F.lit(5), F.lit(0), F.when(alone, digits)))
+    best = F.array_min(F.filter(F.concat(printed, others), lambda c: c["rank"].isNotNull() & c["value"].isNotNull()))
+    return format_tax_id(best["value"])
 
 
 def extract_tax_id(*parts: Column) -> Column:
@@ -61,9 +66,9 @@ def split_document(text: Column) -> Column:
 
 def _split(t: Column) -> Column:
     labelled = _first(t, DOCUMENT_LABEL)
-    trailing = _first(t, r"(?<![A-Z0-9])(\d{4,12})$")
-    head = clean(F.regexp_replace(t, r"(?<![A-Z0-9])\d{4,12}$", ""), repair=False)
-    peel = trailing.isNotNull() & ~trailing.rlike(r"^(19|20)\d{2}$") & ~F.length(trailing).isin(11, 14) & head.rlike(MOVEMENT_HEAD)
+    trailing = _first(t, TRAILING_NUMBER)
+    head = clean(F.regexp_replace(t, TRAILING_NUMBER, ""), repair=False)
+    peel = trailing.isNotNull() & ~trailing.rlike(YEAR) & ~F.length(trailing).isin(11, 14) & head.rlike(MOVEMENT_HEAD)
     peel = F.coalesce(peel, F.lit(False))
     description = F.when(labelled.isNotNull(), clean(F.regexp_replace(t, DOCUMENT_LABEL, ""), repair=False)).when(peel, head).otherwise(t)
     return F.struct(description.alias("description"), F.when(labelled.isNotNull(), labelled).when(peel, trailing).alias("document"))
@@ -95,7 +100,7 @@ def _party(t: Column, candidate: Column) -> Column:
 
 
 def city_state(text: Column) -> Column:
-    return F.struct(F.trim(F.regexp_extract(text, r"^(.*?)\s*[/-]\s*([A-Z]{2})$", 1)).alias("city"), F.regexp_extract(text, r"^(.*?)\s*[/-]\s*([A-Z]{2})$", 2).alias("state"))
+    return F.struct(F.trim(F.regexp_extract(text, CITY_STATE, 1)).alias("city"), F.regexp_extract(text, CITY_STATE, 2).alias("state"))
 
 
 def code_postal(text: Column) -> Column:
