@@ -78,11 +78,22 @@ def separators(spark, d):
     return _orders(spark, d).select("o_orderkey", money.parse_mixed(F.concat(F.lit("R$ "), br)).alias("br"), money.parse_mixed(us).alias("us"), money.parse_printed(F.concat(F.lit("R$ "), br)).alias("printed"), money.exact_decimal(F.concat(F.lit(" "), price.cast("string"))).alias("written"), money.exact_decimal(F.lit("x")).alias("none"))
 
 
-@query("SELECT o_orderkey, 'Pago a ACME' AS stripped, 'CNPJ' AS kind, 'São Paulo' AS city, 'SP' AS state, '3550308' AS code, '01001000' AS postal FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'Pago  a ' || o_custkey ELSE 'Pago a Fornecedor ' || o_custkey END AS stripped, CASE o_orderkey % 3 WHEN 0 THEN 'CNPJ' WHEN 1 THEN 'CPF' ELSE 'unknown' END AS kind,
+  CASE WHEN o_orderkey % 5 < 4 THEN 'Cidade ' || o_custkey ELSE '' END AS city, CASE WHEN o_orderkey % 5 < 2 THEN 'SP' WHEN o_orderkey % 5 < 4 THEN 'RJ' ELSE '' END AS state, lpad(CAST(o_custkey % 10000000 AS VARCHAR), 7, '0') AS code, lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') || '000' AS postal FROM orders"""
+)
 def stripped_identities(spark, d):
-    cnpj = F.concat(F.lit("12.345.678/0001-"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"))
-    place, both = identity.city_state(F.lit("São Paulo / SP")), identity.code_postal(F.lit("3550308 / 01001-000"))
-    return _orders(spark, d).select("o_orderkey", identity.strip_tax_id(F.concat(F.lit("Pago a "), cnpj, F.lit(" ACME")), cnpj).alias("stripped"), identity.tax_id_type(cnpj).alias("kind"), place["city"].alias("city"), place["state"].alias("state"), both["code"].alias("code"), both["postal_code"].alias("postal"))
+    """Ids in their mask, as digits, missing from the text and empty; persons', companies' and other ids; cities with and without a state."""
+    k, c = F.col("o_orderkey"), _s("o_custkey")
+    two = F.lpad((k % 100).cast("string"), 2, "0")
+    masked, bare = F.concat(F.lit("12.345.678/0001-"), two), F.concat(F.lit("123456780001"), two)
+    tail = F.concat(F.lit("Fornecedor "), c)
+    line = F.when(k % 4 == 0, F.concat_ws(" ", F.lit("Pago a"), masked, tail)).when(k % 4 == 1, F.concat_ws(" ", F.lit("Pago a"), bare, tail)).when(k % 4 == 2, F.concat_ws(" ", F.lit("Pago a"), tail)).otherwise(F.concat(F.lit("Pago  a "), c))
+    kind = identity.tax_id_type(F.when(k % 3 == 0, masked).when(k % 3 == 1, F.concat(F.lit("123.456.789-"), two)).otherwise(two))
+    city = F.concat(F.lit("Cidade "), c)
+    place = identity.city_state(F.when(k % 5 < 2, F.concat(city, F.lit(" / SP"))).when(k % 5 < 4, F.concat(city, F.lit("-RJ"))).otherwise(city))
+    both = identity.code_postal(F.concat(F.lpad((F.col("o_custkey") % 10_000_000).cast("string"), 7, "0"), F.lit(" / "), F.lpad((k % 100_000).cast("string"), 5, "0"), F.lit("-000")))
+    return _orders(spark, d).select("o_orderkey", identity.strip_tax_id(line, F.when(k % 4 < 3, masked).otherwise("")).alias("stripped"), kind.alias("kind"), place["city"].alias("city"), place["state"].alias("state"), both["code"].alias("code"), both["postal_code"].alias("postal"))
 
 
 @query(
@@ -343,13 +354,19 @@ def distinct_words(spark, d):
     return layout.without_duplicates(words).groupBy("doc").agg(F.count(F.lit(1)).alias("words"))
 
 
-@query("SELECT 8 AS recipes, 1 AS replaced, 9 AS remembered, 'ITAU-spreadsheet-bank-statement-v1' AS next FROM region LIMIT 1")
+@query(
+    """WITH rows AS (SELECT p_partkey AS ord, 'r' || (p_partkey % 40) AS id, [p_brand, p_type, CAST(p_size % 3 AS VARCHAR)] AS headers FROM part),
+sided AS (SELECT *, 0 AS side, 'seed' AS bank FROM rows WHERE ord % 2 = 0 UNION ALL SELECT ord, id, list_reverse(headers), 1, 'stored' FROM rows WHERE ord % 3 = 0),
+catalog AS (SELECT * FROM sided QUALIFY row_number() OVER (PARTITION BY id, list_sort(headers) ORDER BY side DESC, ord DESC) = 1)
+SELECT id, array_to_string(headers, '/') AS headers, ord, bank FROM catalog
+UNION ALL SELECT id, array_to_string(headers, '/'), ord, 'new' FROM rows r WHERE ord % 5 = 0 AND NOT EXISTS (SELECT 1 FROM catalog c WHERE c.id = r.id AND c.headers = r.headers)"""
+)
 def recipe_catalog(spark, d):
-    seeds = layout.recipe_table(spark)
-    stored = seeds.where("ord = 0").withColumn("bank", F.lit("Outro")).unionByName(seeds.where("ord = 0").withColumns({"id": F.lit("new"), "ord": F.lit(50)}))
-    every = layout.catalog(seeds, stored)
-    kept = layout.remembered(every, seeds.where("ord = 1").withColumn("id", F.lit("later")))
-    return every.agg(F.count(F.lit(1)).cast("int").alias("recipes"), F.count_if(F.col("bank") == "Outro").cast("int").alias("replaced")).withColumns({"remembered": F.lit(kept.count()), "next": F.lit(layout.next_id(seeds, "bank_statement", "Itau"))})
+    """Seeds and stored recipes, of which the stored win and the newest of these, and new ones that are not there yet."""
+    rows = v.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("r"), F.col("p_partkey") % 40).alias("id"), F.array("p_brand", "p_type", (F.col("p_size") % 3).cast("string")).alias("headers"))
+    seeds, stored = rows.where("ord % 2 = 0").withColumn("bank", F.lit("seed")), rows.where("ord % 3 = 0").withColumns({"headers": F.reverse("headers"), "bank": F.lit("stored")})
+    every = layout.remembered(layout.catalog(seeds, stored), rows.where("ord % 5 = 0").withColumn("bank", F.lit("new")))
+    return every.select("id", F.array_join("headers", "/").alias("headers"), "ord", "bank")
 
 
 # ---- records, matches, reports
