@@ -12,7 +12,7 @@ from tallyforge.functions import bookkeeping as b
 from tallyforge.functions.money import period_of
 from tallyforge.functions.text import local_features, movement_text
 from tallyforge.operators import accounts as acc
-from tallyforge.operators import matching
+from tallyforge.operators import local, matching
 from tallyforge.operators.models import arbitrated, memory_choice
 from tallyforge.lineage import cut
 
@@ -103,8 +103,6 @@ def by_models(open_: DataFrame, examples: DataFrame, period: str, client_thresho
 
     The own one where both its heads are sure enough, else the common one where it is, else the own, else the common; the last two are to be reviewed.
     """
-    from tallyforge.operators import local
-
     one = F.lit("").alias("client_id")
     known = examples if "ord" in examples.columns else examples.withColumn("ord", F.lit(0).cast("long"))
     own = local.predicted(known.withColumn("client_id", one), open_.select(one, "ord", "text", "direction", "financial_account", "amount"), period)
