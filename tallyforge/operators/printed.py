@@ -1,4 +1,4 @@
-"""Printed documents: words with positions to statements, cash ledgers and invoices.
+"""Printed documents: words with positions to statements and cash ledgers; ``forms`` reads invoices.
 
 A page's words become lines (layout.lines' rule) and each line's words fall into the bands of its layout. The
 bands and labels are rows of small tables, so a new layout is data.
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.identity import extract_tax_id, party_of, split_document, strip_tax_id
-from tallyforge.functions.money import MONEY, parse_date, parse_money, parse_printed, transaction_type
-from tallyforge.functions.text import clean, dash_to_null, fold
+from tallyforge.functions.money import MONEY, parse_date, parse_money, transaction_type
+from tallyforge.functions.text import clean, fold
 from tallyforge.operators import matching
 from tallyforge.operators.layout import without_duplicates
 
@@ -24,13 +24,8 @@ LEDGER_BANDS = {
     "inflow": (650.0, 710.0), "outflow": (710.0, 765.0), "balance": (765.0, 830.0),
 }
 ACCOUNT_BOX, PERIOD_BAND = (0.0, 240.0, 55.0, 78.0), (650.0, 780.0)
-# An invoice's printed labels and the stretch of the next line its value stands in.
-INVOICE_CELLS = {
-    "key": ("CHAVEDEACESSODANFSE", 0.0, 595.0), "number": ("NUMERODANFSE", 0.0, 145.0), "competence_date": ("NUMERODANFSE", 145.0, 290.0), "issue_datetime": ("NUMERODANFSE", 290.0, 440.0),
-    "dps_number": ("NUMERODADPS", 0.0, 145.0), "dps_series": ("NUMERODADPS", 145.0, 290.0), "status": ("SITUACAODANFSE", 145.0, 290.0),
-}
+# What an invoice's page says for certain.
 INVOICE_SIGNALS = ("DANFSE", "DOCUMENTOAUXILIARDANFSE", "CHAVEDEACESSODANFSE", "NUMERODANFSE", "PRESTADORFORNECEDORDANFSE")
-LOOK_AHEAD = 18.0
 
 
 def word_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
@@ -38,14 +33,14 @@ def word_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
 
     The fold over a page's sorted words keeps the anchor; a page is a bounded group.
     """
-    page = without_duplicates(words).groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "ord", "x1", "text"))).alias("_w"))
-    kept = "array<struct<line:int,top:double,x0:double,x1:double,text:string>>"
+    page = without_duplicates(words).groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "ord", "x1", "bottom", "text"))).alias("_w"))
+    kept = "array<struct<line:int,top:double,bottom:double,x0:double,x1:double,text:string>>"
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("line"), F.array().cast(kept).alias("out"))
 
     def step(held: Column, w: Column) -> Column:
         fresh = held["top"].isNull() | (F.abs(w["top"] - held["top"]) > tolerance)
         line, top = F.when(fresh, held["line"] + 1).otherwise(held["line"]).cast("int"), F.when(fresh, w["top"]).otherwise(held["top"]).cast("double")
-        row = F.struct(line.alias("line"), top.alias("top"), w["x0"].cast("double").alias("x0"), w["x1"].cast("double").alias("x1"), w["text"].alias("text"))
+        row = F.struct(line.alias("line"), top.alias("top"), w["bottom"].cast("double").alias("bottom"), w["x0"].cast("double").alias("x0"), w["x1"].cast("double").alias("x1"), w["text"].alias("text"))
         return F.struct(top.alias("top"), line.alias("line"), F.concat(held["out"], F.array(row)).alias("out"))
 
     return page.select("doc", "page", F.inline(F.aggregate("_w", start, step)["out"]))
@@ -58,8 +53,8 @@ def cut(words: Column, left: float, right: float) -> Column:
 
 
 def banded_lines(words: DataFrame, bands: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """A row per line: doc, page, line, top, text, words, and a column per band."""
-    held = word_lines(words).groupBy("doc", "page", "line").agg(F.min("top").alias("top"), F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("words"))
+    """A row per line: doc, page, line, top, bottom, text, words, and a column per band."""
+    held = word_lines(words).groupBy("doc", "page", "line").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("words"))
     text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
     return held.select("*", text.alias("text"), *[cut(F.col("words"), a, b).alias(name) for name, (a, b) in bands.items()])
 
@@ -205,48 +200,3 @@ def is_printed_invoice(text: Column) -> Column:
     for signal in INVOICE_SIGNALS:
         ok = ok & F.contains(fold(text), F.lit(signal))
     return ok
-
-
-def label_values(words: DataFrame, cells: Mapping[str, tuple[str, float, float]] = INVOICE_CELLS) -> DataFrame:
-    """doc, field, value of printed labels: the cell in the line below a label, or in a line shortly below that.
-
-    Labels are found by their folded text, the first on the page; a cell is a stretch of the page's width.
-    """
-    lines = banded_lines(words, {})
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("doc", "page").orderBy("line")))
-    wanted = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(label).alias("label"), F.lit(a).alias("left"), F.lit(b).alias("right")) for f, (label, a, b) in cells.items()])
-    hits = numbered.select("doc", "page", "n", fold(F.col("text")).alias("_f"), F.inline(wanted)).where(F.contains("_f", F.col("label")))
-    first = hits.groupBy("doc", "field").agg(F.min_by(F.struct("page", "n", "left", "right"), F.struct("page", "n")).alias("at")).select("doc", "field", "at.*")
-    below = first.join(numbered.select("doc", "page", F.col("n").alias("_n"), "top", "words"), ["doc", "page"]).where("_n > n")
-    base = below.groupBy("doc", "field").agg(F.min_by("top", "_n").alias("_base"))
-    near = below.join(base, ["doc", "field"]).where(F.col("top") - F.col("_base") <= LOOK_AHEAD)
-    middle = lambda w: (w["x0"] + w["x1"]) / 2
-    text = F.array_join(F.transform(F.filter("words", lambda w: (middle(w) >= F.col("left")) & (middle(w) < F.col("right"))), lambda w: w["text"]), " ")
-    near = near.withColumn("_v", dash_to_null(text)).where("_v is not null")
-    return near.groupBy("doc", "field").agg(F.min_by("_v", "_n").alias("value"))
-
-
-def printed_invoices(words: DataFrame) -> DataFrame:
-    """A record per invoice: the key's digits, numbers, dates, and the environment that the key's eighth digit names."""
-    values = label_values(words).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("v"))
-    at = lambda f: F.try_element_at("v", F.lit(f))
-    key = F.nullif(F.regexp_extract(at("key"), r"\d{50}", 0), F.lit(""))
-    issued = F.coalesce(F.try_to_timestamp(at("issue_datetime"), F.lit("dd/MM/yyyy HH:mm:ss")), F.try_to_timestamp(at("issue_datetime"), F.lit("dd/MM/yyyy HH:mm"))).cast("timestamp_ntz")
-    return values.select(
-        "doc", key.alias("key"), at("number").alias("number"), parse_date(at("competence_date")).alias("competence_date"), issued.alias("issue_datetime"),
-        at("dps_number").alias("dps_number"), at("dps_series").alias("dps_series"), at("status").alias("status"), F.nullif(F.substring(key, 8, 1), F.lit("")).alias("environment"),
-    )
-
-
-def printed_amount(text: Column) -> Column:
-    return parse_printed(text)
-
-
-def section_text(lines: DataFrame, start: str, end: str) -> DataFrame:
-    """The text between two labels of each document, joined; up to the end where the second is missing."""
-    n = F.row_number().over(Window.partitionBy("doc").orderBy("page", "line"))
-    numbered = lines.withColumn("n", n).withColumn("_f", fold(F.col("text")))
-    a = numbered.where(F.contains("_f", F.lit(start))).groupBy("doc").agg(F.min("n").alias("_a"))
-    b = numbered.where(F.contains("_f", F.lit(end))).select("doc", F.col("n").alias("_m")).join(a, "doc").where("_m > _a").groupBy("doc").agg(F.min("_m").alias("_b"))
-    inside = numbered.join(a, "doc").join(b, "doc", "left").where("n > _a and (_b is null or n < _b)")
-    return inside.groupBy("doc").agg(clean(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]), " "), repair=False).alias("value"))

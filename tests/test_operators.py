@@ -266,18 +266,3 @@ def test_printed_ledger(spark):
         (1, "Conta Azul", "77", "ACME LTDA", "111.444.777-35", None, D("10.00"), D("0.00"), D("110.00")), (2, "Conta Verde", None, None, None, None, D("0.00"), D("1.00"), D("9.00")),
     ]
     assert printed.ledger_periods(w).first().period_start == DAY(2024, 2, 1)
-
-
-def test_printed_invoice(spark):
-    from tallyforge.operators import printed
-
-    key = "1234567" + "1" + "0" * 42
-    w = words(spark, [
-        (1, 10, [(5, "Chave"), (40, "de"), (60, "acesso"), (100, "da"), (120, "NFS-e")]), (1, 20, [(5, key)]),
-        (1, 30, [(5, "Número"), (40, "da"), (60, "NFS-e")]), (1, 36, [(500, "QR")]), (1, 44, [(5, "42"), (150, "01/02/2024"), (300, "03/02/2024"), (330, "10:20")]),
-    ])
-    r = printed.printed_invoices(w).first()
-    assert (r.key, r.number, r.competence_date, r.environment, r.dps_number) == (key, "42", DAY(2024, 2, 1), "1", None)
-    assert r.issue_datetime == datetime.datetime(2024, 2, 3, 10, 20)
-    lines = spark.createDataFrame([("d", 1, 1, "A Inicio"), ("d", 1, 2, "meio"), ("d", 1, 3, "mais"), ("d", 1, 4, "Fim")], "doc string, page int, line int, text string")
-    assert printed.section_text(lines, "INICIO", "FIM").first().value == "meio mais"
