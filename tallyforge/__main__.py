@@ -47,7 +47,7 @@ def main(arguments: list[str] | None = None) -> int:
         return 0 if summary["success"] else 1
 
     if asked.command == "query":
-        from tallyforge.plans import catalogue
+        from tallyforge.plans import catalogue, catalogue_forms, catalogue_models, catalogue_more  # noqa: F401
 
         if asked.name not in catalogue.QUERIES:
             parser.error(f"no such query; there are {', '.join(sorted(catalogue.QUERIES))}")

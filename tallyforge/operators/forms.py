@@ -6,6 +6,8 @@ The form is data: a label is looked for behind others (``ANCHORS``) and a cell i
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,10 @@ ANCHORS = [
 ]
 
 
+_ANCHOR = "name string, label string, behind array<string>, before string"
+_CELL = "field string, at string, x0 double, x1 double, kind string, must boolean"
+
+
 def _party_cells(party: str) -> list[tuple]:
     return [
         (f"{party}.tax_id", f"{party}_id.below", 0, 190, "text", True), (f"{party}.municipal_registration", f"{party}_id.below", 190, 385, "text", False), (f"{party}.phone", f"{party}_id.below", 385, 595, "text", False),
@@ -98,6 +104,12 @@ CELLS = [
 ]
 
 
+def _table(rows: list[tuple], fields: str) -> Column:
+    """Rows as one constant array of structs; the optimizer reads it once, while the plan is made."""
+    names = [f.split(" ")[0] for f in fields.split(", ")]
+    return F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
+
+
 def _first(array: Column) -> Column:
     return F.try_element_at(array, F.lit(1))
 
@@ -113,7 +125,7 @@ def form_pages(words: DataFrame, anchors: list[tuple] = ANCHORS) -> DataFrame:
     A line is (n, top, bottom, text, words, labels); a page's lines are bounded by the page. Words without text or place are passed over.
     """
     placed = words.where("text <> '' and x0 is not null and x1 is not null and top is not null")
-    labels = F.array(*[fold(F.lit(label)) for label in dict.fromkeys(a[1] for a in anchors)])
+    labels = F.array_distinct(F.transform(_table(anchors, _ANCHOR), lambda a: fold(a["label"])))
     lines = banded_lines(placed, {}).withColumn("_f", fold(F.col("text"))).withColumn("labels", F.filter(labels, lambda label: F.contains(F.col("_f"), label)))
     page = lines.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("n"), "top", "bottom", "text", "words", "labels"))).alias("lines"))
     known = page.withColumn("recognised", F.coalesce(is_printed_invoice(F.array_join(F.transform("lines", lambda x: x["text"]), " ")), F.lit(False)))
@@ -123,21 +135,20 @@ def form_pages(words: DataFrame, anchors: list[tuple] = ANCHORS) -> DataFrame:
 
 def found_lines(lines: Column, anchors: list[tuple] = ANCHORS) -> Column:
     """map of a label's name, and of name.below, to the number of its line; labels that are not there are missing in it."""
-    specs = F.array(*[
-        F.struct(F.lit(name).alias("name"), fold(F.lit(label)).alias("label"), F.array(*[F.lit(b) for b in behind]).cast("array<string>").alias("behind"), F.lit(before).cast("string").alias("before"))
-        for name, label, behind, before in anchors
-    ])
+    specs = F.transform(_table(anchors, _ANCHOR), lambda a: a.withField("label", fold(a["label"])))
+    kind = "array<struct<key:string,value:int>>"
 
     def step(found: Column, spec: Column) -> Column:
-        behind = F.filter(F.transform(spec["behind"], lambda b: F.try_element_at(found, b)), lambda n: n.isNotNull())
-        after, until = F.coalesce(_first(behind), F.lit(0)), F.coalesce(F.try_element_at(found, spec["before"]), F.size(lines) + 1)
+        line = lambda name: _first(F.filter(found, lambda e: e["key"] == name))["value"]
+        behind = F.filter(F.transform(spec["behind"], line), lambda n: n.isNotNull())
+        after, until = F.coalesce(_first(behind), F.lit(0)), F.coalesce(line(spec["before"]), F.size(lines) + 1)
         fits = lambda x: F.array_contains(x["labels"], spec["label"]) & (x["n"] > after) & (x["n"] < until)
-        at = F.transform(F.slice(F.filter(lines, fits), 1, 1), lambda x: x["n"])
-        below = F.transform(F.filter(at, lambda n: n < F.size(lines)), lambda n: n + 1)
-        named = lambda name, n: F.transform(n, lambda v: F.struct(name.alias("key"), v.alias("value")))
-        return F.map_concat(found, F.map_from_entries(F.concat(named(spec["name"], at), named(F.concat(spec["name"], F.lit(".below")), below))))
+        entry = lambda name, n: F.struct(name.alias("key"), n.cast("int").alias("value"))
+        below = F.concat(spec["name"], F.lit(".below"))
+        both = lambda n: F.when(n < F.size(lines), F.array(entry(spec["name"], n), entry(below, n + 1))).otherwise(F.array(entry(spec["name"], n)))
+        return F.concat(found, F.coalesce(let(_first(F.filter(lines, fits))["n"], lambda n: F.when(n.isNotNull(), both(n))), F.array().cast(kind)))
 
-    return F.aggregate(specs, F.create_map().cast("map<string,int>"), step)
+    return F.map_from_entries(F.aggregate(specs, F.array().cast(kind), step))
 
 
 def cell_values(lines: Column, found: Column, cells: list[tuple] = CELLS) -> Column:
@@ -146,14 +157,15 @@ def cell_values(lines: Column, found: Column, cells: list[tuple] = CELLS) -> Col
     Where a cell's own stretch is empty in its line, as beside a code that is printed between label and value, the first line
     not more than 18 points below that has anything there counts. A lone dash is an empty value.
     """
-    specs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(at).alias("at"), F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("x1")) for f, at, a, b, *_ in cells])
-    placed = F.filter(F.transform(specs, lambda s: F.struct(s["field"].alias("field"), s["x0"].alias("x0"), s["x1"].alias("x1"), F.try_element_at(found, s["at"]).alias("n"))), lambda s: s["n"].isNotNull())
+    placed = F.filter(F.transform(_table(cells, _CELL), lambda s: F.struct(s["field"].alias("field"), s["x0"].alias("x0"), s["x1"].alias("x1"), F.try_element_at(found, s["at"]).alias("n"))), lambda s: s["n"].isNotNull())
 
     def read(s: Column) -> Column:
-        own = F.element_at(lines, s["n"])
-        near = F.filter(F.slice(lines, s["n"], F.size(lines)), lambda x: x["top"] - own["top"] <= LOOK_AHEAD)
+        own = F.element_at(lines, s["n"])["top"]
+        near = F.filter(F.slice(lines, s["n"], F.size(lines)), lambda x: x["top"] - own <= LOOK_AHEAD)
         texts = F.transform(near, lambda x: F.struct(_text_in(x, s["x0"], s["x1"]).alias("excerpt"), x["top"].alias("top"), x["bottom"].alias("bottom")))
-        hit = F.coalesce(_first(F.filter(texts, lambda t: t["excerpt"] != "")), _first(texts))
+        return let(let(texts, lambda t: F.coalesce(_first(F.filter(t, lambda u: u["excerpt"] != "")), _first(t))), lambda hit: entry(s, hit))
+
+    def entry(s: Column, hit: Column) -> Column:
         text = let(clean(hit["excerpt"]), lambda t: F.when(t != "-", t))
         return F.struct(s["field"].alias("key"), F.struct(text.alias("text"), hit["excerpt"].alias("excerpt"), s["x0"].alias("x0"), s["x1"].alias("x1"), hit["top"].alias("top"), hit["bottom"].alias("bottom")).alias("value"))
 
@@ -212,7 +224,7 @@ def printed_invoices(words: DataFrame) -> DataFrame:
     )
     at = lambda field: F.try_element_at("_v", F.lit(field))["text"]
     # every amount is read once: the records and the issues both need it
-    wanted = F.array(*[F.lit(c[0]) for c in CELLS if c[4] == "money"])
+    wanted = F.transform(F.filter(_table(CELLS, _CELL), lambda c: c["kind"] == "money"), lambda c: c["field"])
     amounts = F.map_from_entries(F.transform(wanted, lambda f: F.struct(f.alias("key"), parse_printed(F.try_element_at("_v", f)["text"]).cast(EXACT).alias("value"))))
     read = read.withColumn("_m", amounts).withColumn("key", F.nullif(F.regexp_extract(at("key"), r"\d{50}", 0), F.lit(""))).withColumn("competence_date", printed_day(at("competence_date"))).withColumn("issue_datetime", printed_moment(at("issue_datetime")))
     money = lambda field: F.try_element_at("_m", F.lit(field))
@@ -247,8 +259,6 @@ def _issues(at) -> Column:
     def issue(when: Column, code: str, field: str, value: Column | None = None) -> Column:
         return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), (F.lit(None) if value is None else value).cast("string").alias("value")))
 
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.lit(must).alias("must")) for f, _, _, _, k, must in CELLS])
-
     def of(s: Column) -> Column:
         text = F.try_element_at("_v", s["field"])["text"]
         told = lambda code, value: F.struct(F.lit(code).alias("code"), s["field"].alias("field"), value.cast("string").alias("value"))
@@ -261,4 +271,4 @@ def _issues(at) -> Column:
         issue(at("issue_datetime").isNotNull() & F.col("issue_datetime").isNull(), "invalid_printed_date", "issue_datetime", at("issue_datetime")),
         issue(F.col("_description").isNull(), "missing_required_evidence", "service.description"),
     )
-    return F.filter(F.concat(F.transform(fields, of).cast(f"array<{kind}>"), more.cast(f"array<{kind}>")), lambda i: i.isNotNull())
+    return F.filter(F.concat(F.transform(_table(CELLS, _CELL), of).cast(f"array<{kind}>"), more.cast(f"array<{kind}>")), lambda i: i.isNotNull())

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from tallyforge.plans import catalogue, catalogue_models, catalogue_more  # noqa: F401
+from tallyforge.plans import catalogue, catalogue_forms, catalogue_models, catalogue_more  # noqa: F401
 from tests.helpers import assert_same, connect
 
 FOLDER = "/root/testdata/sf0.001"
