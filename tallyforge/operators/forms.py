@@ -252,6 +252,11 @@ def printed_invoices(words: DataFrame) -> DataFrame:
     )
 
 
+def for_rules(records: DataFrame) -> DataFrame:
+    """Printed records in the columns that the rules for invoices go by; the key's own digits name the environment and the municipality."""
+    return records.select("doc", "key", "number", F.col("locations.issue_code").alias("issue_code"), F.col("environment").alias("generation_environment"), "provider", "customer", "amounts")
+
+
 def _issues(at) -> Column:
     """What the form must have and lacks, and what is printed but can't be read, as (code, field, value)."""
     kind = "struct<code:string,field:string,value:string>"

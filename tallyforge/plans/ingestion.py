@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import layout, normalize, reconcile
+from tallyforge.operators import forms, layout, normalize, reconcile
 from tallyforge.lineage import cut
 from tallyforge.sources import files as f
 from tallyforge.sources import invoices
@@ -35,6 +35,7 @@ class Ingested:
     history: DataFrame
     invoices: DataFrame
     issues: DataFrame
+    printed_invoices: DataFrame | None = None
 
 
 def _has(columns, fields):
@@ -50,8 +51,11 @@ def _headers(cells: DataFrame, titles: dict, needs: tuple[str, ...]) -> DataFram
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def ingest(spark: SparkSession, path: str, readers: Readers | None = None) -> Ingested:
-    """Reads, detects, recognises, normalises and checks every file below a path. A content that occurs twice is read once."""
+def ingest(spark: SparkSession, path: str, readers: Readers | None = None, words: DataFrame | None = None) -> Ingested:
+    """Reads, detects, recognises, normalises and checks every file below a path. A content that occurs twice is read once.
+
+    ``words`` are the placed words of printed pages, doc being the file's sha256, from a decoder outside; pages that are invoices for certain become records.
+    """
     all_ = f.detected(f.described(f.discovered(spark, path)))
     held = all_.dropDuplicates(["sha256"])
     # decoding is the costly step and a dozen relations read its result: it runs once
@@ -87,10 +91,16 @@ def ingest(spark: SparkSession, path: str, readers: Readers | None = None) -> In
         error(broken),
         warning(diverged),
     ]
+    printed = None
+    if words is not None:
+        # records are checked by two rules and returned: the pages are read once
+        printed = cut(forms.printed_invoices(words.join(held.select(F.col("sha256").alias("doc")), "doc", "left_semi")).where("recognised"))
+        parts.append(warning(printed.select("doc", F.inline("issues")).select("doc", "code")))
+        parts.append(error(invoices.issues(forms.for_rules(printed)).select("doc", F.col("issue").alias("code"))))
     issues = parts[0]
     for p in parts[1:]:
         issues = issues.unionByName(p)
-    return Ingested(all_.drop("content"), statements, transactions, balances, entries, accounts, history, records, issues.distinct())
+    return Ingested(all_.drop("content"), statements, transactions, balances, entries, accounts, history, records, issues.distinct(), printed)
 
 
 def batch_summary(ingested: Ingested) -> DataFrame:

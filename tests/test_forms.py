@@ -1,6 +1,7 @@
 """Printed invoices: whole forms, odd forms, and random ones beside a loop."""
 
 import datetime
+import hashlib
 import random
 import re
 import unicodedata
@@ -9,6 +10,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from tallyforge.operators import forms
+from tallyforge.plans import ingestion
 
 KEY = "3550308" + "2" + "1" * 42
 # (label line, value line): cells as (x, text)
@@ -148,6 +150,18 @@ def test_the_page_that_is_an_invoice_counts(spark):
     assert forms.printed_invoices(frame(spark, rows(cover)).limit(0)).count() == 0
 
 
+def test_printed_pages_are_ingested_and_checked(spark, tmp_path):
+    bodies = {n: b"%PDF-1.4 " + n.encode() for n in ("good", "plain")}
+    for n, body in bodies.items():
+        (tmp_path / f"{n}.pdf").write_bytes(body)
+    doc = {n: hashlib.sha256(body).hexdigest() for n, body in bodies.items()}
+    words = frame(spark, rows(printed(changed("Fulana", "-")), doc["good"]), rows([(1, 10, [(5, "nada")])], doc["plain"]), rows(printed(), "no such file"))
+    got = ingestion.ingest(spark, str(tmp_path), words=words)
+    assert [(r.doc, r.number) for r in got.printed_invoices.collect()] == [(doc["good"], "42")]
+    # the customer's name is missing, and the key's last digit does not check
+    assert {(r.severity, r.code) for r in got.issues.where(F.col("doc") == doc["good"]).collect()} == {("warning", "missing_required_evidence"), ("error", "invalid_nfse_key")}
+
+
 def by_loop(words):
     """Lines, found labels and cells of one page, the plain way."""
     fold = lambda t: re.sub("[^A-Z0-9]", "", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").upper())
