@@ -77,13 +77,14 @@ def ingest(spark: SparkSession, path: str, readers: Readers | None = None, words
     records = invoices.normalized(xml)
     error = lambda df: df.select("doc", F.lit("error").alias("severity"), "code")
     warning = lambda df: df.select("doc", F.lit("warning").alias("severity"), "code")
+    stopped = ("invalid_xlsx", "xls_reader_unavailable", "unexpected_processing_error")
     broken = reconcile.balance_mismatches(entries, ["doc"]).select("doc", F.lit("cash_balance_mismatch").alias("code"))
     diverged = reconcile.first_divergence(statements.select("doc", "initial_balance", "final_balance"), transactions, balances, "doc")
     parts = [
         error(held.where("issue is not null").select(F.col("sha256").alias("doc"), F.col("issue").alias("code"))),
         warning(held.where("warning is not null").select(F.col("sha256").alias("doc"), F.col("warning").alias("code"))),
-        error(bad.where("code in ('invalid_xlsx', 'xls_reader_unavailable')")),
-        warning(bad.where("code not in ('invalid_xlsx', 'xls_reader_unavailable')")),
+        error(bad.where(F.col("code").isin(*stopped))),
+        warning(bad.where(~F.col("code").isin(*stopped))),
         error(invoices.gate(xml).where("issue is not null").select("doc", F.col("issue").alias("code"))),
         error(invoices.issues(records).select("doc", F.col("issue").alias("code"))),
         error(normalize.duplicate_codes(accounts).select("doc", F.lit("duplicate_chart_of_accounts_code").alias("code")).distinct()),

@@ -49,19 +49,21 @@ def _is_spreadsheet_package():
     """Defined in here, the function travels to the workers by value."""
 
     def listed(content: pd.Series) -> pd.Series:
-        def one(data: bytes) -> bool:
+        def one(data: bytes) -> bool | None:
             try:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     return b"spreadsheetml" in z.read("[Content_Types].xml")
             except (zipfile.BadZipFile, KeyError):
                 return False
+            except Exception:  # a locked part or an unknown compression must not stop the other files
+                return None
 
-        return content.map(one)
+        return content.map(one).astype("boolean")
 
     return F.pandas_udf(listed, BooleanType())
 
 
-#: Whether a zip's list of content types names a spreadsheet.
+#: Whether a zip's list of content types names a spreadsheet; null where the zip can't be read for another reason than being broken.
 is_spreadsheet_package = _is_spreadsheet_package()
 
 
@@ -107,7 +109,8 @@ def detected(files: DataFrame) -> DataFrame:
     csv = ~F.contains(text, F.lit("\x00")) & delimiter_of(text).isNotNull()
     packages = files.withColumn("_package", F.when(zip_, is_spreadsheet_package(F.col("content"))).otherwise(False))
     kind = F.when(pdf, "pdf").when(xml, "xml").when(F.col("_package"), "xlsx").when(xls, "xls").when(csv, "csv")
-    out = packages.withColumn("format", F.when(F.col("issue").isNull(), kind)).drop("_package")
+    failed = F.when(F.col("issue").isNull() & F.col("_package").isNull(), "unexpected_processing_error")
+    out = packages.withColumns({"format": F.when(F.col("issue").isNull(), kind), "issue": F.coalesce("issue", failed)}).drop("_package")
     claimed = F.when(F.substring("extension", 2, 9).isin(*FORMATS), F.substring("extension", 2, 9))
     mismatch = F.col("issue").isNull() & ~claimed.eqNullSafe(F.col("format")) & (claimed.isNotNull() | F.col("format").isNotNull())
     return out.withColumn("warning", F.when(mismatch, "extension_content_mismatch")).withColumn("issue", F.coalesce("issue", F.when(F.col("format").isNull(), "unknown_format")))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tallyforge.functions.money import exact_decimal, fiscal_issue, inconsistent_segments, valid_cnpj, valid_cpf, valid_key
 
@@ -46,6 +50,26 @@ def provenance(xml: Column, *paths: str) -> Column:
     return F.coalesce(*[F.when(F.trim(F.xpath_string(xml, F.lit(_path(p)))) != "", F.lit("/" + ROOT + "/" + p)) for p in paths])
 
 
+def _well_formed():
+    """Defined in here, the function travels to the workers by value."""
+
+    def parsed(xml: pd.Series) -> pd.Series:
+        def one(text: str | None) -> bool:
+            try:
+                expat.ParserCreate().Parse(text or "", True)
+                return True
+            except (expat.ExpatError, ValueError):
+                return False
+
+        return xml.map(one)
+
+    return F.pandas_udf(parsed, BooleanType())
+
+
+#: Whether a text is XML at all; Spark's path functions stop a whole job at one that is not.
+well_formed = _well_formed()
+
+
 def gate(documents: DataFrame) -> DataFrame:
     """Documents (doc, xml) with the issue of those that are unsafe or of another kind. Declarations of types are refused unread."""
     x = F.col("xml")
@@ -54,7 +78,8 @@ def gate(documents: DataFrame) -> DataFrame:
     root = F.regexp_extract(start, r"^(?:[\w.-]+:)?([\w.-]+)", 1)
     namespace = F.regexp_extract(start, r"""xmlns(?::[\w.-]+)?\s*=\s*["']([^"']*)["']""", 1)
     version = F.regexp_extract(start, r"""\bversao\s*=\s*["']([^"']*)["']""", 1)
-    issue = F.when(unsafe, "unsafe_xml").when(root == "", "invalid_xml").when(root != ROOT, "unsupported_xml_root").when(namespace != NAMESPACE, "unknown_xml_namespace").when(~version.isin(*VERSIONS), "unsupported_nfse_version")
+    broken = ~well_formed(F.when(~unsafe, x))
+    issue = F.when(x.isNull(), "invalid_xml").when(unsafe, "unsafe_xml").when((root == "") | broken, "invalid_xml").when(root != ROOT, "unsupported_xml_root").when(namespace != NAMESPACE, "unknown_xml_namespace").when(~version.isin(*VERSIONS), "unsupported_nfse_version")
     return documents.withColumn("version", version).withColumn("issue", issue)
 
 
@@ -71,7 +96,8 @@ def _party(xml: Column, bases: tuple[str, ...]) -> Column:
 def normalized(documents: DataFrame) -> DataFrame:
     """Accepted documents as records: key, fields, parties, amounts as exact decimals, provenance map."""
     x = F.col("xml")
-    accepted = gate(documents).where("issue is null")
+    # conditions on paths may be moved below the filter, where refused texts are still there: they see none of these
+    accepted = gate(documents).withColumn("xml", F.when(F.col("issue").isNull(), F.col("xml"))).where("issue is null")
     key = F.regexp_replace(value(x, "infNFSe/@Id"), "^NFS", "")
     paths = {f: (p,) for f, p in (FIELDS | AMOUNTS).items()}
     source = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), provenance(x, *p).alias("xpath")) for f, p in paths.items()]), lambda e: e["xpath"].isNotNull()))

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.plans import ingestion
 from tallyforge.sources import files, invoices, registry, sinks, workbooks
 from tallyforge.streaming.ingest import ingest
 
@@ -97,6 +98,35 @@ def test_invoices(spark):
     assert {(x.doc, x.issue) for x in invoices.issues(records).collect()} == {("net", "inconsistent_totals")}
 
 
+def locked(name, data=None):
+    """A workbook one part of which asks for a password."""
+    data = bytearray(data or xlsx())
+    at = data.find(b"PK\x01\x02")
+    while data[at + 46 : at + 46 + len(name)] != name.encode():
+        at = data.find(b"PK\x01\x02", at + 1)
+    data[at + 8] |= 1
+    return bytes(data)
+
+
+def test_a_poisoned_file_is_a_row_and_stops_no_other(spark, tmp_path):
+    far = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(xlsx())) as old, zipfile.ZipFile(far, "w") as new:
+        for part in old.namelist():
+            new.writestr(part, old.read(part).replace(b'<row r="3">', b'<row r="99999999999">'))
+    bodies = {"good.xlsx": xlsx(), "locked.xlsx": locked("xl/workbook.xml"), "sealed.xlsx": locked("[Content_Types].xml"), "far.xlsx": far.getvalue(), "good.xml": invoice().encode(), "cut.xml": invoice()[:-20].encode(), "entity.xml": invoice().replace("Emit<", "&no;<").encode()}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = ingestion.ingest(spark, str(tmp_path))
+    names = {r.sha256: r.name for r in got.files.collect()}
+    issues = {(names[r.doc], r.severity, r.code) for r in got.issues.collect()}
+    assert {(n, c) for n, s, c in issues if s == "error" and c in ("unexpected_processing_error", "invalid_xlsx", "invalid_xml")} >= {
+        ("locked.xlsx", "unexpected_processing_error"), ("sealed.xlsx", "unexpected_processing_error"), ("cut.xml", "invalid_xml"), ("entity.xml", "invalid_xml"),
+    }
+    assert any(n == "far.xlsx" and s == "error" for n, s, _ in issues)
+    assert [names[r.doc] for r in got.invoices.collect()] == ["good.xml"] and not any(n == "good.xml" for n, *_ in issues)
+    assert "good.xlsx" not in {n for n, _, c in issues if c in ("unexpected_processing_error", "invalid_xlsx")}
+
+
 def test_timings_do_not_count():
     assert sinks.without_timings({"a": 1, "x_duration_ms": 2, "b": [{"duration_ms": 1, "c": 2}]}) == {"a": 1, "b": [{"c": 2}]}
 
