@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import parse_date, parse_money
-from tallyforge.functions.text import clean, fold
+from tallyforge.functions.text import clean, fold, let
+from tallyforge.lineage import large, tasks
 
 # Folded titles of each field.
 ALIASES = {
@@ -87,14 +88,17 @@ def rendered(cells: DataFrame) -> DataFrame:
 def mapped_rows(cells: DataFrame, aliases: DataFrame) -> DataFrame:
     """Each row's titles and fields: (doc, sheet_ord, row_number, n_cells, titles, columns map field -> column).
 
-    The first column of a field wins. The alias table is a fixed handful of rows, so it is broadcast.
+    The first column of a field wins. The alias table is a fixed handful of rows, so it is broadcast. A row's cells meet once.
     """
     titled = rendered(cells).withColumn("title", fold(F.col("text")))
     key = ["doc", "sheet_ord", "row_number"]
-    hits = titled.join(F.broadcast(aliases), "title").groupBy(*key, "field").agg(F.min("column").alias("column"))
-    columns = hits.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "column")))).alias("columns"))
-    titles = titled.groupBy(*key).agg(F.count(F.lit(1)).alias("n_cells"), F.array_sort(F.collect_list(F.when(F.col("title") != "", F.struct("column", "title")))).alias("_t"))
-    return titles.join(columns, key, "left").select(*key, "n_cells", F.transform("_t", lambda t: t["title"]).alias("titles"), "columns")
+    known = aliases.groupBy("title").agg(F.collect_set("field").alias("fields"))
+    seen = titled.select(*key, "column", "title").join(F.broadcast(known), "title", "left")
+    titles = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("n_cells"), F.array_sort(F.collect_list(F.when(F.col("title") != "", F.struct("column", "title", "fields")))).alias("_t"))
+    fields = F.transform(F.filter("_t", lambda t: t["fields"].isNotNull()), lambda t: F.transform(t["fields"], lambda f: F.struct(f.alias("field"), t["column"].alias("column"))))
+    first = lambda pairs: F.filter(pairs, lambda p, i: (i == 0) | (F.get(pairs, i - 1)["field"] != p["field"]))
+    columns = let(let(F.array_sort(F.flatten(fields)), first), lambda pairs: F.when(F.size(pairs) > 0, F.map_from_entries(pairs)))
+    return titles.select(*key, "n_cells", F.transform("_t", lambda t: t["title"]).alias("titles"), columns.alias("columns"))
 
 
 def family_of(columns: Column) -> Column:
@@ -120,12 +124,14 @@ def best_recipe(headers: DataFrame, recipes: DataFrame, least: float = REUSE_AT)
     """Headers (doc, titles) -> doc, recipe, similarity: the most similar set of titles if similar enough, ties in the recipes' order.
 
     Sets without a common title have no similarity, so pairs come from a join on titles. Where both sides have a ``family``, recipes of another one are no match.
+    Recipes are a catalogue of layouts, one a bank and version, and are broadcast; documents are not.
     """
     on = ["title", *(["family"] if "family" in headers.columns else [])]
-    own = headers.select("doc", *on[1:], F.array_distinct("titles").alias("_t"))
+    # dealt by document before titles are taken apart, so that no task counts the titles of more than its share
+    own = headers.select("doc", *on[1:], F.array_distinct("titles").alias("_t")).repartition(tasks(headers), "doc")
     asked = own.select("doc", *on[1:], F.size("_t").alias("_n"), F.explode("_t").alias("title"))
     known = recipes.select("ord", "id", *on[1:], F.size(F.array_distinct("headers")).alias("_m"), F.explode(F.array_distinct("headers")).alias("title"))
-    shared = asked.join(known, on).groupBy("doc", "ord", "id", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
+    shared = asked.join(F.broadcast(known), on).groupBy("doc", "ord", "id", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
     scored = shared.withColumn("similarity", F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both")))
     best = scored.groupBy("doc").agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("ord"))).alias("b"))
     return best.where(F.col("b.similarity") >= least).select("doc", F.col("b.id").alias("recipe"), "b.similarity")

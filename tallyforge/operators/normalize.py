@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.bookkeeping import is_daily_balance
 from tallyforge.functions.money import MONEY, amount_of, parse_date, parse_money, parse_row_date, transaction_type
 from tallyforge.functions.text import clean, fold
+from tallyforge.lineage import large
 from tallyforge.operators.layout import rendered
 from tallyforge.operators.reconcile import running_balance
 
@@ -17,8 +18,9 @@ BALANCE_PREFIXES = ("SALDOTOTAL", "SALDOEMCONTA", "SDOCTA")
 
 def records(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows below a document's header as (doc, row_number, values map field -> text), by the header's map of columns."""
-    fields = headers.select("doc", "sheet_ord", F.col("row_number").alias("header_row"), F.explode("columns").alias("field", "column"))
-    hit = rendered(cells).join(fields, ["doc", "sheet_ord", "column"]).where(F.col("row_number") > F.col("header_row"))
+    head = headers.select("doc", "sheet_ord", F.col("row_number").alias("header_row"), "columns").where("columns is not null")
+    below = rendered(cells).select("doc", "sheet_ord", "row_number", "column", "text").join(large(head), ["doc", "sheet_ord"]).where(F.col("row_number") > F.col("header_row"))
+    hit = below.withColumn("field", F.explode(F.map_keys(F.map_filter("columns", lambda _, c: c == F.col("column")))))
     return hit.groupBy("doc", "sheet_ord", "row_number").agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("values"))
 
 
@@ -36,7 +38,7 @@ def statement_rows(rows: DataFrame, periods: DataFrame | None = None) -> DataFra
     ``periods`` (doc, period_start, period_end) dates rows printed as day/month.
     """
     if periods is not None:
-        rows = rows.join(periods, "doc", "left")
+        rows = rows.join(large(periods), "doc", "left")
         date = parse_row_date(F.try_element_at("values", F.lit("date")), F.col("period_start"), F.col("period_end"))
     else:
         date = parse_date(F.try_element_at("values", F.lit("date")))
@@ -65,7 +67,7 @@ def statements(rows: DataFrame) -> DataFrame:
     of_tx = F.when(F.col("kind") == "transaction", F.col("date"))
     last = daily_balances(rows).groupBy("doc").agg(F.max_by("balance", "date").alias("final_balance"))
     head = rows.groupBy("doc").agg(opening.alias("initial_balance"), F.min(of_tx).alias("period_start"), F.max(of_tx).alias("period_end"), F.count(of_tx).alias("transactions"))
-    return head.join(last, "doc", "left")
+    return head.join(large(last), "doc", "left")
 
 
 def ledger_entries(rows: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ def workbook_cells(spark, d):
     from tallyforge.shipping import ship
 
     ship(spark)
-    made = v.table(spark, d, "customer").select(_s("c_custkey").alias("sha256"), F.pandas_udf(_workbook_bytes, "binary")("c_custkey").alias("content"))
+    made = v.dealt(spark, d, "customer").select(_s("c_custkey").alias("sha256"), F.pandas_udf(_workbook_bytes, "binary")("c_custkey").alias("content"))
     return workbooks.xlsx_cells(made).select("doc", "coordinate", "value", "formula", "calculated_value")
 
 
@@ -241,14 +241,14 @@ def _invoice_xml(o):
     amounts=("net",),
 )
 def invoice_records(spark, d):
-    o = _orders(spark, d)
+    o = v.dealt(spark, d, "orders")
     rows = invoices.normalized(o.select(F.col("o_orderkey").alias("doc"), _invoice_xml(o).alias("xml")))
     return rows.select("doc", "key", "number", F.col("amounts.net").alias("net"), F.col("provider.tax_id").alias("provider"), F.col("customer.tax_id_type").alias("customer_kind"), F.col("intermediary").isNull().alias("no_intermediary"), F.col("provenance")["number"].alias("origin"))
 
 
 @query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'unsupported_nfse_version' END AS issue, count(*) AS documents FROM orders GROUP BY 1 UNION ALL SELECT 'unsafe_xml', count(*) FROM orders UNION ALL SELECT 'unsupported_xml_root', count(*) FROM orders")
 def invoice_gate(spark, d):
-    o = _orders(spark, d)
+    o = v.dealt(spark, d, "orders")
     xml = F.explode(F.array(_invoice_xml(o), F.lit("<!DOCTYPE x><NFSe/>"), F.lit("<other/>")))
     return invoices.gate(o.select(F.col("o_orderkey").alias("doc"), xml.alias("xml"))).groupBy("issue").agg(F.count(F.lit(1)).alias("documents"))
 
@@ -305,7 +305,7 @@ def _cells(spark, d):
     for r, inflow, outflow, balance in ((2, price, None, None), (3, None, F.lit("1,00"), None), (4, F.lit("2,50"), None, F.lit("7,00"))):
         made += [cell(r, 1, day), cell(r, 2, F.col("o_orderpriority"))] + [cell(r, c, x) for c, x in ((3, inflow), (4, outflow), (5, balance)) if x is not None]
     null = F.lit(None).cast("string")
-    return _orders(spark, d).select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("sheet_ord"), F.inline(F.array(*made))).withColumns({"formula": null, "calculated_value": null})
+    return v.dealt(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("sheet_ord"), F.inline(F.array(*made))).withColumns({"formula": null, "calculated_value": null})
 
 
 @query("SELECT o_orderkey AS doc, t.c AS column, t.k AS kind, 3 - t.m AS samples FROM (SELECT o_orderkey, unnest([{'c': 1, 'k': 'date', 'm': 0}, {'c': 2, 'k': 'text', 'm': 0}, {'c': 3, 'k': 'money', 'm': 1}, {'c': 4, 'k': 'money', 'm': 2}, {'c': 5, 'k': 'money', 'm': 2}]) AS t FROM orders)")
