@@ -159,7 +159,7 @@ def routed(documents: DataFrame, recipes: DataFrame, adapters: Sequence[tuple] =
     taken = taken.select("doc", "titles", F.col("_a.adapter").alias("adapter"), F.col("_a.family").alias("family"))
     found = best_recipe(taken.where("family is not null").select("doc", "titles", "family"), recipes, least)
     code = F.when(F.col("adapter").isNull(), "unsupported_layout").when(F.col("recipe").isNull(), "columns_not_confirmed")
-    return taken.drop("titles").join(found, "doc", "left").withColumn("code", code)
+    return taken.drop("titles").join(large(found), "doc", "left").withColumn("code", code)
 
 
 def catalog(seeds: DataFrame, stored: DataFrame) -> DataFrame:
@@ -226,17 +226,17 @@ def proposals(cells: DataFrame, header: DataFrame) -> DataFrame:
     columns of a header each takes what is left, which a fold over the sorted suggestions does.
     """
     text = rendered(cells)
-    titles = text.join(header.select("doc", "sheet_ord", "row_number"), ["doc", "sheet_ord", "row_number"]).select("doc", "sheet_ord", F.col("row_number").alias("header_row"), "column", F.col("text").alias("title"))
-    below = text.join(titles, ["doc", "sheet_ord", "column"]).where((F.col("row_number") > F.col("header_row")) & (F.col("row_number") <= F.col("header_row") + SAMPLE_ROWS))
+    titles = text.join(large(header.select("doc", "sheet_ord", "row_number")), ["doc", "sheet_ord", "row_number"]).select("doc", "sheet_ord", F.col("row_number").alias("header_row"), "column", F.col("text").alias("title"))
+    below = text.join(large(titles), ["doc", "sheet_ord", "column"]).where((F.col("row_number") > F.col("header_row")) & (F.col("row_number") <= F.col("header_row") + SAMPLE_ROWS))
     w = Window.partitionBy("doc", "column").orderBy("row_number")
     samples = below.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLES)
     kinds = kind_of(samples, ["doc", "column"])
-    guessed = titles.join(kinds, ["doc", "column"], "left").withColumn("s", suggestion(F.col("title"), F.coalesce("kind", F.lit("unknown"))))
+    guessed = titles.join(large(kinds), ["doc", "column"], "left").withColumn("s", suggestion(F.col("title"), F.coalesce("kind", F.lit("unknown"))))
     by_doc = guessed.groupBy("doc").agg(F.sort_array(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s.score", "column", "s.field"))), asc=False).alias("_all"))
     empty = F.array().cast("array<struct<score:double,column:int,field:string>>")
     taken = F.aggregate("_all", empty, lambda held, x: F.when(F.exists(held, lambda h: h["field"] == x["field"]), held).otherwise(F.concat(held, F.array(F.struct(x["score"].cast("double").alias("score"), x["column"].cast("int").alias("column"), x["field"].alias("field"))))))
     given = by_doc.select("doc", F.inline(taken))
-    return guessed.drop("s").join(given.withColumnRenamed("score", "confidence"), ["doc", "column"], "left")
+    return guessed.drop("s").join(large(given.withColumnRenamed("score", "confidence")), ["doc", "column"], "left")
 
 
 def fingerprint(titles: Column) -> Column:
