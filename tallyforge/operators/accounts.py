@@ -53,7 +53,9 @@ def unique_keys(semantic: DataFrame) -> DataFrame:
 def resolved(rows: DataFrame, semantic: DataFrame) -> DataFrame:
     """Rows with a counterpart code -> the same with semantic_key and a reject reason where the chart lacks the code."""
     keys = semantic.select(F.col("reduced_code").alias("counterpart"), "semantic_key")
-    return rows.join(keys, "counterpart", "left").withColumn("reject", F.when(F.col("semantic_key").isNull(), "counterpart_not_in_chart"))
+    # codes that occur, once each: a chart of any size meets these, and they are mostly so few that rows need not be dealt by their code, as many may share one
+    found = rows.select("counterpart").distinct().join(keys, "counterpart")
+    return rows.join(found, "counterpart", "left").withColumn("reject", F.when(F.col("semantic_key").isNull(), "counterpart_not_in_chart"))
 
 
 def conflicts(accounts: DataFrame) -> DataFrame:
