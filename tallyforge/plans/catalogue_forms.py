@@ -16,7 +16,7 @@ def _printed(value, prefix=""):
 def _words(spark, d):
     """One form a customer. Codes stand between a label and its values, values lie too low, words are printed twice, covers come first, and cells are empty or wrong, each in some forms."""
     K = F.col("c_custkey")  # noqa: N806
-    customer, supplier, nation = (v.table(spark, d, t) for t in ("customer", "supplier", "nation"))
+    customer, supplier, nation = v.dealt(spark, d, "customer"), v.table(spark, d, "supplier"), v.table(spark, d, "nation")
     rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(supplier.select("s_suppkey", "s_name"), F.col("s_suppkey") == K % 13, "left")
     text = lambda c: c.cast("string")
     dash = lambda when, value: F.when(when, F.lit("-")).otherwise(value)
