@@ -7,7 +7,7 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from tallyforge.functions.money import exact_decimal, fiscal_issue, inconsistent_segments, valid_cnpj, valid_cpf, valid_key
 
@@ -35,19 +35,74 @@ AMOUNTS = {
 PARTIES = {"provider": ("infNFSe/emit", "infNFSe/DPS/infDPS/prest"), "customer": ("infNFSe/DPS/infDPS/toma",), "intermediary": ("infNFSe/DPS/infDPS/interm",)}
 
 
-def _path(path: str) -> str:
-    """By local names, so that the default namespace and prefixes do not matter."""
-    return "/" + "/".join(f"*[local-name()='{p}']" if not p.startswith("@") else p for p in (ROOT + "/" + path).split("/"))
+#: All paths a record is made of, in the order that read() gives their texts in: fields, amounts, the key, and of each party that it is there and its own.
+LEAVES = ("CNPJ", "CPF", "xNome", "IM", "email", "fone")
+PATHS = (*FIELDS.values(), *AMOUNTS.values(), "infNFSe/@Id", *[p for bases in PARTIES.values() for b in bases for p in (b, *[f"{b}/{leaf}" for leaf in LEAVES])])
 
 
-def value(xml: Column, *paths: str) -> Column:
+def _read():
+    """Defined in here, the function travels to the workers by value."""
+    wanted = {(ROOT, *p.split("/")): i for i, p in enumerate(PATHS)}
+    # whether a party is there is asked, not its text
+    marks = {i for p, i in wanted.items() if any(q[:-1] == p for q in wanted)}
+
+    def texts(xml: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str | None] | None:
+            if text is None:
+                return None
+            found: list[str | None] = [None] * len(wanted)
+            path: list[str] = []
+            open_: list[tuple[int, int, list[str]]] = []
+
+            def start(name: str, attributes: dict[str, str]) -> None:
+                # by local names, so that the default namespace and prefixes do not matter
+                path.append(name.rpartition(":")[2])
+                at = wanted.get(tuple(path))
+                if at is not None and found[at] is None:
+                    found[at] = ""
+                    if at not in marks:
+                        open_.append((len(path), at, []))
+                for a, value in attributes.items():
+                    at = wanted.get((*path, "@" + a))
+                    if at is not None and found[at] is None:
+                        found[at] = value
+
+            def end(name: str) -> None:
+                if open_ and open_[-1][0] == len(path):
+                    _, at, pieces = open_.pop()
+                    found[at] = "".join(pieces)
+                path.pop()
+
+            def characters(data: str) -> None:
+                for _, _, pieces in open_:
+                    pieces.append(data)
+
+            parser = expat.ParserCreate()
+            parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+            try:
+                parser.Parse(text, True)
+            except (expat.ExpatError, ValueError):
+                return None
+            return found
+
+        return xml.map(one)
+
+    # a condition on it then stays behind it: moved before the rows are dealt, all texts would be read in the few tasks of their files
+    return F.pandas_udf(texts, ArrayType(StringType())).asNondeterministic()
+
+
+#: The texts of PATHS in a text, each the first of its path, from one reading of it; null where there is none, and no array where the text is not XML.
+read = _read()
+
+
+def value(found: Column, *paths: str) -> Column:
     """The first non-blank text of the paths."""
-    return F.coalesce(*[F.nullif(F.trim(F.xpath_string(xml, F.lit(_path(p)))), F.lit("")) for p in paths])
+    return F.coalesce(*[F.nullif(F.trim(F.get(found, F.lit(PATHS.index(p)))), F.lit("")) for p in paths])
 
 
-def provenance(xml: Column, *paths: str) -> Column:
+def provenance(found: Column, *paths: str) -> Column:
     """The path a value was taken from, null where none has it."""
-    return F.coalesce(*[F.when(F.trim(F.xpath_string(xml, F.lit(_path(p)))) != "", F.lit("/" + ROOT + "/" + p)) for p in paths])
+    return F.coalesce(*[F.when(F.trim(F.get(found, F.lit(PATHS.index(p)))) != "", F.lit("/" + ROOT + "/" + p)) for p in paths])
 
 
 def _well_formed():
@@ -66,38 +121,45 @@ def _well_formed():
     return F.pandas_udf(parsed, BooleanType())
 
 
-#: Whether a text is XML at all; Spark's path functions stop a whole job at one that is not.
+#: Whether a text is XML at all; reading one that is not stops a whole job.
 well_formed = _well_formed()
 
 
-def gate(documents: DataFrame) -> DataFrame:
-    """Documents (doc, xml) with the issue of those that are unsafe or of another kind. Declarations of types are refused unread."""
+def _gated(documents: DataFrame, broken: Column) -> DataFrame:
     x = F.col("xml")
-    unsafe = F.upper(x).rlike("<!(DOCTYPE|ENTITY)")
     start = F.regexp_extract(x, r"<(?![?!])([^>]*)>", 1)
     root = F.regexp_extract(start, r"^(?:[\w.-]+:)?([\w.-]+)", 1)
     namespace = F.regexp_extract(start, r"""xmlns(?::[\w.-]+)?\s*=\s*["']([^"']*)["']""", 1)
     version = F.regexp_extract(start, r"""\bversao\s*=\s*["']([^"']*)["']""", 1)
-    broken = ~well_formed(F.when(~unsafe, x))
-    issue = F.when(x.isNull(), "invalid_xml").when(unsafe, "unsafe_xml").when((root == "") | broken, "invalid_xml").when(root != ROOT, "unsupported_xml_root").when(namespace != NAMESPACE, "unknown_xml_namespace").when(~version.isin(*VERSIONS), "unsupported_nfse_version")
+    issue = F.when(x.isNull(), "invalid_xml").when(_unsafe(x), "unsafe_xml").when((root == "") | broken, "invalid_xml").when(root != ROOT, "unsupported_xml_root").when(namespace != NAMESPACE, "unknown_xml_namespace").when(~version.isin(*VERSIONS), "unsupported_nfse_version")
     return documents.withColumn("version", version).withColumn("issue", issue)
 
 
-def _party(xml: Column, bases: tuple[str, ...]) -> Column:
-    at = lambda leaf: value(xml, *[f"{b}/{leaf}" for b in bases])
+def _unsafe(xml: Column) -> Column:
+    return F.upper(xml).rlike("<!(DOCTYPE|ENTITY)")
+
+
+def gate(documents: DataFrame) -> DataFrame:
+    """Documents (doc, xml) with the issue of those that are unsafe or of another kind. Declarations of types are refused unread."""
+    x = F.col("xml")
+    return _gated(documents, ~well_formed(F.when(~_unsafe(x), x)))
+
+
+def _party(found: Column, bases: tuple[str, ...]) -> Column:
+    at = lambda leaf: value(found, *[f"{b}/{leaf}" for b in bases])
     tax_id = F.coalesce(at("CNPJ"), at("CPF"))
     kind = F.when(at("CNPJ").isNotNull(), "CNPJ").when(at("CPF").isNotNull(), "CPF")
     there = F.lit(False)
     for b in bases:
-        there = there | F.xpath_boolean(xml, F.lit(_path(b)))
+        there = there | F.get(found, F.lit(PATHS.index(b))).isNotNull()
     return F.when(there, F.struct(tax_id.alias("tax_id"), kind.alias("tax_id_type"), at("xNome").alias("name"), at("IM").alias("municipal_registration"), at("email").alias("email"), at("fone").alias("phone")))
 
 
 def normalized(documents: DataFrame) -> DataFrame:
-    """Accepted documents as records: key, fields, parties, amounts as exact decimals, provenance map."""
-    x = F.col("xml")
-    # conditions on paths may be moved below the filter, where refused texts are still there: they see none of these
-    accepted = gate(documents).withColumn("xml", F.when(F.col("issue").isNull(), F.col("xml"))).where("issue is null")
+    """Accepted documents as records: key, fields, parties, amounts as exact decimals, provenance map. A text is parsed once for all of its fields."""
+    # what the gate refuses is not read; what is not XML is found in reading
+    accepted = _gated(documents, F.lit(False)).withColumn("found", read(F.when(F.col("issue").isNull(), F.col("xml")))).where("found is not null")
+    x = F.col("found")
     key = F.regexp_replace(value(x, "infNFSe/@Id"), "^NFS", "")
     paths = {f: (p,) for f, p in (FIELDS | AMOUNTS).items()}
     source = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), provenance(x, *p).alias("xpath")) for f, p in paths.items()]), lambda e: e["xpath"].isNotNull()))

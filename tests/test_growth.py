@@ -81,3 +81,21 @@ def test_small_workbooks_share_a_frame(spark, monkeypatch):
     frames = list(held["run"]([pd.DataFrame({"sha256": ["a", "b", "c", "d"], "content": [made[0], b"no", made[1], made[2]]})]))
     assert len(frames) == 1
     assert [(d, len(g), set(g["issue"])) for d, g in frames[0].groupby("doc")] == [("a", 4, {None}), ("b", 1, {"invalid_xlsx"}), ("c", 4, {None}), ("d", 4, {None})]
+
+
+def test_an_invoice_is_parsed_once(spark):
+    from tallyforge.sources import invoices
+
+    head = '<n:NFSe xmlns:n="http://www.sped.fazenda.gov.br/nfse" versao="1.01">'
+    body = '<n:infNFSe n:Id="no" Id="NFS7"><n:nNFSe> 4<!-- x --><![CDATA[2]]>&amp; </n:nNFSe><n:nNFSe>9</n:nNFSe><n:cStat> </n:cStat><n:cStat>1</n:cStat><n:DPS><n:infDPS><n:prest><n:CPF>5</n:CPF></n:prest><n:toma/></n:infDPS></n:DPS></n:infNFSe>'
+    docs = spark.createDataFrame([("a", head + body + "</n:NFSe>"), ("broken", head + body), ("none", None)], "doc string, xml string")
+    out = invoices.normalized(docs.repartition(3))
+    assert "xpath_string" not in plan(out)
+    (r,) = out.collect()
+    assert (r.doc, r.key, r.number, r.status) == ("a", "7", "42&", None)
+    assert (r.provider.tax_id, r.provider.tax_id_type, r.customer.tax_id, r.intermediary) == ("5", "CPF", None, None)
+    assert r.customer is not None and r.provenance == {"number": "/NFSe/infNFSe/nNFSe"}
+    # texts are read behind the dealing of rows, not in the tasks of their file
+    lines = plan(out).split("Initial Plan")[0].split("\n")
+    at = lambda w: [i for i, x in enumerate(lines) if w in x]
+    assert max(at("ArrowEvalPython")) < min(at("Exchange"))
