@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IndexToString, NGram, RegexTokenizer, StringIndexer, VectorAssembler
-from pyspark.ml.feature import HashingTF, IDF, Normalizer
+from pyspark.ml.feature import IndexToString, NGram, RegexTokenizer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Binarizer, ElementwiseProduct, HashingTF, IDF, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import period_of
-from tallyforge.operators.accounts import supported
+from tallyforge.lineage import cut, spread
 
 # The confidences a gate may choose from.
 GATES = (0.80, 0.85, 0.90, 0.95, 0.98, 1.00)
@@ -85,11 +88,36 @@ def classifier(features: int = 1 << 15, regularisation: float = 1e-5) -> Pipelin
 
 
 def fit(rows: DataFrame, features: int = 1 << 12) -> PipelineModel:
-    """Rows (features_text, label); labels seen once are left out, and two labels must remain."""
-    eligible = supported(rows, "label").withColumn("grams", char_ngrams(F.col("features_text")))
-    if eligible.select("label").distinct().limit(2).count() < 2:
+    """Rows (features_text, label); labels seen once are left out, and two labels must remain.
+
+    A text is read once, however often it occurs: its vector is made once, and each of its labels is one row that weighs as much as there are rows of
+    both. Document frequencies are sums of these weights; the penalty is adjusted as Spark's deviation of weighted rows is larger by one factor than that of single rows.
+    """
+    each = rows.groupBy("features_text", "label").agg(F.count(F.lit(1)).alias("_n"))
+    texts = cut(spread(each.groupBy("features_text").agg(F.collect_list(F.struct("label", "_n")).alias("_labels"))))
+    # as the indexer has them: by how many rows they have, equal ones by name
+    sizes = texts.select(F.inline("_labels")).where("label is not null").groupBy("label").agg(F.sum("_n").alias("_n")).where("_n >= 2").collect()
+    labels = [r.label for r in sorted(sizes, key=lambda r: (-r["_n"], r.label))]
+    if len(labels) < 2:
         raise ValueError("at least two labels with two rows each are needed")
-    return classifier(features).fit(eligible)
+    _, tokens, pairs, *hashed, assembler, idf, unit, regression = classifier(features).getStages()
+    counted = [tokens, pairs, *hashed, assembler]
+    known = F.filter("_labels", lambda e: F.array_contains(F.array(*[F.lit(x) for x in labels]), e["label"]))
+    vectors = texts.withColumn("_labels", known).where(F.size("_labels") > 0).withColumn("grams", char_ngrams(F.col("features_text")))
+    for stage in counted:
+        vectors = stage.transform(vectors)
+    vectors = cut(vectors.select("_labels", F.aggregate("_labels", F.lit(0).cast("long"), lambda n, e: n + e["_n"]).cast("double").alias("_n"), "_tf"))
+    present = Binarizer(threshold=0.0, inputCol="_tf", outputCol="_there").transform(vectors)
+    total = present.agg(Summarizer.metrics("sum").summary(F.col("_there"), F.col("_n")).alias("s"), F.sum("_n").alias("n")).first()
+    frequency = total.s["sum"].toArray()
+    scale = np.where(frequency >= idf.getMinDocFreq(), np.log((total.n + 1) / (frequency + 1)), 0.0)
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="_tf", outputCol="_idf")
+    indexer = StringIndexerModel.from_labels(labels, inputCol="label", outputCol="_label")
+    weighted = indexer.transform(unit.transform(weigh.transform(vectors)).select("_x", F.inline("_labels")).withColumn("_n", F.col("_n").cast("double")))
+    squares = weighted.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0]
+    spared = (total.n - squares / total.n) / (total.n - 1)
+    regression = regression.copy({regression.weightCol: "_n", regression.regParam: regression.getRegParam() * spared})
+    return PipelineModel([indexer, *counted, weigh, unit, regression.fit(weighted)])
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -108,6 +136,11 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "predicted", F.array_max(p).alias("confidence"), ranked.alias("ranked"))
 
 
+def predict_texts(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """As predict(), each text once; rows are in no order."""
+    return rows.join(predict(model, rows.select("features_text").distinct()), "features_text")
+
+
 def metrics(predictions: DataFrame, label: str = "label", seen: Column | None = None) -> DataFrame:
     """One row: rows, top-1 and top-3 accuracy, share of labels seen in training, mean confidence."""
     seen = F.lit(True) if seen is None else seen

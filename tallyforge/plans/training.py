@@ -45,7 +45,7 @@ def evaluated(rows: DataFrame, features: int = 1 << 12) -> DataFrame:
 
 def _metrics(train: DataFrame, test: DataFrame, name: str, features: int) -> DataFrame:
     seen = train.select("label").distinct().withColumn("_seen", F.lit(True))
-    predicted = models.predict(models.fit(train, features), test.join(seen, "label", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False))))
+    predicted = models.predict_texts(models.fit(train, features), test.join(seen, "label", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False))))
     return models.metrics(predicted, seen=F.col("_seen")).withColumn("split", F.lit(name))
 
 

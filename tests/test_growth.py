@@ -99,3 +99,23 @@ def test_an_invoice_is_parsed_once(spark):
     lines = plan(out).split("Initial Plan")[0].split("\n")
     at = lambda w: [i for i, x in enumerate(lines) if w in x]
     assert max(at("ArrowEvalPython")) < min(at("Exchange"))
+
+
+def test_a_text_is_trained_on_once(spark, monkeypatch):
+    from tallyforge.operators import models
+
+    rows = [(f"pago {w} {k}", w if i % 5 else "luz") for i, (w, k) in enumerate([(w, k) for w in ("agua", "luz", "gas") for k in ("um", "dois", "um")] * 40)]
+    df = spark.createDataFrame([*rows, ("only once", "single")], "features_text string, label string")
+    held, plain = [], models.LogisticRegression.fit
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, data, *a: held.append(data.count()) or plain(self, data, *a))
+    model = models.fit(df, 1 << 8)
+    assert held == [len(set(rows))]
+    eligible = df.where("label <> 'single'").withColumn("grams", models.char_ngrams(F.col("features_text")))
+    alike = models.classifier(1 << 8).fit(eligible)
+    assert model.stages[0].labels == alike.stages[0].labels
+    asked = df.distinct()
+    got = {(r.features_text, r.label): (r.predicted, r.confidence, r.ranked) for r in models.predict_texts(model, asked).collect()}
+    assert len(got) == asked.count()
+    for r in models.predict(alike, asked).collect():
+        mine = got[r.features_text, r.label]
+        assert (mine[0], mine[2]) == (r.predicted, r.ranked) and abs(mine[1] - r.confidence) < 1e-4
