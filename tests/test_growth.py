@@ -119,3 +119,23 @@ def test_a_text_is_trained_on_once(spark, monkeypatch):
     for r in models.predict(alike, asked).collect():
         mine = got[r.features_text, r.label]
         assert (mine[0], mine[2]) == (r.predicted, r.ranked) and abs(mine[1] - r.confidence) < 1e-4
+
+
+def test_equal_texts_of_the_history_are_read_once(spark, monkeypatch):
+    from tallyforge.operators import matching
+
+    read, plain = spark.sparkContext.accumulator(0), matching.words
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    monkeypatch.setattr(matching, "words", lambda text: plain(counted(text)))
+    history = spark.range(2_000).select((F.col("id") + 5).alias("ord"), F.lit("1").alias("debit_account"), (F.col("id") % 7).cast("string").alias("credit_account"), F.concat(F.lit("h"), F.col("id") % 3).alias("standard_history"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("paid invoice "), F.element_at(F.array(*map(F.lit, ("rent", "water"))), (F.col("id") % 2 + 1).cast("int")))).alias("complement"))
+    moved = spark.range(600).select(F.col("id").alias("ord"), F.lit("inflow").alias("direction"), F.when(F.col("id") % 2 == 0, "1").otherwise("9").alias("financial_account"), F.lit("water invoice").alias("text"))
+    out = matching.best_history(moved, history, spark.createDataFrame([("3",)], "reduced_code string"), with_sequence=False)
+    got = {tuple(r) for r in out.select("counterpart", "standard_history", "score").collect()}
+    # the first row with a text of both words: account 1's own history, none for 9, whose pool on this side is empty
+    assert got == {("1", "h1", 1.0)} and out.count() == 300
+    assert read.value < 200
