@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.money import period_of
 from tallyforge.functions.text import local_features, normalized
-from tallyforge.lineage import cut
+from tallyforge.lineage import cut, few
 from tallyforge.shipping import ship
 
 #: Rows a classifier is trained on at most (the documented bound), and probes one task answers.
@@ -42,22 +42,22 @@ def memory(rows: DataFrame, features: str) -> DataFrame:
     return rows.groupBy("client_id", "head", F.col(features).alias("features")).agg(F.count_distinct("label").alias("_n"), F.min("label").alias("label")).where("_n = 1").drop("_n")
 
 
-def majority(rows: DataFrame) -> DataFrame:
-    """client_id, head, majority: the most frequent label, of equal ones the first seen."""
-    each = rows.groupBy("client_id", "head", "label").agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("_first"))
+def majority(rows: DataFrame, number: Column | None = None) -> DataFrame:
+    """client_id, head, majority: the most frequent label, of equal ones the first seen; ``number`` is how many rows a row stands for."""
+    each = rows.groupBy("client_id", "head", "label").agg(F.count(F.lit(1)).alias("_n") if number is None else F.sum(number).alias("_n"), F.min("ord").alias("_first"))
     return each.groupBy("client_id", "head").agg(F.max_by("label", F.struct("_n", -F.col("_first"))).alias("majority"))
 
 
-def bounded(rows: DataFrame, key: list[str], most: int = MOST) -> DataFrame:
+def bounded(rows: DataFrame, key: list[str], most: int = MOST, sizes: DataFrame | None = None) -> DataFrame:
     """At most ``most`` rows of each key, those with the smallest hashes. A hash that lets about twice as many through thins large keys out before any are ranked."""
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_all"))
+    sizes = few(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_all")) if sizes is None else sizes)
     place = F.pmod(F.xxhash64("ord", "features", "label"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.join(sizes, key).withColumn("_place", place).where(F.col("_place") * F.col("_all") <= 2.0 * most)
+    thin = rows.join(sizes, key).withColumn("_place", place).where(F.col("_place") * F.col("_all") <= 2.0 * most)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("_place", "ord", "features", "label"))
-    return few.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_all", "_place", "_rank")
+    return thin.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_all", "_place", "_rank")
 
 
-def classifiers(rows: DataFrame, key: list[str], most: int = MOST) -> DataFrame:
+def classifiers(rows: DataFrame, key: list[str], most: int = MOST, sizes: DataFrame | None = None) -> DataFrame:
     """(key, model): a row for each key that has two labels of two rows."""
     ship(rows.sparkSession)
 
@@ -69,35 +69,47 @@ def classifiers(rows: DataFrame, key: list[str], most: int = MOST) -> DataFrame:
         return pd.DataFrame(held if model.ready else {k: [] for k in held}, dtype=object)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    few = bounded(rows.select(*key, "ord", "features", "label"), key, most).select(*key, "features", "label")
-    return few.groupBy(*key).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", model binary")
+    sample = bounded(rows.select(*key, "ord", "features", "label"), key, most, sizes).select(*key, "features", "label")
+    return sample.groupBy(*key).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", model binary")
 
 
 def classified(models: DataFrame, probes: DataFrame, key: list[str], most: int = PROBES) -> DataFrame:
-    """Probes (key, ord, features) of keys with a model, with label, probability and ranked labels; a task has one model and about ``most`` probes."""
+    """Probes (key, ord, features) of keys with a model, with label, probability and ranked labels."""
+    probes = probes.select(*key, "ord", _plain())
+    return probes.join(answers(models, probes, key, most), [*key, "features"]).select(*key, "ord", "label", "probability", "ranked")
+
+
+def _plain() -> Column:
+    """Null and empty texts are answered alike."""
+    return F.coalesce("features", F.lit("")).alias("features")
+
+
+def answers(models: DataFrame, probes: DataFrame, key: list[str], most: int = PROBES) -> DataFrame:
+    """(key, features) of probes with label, probability and ranked labels. Each text of a key is answered once; a task has one model and about ``most`` texts."""
     ship(probes.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in probes.schema.fields}
-    sizes = probes.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts"))
-    asked = probes.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64("ord"), F.col("_parts")).cast("int")).select(*key, "_part", "ord", "features")
+    texts = cut(probes.select(*key, "features").distinct())
+    sizes = texts.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts"))
+    asked = texts.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64("features"), F.col("_parts")).cast("int")).select(*key, "_part", "features")
     known = models.join(sizes, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "model")
 
     def run(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        columns = [*key, "ord", "label", "probability", "ranked"]
+        columns = [*key, "features", "label", "probability", "ranked"]
         if asked.empty or known.empty:
             return pd.DataFrame({c: [] for c in columns}, dtype=object)
         model = pickle.loads(known["model"].iloc[0])
-        p = model.predict(asked["features"].fillna("").tolist())
+        p = model.predict(asked["features"].tolist())
         ranked = (-p).argsort(1, kind="stable")
-        out = asked[[*key, "ord"]].reset_index(drop=True)
+        out = asked[[*key, "features"]].reset_index(drop=True)
         out["ranked"] = [[model.labels[i] for i in r] for r in ranked]
         out["label"] = [r[0] for r in out["ranked"]]
         out["probability"] = p.max(1)
         # as Python's own values: a column of strings in pandas may be in several pieces, which Arrow batches can't take
         return out[columns].astype(object)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", ord {kinds['ord']}, label string, probability double, ranked array<string>"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", features string, label string, probability double, ranked array<string>"
     at = [*key, "_part"]
-    return asked.groupBy(*at).cogroup(known.groupBy(*at)).applyInPandas(run, schema)
+    return few(asked.groupBy(*at).cogroup(known.groupBy(*at)).applyInPandas(run, schema))
 
 
 def predicted(examples: DataFrame, probes: DataFrame, period: str | None = None, most: int = MOST) -> DataFrame:
@@ -105,18 +117,21 @@ def predicted(examples: DataFrame, probes: DataFrame, period: str | None = None,
 
     ``combined`` is the smaller of the two heads' probabilities, or the first where the client's examples have no standard history. Probes without an account or a text get no row.
     """
-    rows = cut(head_rows(examples, period))
+    rows = head_rows(examples, period)
+    # memory and majority ask how rows differ, not how often they occur; only the classifiers' bounded samples are taken from the rows themselves
+    each = cut(rows.groupBy("client_id", "head", "label", "features", "features_text").agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("ord")))
     asked = probes.where(F.col("financial_account").isNotNull() & (normalized(F.col("text")) != ""))
     made = lambda amount: local_features(F.col("text"), F.col("direction"), F.col("financial_account"), amount)
     asked = asked.select("client_id", "ord", made(F.abs("amount")).alias("features"), made(None).alias("features_text"))
-    heads = majority(rows)
+    heads = majority(each, F.col("_n"))
     asked = cut(asked.join(heads, "client_id"))
-    first = memory(rows, "features").withColumnRenamed("label", "_with")
-    second = memory(rows, "features_text").withColumnsRenamed({"features": "features_text", "label": "_without"})
+    first = memory(each, "features").withColumnRenamed("label", "_with")
+    second = memory(each, "features_text").withColumnsRenamed({"features": "features_text", "label": "_without"})
     known = asked.join(first, ["client_id", "head", "features"], "left").join(second, ["client_id", "head", "features_text"], "left").withColumn("_memory", F.coalesce("_with", "_without"))
     key = ["client_id", "head"]
     open_ = known.where("_memory is null").select(*key, "ord", "features")
-    told = classified(classifiers(rows, key, most), open_, key).select(*key, "ord", F.col("label").alias("_told"), "probability")
+    sizes = each.groupBy(*key).agg(F.sum("_n").alias("_all"))
+    told = classified(classifiers(rows, key, most, sizes), open_, key).select(*key, "ord", F.col("label").alias("_told"), "probability")
     found = known.join(told, [*key, "ord"], "left").select(
         *key, "ord", F.coalesce("_memory", "_told", "majority").alias("label"), F.when(F.col("_memory").isNotNull(), 1.0).otherwise(F.coalesce("probability", F.lit(0.0))).alias("p"),
         F.when(F.col("_memory").isNotNull(), "exact_memory").when(F.col("_told").isNotNull(), "client_tfidf").otherwise("client_majority").alias("source"),
@@ -137,8 +152,8 @@ def without_each(rows: DataFrame, sample: int = MOST) -> DataFrame:
     """
     spark = rows.sparkSession
     ship(spark)
-    few = rows.select("client_id", period_of(F.col("date")).alias("month"), "features", "label").orderBy(F.xxhash64("client_id", "ord"), "client_id", "ord", "features", "label").limit(sample).collect()
-    held = spark.sparkContext.broadcast([tuple(r) for r in few])
+    taken = rows.select("client_id", period_of(F.col("date")).alias("month"), "features", "label").orderBy(F.xxhash64("client_id", "ord"), "client_id", "ord", "features", "label").limit(sample).collect()
+    held = spark.sparkContext.broadcast([tuple(r) for r in taken])
     kind = rows.schema["client_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,9 +170,9 @@ def without_each(rows: DataFrame, sample: int = MOST) -> DataFrame:
 
     last = rows.groupBy("client_id").agg(F.max(period_of(F.col("date"))).alias("last"))
     models = cut(last.repartition("client_id").mapInPandas(run, f"client_id {kind}, model binary, known array<string>"))
-    told = classified(models.select("client_id", "model"), rows.select("client_id", "ord", "features"), ["client_id"])
-    actual = rows.select("client_id", "ord", F.col("label").alias("actual")).join(models.select("client_id", "known"), "client_id")
-    return actual.withColumn("seen", F.array_contains("known", F.col("actual"))).drop("known").join(told, ["client_id", "ord"])
+    asked = rows.select("client_id", "ord", _plain(), F.col("label").alias("actual"))
+    told = asked.join(answers(models.select("client_id", "model"), asked, ["client_id"]), ["client_id", "features"]).join(few(models.select("client_id", "known")), "client_id")
+    return told.select("client_id", "ord", "actual", F.array_contains("known", F.col("actual")).alias("seen"), "label", "probability", "ranked")
 
 
 def fold_metrics(predictions: DataFrame) -> DataFrame:

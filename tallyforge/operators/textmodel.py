@@ -37,16 +37,20 @@ BLOCKS = (word_terms, char_terms)
 
 
 class Vectors:
-    """Rows of (place, weight) for texts, by the vocabularies of the texts it was fitted to."""
+    """Rows of (place, weight) for texts, by the vocabularies of the texts it was fitted to, each of which is so many rows."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], numbers: list[int] | None = None):
+        numbers = [1] * len(texts) if numbers is None else numbers
         self.places: list[dict[str, int]] = []
         idf: list[float] = []
         for terms in BLOCKS:
-            rows = Counter(t for text in texts for t in set(terms(text)))
+            rows: Counter[str] = Counter()
+            for text, number in zip(texts, numbers, strict=True):
+                for t in set(terms(text)):
+                    rows[t] += number
             kept = sorted(t for t, n in rows.items() if n >= LEAST_ROWS)
             self.places.append({t: len(idf) + i for i, t in enumerate(kept)})
-            idf += [np.log((1 + len(texts)) / (1 + rows[t])) + 1 for t in kept]
+            idf += [np.log((1 + sum(numbers)) / (1 + rows[t])) + 1 for t in kept]
         self.idf = np.array(idf)
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +79,11 @@ class TextModel:
         self.ready = len(self.labels) >= 2
         if not self.ready:
             return
-        # sums then do not depend on the order that rows come in
-        rows.sort()
-        self.vectors = Vectors([t for t, _ in rows])
+        # sums then do not depend on the order that rows come in; equal rows are one that weighs as much as they are
+        total, rows, numbers = len(rows), *map(list, zip(*sorted(Counter(rows).items()), strict=True))
+        self.vectors = Vectors([t for t, _ in rows], numbers)
         row, column, weight = self.vectors.of([t for t, _ in rows])
-        n, terms = len(rows), len(self.vectors.idf)
+        n, terms, share = len(rows), len(self.vectors.idf), np.array(numbers) / total
         place = {y: i for i, y in enumerate(self.labels)}
         target = np.array([place[y] for _, y in rows])
         self.weights, self.bias = np.zeros((len(self.labels), terms)), np.zeros(len(self.labels))
@@ -89,7 +93,7 @@ class TextModel:
             seen_w, seen_b = np.full(terms, 1e-8), 1e-8
             for _ in range(rounds):
                 z = np.bincount(row, w[column] * weight, n) + b
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
                 gw, gb = np.bincount(column, g[row] * weight, terms) + PENALTY * w, g.sum()
                 seen_w += gw * gw
                 seen_b += gb * gb

@@ -139,3 +139,31 @@ def test_equal_texts_of_the_history_are_read_once(spark, monkeypatch):
     # the first row with a text of both words: account 1's own history, none for 9, whose pool on this side is empty
     assert got == {("1", "h1", 1.0)} and out.count() == 300
     assert read.value < 200
+
+
+def test_equal_rows_of_clients_are_answered_once_and_counted_each(spark):
+    import datetime
+
+    from tallyforge.operators import local
+
+    day = lambda m: datetime.date(2024, m, 1)
+    rows = [(c, 7, day(m), f"pago {w}", w) for c in ("a", "b") for w in ("agua", "luz") for m in (1, 2, 3) for _ in range(5)] + [("a", 7, day(3), None, "luz")]
+    df = spark.createDataFrame(rows, "client_id string, ord long, date date, features string, label string")
+    got = {r.client_id: (r.rows, r.top_1) for r in local.fold_metrics(local.without_each(df)).collect()}
+    assert set(got) == {"a", "b"} and (got["a"][0], got["b"]) == (31, (30, 1.0))
+
+
+def test_equal_rows_of_a_text_model_are_one():
+    import numpy as np
+
+    from tallyforge.operators import textmodel
+
+    texts, labels = ["pago agua", "pago luz", "pago agua", "luz", "pago agua"] * 8, ["a", "b", "a", "b", "b"] * 8
+    seen, plain = [], textmodel.Vectors.of
+    textmodel.Vectors.of = lambda self, t: seen.append(len(t)) or plain(self, t)
+    try:
+        model = textmodel.TextModel(texts, labels)
+    finally:
+        textmodel.Vectors.of = plain
+    assert seen == [4]
+    assert np.allclose(model.vectors.idf, textmodel.Vectors(texts).idf)
