@@ -3,9 +3,10 @@
 1. Counts. Words of the training documents (all but one in ``FOLDS``) are counted on the executors. At most ``LOOKUP``, all from some count on, go to all tasks with
    their counts, the first ``WORDS`` of these have a symbol of their own. The others belong to one of ``GROUPS`` groups by their letters (the
    nearest centre of letter-pair profiles, which are fitted to the frequent words).
-2. Training. Documents are cut into stretches of symbols; each round reads a share of them chosen by hash (``SHARE`` of the corpus over all rounds, or
-   ``LEAST`` symbols where that is more) in shards, all from the same weights, and the shards' weights are averaged in a tree.
-3. Scoring. Every document's symbols are scored with the state carried from window to window. Rare words are no symbols: their documents meet their counts
+2. Reading. Every document's words become symbols once, which training and scoring share.
+3. Training. All training documents are cut into stretches of symbols. A hash deals every stretch to one round, which reads its stretches in shards, all from
+   the same weights, and the shards' weights are averaged in a tree.
+4. Scoring. Every document's symbols are scored with the state carried from window to window. Rare words are no symbols: their documents meet their counts
    in a join by the word's hash, for the base and for a word's share of its group (an unseen word has what Witten and Bell's estimate leaves for it, by group).
 """
 
@@ -28,12 +29,12 @@ from tallyforge.llm.common import CACHE_WORDS, arrow_map, dropped, mix64, portio
 FOLDS = 10
 #: Words with a symbol, words whose counts all tasks hold, groups of the other words, and output classes of the symbols.
 WORDS, LOOKUP, GROUPS, CLASSES = 2048, 65_536, 16, 40
-#: Of the corpus, what training reads over all rounds, the symbols it reads at least, rounds, and symbols of a shard.
-SHARE, LEAST, ROUNDS, SHARD = 1 / 32, 1_200_000, 4, 60_000
-#: Streams that are trained together.
-STREAMS = 64
-#: Bytes of texts that are scored at once; a longer text is scored alone.
-PORTION = 8 << 20
+#: Rounds of training, which share all stretches, and symbols of a shard.
+ROUNDS, SHARD = 4, 1 << 19
+#: Stretches that are trained together: an eighth of a shard's, between these.
+LEAST_STREAMS, STREAMS = 64, 512
+#: Bytes of symbols that are scored at once; a longer text is scored alone.
+PORTION = 2 << 20
 #: Added to every count of the base.
 ADDED = 0.1
 #: Values of hashed pairs of bytes.
@@ -140,6 +141,8 @@ class Lexicon:
         self.words, self.counts, self.centres = words, counts, centres
         self.own = min(own, len(words))
         self.symbols = 1 + self.own + len(centres)
+        #: Symbols as they are written.
+        self.kind = np.uint16 if self.symbols <= 1 << 16 else np.uint32
 
     def reader(self) -> Reader:
         return Reader(self)
@@ -183,56 +186,48 @@ class Reader:
         return out
 
 
-def _split(batch: pa.RecordBatch) -> list[list[bytes]]:
-    return [t.lower().split() for t in texts_of(batch)]
-
-
 # ---- training
 
 STRETCH = recurrent.WINDOW * recurrent.WINDOWS
 
 
-def stretches(docs: DataFrame, lexicon: Lexicon, share: float, rounds: int = ROUNDS) -> DataFrame:
-    """round, key, symbols: of every document the stretches of symbols that a round reads; the last one of a document has its end (0)."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(lexicon)
+def stretches(parts: DataFrame, kind: type, number: int, rounds: int = ROUNDS) -> DataFrame:
+    """key, symbols: the stretches of documents (key, symbols) that one of the rounds reads. Each stretch is read in one round."""
+    size = STRETCH * np.dtype(kind).itemsize
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = held.value.reader()
-        for whole in batches:
-            for batch in portions(whole):
-                rows: list[tuple[int, int, np.ndarray]] = []
-                for key, words in zip(batch.column("_key").to_pylist(), _split(batch), strict=True):
-                    n = len(words) // STRETCH + 1
-                    # a number in [0, 1) for each stretch; round r reads those within its share from r * share on, around the circle
-                    u = (mix64(np.arange(n, dtype=np.uint64) + np.uint64(key & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) / 2.0**53
-                    for r in range(rounds):
-                        for j in np.flatnonzero((u - r * share) % 1.0 < share).tolist():
-                            own = words[j * STRETCH : (j + 1) * STRETCH]
-                            reader.learn(set(own))
-                            symbols = reader.symbols(reader.read(own))
-                            rows.append((r, int(u[j] * 2**53), np.append(symbols, 0) if j == n - 1 else symbols))
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.list_(pa.int32()))], names=["round", "key", "symbols"])
-
-    return arrow_map(docs.select("text", F.xxhash64("doc_id", "text").alias("_key")), run, "round int, key long, symbols array<int>")
-
-
-def trained(rows: DataFrame, classes: recurrent.Classes, p: dict[str, np.ndarray], shards: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+        for batch in batches:
+            texts = batch.column("symbols").to_pylist()
+            n = np.array([-(-len(t) // size) for t in texts], np.int64)
+            first = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(of)) - first[of]
+            # a number in [0, 2^53) for each stretch, which says its round and its place among others
+            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            u = (mix64(place.astype(np.uint64) + keys[of]) >> np.uint64(11)).astype(np.int64)
+            own = np.flatnonzero(u * rounds >> 53 == number)
+            pieces = [texts[i][j * size : (j + 1) * size] for i, j in zip(of[own].tolist(), place[own].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(u[own], pa.int64()), pa.array(pieces, pa.binary())], names=["key", "symbols"])
+
+    return arrow_map(parts.select("key", "symbols"), run, "key long, symbols binary")
+
+
+def trained(parts: DataFrame, kind: type, classes: recurrent.Classes, p: dict[str, np.ndarray], shards: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Rounds of training on shards, each from the mean of the shards' weights after the last, weighed by what they read."""
-    spark = rows.sparkSession
+    spark = parts.sparkSession
     seen = recurrent.fresh_squares(p)
     add = lambda a, b: b if a is None else a if b is None else {k: a[k] + b[k] for k in a}
     for r in range(rounds):
         held = spark.sparkContext.broadcast((p, seen, classes))
-        own = rows.where(F.col("round") == r).select("key", "symbols").repartition(shards, "key")
+        own = stretches(parts, kind, r, rounds).repartition(shards, "key")
 
         def run(part: Iterable, held=held) -> Iterator[dict[str, np.ndarray]]:
             p, seen, classes = held.value
             # a shard's stretches in an order of their own, however they came
-            own = [np.array(s, np.int64) for _, s in sorted((row.key, row.symbols) for row in part)]
+            own = [np.frombuffer(s, kind) for _, s in sorted((row.key, bytes(row.symbols)) for row in part)]
             if own:
-                p, seen, n = recurrent.train(p, seen, classes, own, STREAMS)
-                yield {"n": np.float32(n)} | {"p " + k: v * np.float32(n) for k, v in p.items()} | {"s " + k: v * np.float32(n) for k, v in seen.items()}
+                p, seen, n = recurrent.train(p, seen, classes, own, min(STREAMS, max(LEAST_STREAMS, len(own) // 8)))
+                yield {"n": np.float64(n)} | {"p " + k: v * np.float32(n) for k, v in p.items()} | {"s " + k: v * np.float32(n) for k, v in seen.items()}
 
         # as many shards as asked for, even where Spark was told to deal to more partitions: each gives back a whole set of weights
         sums = own.rdd.coalesce(shards).mapPartitions(run).treeAggregate(None, add, add, 2)
@@ -247,7 +242,7 @@ def trained(rows: DataFrame, classes: recurrent.Classes, p: dict[str, np.ndarray
 
 
 class Model:
-    """Counts and weights. ``groups``: of each group the symbols that are its words without a symbol, their words and the words seen once."""
+    """Counts and weights. ``group_tokens``, ``group_words``: of each group's words without a symbol, how often they occur and how many there are."""
 
     def __init__(self, lexicon: Lexicon, total: int, distinct: int, ends: int, weights: dict[str, np.ndarray], classes: recurrent.Classes, group_tokens: list[int], group_words: list[int]):
         self.lexicon, self.total, self.distinct, self.ends, self.weights, self.classes = lexicon, total, distinct, ends, weights, classes
@@ -259,8 +254,15 @@ class Model:
         return (self.group_words[group] + 0.5) / (self.group_tokens[group] + self.group_words[group] + 1)
 
 
-def fit(docs: DataFrame, words: int = WORDS, lookup: int = LOOKUP, groups: int = GROUPS, least: int = LEAST, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model of the training documents, and the counts of their words (hash, n, group; without those with a symbol)."""
+def fit(docs: DataFrame, words: int = WORDS, lookup: int = LOOKUP, groups: int = GROUPS, least: int = SHARD, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model of all training documents, and the counts of their words (hash, n, group; without those with a symbol). ``least``: symbols of a shard."""
+    model, rest, parts = _fitted(docs, words, lookup, groups, least, rounds)
+    dropped(parts)
+    return model, rest
+
+
+def _fitted(docs: DataFrame, words: int = WORDS, lookup: int = LOOKUP, groups: int = GROUPS, least: int = SHARD, rounds: int = ROUNDS) -> tuple[Model, DataFrame, DataFrame]:
+    """What fit() gives, and the documents as they were read for it."""
     spark = docs.sparkSession
     learnt = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     counts = written(counted(learnt), "lm-counts")
@@ -289,23 +291,26 @@ def fit(docs: DataFrame, words: int = WORDS, lookup: int = LOOKUP, groups: int =
         tokens[r["group"]], kinds[r["group"]] = r.n, r.kinds
     symbol_counts = np.array([ends, *numbers[: lexicon.own], *tokens], np.float64)
     classes = recurrent.Classes(symbol_counts[: 1 + lexicon.own], groups, CLASSES)
-    weights = recurrent.initial(classes, symbol_counts)
     size = total + ends
-    share = min(1.0, max(SHARE, least / max(1, size)) / rounds)
-    rows = written(stretches(learnt, lexicon, share, rounds), "lm-stretches")
-    weights = trained(rows, classes, weights, max(1, math.ceil(size * share / SHARD)), rounds)
-    dropped(rows)
+    model = Model(lexicon, size, distinct + (ends > 0), ends, recurrent.initial(classes, symbol_counts), classes, tokens, kinds)
     dropped(counts)
-    return Model(lexicon, size, distinct + (ends > 0), ends, weights, classes, tokens, kinds), rest
+    parts = written(_parts(docs, model), "lm-parts")
+    model.weights = trained(parts.where(~held_out(F.col("doc_id"))), lexicon.kind, classes, model.weights, max(1, math.ceil(size / rounds / least)), rounds)
+    return model, rest, parts
 
 
 # ---- scores
 
-_PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, hashes array<long>, counts array<int>, groups array<int>"
+_PARTS = "row long, doc_id long, key long, n_tokens long, n_known long, base double, score double, hashes array<long>, counts array<int>, groups array<int>, symbols binary"
+_SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _parts(docs: DataFrame, model: Model) -> DataFrame:
-    """Of each document what its symbols and frequent words give, and its other words by hash."""
+    """Of each document its symbols, what its frequent words give, and its other words by hash."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,40 +318,60 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
         reader = m.lexicon.reader()
         frequent = np.array(m.lexicon.counts, np.float64)
         base_of = np.log10(frequent + ADDED)
-        own, groups = m.lexicon.own, len(m.lexicon.centres)
+        own = m.lexicon.own
         # a frequent word without a symbol has its share of its group
         within = np.zeros(len(frequent))
-        for i in range(own, len(frequent)):
-            g = int(reader.symbol_of[i]) - 1 - own
-            within[i] = math.log10((1 - m.unseen(g)) * m.lexicon.counts[i] / m.group_tokens[g])
+        of_group = reader.symbol_of[own:] - 1 - own
+        left = np.array([1 - m.unseen(g) for g in range(len(m.group_tokens))])
+        within[own:] = np.log10(left[of_group] * frequent[own:] / np.maximum(1, m.group_tokens)[of_group])
         end = math.log10(m.ends + ADDED)
         row = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
         for whole in batches:
-            for batch in portions(whole, PORTION):
-                columns: list[list] = [[] for _ in range(7)]
-                symbols = []
-                for text in texts_of(batch):
-                    words = text.lower().split()
-                    reader.learn(set(words))
-                    codes = reader.read(words)
-                    symbols.append(np.append(reader.symbols(codes), 0).astype(np.int32))
-                    common = codes[codes >= 0]
-                    rare, times = np.unique(codes[codes < 0], return_counts=True)
-                    of = reader.groups[-rare - 1]
-                    values = (len(words) + 1, len(common) + (m.ends > 0), float(base_of[common].sum()) + end, float(within[common].sum()), [reader.hashes[-i - 1] for i in rare.tolist()], times, of)
-                    for c, v in zip(columns, values, strict=True):
-                        c.append(v)
-                logs = recurrent.scores(m.weights, m.classes, symbols) / math.log(10) if symbols else np.zeros(0)
-                n = batch.num_rows
-                kinds = [pa.int64(), pa.int64(), pa.float64()]
+            for batch in portions(whole):
+                texts = [t.lower().split() for t in texts_of(batch)]
+                n = len(texts)
+                sizes = np.array([len(t) for t in texts], np.int64)
+                words = [w for t in texts for w in t]
+                reader.learn(set(words))
+                codes = reader.read(words)
+                of = np.repeat(np.arange(n), sizes)
+                symbols = np.zeros(len(codes) + n, m.lexicon.kind)  # each text's end is 0
+                symbols[np.arange(len(codes)) + of] = reader.symbols(codes)
+                common = codes >= 0
+                per_text = lambda values: np.bincount(of[common], values, n)  # noqa: E731, B023
+                # a text's other words, each once
+                distinct, times = np.unique(of[~common] * (1 << 32) - codes[~common] - 1, return_counts=True)
+                text_of, word_of = distinct >> 32, distinct & ((1 << 32) - 1)
+                offsets = pa.array(np.searchsorted(text_of, np.arange(n + 1)), pa.int32())
+                lists = lambda values: pa.ListArray.from_arrays(offsets, values)  # noqa: E731, B023
+                ends = np.append(0, np.cumsum(sizes + 1)).astype(np.int32) * np.int32(symbols.itemsize)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n), pa.int64()), batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns[:3], kinds, strict=True)), pa.array(logs + np.array(columns[3]), pa.float64()),
-                     pa.array(columns[4], pa.list_(pa.int64())), pa.array(columns[5], pa.list_(pa.int32())), pa.array(columns[6], pa.list_(pa.int32()))],
-                    names=[c.split()[0] for c in _PARTS.split(", ")],
+                    [
+                        pa.array(np.arange(row, row + n), pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("_key"), pa.array(sizes + 1, pa.int64()), pa.array(np.bincount(of[common], minlength=n) + (m.ends > 0), pa.int64()),
+                        pa.array(per_text(base_of[codes[common]]) + end, pa.float64()), pa.array(per_text(within[codes[common]]), pa.float64()),
+                        lists(pa.array([reader.hashes[i] for i in word_of.tolist()], pa.int64())), lists(pa.array(times, pa.int32())), lists(pa.array(reader.groups[word_of], pa.int32())),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(symbols)]),
+                    ],
+                    names=_names(_PARTS),
                 )
                 row += n
 
-    return arrow_map(docs.select("doc_id", "text"), run, _PARTS)
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key")), run, _PARTS)
+
+
+def _scored(parts: DataFrame, model: Model) -> DataFrame:
+    """The parts with what the recurrent model gives to their symbols added to the score."""
+    held = parts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for whole in batches:
+            for batch in portions(whole, PORTION, "symbols"):
+                symbols = [np.frombuffer(s, m.lexicon.kind) for s in batch.column("symbols").to_pylist()]
+                score = recurrent.scores(m.weights, m.classes, symbols) / math.log(10) + batch.column("score").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _names(_SCORED)[:-1]), pa.array(score, pa.float64())], names=_names(_SCORED))
+
+    return arrow_map(parts.select(*_names(_SCORED), "symbols"), run, _SCORED)
 
 
 def score(docs: DataFrame, fitted: tuple[Model, DataFrame] | None = None) -> DataFrame:
@@ -355,8 +380,11 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame] | None = None) -> Dat
     Null and empty texts are their end alone. A null doc_id is not held out. Repeated rows count each in training and get a row each;
     whole texts are read; an empty table gives no rows, and without training documents every token is unseen. Other columns are not read.
     """
-    model, words = fitted or fit(docs)
-    parts = written(_parts(docs, model), "lm-parts")
+    if fitted:
+        model, words = fitted
+        parts = written(_parts(docs, model), "lm-parts")
+    else:
+        model, words, parts = _fitted(docs)
     pairs = parts.select("row", F.explode(F.arrays_zip("hashes", "counts", "groups")).alias("w")).select("row", F.col("w.hashes").alias("hash"), F.col("w.counts").alias("times"), F.col("w.groups").alias("group"))
     found = pairs.join(words.select("hash", "n"), "hash", "left").select("row", "times", "group", F.coalesce("n", F.lit(0)).alias("n"))
     group = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("group") + 1)
@@ -367,7 +395,7 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame] | None = None) -> Dat
     sums = found.repartition("row").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(ADDED))).alias("_base"), F.sum(F.col("times") * within).alias("_score")
     )
-    rows = parts.drop("hashes", "counts", "groups").join(sums, "row", "left")
+    rows = _scored(parts, model).join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return rows.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + zero("_known")).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),

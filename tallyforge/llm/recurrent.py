@@ -13,8 +13,8 @@ import numpy as np
 
 #: Size of the state, symbols of a window (gradients end at its start), windows of a training stretch, and stretches trained together.
 HIDDEN, WINDOW, WINDOWS, STREAMS = 16, 16, 8, 32
-#: Texts that are scored together.
-SLOTS = 768
+#: Texts that are scored together, and states whose outputs are computed at once.
+SLOTS, BLOCK = 768, 1024
 RATE, CLIP = 0.08, 1.0
 
 
@@ -110,58 +110,94 @@ def log_probabilities(p: dict[str, np.ndarray], classes: Classes, h: np.ndarray,
 
 def gradients(p: dict[str, np.ndarray], classes: Classes, symbols: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Of a window (streams x positions): the negative log-likelihood, its gradients, and the state behind it. The state before it is given and gets no gradient."""
-    kind, hidden = h.dtype, h.shape[1]
-    length = symbols.shape[1]
+    kind, k = h.dtype, h.shape[1]
+    rows, length = symbols.shape
+    u, whole = p["recurrent"], bool(mask.all())
+    # positions first, so that each step reads and writes one block
+    symbols, on = np.ascontiguousarray(symbols.T), np.ascontiguousarray(mask.T)[:, :, None]
     a = p["input"][symbols]
-    states, held = [h], []
+    states, b = np.empty((length + 1, rows, k), kind), np.empty((length, rows, 3 * k), kind)
+    gates, n = np.empty((length, rows, 2 * k), kind), np.empty((length, rows, k), kind)
+    states[0] = h
     for t in range(length):
-        h2, *rest = step(states[-1], a[:, t], p["recurrent"])
-        held.append(rest)
-        states.append(np.where(mask[:, t, None], h2, states[-1]))
-    before = np.stack(states[:-1], 1)
-    valid = np.flatnonzero(mask)
-    x, target = before.reshape(-1, hidden)[valid], symbols.reshape(-1)[valid]
-    of, rows = classes.of[target], np.arange(len(valid))
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
+        np.matmul(states[t], u, out=b[t])
+        gate = np.add(a[t, :, : 2 * k], b[t, :, : 2 * k], out=gates[t])
+        gate *= 0.5
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        new = np.multiply(gate[:, k:], b[t, :, 2 * k :], out=n[t])
+        new += a[t, :, 2 * k :]
+        np.tanh(new, out=new)
+        out = np.subtract(states[t], new, out=states[t + 1])
+        out *= gate[:, :k]
+        out += new
+        if not whole:
+            np.copyto(out, states[t], where=~on[t])
+    before, z, r = states[:-1], gates[:, :, :k], gates[:, :, k:]
+    # by symbol, and so by class: a class's symbols follow each other
+    valid = np.flatnonzero(on)
+    target = symbols.reshape(-1)[valid]
+    order = np.argsort(target.astype(np.int32), kind="stable")
+    valid, target = valid[order], target[order]
+    x, of = before.reshape(-1, k)[valid], classes.of[target]
+    grads = {name: np.zeros_like(v) for name, v in p.items()}
     dx = np.zeros_like(x)
-    loss = 0.0
+    loss, ones = 0.0, np.ones(len(target), kind)
+    # a state's components are between -1 and 1
+    bound = max(1.0, float(np.abs(h).max(initial=0)))
+    small = all(float((np.abs(p[w]).sum(0) * bound + np.abs(p[w + "_bias"])).max(initial=0)) < 60 for w in ("class", "word"))
 
-    def output(own: np.ndarray, at: np.ndarray, weight: np.ndarray, bias: np.ndarray, to: np.ndarray, to_bias: np.ndarray) -> float:
-        logits = x[own] @ weight + bias
-        log, sums = log_softmax_of(logits, at)
-        d = logits
-        d /= sums[:, None]
+    def output(first: int, last: int, at: np.ndarray, name: str, columns: slice) -> float:
+        weight, own = p[name][:, columns], x[first:last]
+        d = own @ weight
+        d += p[name + "_bias"][columns]
+        log, sums = log_softmax_of(d, at, small)
+        d *= (1 / sums)[:, None]
         d[np.arange(len(at)), at] -= 1
-        to += x[own].T @ d
-        to_bias += d.sum(0)
-        dx[own] += d @ weight.T
+        grads[name][:, columns] += own.T @ d
+        grads[name + "_bias"][columns] += ones[first:last] @ d
+        dx[first:last] += d @ weight.T
         return -float(log.sum())
 
-    loss += output(rows, of, p["class"], p["class_bias"], grads["class"], grads["class_bias"])
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(classes.shared + 1))
-    for k in range(classes.shared):
-        first, last = classes.first[k], classes.first[k + 1]
-        own = order[ends[k] : ends[k + 1]]
-        if len(own) and last - first > 1:
-            loss += output(own, target[own] - first, p["word"][:, first:last], p["word_bias"][first:last], grads["word"][:, first:last], grads["word_bias"][first:last])
-    direct = np.zeros((mask.size, hidden), kind)
+    for first in range(0, len(target), BLOCK):
+        last = min(first + BLOCK, len(target))
+        loss += output(first, last, of[first:last], "class", slice(None))
+    ends = np.searchsorted(of, np.arange(classes.shared + 1)).tolist()
+    for c in range(classes.shared):
+        first, last = int(classes.first[c]), int(classes.first[c + 1])
+        if ends[c + 1] > ends[c] and last - first > 1:
+            loss += output(ends[c], ends[c + 1], target[ends[c] : ends[c + 1]] - first, "word", slice(first, last))
+    direct = np.zeros((length * rows, k), kind)
     direct[valid] = dx
-    direct = direct.reshape(*mask.shape, hidden)
-    da = np.zeros_like(a)
+    direct = direct.reshape(length, rows, k)
+    kept = 1 - z
+    to_z = before - n
+    to_z *= z
+    to_z *= kept
+    to_n = 1 - n * n
+    to_n *= kept
+    to_r = 1 - r
+    to_r *= r
+    to_r *= b[:, :, 2 * k :]
+    db, dn, back = np.empty_like(b), np.empty_like(n), np.ascontiguousarray(u.T)
     dh = np.zeros_like(h)
     for t in range(length - 1, -1, -1):
-        z, r, n, b = held[t]
-        on = mask[:, t, None]
-        own = np.where(on, dh, 0)
-        dn = own * (1 - z) * (1 - n * n)
-        dz = own * (states[t] - n) * z * (1 - z)
-        dr = dn * b * r * (1 - r)
-        da[:, t] = np.concatenate([dz, dr, dn], 1)
-        db = np.concatenate([dz, dr, dn * r], 1)
-        grads["recurrent"] += states[t].T @ db
-        dh = np.where(on, own * z + db @ p["recurrent"].T, dh) + direct[:, t]
-    np.add.at(grads["input"], symbols.reshape(-1)[valid], da.reshape(-1, 3 * hidden)[valid])
+        own = dh if whole else np.where(on[t], dh, 0)
+        d = db[t]
+        np.multiply(own, to_n[t], out=dn[t])
+        np.multiply(own, to_z[t], out=d[:, :k])
+        np.multiply(dn[t], to_r[t], out=d[:, k : 2 * k])
+        np.multiply(dn[t], r[t], out=d[:, 2 * k :])
+        left = own * z[t]
+        left += d @ back
+        dh = left if whole else np.where(on[t], left, dh)
+        dh += direct[t]
+    grads["recurrent"] += before.reshape(-1, k).T @ db.reshape(-1, 3 * k)
+    db[:, :, 2 * k :] = dn
+    if len(target):
+        starts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+        grads["input"][target[starts]] = np.add.reduceat(db.reshape(-1, 3 * k)[valid], starts, axis=0)
     return loss, grads, states[-1]
 
 
@@ -171,25 +207,30 @@ def train(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], classes: Classe
     read = 0
     hidden = len(p["recurrent"])
     for first in range(0, len(stretches), streams):
-        own = stretches[first : first + streams]
-        longest = max(map(len, own))
+        # long ones first: those that have ended are left out of the windows that follow
+        own = sorted(stretches[first : first + streams], key=len, reverse=True)
+        sizes = np.array([len(s) for s in own])
+        block = np.zeros((len(own), int(sizes[0])), np.int64)
+        for i, s in enumerate(own):
+            block[i, : len(s)] = s
         h = np.zeros((len(own), hidden), np.float32)
-        for start in range(0, longest, WINDOW):
-            symbols, mask = np.zeros((len(own), WINDOW), np.int64), np.zeros((len(own), WINDOW), bool)
-            for i, s in enumerate(own):
-                part = s[start : start + WINDOW]
-                symbols[i, : len(part)], mask[i, : len(part)] = part, True
-            if not mask.any():
-                break
-            _, grads, h = gradients(p, classes, symbols, mask, h)
+        for start in range(0, block.shape[1], WINDOW):
+            going = int((sizes > start).sum())
+            symbols = block[:going, start : start + WINDOW]
+            mask = np.arange(start, start + symbols.shape[1]) < sizes[:going, None]
+            _, grads, h = gradients(p, classes, symbols, mask, h[:going])
             n = int(mask.sum())
             read += n
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / n
             scale = np.float32(min(1.0, CLIP / max(norm, 1e-9)) / n)
             for k, g in grads.items():
                 g *= scale
-                seen[k] += g * g
-                p[k] -= rate * g / np.sqrt(seen[k])
+                square = g * g
+                seen[k] += square
+                np.sqrt(seen[k], out=square)
+                g /= square
+                g *= np.float32(rate)
+                p[k] -= g
     return p, seen, read
 
 

@@ -145,3 +145,20 @@ def test_history_helps_on_held_out_texts(spark):
     assert len(got) > 20 and gain > 0.2
     again = {x.doc_id: x.score for x in perplexity.score(frame(spark, rows).repartition(7)).collect()}
     assert all(abs(again[x.doc_id] - x.score) < 1e-3 * abs(x.score) for x in got)
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_training_reads_every_stretch_once(spark, rounds):
+    """All symbols of the training documents, none of the held out ones, whatever the size of the corpus."""
+    r = random.Random(8)
+    rows = ODD + [(100 + i, " ".join(r.choice(["a", "b", "w%d" % r.randint(0, 50)]) for _ in range(r.choice([0, 1, 127, 128, 129, 700])))) for i in range(80)]
+    docs = frame(spark, rows)
+    model, _, parts = perplexity._fitted(docs, words=20, least=2000, rounds=1)
+    learnt = parts.where(~perplexity.held_out(F.col("doc_id")))
+    kind = model.lexicon.kind
+    cut = lambda b: [bytes(b[i : i + size]) for i in range(0, len(b), size)]
+    size = perplexity.STRETCH * np.dtype(kind).itemsize
+    wanted = Counter(s for x in learnt.collect() for s in cut(x.symbols))
+    dealt = [perplexity.stretches(learnt, kind, k, rounds).collect() for k in range(rounds)]
+    assert Counter(bytes(x.symbols) for part in dealt for x in part) == wanted and all(dealt)
+    assert sum(len(s) * n for s, n in wanted.items()) == model.total * np.dtype(kind).itemsize
