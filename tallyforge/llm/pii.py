@@ -3,7 +3,7 @@
 The tagger is trained in numpy from labelled spans (made-up ones unless others are given). It reads every whole text in
 overlapping windows; the windows' scores are merged and one best tag path is found for the whole text. What it marks beyond
 the base spans are addresses spelt with "[at]", grouped card numbers and phone numbers that the base rules leave out, secrets
-(keys and tokens) and account numbers (IBAN). An added span loses foreign characters at its ends, an address or a secret grows
+(keys and tokens) and account numbers (IBAN). Windows far from any digit and at-sign can hold none of these and are not read. An added span loses foreign characters at its ends, an address or a secret grows
 to its whole run, and a check of the form follows, so that plain numbers stay; base spans always stay.
 """
 
@@ -34,6 +34,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _HOST = re.compile(r"[A-Za-z0-9.-]*")
 _AT = re.compile(r"@|[\[(] ?at ?[\])]", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=-]")
+_NUMBERED = re.compile(r"[0-9][A-Za-z0-9_+/=-]*")
 # possessive runs of digits behind a non-digit match what the plain pattern matches, in linear time
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -142,10 +143,29 @@ def grown(text: str, span: Span) -> Span:
     return kind, start, _HOST.match(text, end).end()
 
 
+def zones(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the digits, with the tokens they stand in, and of the at-signs, spelt ones too.
+
+    No span that touches none of them passes the check, grown or not: every form of _WHOLE needs a digit or an at-sign, and only a secret grows
+    from a part of a token without one. The tagger alone tells which of these places are personal data.
+    """
+    out, done = [m.span() for m in _AT.finditer(text)], 0
+    for m in _NUMBERED.finditer(text):
+        start = m.start()
+        while start > done and _TOKEN.match(text[start - 1]):
+            start -= 1
+        done = m.end()
+        if out and out[-1][1] <= start <= out[-1][1] + 16:  # near ones are one
+            out[-1] = (out[-1][0], done)
+        else:
+            out.append((start, done))
+    return out
+
+
 def found_spans(model: dict[str, np.ndarray], texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
-    """For each text the base spans and the tagger's that pass the check and touch no base span."""
+    """For each text the base spans and the tagger's that pass the check and touch no base span. The tagger reads wherever such spans can be (zones())."""
     # as marked where the whole of it does not pass, or touches a base span
-    added = [[[s for s in (checked(t, grown(t, span)), checked(t, span)) if s] for span in spans] for t, spans in zip(texts, tagger.marked(model, texts), strict=True)]
+    added = [[[s for s in (checked(t, grown(t, span)), checked(t, span)) if s] for span in spans] for t, spans in zip(texts, tagger.marked(model, texts, zones=[zones(t) for t in texts]), strict=True)]
     out = []
     for b, more in zip(base, added, strict=True):
         taken = sorted((s, e) for _, s, e in b)

@@ -333,32 +333,64 @@ def may_be_inside(p: dict[str, np.ndarray], leads: np.ndarray) -> np.ndarray:
     return best(gain) + best(gain[::-1])[::-1] - gain + ends > -1e-3
 
 
-def marked(p: dict[str, np.ndarray], texts: list[str], rows: int = 1024) -> list[list[tuple[int, int, int]]]:
+def marked(p: dict[str, np.ndarray], texts: list[str], rows: int = 1024, zones: list[list[tuple[int, int]]] | None = None) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) of each whole text: overlapping windows are read, their scores merged by the distance from a window's
     edge, and one best path over the text is found. Where "outside" surely leads, the path is known, so that only the stretches
-    between go through the search; scores are held for these alone."""
+    between go through the search; scores are held for these alone.
+
+    With ``zones`` (start, end) of each text only the spans of that same path are wanted that touch a zone. The stretches around zones are then
+    searched, and the windows that these reach into are read; spans elsewhere may be left out.
+    """
+    if zones is None:
+        return _marked(p, texts, [[(0, len(t))] if t else [] for t in texts], 0, rows)[0]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    todo, reach = [i for i, z in enumerate(zones) if z], 0
+    while todo:
+        found, closed = _marked(p, [texts[i] for i in todo], [zones[i] for i in todo], reach, rows)
+        for i, spans, whole in zip(todo, found, closed, strict=True):
+            if whole:
+                out[i] = spans
+        # a stretch that leaves the windows read so far: more of them to both sides, all in the end
+        todo, reach = [i for i, whole in zip(todo, closed, strict=True) if not whole], 2 * reach + 1
+    return out
+
+
+def _marked(p: dict[str, np.ndarray], texts: list[str], zones: list[list[tuple[int, int]]], reach: int, rows: int) -> tuple[list[list[tuple[int, int, int]]], list[bool]]:
+    """Spans from the windows that touch a zone and ``reach`` more to both sides, and whether no stretch that touches a zone leaves these."""
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.cumsum(sizes) - sizes
     flat = np.concatenate([codes(t) for t in texts if t]) if sizes.sum() else np.zeros(0, np.int64)
     shared = READ - STRIDE
-    starts, ends = [], []
-    for at, n in zip(offsets.tolist(), sizes.tolist(), strict=True):
+    starts, ends, read = [], [], []
+    wanted, known = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    for at, n, own_zones in zip(offsets.tolist(), sizes.tolist(), zones, strict=True):
         if n:
             own = np.arange(at, at + max(1, n - shared), STRIDE)
             starts.append(own)
             ends.append(np.minimum(own + READ, at + n))
+            taken = np.zeros(len(own), bool)
+            for x, y in own_zones:
+                # with a character to both sides
+                x, y = max(0, x - 1), min(n, y + 1)
+                wanted[at + x : at + y] = True
+                taken[max(0, (x - READ) // STRIDE + 1 - reach) : (y - 1) // STRIDE + 1 + reach] = True
+            read.append(taken)
     if not starts:
-        return [[] for _ in texts]
-    starts, ends = np.concatenate(starts), np.concatenate(ends)
+        return [[] for _ in texts], [True] * len(texts)
+    starts, ends, read = np.concatenate(starts), np.concatenate(ends), np.concatenate(read)
     # whether the window before, and the one behind, are of the same text: it then reaches into this one's beginning, or end
     after = np.concatenate([[False], (np.diff(starts) == STRIDE) & (ends[:-1] == starts[:-1] + READ) & (ends[:-1] > starts[1:])])
     before = np.append(after[1:], False)
+    # a beginning that is shared with a window that is not read stays unknown
+    lone = (after & ~np.append(False, read[:-1]))[read]
+    starts, ends, after, before = starts[read], ends[read], after[read] & ~lone, before[read]
     ahead, back = _reader(p, "forward"), _reader(p, "backward")
     hidden = ahead[1].shape[0]
     rising = np.arange(1, shared + 1, dtype=np.float32)[:, None, None] / (shared + 1)
     sure = surely_outside(p)
     steps = np.arange(READ)[:, None]
-    leads, kept_at, kept, tail = np.empty(len(flat), np.float32), [], [], np.zeros((shared, 1, TAGS), np.float32)
+    # what is not read is told from what leads surely by ``known`` alone
+    leads, kept_at, kept, tail = np.full(len(flat), sure + 1, np.float32), [], [], np.zeros((shared, 1, TAGS), np.float32)
     for a in range(0, len(starts), rows):
         some, upto, joins = starts[a : a + rows], ends[a : a + rows], after[a : a + rows]
         places = some + steps
@@ -376,21 +408,34 @@ def marked(p: dict[str, np.ndarray], texts: list[str], rows: int = 1024) -> list
             np.maximum(other, scores[:, :, k], out=other)
         lead = scores[:, :, 0] - other
         inside[STRIDE:, before[a : a + rows]] = False
+        inside[:shared, lone[a : a + rows]] = False
         leads[places[inside]] = lead[inside]
+        known[places[inside]] = True
         t, w = np.nonzero(inside & (lead <= sure))
         at = some[w] + t
         order = np.argsort(at)
         kept_at.append(at[order])
         kept.append(scores[t, w][order])
-    inner = may_be_inside(p, leads)
     at, scores = np.concatenate(kept_at), np.concatenate(kept)
-    at, scores = at[inner[at]], scores[inner[at]]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    closed = np.ones(len(texts), bool)
     if not len(at):
-        return out
+        return out, closed.tolist()
     of = np.searchsorted(offsets, at, "right") - 1
     while (empty := sizes[of] == 0).any():
         of = np.where(empty, of - 1, of)
+    # stretches that end at a character that was not read
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 0)]))
+    ending = np.append(begins[1:], len(at)) - 1
+    left, right = at[begins] > offsets[of[begins]], at[ending] + 1 < (offsets + sizes)[of[ending]]
+    left[left] = ~known[at[begins[left]] - 1]
+    right[right] = ~known[at[ending[right]] + 1]
+    open_run = left | right
+    closed[of[begins[open_run & np.logical_or.reduceat(wanted[at], begins)]]] = False
+    keep = may_be_inside(p, leads)[at] & ~np.repeat(open_run, ending - begins + 1)
+    at, scores, of = at[keep], scores[keep], of[keep]
+    if not len(at):
+        return out, closed.tolist()
     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(of) != 0)) + 1
     runs = list(zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True))
     trans, first = p["transition"], p["first"]
@@ -403,7 +448,7 @@ def marked(p: dict[str, np.ndarray], texts: list[str], rows: int = 1024) -> list
     for (a, _), tags in zip(runs, viterbi(p, [scores[a:b] for a, b in runs]), strict=True):
         base = int(at[a] - offsets[of[a]])
         out[of[a]].extend((kind, base + x, base + y) for kind, x, y in spans_of(tags))
-    return out
+    return out, closed.tolist()
 
 
 def viterbi(p: dict[str, np.ndarray], scores: list[np.ndarray], rows: int = 256) -> list[np.ndarray]:

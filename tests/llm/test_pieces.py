@@ -314,6 +314,40 @@ def test_marks_equal_a_search_over_the_whole_text(model):
     assert [tagger.marked(model, [t])[0] for t in texts] == tagger.marked(model, texts, rows=3)
 
 
+def odd_texts(n, seed):
+    """Texts in which spans, parts of spans, digits and at-signs stand far apart or close, across the edges of windows."""
+    r = random.Random(seed)
+    pieces = [t[a:b] for t, spans in tagger.examples(300, seed=6) for _, a, b in spans] + ["@", " [at] ", "(AT)", "1", "12 34", "+", "-", "ſ", "é", "\n", "abcdefghijklmnopqrstuvw", "_" * 30, "A" * 25 + "12", "7" * 300, "x.y-" * 70]
+    return ["".join(r.choice(pieces) if r.random() < 0.3 else "word " * r.choice([1, 1, 5, 30, 60, 140]) for _ in range(r.randint(1, 12))) + "w" * r.randint(0, 20) for _ in range(n)]
+
+
+def test_spans_are_those_of_reading_every_window(model, monkeypatch):
+    texts = odd_texts(150, 1) + [t for t, _ in tagger.examples(150, seed=8)] + ["", "a", "no data at all " * 300]
+    base = [pii.base_spans(t) for t in texts]
+    read, states = [], tagger._states
+    monkeypatch.setattr(tagger, "_states", lambda table, recurrent, symbols: (read.append(symbols.shape[1]), states(table, recurrent, symbols))[1])
+    found, few = pii.found_spans(model, texts, base), sum(read)
+    assert [pii.found_spans(model, [t], [b])[0] for t, b in zip(texts, base, strict=True)] == found
+    read.clear()
+    # a text without a digit and an at-sign, in letters or as a sign, is not read by the tagger
+    assert pii.found_spans(model, ["no data here " * 90], [[]]) == [[]] and not read
+    monkeypatch.setattr(pii, "zones", lambda text: [(0, len(text))] if text else [])
+    assert pii.found_spans(model, texts, base) == found and sum(read) > few
+
+
+def test_marks_that_touch_zones_are_those_of_the_whole_text(model):
+    """Any zones, also within stretches that run over many windows."""
+    r = random.Random(9)
+    texts = odd_texts(80, 2) + ["1 2-3" * 400, "+1 (2" * 300 + " word" * 200 + "9" * 500]
+    whole = tagger.marked(model, texts)
+    for _ in range(3):
+        zones = [sorted((a, min(len(t), a + r.randint(1, 40))) for a in (r.randrange(len(t)) for _ in range(r.randint(0, 3)))) for t in texts]
+        got = tagger.marked(model, texts, zones=zones)
+        for g, w, z in zip(got, whole, zones, strict=True):
+            touching = {s for s in w if any(s[1] < b and a < s[2] for a, b in z)}
+            assert touching <= set(g) <= set(w)
+
+
 @pytest.mark.parametrize("text,kind", [("api key: sk-Ab3dE5gH7jK9mN1pQ3sT5vW7", 4), ("pay DE89 3704 0044 0532 0130 00 today", 5), ('token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" is', 4)])
 def test_secrets_and_account_numbers_are_found(model, text, kind):
     assert [k for k, _, _ in pii.found_spans(model, [text], [[]])[0]] == [kind]
