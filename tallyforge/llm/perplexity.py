@@ -30,11 +30,11 @@ FOLDS = 10
 #: Words with a symbol, words whose counts all tasks hold, groups of the other words, and output classes of the symbols.
 WORDS, LOOKUP, GROUPS, CLASSES = 2048, 65_536, 16, 40
 #: Rounds of training, which share all stretches, and symbols of a shard.
-ROUNDS, SHARD = 4, 1 << 19
+ROUNDS, SHARD = 4, 1 << 20
 #: Stretches that are trained together: an eighth of a shard's, between these.
-LEAST_STREAMS, STREAMS = 64, 512
+LEAST_STREAMS, STREAMS = 64, 1024
 #: Bytes of symbols that are scored at once; a longer text is scored alone.
-PORTION = 2 << 20
+PORTION = 8 << 20
 #: Added to every count of the base.
 ADDED = 0.1
 #: Values of hashed pairs of bytes.

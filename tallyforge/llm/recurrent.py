@@ -91,7 +91,9 @@ class Outputs:
         of = self.of[target]
         order = np.argsort(of, kind="stable")
         h, of, at = h[order], of[order], target[order]
-        logs = log_softmax_of(h @ self.top, of, self.small)[0].astype(np.float64)
+        logs = np.empty(len(h))
+        for a in range(0, len(h), BLOCK):
+            logs[a : a + BLOCK] = log_softmax_of(h[a : a + BLOCK] @ self.top, of[a : a + BLOCK], self.small)[0]
         ends = np.searchsorted(of, np.arange(self.classes.shared + 1))
         for k, weights in enumerate(self.inner):
             a, b = ends[k], ends[k + 1]
@@ -252,20 +254,21 @@ def scores(p: dict[str, np.ndarray], classes: Classes, texts: list[np.ndarray],
     text, at = queue[:taken].copy(), np.zeros(taken, np.int64)
     h = np.zeros((taken, hidden), np.float32)
     while len(text):
-        left = np.minimum(sizes[text] - at, WINDOW)
+        # where few texts are left, more symbols of each go at once
+        left = np.minimum(sizes[text] - at, max(WINDOW, WINDOW * slots // len(text)))
         width = int(left.max()) if len(left) else 0
         if width:
             where = (starts[text] + at)[:, None] + np.minimum(np.arange(width), np.maximum(left - 1, 0)[:, None])
             mask = np.arange(width)[None, :] < left[:, None]
             symbols = flat[np.minimum(where, len(flat) - 1)]
-            before = np.ones((len(text), width, hidden + 1), np.float32)
+            symbols, mask = np.ascontiguousarray(symbols.T), np.ascontiguousarray(mask.T)
+            before = np.ones((width, len(text), hidden + 1), np.float32)
             for t in range(width):
-                before[:, t, :hidden] = h
-                # states behind a text's end are not used again
-                h = step(h, p["input"][symbols[:, t]], p["recurrent"])[0]
-            target = symbols[mask]
-            logs = outputs.log_probabilities(before[mask], target)
-            out += np.bincount(np.repeat(text, left), logs, len(texts))
+                before[t, :, :hidden] = h
+                # states behind a text's end within the window are not used again
+                h = step(h, p["input"][symbols[t]], p["recurrent"])[0]
+            logs = outputs.log_probabilities(before[mask], symbols[mask])
+            out += np.bincount(text[np.nonzero(mask)[1]], logs, len(texts))
             at += left
         done = np.flatnonzero(at >= sizes[text])
         more = queue[taken : taken + len(done)]
