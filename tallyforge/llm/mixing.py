@@ -80,15 +80,18 @@ def _key(doc_id: Column, digest: Column, epoch: int, seed: int) -> Column:
 FAN = 1_000
 
 
-def _ahead(sums: DataFrame) -> DataFrame:
-    """(source, _part, _sum) -> with the sum over the source's parts before: over parts of one stretch, and over stretches."""
+def _ahead(sums: DataFrame, epoch: str | None = None) -> DataFrame:
+    """(source, _part, _sum) -> with the sum over the source's parts before: over parts of one stretch, and over stretches. With the name of an epoch's column, of each epoch."""
     stretch = F.floor(F.col("_part") / FAN)
     rows = sums.withColumn("_stretch", stretch)
-    of = lambda *keys: Window.partitionBy("source", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    high = rows.groupBy("source", "_stretch").agg(F.sum("_sum").alias("_high")).withColumn("_high", F.coalesce(F.sum("_high").over(of("_stretch")), F.lit(0)))
-    high = high.select(F.col("source").alias("_source"), F.col("_stretch").alias("_of"), "_high")
-    both = rows.withColumn("_low", F.coalesce(F.sum("_sum").over(of("_stretch", "_part")), F.lit(0))).join(high, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_stretch") == F.col("_of")))
-    return both.select("source", "_part", (F.col("_low") + F.col("_high")).alias("_ahead"))
+    own = ["source", *([epoch] if epoch else [])]
+    of = lambda *keys: Window.partitionBy(*own, *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    high = rows.groupBy(*own, "_stretch").agg(F.sum("_sum").alias("_high")).withColumn("_high", F.coalesce(F.sum("_high").over(of("_stretch")), F.lit(0)))
+    high = high.select(F.col("source").alias("_source"), F.col("_stretch").alias("_of"), "_high", *([F.col(epoch).alias("_of_epoch")] if epoch else []))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_stretch") == F.col("_of"))
+    same = same & (F.col(epoch) == F.col("_of_epoch")) if epoch else same
+    both = rows.withColumn("_low", F.coalesce(F.sum("_sum").over(of("_stretch", "_part")), F.lit(0))).join(high, same)
+    return both.select(*own, "_part", (F.col("_low") + F.col("_high")).alias("_ahead"))
 
 
 def planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int, rows_per_range: int) -> DataFrame:
@@ -101,17 +104,22 @@ def planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: int,
     per_source = sized.groupBy("source").agg(F.sum("_copies").alias("source_rows"), F.sum(words).alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     of = written(targets(per_source.drop("_rows"), weights, share, most), "mix-targets")
     known = sized.join(of, sized["source"].eqNullSafe(of["source"])).drop(of["source"])
+    ranges = F.ceil(F.col("source_rows") / F.lit(rows_per_range))
     for epoch in range(most):
-        ranges = F.ceil(F.col("source_rows") / F.lit(rows_per_range))
         known = known.withColumn(f"_key{epoch}", _key(F.col("doc_id"), F.col("_digest"), epoch, seed))
-        known = known.withColumn("_part", F.floor(F.conv(F.substring(f"_key{epoch}", 1, 8), 16, 10).cast("double") / 2**32 * ranges).cast("long"))
-        ahead = _ahead(known.groupBy("source", "_part").agg(F.sum(words).alias("_sum"))).select(F.col("source").alias("_source"), F.col("_part").alias("_at"), "_ahead")
-        known = known.join(ahead, known["source"].eqNullSafe(ahead["_source"]) & (known["_part"] == ahead["_at"]))
-        within = Window.partitionBy("source", "_part").orderBy(f"_key{epoch}", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        known = known.withColumn(f"_part{epoch}", F.floor(F.conv(F.substring(f"_key{epoch}", 1, 8), 16, 10).cast("double") / 2**32 * ranges).cast("long"))
+    # the ranges of all epochs in one pass, a row each. They are written, as sums from the rows within a plan of the rows would triple that plan with each epoch
+    parts = F.inline(F.array(*[F.struct(F.lit(e).alias("_epoch"), F.col(f"_part{e}").alias("_part")) for e in range(most)]))
+    sums = known.select("source", words.alias("_words"), parts).groupBy("source", "_epoch", "_part").agg(F.sum("_words").alias("_sum"))
+    ahead = written(_ahead(written(sums, "mix-ranges"), "_epoch"), "mix-ahead")
+    for epoch in range(most):
+        before = ahead.where(F.col("_epoch") == epoch).select(F.col("source").alias("_source"), F.col("_part").alias("_at"), "_ahead")
+        known = known.join(before, known["source"].eqNullSafe(before["_source"]) & (known[f"_part{epoch}"] == before["_at"]))
+        within = Window.partitionBy("source", f"_part{epoch}").orderBy(f"_key{epoch}", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
         # budgets are whole words: what the target leaves for this epoch, at most the source's size
         budget = F.least(F.greatest(F.floor("target") - F.col("source_size") * epoch, F.lit(0)), F.col("source_size"))
         start = F.col("_ahead") + F.coalesce(F.sum(words).over(within), F.lit(0))
-        known = known.withColumn(f"_taken{epoch}", F.least(F.greatest(budget - start, F.lit(0)), words).cast("long")).drop("_part", "_source", "_at", "_ahead")
+        known = known.withColumn(f"_taken{epoch}", F.least(F.greatest(budget - start, F.lit(0)), words).cast("long")).drop(f"_part{epoch}", "_source", "_at", "_ahead")
     return known
 
 

@@ -362,6 +362,13 @@ def test_sums_before_ranges_by_brute_force(spark, fan, monkeypatch):
     assert got == {(s, p): sum(n for t, q, n in sums if t == s and q < p) for s, p, _ in sums}
 
 
+def test_mixing_plan_grows_by_the_same_with_each_epoch(spark):
+    """Sums of a later epoch's ranges are not taken from a plan that has the earlier epochs' in it, several times each."""
+    d = docs(spark, [(i, "w " * i, "s") for i in range(9)])
+    joins = [mixing.planned(d, mixing.WEIGHTS, 1.5, most, 42, 4)._jdf.queryExecution().optimizedPlan().toString().count("Join ") for most in (1, 2, 3)]
+    assert joins[2] - joins[1] == joins[1] - joins[0] == 1
+
+
 def test_mixing_without_words(spark):
     assert {(r.target, r.taken) for r in mixing.mix(docs(spark, [(1, "", "a"), (2, None, "b")])).collect()} == {(0.0, 0)}
 
