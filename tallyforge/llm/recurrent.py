@@ -64,6 +64,35 @@ def step(h: np.ndarray, a: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
     return out, z, r, n, b[:, 2 * k :]
 
 
+def by_gate(p: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """The inputs and the recurrence in three parts, so that what a step reads and writes of a gate is one block."""
+    k = len(p["recurrent"])
+    return [np.ascontiguousarray(p[name].reshape(-1, 3, k).transpose(1, 0, 2)) for name in ("input", "recurrent")]
+
+
+def inputs_of(inputs: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The inputs of symbols (positions x streams), by position and gate."""
+    parts, size, k = inputs.shape
+    return inputs.reshape(-1, k).take(symbols[:, None, :] + (np.arange(parts) * size)[:, None], axis=0)
+
+
+def advance(h: np.ndarray, a: np.ndarray, u: np.ndarray, b: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """step() by gate, into given arrays; the first two parts of the inputs become the gates."""
+    np.matmul(h, u, out=b)
+    gates = a[:2]
+    gates += b[:2]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    np.multiply(gates[1], b[2], out=n)
+    n += a[2]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= gates[0]
+    out += n
+
+
 def log_softmax_of(logits: np.ndarray, at: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of one column a row, and the rows' sums of exponentials, by which logits are overwritten. ``small``: no logit can overflow."""
     rows, ones = np.arange(len(at)), np.ones(logits.shape[1], logits.dtype)
@@ -114,29 +143,17 @@ def gradients(p: dict[str, np.ndarray], classes: Classes, symbols: np.ndarray, m
     """Of a window (streams x positions): the negative log-likelihood, its gradients, and the state behind it. The state before it is given and gets no gradient."""
     kind, k = h.dtype, h.shape[1]
     rows, length = symbols.shape
-    u, whole = p["recurrent"], bool(mask.all())
+    (inputs, u), whole = by_gate(p), bool(mask.all())
     # positions first, so that each step reads and writes one block
     symbols, on = np.ascontiguousarray(symbols.T), np.ascontiguousarray(mask.T)[:, :, None]
-    a = p["input"][symbols]
-    states, b = np.empty((length + 1, rows, k), kind), np.empty((length, rows, 3 * k), kind)
-    gates, n = np.empty((length, rows, 2 * k), kind), np.empty((length, rows, k), kind)
+    a = inputs_of(inputs, symbols)
+    states, b, n = np.empty((length + 1, rows, k), kind), np.empty((length, 3, rows, k), kind), np.empty((length, rows, k), kind)
     states[0] = h
     for t in range(length):
-        np.matmul(states[t], u, out=b[t])
-        gate = np.add(a[t, :, : 2 * k], b[t, :, : 2 * k], out=gates[t])
-        gate *= 0.5
-        np.tanh(gate, out=gate)
-        gate *= 0.5
-        gate += 0.5
-        new = np.multiply(gate[:, k:], b[t, :, 2 * k :], out=n[t])
-        new += a[t, :, 2 * k :]
-        np.tanh(new, out=new)
-        out = np.subtract(states[t], new, out=states[t + 1])
-        out *= gate[:, :k]
-        out += new
+        advance(states[t], a[t], u, b[t], n[t], states[t + 1])
         if not whole:
-            np.copyto(out, states[t], where=~on[t])
-    before, z, r = states[:-1], gates[:, :, :k], gates[:, :, k:]
+            np.copyto(states[t + 1], states[t], where=~on[t])
+    before, z, r = states[:-1], a[:, 0], a[:, 1]
     # by symbol, and so by class: a class's symbols follow each other
     valid = np.flatnonzero(on)
     target = symbols.reshape(-1)[valid]
@@ -181,25 +198,29 @@ def gradients(p: dict[str, np.ndarray], classes: Classes, symbols: np.ndarray, m
     to_n *= kept
     to_r = 1 - r
     to_r *= r
-    to_r *= b[:, :, 2 * k :]
-    db, dn, back = np.empty_like(b), np.empty_like(n), np.ascontiguousarray(u.T)
+    to_r *= b[:, 2]
+    db, dn, back, through = np.empty_like(b), np.empty_like(n), np.ascontiguousarray(u.transpose(0, 2, 1)), np.empty_like(b[0])
     dh = np.zeros_like(h)
     for t in range(length - 1, -1, -1):
         own = dh if whole else np.where(on[t], dh, 0)
         d = db[t]
         np.multiply(own, to_n[t], out=dn[t])
-        np.multiply(own, to_z[t], out=d[:, :k])
-        np.multiply(dn[t], to_r[t], out=d[:, k : 2 * k])
-        np.multiply(dn[t], r[t], out=d[:, 2 * k :])
+        np.multiply(own, to_z[t], out=d[0])
+        np.multiply(dn[t], to_r[t], out=d[1])
+        np.multiply(dn[t], r[t], out=d[2])
         left = own * z[t]
-        left += d @ back
+        for part in np.matmul(d, back, out=through):
+            left += part
         dh = left if whole else np.where(on[t], left, dh)
         dh += direct[t]
-    grads["recurrent"] += before.reshape(-1, k).T @ db.reshape(-1, 3 * k)
-    db[:, :, 2 * k :] = dn
+    for i in range(3):
+        grads["recurrent"][:, i * k : (i + 1) * k] += before.reshape(-1, k).T @ db[:, i].reshape(-1, k)
+    db[:, 2] = dn
     if len(target):
         starts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
-        grads["input"][target[starts]] = np.add.reduceat(db.reshape(-1, 3 * k)[valid], starts, axis=0)
+        at = valid // rows * (3 * rows) + valid % rows
+        own = db.reshape(-1, k).take(at[:, None] + np.arange(3) * rows, axis=0).reshape(-1, 3 * k)
+        grads["input"][target[starts]] = np.add.reduceat(own, starts, axis=0)
     return loss, grads, states[-1]
 
 
@@ -253,6 +274,7 @@ def scores(p: dict[str, np.ndarray], classes: Classes, texts: list[np.ndarray],
     taken = min(slots, len(texts))
     text, at = queue[:taken].copy(), np.zeros(taken, np.int64)
     h = np.zeros((taken, hidden), np.float32)
+    inputs, u = by_gate(p)
     while len(text):
         # where few texts are left, more symbols of each go at once
         left = np.minimum(sizes[text] - at, max(WINDOW, WINDOW * slots // len(text)))
@@ -263,10 +285,13 @@ def scores(p: dict[str, np.ndarray], classes: Classes, texts: list[np.ndarray],
             symbols = flat[np.minimum(where, len(flat) - 1)]
             symbols, mask = np.ascontiguousarray(symbols.T), np.ascontiguousarray(mask.T)
             before = np.ones((width, len(text), hidden + 1), np.float32)
+            b, n, a = np.empty((3, len(text), hidden), np.float32), np.empty_like(h), inputs_of(inputs, symbols)
             for t in range(width):
                 before[t, :, :hidden] = h
                 # states behind a text's end within the window are not used again
-                h = step(h, p["input"][symbols[t]], p["recurrent"])[0]
+                after = np.empty_like(h)
+                advance(h, a[t], u, b, n, after)
+                h = after
             logs = outputs.log_probabilities(before[mask], symbols[mask])
             out += np.bincount(text[np.nonzero(mask)[1]], logs, len(texts))
             at += left

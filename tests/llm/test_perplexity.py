@@ -70,6 +70,21 @@ def test_state_is_carried_through_whole_texts(slots):
     assert len(recurrent.scores(p, classes, [])) == 0
 
 
+def test_steps_by_gate_are_the_plain_steps():
+    """Gates are whole blocks in training and scoring; the states are those of step()."""
+    _, p, g = small_model(hidden=6)
+    h, symbols = g.normal(0, 1, (5, 6)), g.integers(0, 9, (3, 5))
+    inputs, u = recurrent.by_gate(p)
+    a = recurrent.inputs_of(inputs, symbols)
+    assert a.flags.c_contiguous and a.shape == (3, 3, 5, 6)
+    for t in range(3):
+        wanted = recurrent.step(h, p["input"][symbols[t]], p["recurrent"])[0]
+        out = np.empty_like(h)
+        recurrent.advance(h, a[t], u, np.empty((3, 5, 6)), np.empty_like(h), out)
+        assert np.allclose(out, wanted, rtol=1e-12, atol=1e-12)
+        h = out
+
+
 def test_training_learns_an_order():
     g = np.random.default_rng(3)
     cycle = [np.array([1 + (k + i) % 6 for i in range(60)] + [0]) for k in g.integers(0, 6, 300)]
