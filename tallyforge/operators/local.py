@@ -2,13 +2,16 @@
 
 A client's model has two heads, for the counterpart and for the standard history. A head answers from memory (features seen with one label
 only, with the amount first, then without), else by its text classifier, else with its most frequent label. Memory and majority are groupings;
-classifiers are trained one a client and head in a task, on at most ``MOST`` approved rows each, the ones with the smallest hashes.
+classifiers learn from all approved rows, equal ones being one that weighs as much as they are. A client's head of at most ``MOST`` different
+rows is trained in one task; one of more has its rows in several tasks, whose slopes are added up in each step.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,11 +19,17 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.money import period_of
 from tallyforge.functions.text import local_features, normalized
-from tallyforge.lineage import cut, few
+from tallyforge.lineage import cut, few, tasks
+from tallyforge.operators.textmodel import BLOCKS, LEAST_LABELS, LEAST_ROWS, ROUNDS, TextModel, Vectors, counted
 from tallyforge.shipping import ship
 
-#: Rows a classifier is trained on at most (the documented bound), and probes one task answers.
+if TYPE_CHECKING:
+    from pyspark import RDD
+
+#: Different rows of a classifier that one task holds (one of more is trained over several), and probes one task answers.
 MOST, PROBES = 20_000, 5_000
+#: Steps of a training over several tasks between two checkpoints.
+_STEPS = 10
 HEADS = {"account": "counterpart", "history": "standard_history"}
 
 
@@ -49,7 +58,7 @@ def majority(rows: DataFrame, number: Column | None = None) -> DataFrame:
 
 
 def bounded(rows: DataFrame, key: list[str], most: int = MOST, sizes: DataFrame | None = None) -> DataFrame:
-    """At most ``most`` rows of each key, those with the smallest hashes. A hash that lets about twice as many through thins large keys out before any are ranked."""
+    """At most ``most`` rows of each key, those with the smallest hashes, to look at: no model, count or threshold is made of them. A hash that lets about twice as many through thins large keys out before any are ranked."""
     sizes = few(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_all")) if sizes is None else sizes)
     place = F.pmod(F.xxhash64("ord", "features", "label"), F.lit(1 << 30)) / float(1 << 30)
     thin = rows.join(sizes, key).withColumn("_place", place).where(F.col("_place") * F.col("_all") <= 2.0 * most)
@@ -57,20 +66,86 @@ def bounded(rows: DataFrame, key: list[str], most: int = MOST, sizes: DataFrame
     return thin.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_all", "_place", "_rank")
 
 
-def classifiers(rows: DataFrame, key: list[str], most: int = MOST, sizes: DataFrame | None = None) -> DataFrame:
-    """(key, model): a row for each key that has two labels of two rows."""
+def classifiers(rows: DataFrame, key: list[str], most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
+    """(key, model): a row for each key that has two labels of two rows. Rows (key, features, label) all count, those with ``_n`` as so many."""
     ship(rows.sparkSession)
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        from tallyforge.operators.textmodel import TextModel
-
-        model = TextModel(own["features"].tolist(), own["label"].tolist())
+        model = TextModel(own["features"].tolist(), own["label"].tolist(), own["_n"].tolist(), rounds)
         held = {k: [own[k].iloc[0]] for k in key} | {"model": [pickle.dumps(model)]}
         return pd.DataFrame(held if model.ready else {k: [] for k in held}, dtype=object)
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    sample = bounded(rows.select(*key, "ord", "features", "label"), key, most, sizes).select(*key, "features", "label")
-    return sample.groupBy(*key).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", model binary")
+    number = F.sum("_n") if "_n" in rows.columns else F.count(F.lit(1))
+    each = cut(rows.groupBy(*key, _plain(), "label").agg(number.alias("_n")))
+    sizes = few(each.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")))
+    each = each.join(sizes, key)
+    models = each.where("_parts = 1").select(*key, "features", "label", "_n").groupBy(*key).applyInPandas(run, _kinds(rows, key) + ", model binary")
+    large = each.where("_parts > 1")
+    return models if large.isEmpty() else models.unionByName(_over_tasks(large, key, rounds))
+
+
+def _kinds(rows: DataFrame, key: list[str]) -> str:
+    return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+
+
+def _over_tasks(each: DataFrame, key: list[str], rounds: int) -> DataFrame:
+    """(key, model) of keys with more rows (key, _parts, features, label, _n) than a task holds.
+
+    The same steps as a task's: terms are counted by a shuffle, each part's rows are vectors in one task, and the parts' slopes are added up by
+    key before the step. A model with its terms is one task's, as it is where it answers; the rows never are.
+    """
+    spark, n, width = each.sparkSession, tasks(each), len(key)
+    enough = each.groupBy(*key, "label").agg(F.sum("_n").alias("_all")).where(F.col("_all") >= LEAST_LABELS).drop("_all")
+    rows = cut(each.join(enough, [*key, "label"]).select(*key, "_parts", F.pmod(F.xxhash64("features", "label"), F.col("_parts")).cast("int").alias("_part"), "features", "label", "_n"))
+
+    def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, found in batch.groupby(key, dropna=False):
+                blocks = counted(found["features"].tolist(), found["_n"].tolist())
+                out = pd.DataFrame([(i, t, m) for i, block in enumerate(blocks) for t, m in block.items()], columns=["block", "term", "_m"])
+                for k, value in zip(key, own, strict=True):
+                    out[k] = value
+                yield out[[*key, "block", "term", "_m"]]
+
+    terms = rows.select(*key, "features", "_n").mapInPandas(terms_of, _kinds(each, key) + ", block int, term string, _m long").groupBy(*key, "block", "term").agg(F.sum("_m").alias("_m")).where(F.col("_m") >= LEAST_ROWS)
+    held = terms.groupBy(*key).agg(F.collect_list(F.struct("block", "term", "_m")).alias("_terms"))
+    heads = rows.groupBy(*key, "_parts").agg(F.sum("_n").alias("_total"), F.array_sort(F.collect_set("label")).alias("_labels")).where(F.size("_labels") >= 2)
+
+    def begun(r) -> tuple:
+        counts: list[Counter[str]] = [Counter() for _ in BLOCKS]
+        for block, term, m in r["_terms"] or []:
+            counts[block][term] = m
+        return tuple(r[:width]), (r["_parts"], r["_total"], TextModel.begun(list(r["_labels"]), Vectors.of_counts(counts, r["_total"])))
+
+    def sent(models: RDD) -> RDD:
+        """Each model to the tasks that have its rows."""
+        return models.flatMap(lambda m: [((m[0], i), m[1]) for i in range(m[1][0])]).partitionBy(n)
+
+    def stepped(both: tuple) -> tuple:
+        (parts, total, model), slopes = both
+        model.step(*slopes)
+        return parts, total, model
+
+    models = heads.join(held, key, "left").rdd.map(begun).partitionBy(n).persist()
+    texts = rows.rdd.map(lambda r: ((tuple(r[:width]), r["_part"]), (r["features"], r["label"], r["_n"]))).groupByKey(n)
+    blocks = texts.join(sent(models), n).mapValues(lambda x: x[1][2].block(*map(list, zip(*sorted(x[0]), strict=True)), x[1][1])).persist()
+    for i in range(rounds):
+        light = models.mapValues(lambda m: (m[0], (m[2].weights, m[2].bias)))
+        slopes = blocks.join(sent(light), n).map(lambda x: (x[0][0], x[1][0].slopes(*x[1][1][1]))).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), n)
+        before, models = models, models.join(slopes, n).mapValues(stepped).persist()
+        if i % _STEPS == _STEPS - 1:
+            models.checkpoint()
+        models.count()
+        before.unpersist()
+
+    def ended(m: tuple) -> tuple:
+        m[1][2].end()
+        return (*m[0], bytearray(pickle.dumps(m[1][2])))
+
+    out = cut(spark.createDataFrame(models.map(ended), _kinds(each, key) + ", model binary"))
+    models.unpersist()
+    blocks.unpersist()
+    return out
 
 
 def classified(models: DataFrame, probes: DataFrame, key: list[str], most: int = PROBES) -> DataFrame:
@@ -87,7 +162,6 @@ def _plain() -> Column:
 def answers(models: DataFrame, probes: DataFrame, key: list[str], most: int = PROBES) -> DataFrame:
     """(key, features) of probes with label, probability and ranked labels. Each text of a key is answered once; a task has one model and about ``most`` texts."""
     ship(probes.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in probes.schema.fields}
     texts = cut(probes.select(*key, "features").distinct())
     sizes = texts.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts"))
     asked = texts.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64("features"), F.col("_parts")).cast("int")).select(*key, "_part", "features")
@@ -107,18 +181,18 @@ def answers(models: DataFrame, probes: DataFrame, key: list[str], most: int = PR
         # as Python's own values: a column of strings in pandas may be in several pieces, which Arrow batches can't take
         return out[columns].astype(object)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", features string, label string, probability double, ranked array<string>"
+    schema = _kinds(probes, key) + ", features string, label string, probability double, ranked array<string>"
     at = [*key, "_part"]
     return few(asked.groupBy(*at).cogroup(known.groupBy(*at)).applyInPandas(run, schema))
 
 
-def predicted(examples: DataFrame, probes: DataFrame, period: str | None = None, most: int = MOST) -> DataFrame:
+def predicted(examples: DataFrame, probes: DataFrame, period: str | None = None) -> DataFrame:
     """Probes (client_id, ord, text, direction, financial_account, amount) of clients with approved examples -> client_id, ord, counterpart, p, source, standard_history, hp, hsource, combined.
 
     ``combined`` is the smaller of the two heads' probabilities, or the first where the client's examples have no standard history. Probes without an account or a text get no row.
     """
     rows = head_rows(examples, period)
-    # memory and majority ask how rows differ, not how often they occur; only the classifiers' bounded samples are taken from the rows themselves
+    # memory asks how rows differ, majority and the classifiers how often they occur as well
     each = cut(rows.groupBy("client_id", "head", "label", "features", "features_text").agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("ord")))
     asked = probes.where(F.col("financial_account").isNotNull() & (normalized(F.col("text")) != ""))
     made = lambda amount: local_features(F.col("text"), F.col("direction"), F.col("financial_account"), amount)
@@ -130,8 +204,7 @@ def predicted(examples: DataFrame, probes: DataFrame, period: str | None = None,
     known = asked.join(first, ["client_id", "head", "features"], "left").join(second, ["client_id", "head", "features_text"], "left").withColumn("_memory", F.coalesce("_with", "_without"))
     key = ["client_id", "head"]
     open_ = known.where("_memory is null").select(*key, "ord", "features")
-    sizes = each.groupBy(*key).agg(F.sum("_n").alias("_all"))
-    told = classified(classifiers(rows, key, most, sizes), open_, key).select(*key, "ord", F.col("label").alias("_told"), "probability")
+    told = classified(classifiers(each.select(*key, "features", "label", "_n"), key), open_, key).select(*key, "ord", F.col("label").alias("_told"), "probability")
     found = known.join(told, [*key, "ord"], "left").select(
         *key, "ord", F.coalesce("_memory", "_told", "majority").alias("label"), F.when(F.col("_memory").isNotNull(), 1.0).otherwise(F.coalesce("probability", F.lit(0.0))).alias("p"),
         F.when(F.col("_memory").isNotNull(), "exact_memory").when(F.col("_told").isNotNull(), "client_tfidf").otherwise("client_majority").alias("source"),

@@ -1,6 +1,7 @@
 """Clients' models against loops over clients, the arbitration in the cascade, and the text model itself."""
 
 import datetime
+import pickle
 import random
 from collections import Counter
 from decimal import Decimal
@@ -127,6 +128,28 @@ def test_large_clients_are_split_and_bounded(spark):
     assert a == b and len(a) > 200
 
 
+def test_training_over_several_tasks_takes_the_steps_of_one(spark):
+    rows = [(r[0], features(*r[3:6]) + f" n{r[1] % 40}", "k" + r[7]) for r in examples() if r[0].startswith("c")]
+    rows += [("c1", "once", "rare"), ("small", "x", "a"), ("small", "y", "b")]
+    df = spark.createDataFrame(rows, "client_id string, features string, label string")
+    got = {r.client_id: pickle.loads(r.model) for r in local.classifiers(df, ["client_id"], most=15, rounds=3).collect()}
+    assert set(got) == {"c1", "c2", "c3", "c4"}
+    for client, model in got.items():
+        own = [r for r in rows if r[0] == client]
+        one = TextModel([r[1] for r in own], [r[2] for r in own], rounds=3)
+        assert model.labels == one.labels and model.vectors.places == one.vectors.places and np.allclose(model.vectors.idf, one.vectors.idf)
+        assert np.allclose(model.weights, one.weights, atol=1e-9) and np.allclose(model.bias, one.bias, atol=1e-9)
+
+
+def test_every_row_counts_in_training(spark):
+    """Rows beyond what one task holds were left out of the training before."""
+    rows = [("c", i, datetime.date(2026, 1, 1), f"conta {i % 5} parte {i % 3}", "inflow", "7", None, str(1 + (i % 5 == 0) + (i % 7 == 0)), None) for i in range(local.MOST + 3_000)]
+    asked = spark.createDataFrame([("c", 1, "conta nova", "inflow", "7", None)], "client_id string, ord long, text string, direction string, financial_account string, amount decimal(18,2)")
+    got = local.predicted(spark.createDataFrame(rows, KIND), asked).first()
+    model = TextModel([features(*r[3:6]) for r in rows], [r[7] for r in rows])
+    assert (got.source, round(got.p, 9)) == ("client_tfidf", round(float(model.predict([features("conta nova", "inflow", "7")]).max()), 9))
+
+
 def test_folds_equal_a_loop(spark):
     rows = [(r[0], r[1], r[2], features(*r[3:6]), "k" + r[7]) for r in examples() if r[0].startswith("c")]
     got = local.without_each(spark.createDataFrame(rows, "client_id string, ord long, date date, features string, label string")).collect()
