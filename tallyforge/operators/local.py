@@ -217,35 +217,24 @@ def predicted(examples: DataFrame, probes: DataFrame, period: str | None = None)
     )
 
 
-def without_each(rows: DataFrame, sample: int = MOST) -> DataFrame:
+def without_each(rows: DataFrame) -> DataFrame:
     """Leaving each client out: rows (client_id, ord, date, features, label) of several clients -> client_id, ord, actual, seen, label, probability, ranked.
 
-    A client's model is trained on other clients' rows before the client's last month, out of a sample of ``sample`` rows of all with the smallest
-    hashes, which goes to every task; models are rows of a table, trained side by side. Clients without two labels to learn from have no rows.
+    A client's model is trained on all rows of all other clients before the client's last month, equal rows being one that weighs as much as they
+    are; models are rows of a table, trained side by side. Clients without two labels to learn from have no rows.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    taken = rows.select("client_id", period_of(F.col("date")).alias("month"), "features", "label").orderBy(F.xxhash64("client_id", "ord"), "client_id", "ord", "features", "label").limit(sample).collect()
-    held = spark.sparkContext.broadcast([tuple(r) for r in taken])
-    kind = rows.schema["client_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tallyforge.operators.textmodel import TextModel
-
-        for clients in batches:
-            out = []
-            for client, last in clients.itertuples(index=False):
-                own = [(f, y) for c, month, f, y in held.value if c != client and month < last]
-                model = TextModel([f for f, _ in own], [y for _, y in own])
-                if model.ready:
-                    out.append((client, pickle.dumps(model), sorted({y for _, y in own})))
-            yield pd.DataFrame(out, columns=["client_id", "model", "known"], dtype=object)
-
-    last = rows.groupBy("client_id").agg(F.max(period_of(F.col("date"))).alias("last"))
-    models = cut(last.repartition("client_id").mapInPandas(run, f"client_id {kind}, model binary, known array<string>"))
+    each = cut(rows.groupBy("client_id", period_of(F.col("date")).alias("month"), _plain(), "label").agg(F.count(F.lit(1)).alias("_n")))
+    last = each.groupBy("client_id").agg(F.max("month").alias("last"))
+    # what there is before a month is added up once for all clients that end in it, and what is a client's own taken off
+    months = each.groupBy("month", "features", "label").agg(F.sum("_n").alias("_n"))
+    before = months.join(F.broadcast(last.select("last").distinct()), F.col("month") < F.col("last")).groupBy("last", "features", "label").agg(F.sum("_n").alias("_all"))
+    own = each.join(last, "client_id").where("month < last").groupBy("client_id", "features", "label").agg(F.sum("_n").alias("_own"))
+    folds = last.join(before, "last").join(own, ["client_id", "features", "label"], "left").withColumn("_n", F.col("_all") - F.coalesce("_own", F.lit(0))).where("_n > 0")
+    folds = cut(folds.select("client_id", "features", "label", "_n"))
+    known = folds.select("client_id", F.col("label").alias("actual"), F.lit(True).alias("_seen")).distinct()
     asked = rows.select("client_id", "ord", _plain(), F.col("label").alias("actual"))
-    told = asked.join(answers(models.select("client_id", "model"), asked, ["client_id"]), ["client_id", "features"]).join(few(models.select("client_id", "known")), "client_id")
-    return told.select("client_id", "ord", "actual", F.array_contains("known", F.col("actual")).alias("seen"), "label", "probability", "ranked")
+    told = asked.join(answers(classifiers(folds, ["client_id"]), asked, ["client_id"]), ["client_id", "features"]).join(few(known), ["client_id", "actual"], "left")
+    return told.select("client_id", "ord", "actual", F.coalesce("_seen", F.lit(False)).alias("seen"), "label", "probability", "ranked")
 
 
 def fold_metrics(predictions: DataFrame) -> DataFrame:

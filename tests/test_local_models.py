@@ -168,6 +168,19 @@ def test_folds_equal_a_loop(spark):
     assert metrics["c1"].rows == len(own) and abs(metrics["c1"].top_1 - sum(v[1] == v[3] for v in own) / len(own)) < 1e-9
 
 
+def test_every_row_of_the_others_counts(spark):
+    """Rows beyond a sample were left out of the training before, and labels that are only there were unseen."""
+    most = local.MOST + 3_000
+    df = spark.range(most).select((F.col("id") % 2).cast("string").alias("client_id"), F.col("id").alias("ord"), F.to_date(F.lit("2026-01-05")).alias("date"), F.concat(F.lit("conta "), F.col("id") % 5).alias("features"), F.concat(F.lit("k"), F.when(F.col("id") % 5 == 0, 1).otherwise(2)).alias("label"))
+    late = spark.createDataFrame([(c, most + i, datetime.date(2026, 2, 5), "conta 0", "k1") for i, c in enumerate("01")], df.schema)
+    rare = spark.range(2).select(F.col("id").cast("string").alias("client_id"), (F.col("id") + 2 * most).alias("ord"), F.to_date(F.lit("2026-01-05")).alias("date"), F.lit("raro").alias("features"), F.lit("rare").alias("label"))
+    rows = df.unionByName(late).unionByName(rare)
+    got = {x.ord: x for x in local.without_each(rows).where(F.col("ord") >= most).collect()}
+    own = [r for r in rows.collect() if r.client_id == "1" and r.date.month == 1]
+    model = TextModel([r.features for r in own], [r.label for r in own])
+    assert round(got[most].probability, 9) == round(float(model.predict(["conta 0"]).max()), 9) and got[2 * most].seen and got[2 * most + 1].seen
+
+
 @pytest.mark.parametrize("threshold,far,expected", [(0.9, None, ("exact_memory:1.00", "LANCAR")), (1.1, None, ("exact_memory:1.00", "REVISAR CONTA")), (1.1, 0.8, ("global_tfidf:0.80", "LANCAR")), (1.1, 0.7, ("exact_memory:1.00", "REVISAR CONTA"))])
 def test_arbitration_in_the_cascade(spark, threshold, far, expected):
     b = base(spark, [movement("50", "recebimento", "ACME")], history=[], examples=EXAMPLES)
