@@ -7,6 +7,7 @@ decomposition for scripts the table does not reach.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Sequence
 
@@ -96,6 +97,11 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.upper(without_accents(text)), "[^A-Z0-9]", "")
 
 
+def folded(text: str) -> str:
+    """What ``fold`` makes of a fixed text."""
+    return re.sub("[^A-Z0-9]", "", text.translate(str.maketrans(ACCENTED, BASE)).upper())
+
+
 def _plain_exact():
     """Defined in here, the function travels to the workers by value; they need not have this package."""
 

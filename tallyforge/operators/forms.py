@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import EXACT, parse_printed
-from tallyforge.functions.text import clean, fold, let
-from tallyforge.operators.printed import banded_lines, is_printed_invoice
+from tallyforge.functions.text import clean, fold, folded, let
+from tallyforge.operators.printed import TOLERANCE, is_printed_invoice, line_text, page_lines
 
 WIDTH = 595.0
 LOOK_AHEAD = 18.0
+#: Lines that can be so near: each begins more than the tolerance below the one before.
+_NEAR = int(LOOK_AHEAD / TOLERANCE)
 DEFAULT_VERSION = "2.0"
 
 # The form's labels. Each is the first line with that text behind the first of the named lines that was found
@@ -73,7 +75,7 @@ ANCHORS = [
 ]
 
 
-_ANCHOR = "name string, label string, behind array<string>, before string"
+_SPEC = "label string, behind array<struct<i:int,below:int>>, before int"
 _CELL = "field string, at string, x0 double, x1 double, kind string, must boolean"
 
 
@@ -125,30 +127,45 @@ def form_pages(words: DataFrame, anchors: list[tuple] = ANCHORS) -> DataFrame:
     A line is (n, top, bottom, text, words, labels); a page's lines are bounded by the page. Words without text or place are passed over.
     """
     placed = words.where("text <> '' and x0 is not null and x1 is not null and top is not null")
-    labels = F.array_distinct(F.transform(_table(anchors, _ANCHOR), lambda a: fold(a["label"])))
-    lines = banded_lines(placed, {}).withColumn("_f", fold(F.col("text"))).withColumn("labels", F.filter(labels, lambda label: F.contains(F.col("_f"), label)))
-    page = lines.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("n"), "top", "bottom", "text", "words", "labels"))).alias("lines"))
-    known = page.withColumn("recognised", F.coalesce(is_printed_invoice(F.array_join(F.transform("lines", lambda x: x["text"]), " ")), F.lit(False)))
+    labels = F.array(*[F.lit(label) for label in dict.fromkeys(folded(a[1]) for a in anchors)])
+
+    def line(x: Column, text: Column) -> Column:
+        # the text is folded once for all labels
+        found = let(fold(text), lambda f: F.filter(labels, lambda label: F.contains(f, label)))
+        return F.struct(x["line"].alias("n"), x["top"].alias("top"), x["bottom"].alias("bottom"), text.alias("text"), x["words"].alias("words"), found.alias("labels"))
+
+    # all pages of a document meet in one task, as the page that counts is chosen of them: dealt by document, the words are shuffled once
+    page = page_lines(placed.repartition("doc")).select("doc", "page", F.transform("lines", lambda x: let(line_text(x["words"]), lambda text: line(x, text))).alias("lines"))
+    known = page.withColumn("recognised", F.coalesce(is_printed_invoice(line_text(F.col("lines"))), F.lit(False)))
     chosen = known.groupBy("doc").agg(F.min_by(F.struct("page", "recognised", "lines"), F.struct(~F.col("recognised"), F.col("page"))).alias("_p"))
     return chosen.select("doc", "_p.*")
 
 
 def found_lines(lines: Column, anchors: list[tuple] = ANCHORS) -> Column:
-    """map of a label's name, and of name.below, to the number of its line; labels that are not there are missing in it."""
-    specs = F.transform(_table(anchors, _ANCHOR), lambda a: a.withField("label", fold(a["label"])))
-    kind = "array<struct<key:string,value:int>>"
+    """map of a label's name, and of name.below, to the number of its line; labels that are not there are missing in it.
+
+    The fold keeps an array of the lines found so far by the label's place in ``anchors`` (null: not there), so that a label finds those it is behind at once.
+    """
+    place = {name: i for i, (name, *_) in enumerate(anchors)}
+    at = lambda name: (place[name.removesuffix(".below")], int(name.endswith(".below")))
+    specs = _table([(folded(label), [dict(zip(("i", "below"), at(b))) for b in behind], place[before] if before else None) for _, label, behind, before in anchors], _SPEC)
+    hits = F.flatten(F.transform(lines, lambda x: F.transform(x["labels"], lambda label: F.struct(label.alias("label"), x["n"].alias("n")))))
+
+    def walk(hits: Column, size: Column) -> Column:
+        def step(found: Column, spec: Column) -> Column:
+            known = lambda r: F.get(found, r["i"]) + r["below"]
+            behind = F.filter(F.transform(spec["behind"], known), lambda n: n <= size)
+            bounds = F.struct(F.coalesce(_first(behind), F.lit(0)).alias("after"), F.coalesce(F.get(found, spec["before"]), size + 1).alias("until"))
+            fits = lambda b: _first(F.filter(hits, lambda h: (h["label"] == spec["label"]) & (h["n"] > b["after"]) & (h["n"] < b["until"])))["n"].cast("int")
+            return F.concat(found, F.array(let(bounds, fits)))
 
-    def step(found: Column, spec: Column) -> Column:
-        line = lambda name: _first(F.filter(found, lambda e: e["key"] == name))["value"]
-        behind = F.filter(F.transform(spec["behind"], line), lambda n: n.isNotNull())
-        after, until = F.coalesce(_first(behind), F.lit(0)), F.coalesce(line(spec["before"]), F.size(lines) + 1)
-        fits = lambda x: F.array_contains(x["labels"], spec["label"]) & (x["n"] > after) & (x["n"] < until)
-        entry = lambda name, n: F.struct(name.alias("key"), n.cast("int").alias("value"))
-        below = F.concat(spec["name"], F.lit(".below"))
-        both = lambda n: F.when(n < F.size(lines), F.array(entry(spec["name"], n), entry(below, n + 1))).otherwise(F.array(entry(spec["name"], n)))
-        return F.concat(found, F.coalesce(let(_first(F.filter(lines, fits))["n"], lambda n: F.when(n.isNotNull(), both(n))), F.array().cast(kind)))
+        names = F.array(*[F.array(F.lit(name), F.lit(f"{name}.below")) for name in place])
+        entry = lambda names, n, by: F.struct(F.get(names, F.lit(by)).alias("key"), (n + by).alias("value"))
+        both = lambda n, i: let(F.get(names, i), lambda two: F.array(entry(two, n, 0), entry(two, n, 1)))
+        found = F.aggregate(specs, F.array().cast("array<int>"), step)
+        return F.map_from_entries(F.filter(F.flatten(F.transform(found, both)), lambda e: e["value"] <= size))
 
-    return F.map_from_entries(F.aggregate(specs, F.array().cast(kind), step))
+    return let(hits, lambda hits: let(F.size(lines), lambda size: walk(hits, size)))
 
 
 def cell_values(lines: Column, found: Column, cells: list[tuple] = CELLS) -> Column:
@@ -160,10 +177,11 @@ def cell_values(lines: Column, found: Column, cells: list[tuple] = CELLS) -> Col
     placed = F.filter(F.transform(_table(cells, _CELL), lambda s: F.struct(s["field"].alias("field"), s["x0"].alias("x0"), s["x1"].alias("x1"), F.try_element_at(found, s["at"]).alias("n"))), lambda s: s["n"].isNotNull())
 
     def read(s: Column) -> Column:
-        own = F.element_at(lines, s["n"])["top"]
-        near = F.filter(F.slice(lines, s["n"], F.size(lines)), lambda x: x["top"] - own <= LOOK_AHEAD)
-        texts = F.transform(near, lambda x: F.struct(_text_in(x, s["x0"], s["x1"]).alias("excerpt"), x["top"].alias("top"), x["bottom"].alias("bottom")))
-        return let(let(texts, lambda t: F.coalesce(_first(F.filter(t, lambda u: u["excerpt"] != "")), _first(t))), lambda hit: entry(s, hit))
+        text = lambda x: F.struct(_text_in(x, s["x0"], s["x1"]).alias("excerpt"), x["top"].alias("top"), x["bottom"].alias("bottom"))
+        below = lambda own: F.filter(F.slice(lines, s["n"] + 1, _NEAR), lambda x: x["top"] - own["top"] <= LOOK_AHEAD)
+        # the lines below are only read where there is nothing in the cell's own
+        hit = lambda own: F.when(own["excerpt"] != "", own).otherwise(F.coalesce(_first(F.filter(F.transform(below(own), text), lambda u: u["excerpt"] != "")), own))
+        return let(let(text(F.element_at(lines, s["n"])), hit), lambda hit: entry(s, hit))
 
     def entry(s: Column, hit: Column) -> Column:
         text = let(clean(hit["excerpt"]), lambda t: F.when(t != "-", t))
@@ -174,7 +192,7 @@ def cell_values(lines: Column, found: Column, cells: list[tuple] = CELLS) -> Col
 
 def between(lines: Column, start: Column, end: Column) -> Column:
     """The text of the lines behind one and before another, or to the end where that is missing; null without a start or text."""
-    inside = F.filter(lines, lambda x: (x["n"] > start) & (x["n"] < F.coalesce(end, F.size(lines) + 1)))
+    inside = F.slice(lines, start + 1, F.greatest(F.coalesce(end, F.size(lines) + 1) - start - 1, F.lit(0)))
     return let(clean(F.array_join(F.transform(inside, lambda x: x["text"]), " ")), lambda t: F.when(t != "-", t))
 
 
@@ -224,7 +242,7 @@ def printed_invoices(words: DataFrame) -> DataFrame:
     )
     at = lambda field: F.try_element_at("_v", F.lit(field))["text"]
     # every amount is read once: the records and the issues both need it
-    wanted = F.transform(F.filter(_table(CELLS, _CELL), lambda c: c["kind"] == "money"), lambda c: c["field"])
+    wanted = F.array(*[F.lit(field) for field, *_, kind, _ in CELLS if kind == "money"])
     amounts = F.map_from_entries(F.transform(wanted, lambda f: F.struct(f.alias("key"), parse_printed(F.try_element_at("_v", f)["text"]).cast(EXACT).alias("value"))))
     read = read.withColumn("_m", amounts).withColumn("key", F.nullif(F.regexp_extract(at("key"), r"\d{50}", 0), F.lit(""))).withColumn("competence_date", printed_day(at("competence_date"))).withColumn("issue_datetime", printed_moment(at("issue_datetime")))
     money = lambda field: F.try_element_at("_m", F.lit(field))
@@ -264,16 +282,16 @@ def _issues(at) -> Column:
     def issue(when: Column, code: str, field: str, value: Column | None = None) -> Column:
         return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), (F.lit(None) if value is None else value).cast("string").alias("value")))
 
-    def of(s: Column) -> Column:
-        text = F.try_element_at("_v", s["field"])["text"]
-        told = lambda code, value: F.struct(F.lit(code).alias("code"), s["field"].alias("field"), value.cast("string").alias("value"))
-        unread = (s["kind"] == "money") & text.isNotNull() & F.try_element_at("_m", s["field"]).isNull()
-        return F.when(s["must"] & text.isNull(), told("missing_required_evidence", F.lit(None))).when(unread, told("unparseable_printed_value", text))
+    def of(field: str, money: bool, must: bool) -> Column:
+        lacks = issue(at(field).isNull(), "missing_required_evidence", field) if must else F.lit(None)
+        unread = issue(at(field).isNotNull() & F.try_element_at("_m", F.lit(field)).isNull(), "unparseable_printed_value", field, at(field)) if money else F.lit(None)
+        return F.coalesce(lacks, unread)
 
+    cells = F.array(*[of(field, kind == "money", must) for field, *_, kind, must in CELLS if must or kind == "money"])
     more = F.array(
         issue(at("key").isNotNull() & F.col("key").isNull(), "invalid_printed_key", "key", at("key")),
         issue(at("competence_date").isNotNull() & F.col("competence_date").isNull(), "invalid_printed_date", "competence_date", at("competence_date")),
         issue(at("issue_datetime").isNotNull() & F.col("issue_datetime").isNull(), "invalid_printed_date", "issue_datetime", at("issue_datetime")),
         issue(F.col("_description").isNull(), "missing_required_evidence", "service.description"),
     )
-    return F.filter(F.concat(F.transform(_table(CELLS, _CELL), of).cast(f"array<{kind}>"), more.cast(f"array<{kind}>")), lambda i: i.isNotNull())
+    return F.filter(F.concat(cells.cast(f"array<{kind}>"), more.cast(f"array<{kind}>")), lambda i: i.isNotNull())

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.identity import extract_tax_id, party_of, split_document, strip_tax_id
 from tallyforge.functions.money import MONEY, parse_date, parse_money, transaction_type
-from tallyforge.functions.text import clean, fold
+from tallyforge.functions.text import clean, fold, let
 from tallyforge.operators import matching
-from tallyforge.operators.layout import without_duplicates
 
 # Where the columns of the known layouts are printed.
 STATEMENT_BANDS = {"date": (0.0, 80.0), "description": (80.0, 220.0), "counterparty": (220.0, 356.0), "tax_id": (356.0, 450.0), "amount": (450.0, 512.0), "balance": (512.0, 596.0)}
@@ -24,26 +23,44 @@ LEDGER_BANDS = {
     "inflow": (650.0, 710.0), "outflow": (710.0, 765.0), "balance": (765.0, 830.0),
 }
 ACCOUNT_BOX, PERIOD_BAND = (0.0, 240.0, 55.0, 78.0), (650.0, 780.0)
+#: How far off a line's first word its others may begin.
+TOLERANCE = 2.0
 # What an invoice's page says for certain.
 INVOICE_SIGNALS = ("DANFSE", "DOCUMENTOAUXILIARDANFSE", "CHAVEDEACESSODANFSE", "NUMERODANFSE", "PRESTADORFORNECEDORDANFSE")
 
 
-def word_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Words (doc, page, ord, text, x0, x1, top, bottom) with their line: a line ends more than the tolerance off its first word.
+def page_lines(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Words (doc, page, ord, text, x0, x1, top, bottom) to doc, page, lines: arrays of (line, top, bottom, words); a line ends more than the tolerance off its first word.
 
-    The fold over a page's sorted words keeps the anchor; a page is a bounded group.
+    A page is a bounded group: its words are one array from one shuffle, and what layout.without_duplicates does, the sorting and the fold that
+    keeps the anchor go on in it. A line's top is its first word's; its words (x0, x1, text) are sorted.
     """
-    page = without_duplicates(words).groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "ord", "x1", "bottom", "text"))).alias("_w"))
-    kept = "array<struct<line:int,top:double,bottom:double,x0:double,x1:double,text:string>>"
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("line"), F.array().cast(kept).alias("out"))
+    word = F.struct("text", "ord", *[F.col(c).cast("double").alias(c) for c in ("top", "x0", "x1", "bottom")])
+    page = words.groupBy("doc", "page").agg(F.collect_list(word).alias("_w"))
+    spot = ("text", "_0", "_1", "_2", "_3")
+    placed = lambda w: F.struct(w["text"].alias("text"), *[F.round(w[c], 2).alias(f"_{i}") for i, c in enumerate(("x0", "x1", "top", "bottom"))], *[w[c].alias(c) for c in ("ord", "top", "x0", "x1", "bottom")])
+
+    def again(w: Column, before: Column) -> Column:
+        same = before.isNotNull()
+        for c in spot:
+            same = same & w[c].eqNullSafe(before[c])
+        return same
+
+    once = lambda ws: F.filter(ws, lambda w, i: (i == 0) | ~again(w, F.get(ws, i - 1)))
+    ordered = F.array_sort(F.transform(let(F.array_sort(F.transform("_w", placed)), once), lambda w: F.struct(*[w[c].alias(c) for c in ("top", "x0", "ord", "x1", "bottom", "text")])))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(held: Column, w: Column) -> Column:
         fresh = held["top"].isNull() | (F.abs(w["top"] - held["top"]) > tolerance)
-        line, top = F.when(fresh, held["line"] + 1).otherwise(held["line"]).cast("int"), F.when(fresh, w["top"]).otherwise(held["top"]).cast("double")
-        row = F.struct(line.alias("line"), top.alias("top"), w["bottom"].cast("double").alias("bottom"), w["x0"].cast("double").alias("x0"), w["x1"].cast("double").alias("x1"), w["text"].alias("text"))
-        return F.struct(top.alias("top"), line.alias("line"), F.concat(held["out"], F.array(row)).alias("out"))
+        return F.when(fresh, F.struct(w["top"].alias("top"), (held["at"] + 1).alias("at"), F.concat(held["starts"], F.array(held["at"])).alias("starts"))).otherwise(F.struct(held["top"].alias("top"), (held["at"] + 1).alias("at"), held["starts"].alias("starts")))
+
+    def line(ws: Column, starts: Column, at: Column, i: Column) -> Column:
+        own = F.slice(ws, at + 1, F.coalesce(F.get(starts, i + 1), F.size(ws)) - at)
+        sorted_ = F.array_sort(F.transform(own, lambda w: F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), w["text"].alias("text"))))
+        return F.struct((i + 1).alias("line"), F.get(ws, at)["top"].alias("top"), F.array_max(F.transform(own, lambda w: w["bottom"])).alias("bottom"), sorted_.alias("words"))
 
-    return page.select("doc", "page", F.inline(F.aggregate("_w", start, step)["out"]))
+    lines = let(ordered, lambda ws: let(F.aggregate(ws, start, step)["starts"], lambda starts: F.transform(starts, lambda at, i: line(ws, starts, at, i))))
+    return page.select("doc", "page", lines.alias("lines"))
 
 
 def cut(words: Column, left: float, right: float) -> Column:
@@ -52,11 +69,14 @@ def cut(words: Column, left: float, right: float) -> Column:
     return clean(F.array_join(F.transform(inside, lambda w: w["text"]), " "), repair=False)
 
 
+def line_text(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+
+
 def banded_lines(words: DataFrame, bands: Mapping[str, tuple[float, float]]) -> DataFrame:
     """A row per line: doc, page, line, top, bottom, text, words, and a column per band."""
-    held = word_lines(words).groupBy("doc", "page", "line").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("words"))
-    text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
-    return held.select("*", text.alias("text"), *[cut(F.col("words"), a, b).alias(name) for name, (a, b) in bands.items()])
+    held = page_lines(words).select("doc", "page", F.inline("lines"))
+    return held.select("*", line_text(F.col("words")).alias("text"), *[cut(F.col("words"), a, b).alias(name) for name, (a, b) in bands.items()])
 
 
 def banded_statement(words: DataFrame, bands: Mapping[str, tuple[float, float]] = STATEMENT_BANDS) -> DataFrame:
@@ -196,7 +216,8 @@ def ledger_periods(words: DataFrame) -> DataFrame:
 
 
 def is_printed_invoice(text: Column) -> Column:
-    ok = text.rlike(r"(?<!\d)\d{50}(?!\d)")
-    for signal in INVOICE_SIGNALS:
-        ok = ok & F.contains(fold(text), F.lit(signal))
-    return ok
+    def of(t: Column) -> Column:
+        signs = let(fold(t), lambda f: F.forall(F.array(*[F.contains(f, F.lit(s)) for s in INVOICE_SIGNALS]), lambda found: found))
+        return t.rlike(r"(?<!\d)\d{50}(?!\d)") & signs
+
+    return let(text, of)

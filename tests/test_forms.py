@@ -10,6 +10,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from tallyforge.operators import forms
+from tallyforge.operators import printed as printed_words
 from tallyforge.plans import ingestion
 
 KEY = "3550308" + "2" + "1" * 42
@@ -205,3 +206,27 @@ def test_random_forms_equal_a_loop(spark):
     assert len(got) == 25
     for doc, words in documents.items():
         assert got[doc] == by_loop(words), doc
+
+
+def test_pages_are_read_after_one_shuffle(spark):
+    """Words were shuffled by place, page, line and document before, and each line folded once a label."""
+    plan = forms.form_pages(frame(spark, rows(printed())))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lines_of_words_equal_a_loop(spark):
+    r = random.Random(5)
+    words = [(f"d{n % 3}", n % 2, n, r.choice("abc"), x := r.choice([1.0, 1.004, 1.006, 7.5]), x + 2, r.choice([None, 10.0, 10.004, 11.0, 12.3, 14.301, 30.0]), 40.0 + n % 4 / 1000) for n in r.sample(range(240), 240)]
+    expected = {}
+    spot = lambda w: (w[0], w[1], w[3], *[None if v is None else round(v, 2) for v in w[4:]])
+    first = {}
+    for w in sorted(words, key=lambda w: w[2]):
+        first.setdefault(spot(w), w)
+    for w in sorted(first.values(), key=lambda w: (w[6] is not None, w[6] or 0.0, w[4], w[2])):
+        lines = expected.setdefault(w[:2], [])
+        if not lines or lines[-1][0] is None or abs(w[6] - lines[-1][0]) > printed_words.TOLERANCE:
+            lines.append([w[6], w[7], []])
+        lines[-1][1] = max(lines[-1][1], w[7])
+        lines[-1][2].append((w[4], w[5], w[3]))
+    got = {(p.doc, p.page): [[x.top, x.bottom, [tuple(w) for w in x.words]] for x in p.lines] for p in printed_words.page_lines(frame(spark, words)).collect()}
+    assert got == {k: [[top, bottom, sorted(ws)] for top, bottom, ws in lines] for k, lines in expected.items()} and sum(map(len, got.values())) > 20
