@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.money import EXACT, parse_printed
 from tallyforge.functions.text import clean, fold, folded, let
+from tallyforge.lineage import tasks
 from tallyforge.operators.printed import TOLERANCE, is_printed_invoice, line_text, page_lines
 
 WIDTH = 595.0
@@ -134,8 +135,9 @@ def form_pages(words: DataFrame, anchors: list[tuple] = ANCHORS) -> DataFrame:
         found = let(fold(text), lambda f: F.filter(labels, lambda label: F.contains(f, label)))
         return F.struct(x["line"].alias("n"), x["top"].alias("top"), x["bottom"].alias("bottom"), text.alias("text"), x["words"].alias("words"), found.alias("labels"))
 
-    # all pages of a document meet in one task, as the page that counts is chosen of them: dealt by document, the words are shuffled once
-    page = page_lines(placed.repartition("doc")).select("doc", "page", F.transform("lines", lambda x: let(line_text(x["words"]), lambda text: line(x, text))).alias("lines"))
+    # all pages of a document meet in one task, as the page that counts is chosen of them: dealt by document, the words are shuffled once;
+    # to so many tasks, as their bytes are few for what is made of them
+    page = page_lines(placed.repartition(tasks(words), "doc")).select("doc", "page", F.transform("lines", lambda x: let(line_text(x["words"]), lambda text: line(x, text))).alias("lines"))
     known = page.withColumn("recognised", F.coalesce(is_printed_invoice(line_text(F.col("lines"))), F.lit(False)))
     chosen = known.groupBy("doc").agg(F.min_by(F.struct("page", "recognised", "lines"), F.struct(~F.col("recognised"), F.col("page"))).alias("_p"))
     return chosen.select("doc", "_p.*")

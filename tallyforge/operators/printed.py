@@ -47,7 +47,11 @@ def page_lines(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
         return same
 
     once = lambda ws: F.filter(ws, lambda w, i: (i == 0) | ~again(w, F.get(ws, i - 1)))
-    ordered = F.array_sort(F.transform(let(F.array_sort(F.transform("_w", placed)), once), lambda w: F.struct(*[w[c].alias(c) for c in ("top", "x0", "ord", "x1", "bottom", "text")])))
+    order = lambda w: F.struct(*[w[c].alias(c) for c in ("top", "x0", "ord", "x1", "bottom", "text")])
+    # no two words of one text and place have different hashes: where all hashes differ none is printed twice
+    hashes = F.transform("_w", lambda w: F.xxhash64(w["text"], *[F.round(w[c], 2) for c in ("x0", "x1", "top", "bottom")]))
+    each = F.size(F.array_distinct(hashes)) == F.size("_w")
+    ordered = F.array_sort(F.when(each, F.transform("_w", order)).otherwise(F.transform(let(F.array_sort(F.transform("_w", placed)), once), order)))
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(held: Column, w: Column) -> Column:
